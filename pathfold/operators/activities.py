@@ -13,12 +13,16 @@ SHORT_TRACK = "activity has fewer than two valid route points"
 
 
 def describe_activities(summary: DataFrame, records: DataFrame) -> DataFrame:
-    """Activity scalars with fallbacks to the archive row and their provenance.
+    """Activity scalars of track summaries joined with their archive records.
 
     ``records`` carries the archive columns plus ``source_type`` and ``source_checksum``.
     """
+    return activity_scalars(summary.join(records, "activity_id"))
+
+
+def activity_scalars(joined: DataFrame) -> DataFrame:
+    """Fallbacks to the archive row, and where each value came from."""
     c = F.col
-    joined = summary.join(records, "activity_id")
     start = F.coalesce("track_start", sc.parse_activity_timestamp("start_text"))
     elapsed = (F.unix_micros("track_end") - F.unix_micros(c("_start"))) / 1e6
     on_track = c("track_distance_m") > 0

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ..functions.geo import LOD_TOLERANCES_M, mercator_x, mercator_y
 from ..session import broadcast_if_small, cut_lineage
 from .spatial import point_segment_distance
-from .tracks import CHUNK_POINTS, chunk_of
+from .tracks import CHUNK_POINTS
 
 BISECTION_STEPS = 20
 SIG = T.ArrayType(T.DoubleType())
@@ -210,19 +210,25 @@ def _aligned(vertices: DataFrame, sig: DataFrame, name: str, chunk_points: int)
 
 
 def with_significance(
-    parts: DataFrame, geometry: str, prefix: str, chunk_points: int = CHUNK_POINTS
+    parts: DataFrame,
+    geometry: str,
+    prefix: str = "",
+    several: bool | None = None,
+    chunk_points: int = CHUNK_POINTS,
 ) -> DataFrame:
     """Add ``{prefix}sig_m`` and ``{prefix}sig_deg`` arrays to part rows.
 
-    One-part tracks use the UDF.  Tracks with more parts, if there are any, are measured by
-    ``long_significance``.
+    One-part tracks use the UDF.  Tracks with more parts, if there are any (``several``, looked
+    up when not given), are measured by ``long_significance``.
     """
     g = F.col(geometry)
     multi = parts.where("part > 0").select("activity_id").distinct()
     measured = parts.withColumns(
         {f"{prefix}sig_m": significance_m(g), f"{prefix}sig_deg": significance_deg(g)}
     )
-    if multi.isEmpty():
+    if several is None:
+        several = not multi.isEmpty()
+    if not several:
         return measured
     single = measured.join(multi, "activity_id", "left_anti")
     wide = parts.join(multi, "activity_id", "left_semi")

@@ -210,8 +210,11 @@ def edges(points: DataFrame, chunk_points: int = CHUNK_POINTS) -> DataFrame:
     )
 
 
-def _ordered_sums(flagged: DataFrame) -> DataFrame:
-    """One row per chunk: plain aggregates plus the end points needed to join chunks."""
+def chunk_sums(flagged: DataFrame, *more: Column) -> DataFrame:
+    """One row per chunk: plain aggregates plus the end points needed to link chunks.
+
+    ``more`` adds aggregates to the same pass.
+    """
     before = _in_chunk().rowsBetween(Window.unboundedPreceding, -1)
     c = F.col
     position = F.struct("lon", "lat")
@@ -265,14 +268,20 @@ def _ordered_sums(flagged: DataFrame) -> DataFrame:
         *ends(c("ele"), has_ele, "ele"),
         *ends(position, clean, "clean_pos"),
         *ends(c("ele"), clean & has_ele, "clean_ele"),
+        *more,
     )
 
 
 def track_summary(flagged: DataFrame) -> DataFrame:
-    """Per-activity raw and clean measures from ``clean_track`` output.
+    """Per-activity raw and clean measures from ``clean_track`` output."""
+    return link_chunks(chunk_sums(flagged))
+
+
+def link_chunks(sums: DataFrame) -> DataFrame:
+    """Chunk rows to activity rows.
 
     Gain, loss and clean distance depend on the previous kept value, so each chunk reports its
-    first and last such value and the chunks are linked afterwards.
+    first and last such value and the steps between chunks are added here.
     """
     c = F.col
     before = Window.partitionBy("activity_id").orderBy("chunk").rowsBetween(
@@ -282,7 +291,7 @@ def track_summary(flagged: DataFrame) -> DataFrame:
     def previous(name: str) -> Column:
         return F.last(name, ignorenulls=True).over(before)
 
-    linked = _ordered_sums(flagged).withColumns(
+    linked = sums.withColumns(
         {
             "_step": c("first_ele") - previous("last_ele"),
             "_clean_step": c("first_clean_ele") - previous("last_clean_ele"),
@@ -328,9 +337,9 @@ def track_summary(flagged: DataFrame) -> DataFrame:
     )
 
 
-def track_parts(flagged: DataFrame) -> DataFrame:
-    """Nested storage form: one row per (activity_id, part) of at most one chunk of points."""
-    rows = F.sort_array(
+def nested_points() -> Column:
+    """Aggregate: the points of a chunk as an ordered array of storage structs."""
+    return F.sort_array(
         F.collect_list(
             F.struct(
                 F.col("seq").cast("int").alias("sequence"),
@@ -346,15 +355,25 @@ def track_parts(flagged: DataFrame) -> DataFrame:
         )
     )
 
+
+def with_lines(parts: DataFrame) -> DataFrame:
+    """Add the raw and the clean line of ``track_points``."""
+
     def line(points: Column) -> Column:
         return F.transform(points, lambda p: F.array(p["longitude"], p["latitude"]))
 
     kept = F.filter("track_points", lambda p: p["clean"])
-    return (
-        flagged.groupBy("activity_id", F.col("chunk").alias("part"))
-        .agg(rows.alias("track_points"))
-        .withColumn("geometry", line(F.col("track_points")))
-        .withColumn("geometry_clean", line(kept))
+    return parts.withColumns(
+        {"geometry": line(F.col("track_points")), "geometry_clean": line(kept)}
+    )
+
+
+def track_parts(flagged: DataFrame) -> DataFrame:
+    """Nested storage form: one row per (activity_id, part) of at most one chunk of points."""
+    return with_lines(
+        flagged.groupBy("activity_id", F.col("chunk").alias("part")).agg(
+            nested_points().alias("track_points")
+        )
     )
 
 
