@@ -128,9 +128,14 @@ def simplify_m(geometry, tolerance_m: float | None) -> Column:
     return at_tolerance(g, significance_m(g), tolerance_m)
 
 
-def simplify_to_target(geometry, target: int) -> Column:
-    g = F.col(geometry) if isinstance(geometry, str) else geometry
-    return at_target(g, significance_deg(g), line_extent(g), target)
+def simplify_to_target(rows: DataFrame, geometry: str, target: int, name: str) -> DataFrame:
+    """Add the line of at most ``target`` vertices of rows that hold whole lines."""
+    line = F.col(geometry)
+    return (
+        rows.withColumn("_sig", significance_deg(line))
+        .withColumn(name, at_target(line, F.col("_sig"), line_extent(line), target))
+        .drop("_sig")
+    )
 
 
 def long_significance(vertices: DataFrame, floor: Column | float = 0.0) -> DataFrame:
@@ -194,7 +199,7 @@ def long_significance(vertices: DataFrame, floor: Column | float = 0.0) -> DataF
     return out
 
 
-def _aligned(vertices: DataFrame, sig: DataFrame, name: str, chunk_points: int) -> DataFrame:
+def _aligned(vertices: DataFrame, sig: DataFrame, name: str) -> DataFrame:
     """Significance arrays in part order for multi-part tracks."""
     return (
         vertices.select("activity_id", "seq", "part")
@@ -209,60 +214,67 @@ def _aligned(vertices: DataFrame, sig: DataFrame, name: str, chunk_points: int)
     )
 
 
-def with_significance(
-    parts: DataFrame,
-    geometry: str,
-    prefix: str = "",
-    several: bool | None = None,
-    chunk_points: int = CHUNK_POINTS,
-) -> DataFrame:
-    """Add ``{prefix}sig_m`` and ``{prefix}sig_deg`` arrays to part rows.
+LINES = (("geometry", "r_"), ("geometry_clean", "c_"))
 
-    One-part tracks use the UDF.  Tracks with more parts, if there are any (``several``, looked
-    up when not given), are measured by ``long_significance``.
-    """
-    g = F.col(geometry)
-    multi = parts.where("part > 0").select("activity_id").distinct()
-    measured = parts.withColumns(
-        {f"{prefix}sig_m": significance_m(g), f"{prefix}sig_deg": significance_deg(g)}
-    )
-    if several is None:
-        several = not multi.isEmpty()
-    if not several:
-        return measured
-    single = measured.join(multi, "activity_id", "left_anti")
-    wide = parts.join(multi, "activity_id", "left_semi")
-    vertices = wide.select(
-        "activity_id", "part", F.posexplode(geometry).alias("at", "p")
-    ).select(
-        "activity_id",
-        "part",
-        (F.col("part") * chunk_points + F.col("at")).alias("seq"),
-        F.col("p")[0].alias("lon"),
-        F.col("p")[1].alias("lat"),
-    )
-    metres = vertices.select(
-        "activity_id", "seq", mercator_x("lon").alias("x"), mercator_y("lat").alias("y")
-    )
-    extent = vertices.groupBy("activity_id").agg(
-        F.greatest(F.max("lon") - F.min("lon"), F.max("lat") - F.min("lat")).alias("_extent")
-    )
-    degrees = vertices.join(broadcast_if_small(extent), "activity_id").select(
-        "activity_id", "seq", F.col("lon").alias("x"), F.col("lat").alias("y"), "_extent"
+
+def with_significance(parts: DataFrame, lines=LINES) -> DataFrame:
+    """Add ``{prefix}sig_m`` and ``{prefix}sig_deg`` arrays to rows that hold whole lines."""
+    return parts.withColumns(
+        {
+            f"{prefix}{name}": fn(F.col(line))
+            for line, prefix in lines
+            for name, fn in (("sig_m", significance_m), ("sig_deg", significance_deg))
+        }
     )
-    finest = F.col("_extent") / float(2**BISECTION_STEPS)
-    lowest = min(t for t in LOD_TOLERANCES_M if t)
-    sig_m = _aligned(vertices, long_significance(metres, lowest), f"{prefix}sig_m", chunk_points)
-    sig_deg = _aligned(
-        vertices, long_significance(degrees, finest), f"{prefix}sig_deg", chunk_points
+
+
+def split_long(parts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of one-part tracks, checkpointed rows of longer tracks or None)."""
+    ids = parts.where("part > 0").select("activity_id").distinct()
+    if ids.isEmpty():
+        return parts, None
+    ids = cut_lineage(ids)
+    return (
+        parts.join(ids, "activity_id", "left_anti"),
+        cut_lineage(parts.join(ids, "activity_id", "left_semi")),
     )
+
+
+def with_long_significance(
+    wide: DataFrame, chunk_points: int = CHUNK_POINTS, lines=LINES
+) -> DataFrame:
+    """``with_significance`` for tracks of several parts; ``wide`` is checkpointed."""
     key = ["activity_id", "part"]
-    long = wide.join(sig_m, key, "left").join(sig_deg, key, "left")
+    lowest = min(t for t in LOD_TOLERANCES_M if t)
     none = F.array().cast(SIG)
-    long = long.withColumns(
-        {n: F.coalesce(F.col(n), none) for n in (f"{prefix}sig_m", f"{prefix}sig_deg")}
-    )
-    return single.unionByName(long)
+    out = wide
+    for line, prefix in lines:
+        vertices = wide.select(
+            "activity_id", "part", F.posexplode(line).alias("at", "p")
+        ).select(
+            "activity_id",
+            "part",
+            (F.col("part") * chunk_points + F.col("at")).alias("seq"),
+            F.col("p")[0].alias("lon"),
+            F.col("p")[1].alias("lat"),
+        )
+        metres = vertices.select(
+            "activity_id", "seq", mercator_x("lon").alias("x"), mercator_y("lat").alias("y")
+        )
+        extent = vertices.groupBy("activity_id").agg(
+            F.greatest(F.max("lon") - F.min("lon"), F.max("lat") - F.min("lat")).alias("_extent")
+        )
+        degrees = vertices.join(broadcast_if_small(extent), "activity_id").select(
+            "activity_id", "seq", F.col("lon").alias("x"), F.col("lat").alias("y"), "_extent"
+        )
+        finest = F.col("_extent") / float(2**BISECTION_STEPS)
+        for name, sig in (
+            (f"{prefix}sig_m", long_significance(metres, lowest)),
+            (f"{prefix}sig_deg", long_significance(degrees, finest)),
+        ):
+            aligned = cut_lineage(_aligned(vertices, sig, name))
+            out = out.join(aligned, key, "left").withColumn(name, F.coalesce(name, none))
+    return cut_lineage(out)
 
 
 def target_thresholds(parts: DataFrame, geometry: str, sig_deg: str, targets) -> DataFrame:

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from ..functions.geo import LOD_TOLERANCES_M
 from ..operators.layout import FILE_BYTES, GROUP_BYTES, render_row_bytes, str_layout
 from ..operators.simplify import (
+    LINES,
     at_target,
     keep_above,
     level_geometry,
     line_extent,
+    split_long,
     target_thresholds,
+    with_long_significance,
     with_significance,
 )
 from ..operators.tracks import CHUNK_POINTS
@@ -37,38 +40,40 @@ from ..sources.files import row_group_facts
 from .paths import write_text
 
 METADATA_GROUP_ROWS = 4096
-LINES = (("geometry", "r_"), ("geometry_clean", "c_"))
 MANIFEST_FILES = 10_000
 # Above any row group the row limit closes, so that the limit alone decides.
 WIDE_BLOCK_BYTES = 1 << 30
 
 
-def coarse_lines(
-    parts: DataFrame, several: bool, chunk_points: int = CHUNK_POINTS
-) -> DataFrame:
-    """Add the stored vertex-target lines of the raw and the clean geometry.
+def coarse_lines(rows: DataFrame) -> DataFrame:
+    """Add the stored vertex-target lines of one-part tracks."""
+    out = with_significance(rows)
+    return out.withColumns(
+        {
+            f"{name}_lod{i}": at_target(
+                F.col(name), F.col(f"{prefix}sig_deg"), line_extent(F.col(name)), target
+            )
+            for name, prefix in LINES
+            for i, target in enumerate(LINE_TARGETS)
+        }
+    )
 
-    ``several`` says whether some track has more than one part.
-    """
-    out = parts
-    for name, prefix in LINES:
-        out = with_significance(out, name, prefix, several, chunk_points)
+
+def long_coarse_lines(wide: DataFrame, chunk_points: int = CHUNK_POINTS) -> DataFrame:
+    """``coarse_lines`` for tracks of several parts: one threshold per track and target."""
+    out = with_long_significance(wide, chunk_points)
     for name, prefix in LINES:
-        line, sig = F.col(name), F.col(f"{prefix}sig_deg")
-        lines = [at_target(line, sig, line_extent(line), t) for t in LINE_TARGETS]
-        if several:
-            multi = out.where("part > 0").select("activity_id").distinct()
-            wide = out.join(multi, "activity_id", "left_semi")
-            cuts = target_thresholds(wide, name, f"{prefix}sig_deg", LINE_TARGETS)
-            out = out.join(broadcast_if_small(cuts), "activity_id", "left")
-            lines = [
-                F.when(F.col(f"t{t}").isNull(), whole).otherwise(
-                    keep_above(line, sig, F.col(f"t{t}"))
-                )
-                for t, whole in zip(LINE_TARGETS, lines, strict=True)
-            ]
-        out = out.withColumns({f"{name}_lod{i}": x for i, x in enumerate(lines)}).drop(
-            *[f"t{t}" for t in LINE_TARGETS]
+        sig = F.col(f"{prefix}sig_deg")
+        cuts = target_thresholds(out, name, f"{prefix}sig_deg", LINE_TARGETS)
+        out = (
+            out.join(broadcast_if_small(cuts), "activity_id")
+            .withColumns(
+                {
+                    f"{name}_lod{i}": keep_above(F.col(name), sig, F.col(f"t{t}"))
+                    for i, t in enumerate(LINE_TARGETS)
+                }
+            )
+            .drop(*[f"t{t}" for t in LINE_TARGETS])
         )
     return out
 
@@ -83,22 +88,24 @@ def write_canonical(
     """Shards by family in (spatial_order, activity_id) order, with exact row-group sizes.
 
     The coarse lines are added after the range shuffle, whose sampling pass would otherwise
-    simplify everything twice; tracks of several parts need joins, so they are added before.
+    simplify everything twice; those of longer tracks take joins and are added before it.
     """
     if shard_rows < 1:
         raise ValueError("target shard rows must be positive")
     if not 1 <= row_group_rows <= shard_rows:
         raise ValueError("row group rows must be positive and no larger than the shard target")
     order = ["activity_family", "spatial_order", "activity_id", "part"]
-    todo = "geometry_lod0" not in rows.columns
-    several = todo and not rows.where("part > 0").isEmpty()
-    if several:
-        rows = coarse_lines(rows, True, chunk_points)
-    placed = rows.repartitionByRange(*order)
-    if todo and not several:
-        placed = coarse_lines(placed, False, chunk_points)
+    columns = [*CANONICAL.fieldNames(), "activity_family"]
+    if "geometry_lod0" in rows.columns:
+        placed = rows.repartitionByRange(*order)
+    else:
+        single, wide = split_long(rows)
+        placed = coarse_lines(single.repartitionByRange(*order)).select(*columns)
+        if wide is not None:
+            long = long_coarse_lines(wide, chunk_points).select(*columns)
+            placed = placed.unionByName(long).repartitionByRange(*order)
     (
-        placed.select(*CANONICAL.fieldNames(), "activity_family")
+        placed.select(*columns)
         .sortWithinPartitions(*order)
         .write.mode("errorifexists")
         .partitionBy("activity_family")
@@ -155,10 +162,10 @@ def write_metadata(spark: SparkSession, root: str, row_group_rows: int = 128) ->
 def render_levels(canonical: DataFrame, chunk_points: int = CHUNK_POINTS) -> DataFrame:
     """One row per (activity, part, level) with both simplified lines and their sizes."""
     keep = ["activity_id", *BOUNDS, *CLEAN_BOUNDS, "spatial_order", "part", "geometry", "geometry_clean"]
-    measured = canonical.select(*keep)
-    several = not canonical.where("part > 0").isEmpty()
-    for name, prefix in LINES:
-        measured = with_significance(measured, name, prefix, several, chunk_points)
+    single, wide = split_long(canonical.select(*keep))
+    measured = with_significance(single)
+    if wide is not None:
+        measured = measured.unionByName(with_long_significance(wide, chunk_points))
     raw, clean = F.col("geometry"), F.col("geometry_clean")
     levels = F.array(
         *[
