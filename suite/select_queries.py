@@ -362,7 +362,7 @@ def _(spark, d):
       {q('(bearing + 180) - 360 * floor((bearing + 180) / 360) - 180')} AS bearing,
       {q('basis * 0.0015 * 2', 6)} AS route, {q('greatest(basis * 0.0015 * 2 * 1.8, basis * 0.0015 * 2 + 1.5)', 6)} AS focus,
       {q('greatest(basis * 0.0015 * 2 * 1.8, basis * 0.0015 * 2 + 1.5) + greatest(1.0, basis * 0.0015)', 6)} AS casing,
-      {q('value / 1609.344', 6)} AS mi, {q('value / 1000', 6)} AS km, {q('value * 3.28084', 4)} AS ft FROM k""",
+      {q('value / 1609.344', 6)} AS mi, {q('value / 1000', 6)} AS km, {q('value * 3.28084', 8)} AS ft FROM k""",
 )
 def _(spark, d):
     e = F.col("event_id")
@@ -382,7 +382,7 @@ def _(spark, d):
         *[r(widths[n], 6).alias(n) for n in ("route", "focus", "casing")],
         r(geo.distance_in("value", "imperial"), 6).alias("mi"),
         r(geo.distance_in("value", "metric"), 6).alias("km"),
-        r(geo.elevation_in("value", "imperial"), 4).alias("ft"),
+        r(geo.elevation_in("value", "imperial"), 8).alias("ft"),
     )
 
 
