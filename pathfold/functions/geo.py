@@ -23,12 +23,15 @@ def num(c) -> Column:
 
 
 def haversine_m(lon1, lat1, lon2, lat2) -> Column:
-    """Great-circle metres between two positions."""
+    """Great-circle metres between two positions.
+
+    Rounding can push opposite points just outside asin's domain; they are half a turn apart.
+    """
     p1, p2 = F.radians(num(lat1)), F.radians(num(lat2))
     half_lat = F.sin((p2 - p1) / 2)
     half_lon = F.sin(F.radians(num(lon2) - num(lon1)) / 2)
-    h = half_lat * half_lat + F.cos(p1) * F.cos(p2) * half_lon * half_lon
-    return F.lit(EARTH_DIAMETER_M) * F.asin(F.sqrt(F.when(h > 1.0, 1.0).otherwise(h)))
+    h = F.pow(half_lat, 2.0) + F.cos(p1) * F.cos(p2) * F.pow(half_lon, 2.0)
+    return F.nanvl(F.asin(F.sqrt(h)), F.lit(math.pi / 2)) * EARTH_DIAMETER_M
 
 
 def clamp(c, low, high) -> Column:

@@ -26,41 +26,55 @@ BISECTION_STEPS = 20
 SIG = T.ArrayType(T.DoubleType())
 
 
-def line_significance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Significance of each vertex of one line; the ends are infinite."""
-    n = len(x)
-    sig = np.zeros(n)
-    if n == 0:
-        return sig
-    sig[0] = sig[-1] = np.inf
-    todo = [(0, n - 1, np.inf)]
-    while todo:
-        a, b, cap = todo.pop()
-        if b - a < 2:
-            continue
+def batch_significance(x: np.ndarray, y: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Significance of every vertex of many lines laid end to end.
+
+    ``ends`` holds the n + 1 line borders.  All open pieces of all lines split at once, so a
+    round costs a few array passes however short the lines are.  The line ends are infinite;
+    of equally far vertices the first one splits.
+    """
+    sig = np.zeros(len(x))
+    first, last = ends[:-1].astype(np.int64), ends[1:].astype(np.int64) - 1
+    filled = last >= first
+    sig[first[filled]] = sig[last[filled]] = np.inf
+    wide = last - first > 1
+    a, b = first[wide], last[wide]
+    cap = np.full(len(a), np.inf)
+    while len(a):
+        sizes = b - a - 1
+        begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        piece = np.repeat(np.arange(len(a)), sizes)
+        at = np.arange(len(piece)) - begins[piece] + a[piece] + 1
         dx, dy = x[b] - x[a], y[b] - y[a]
-        px, py = x[a + 1 : b] - x[a], y[a + 1 : b] - y[a]
         length2 = dx * dx + dy * dy
-        t = np.clip((px * dx + py * dy) / length2, 0.0, 1.0) if length2 > 0 else 0.0
-        d2 = (px - t * dx) ** 2 + (py - t * dy) ** 2
-        far = int(np.argmax(d2))
-        reach = min(cap, float(np.sqrt(d2[far])))
-        if reach <= 0:
-            continue
-        far += a + 1
-        sig[far] = reach
-        todo += [(a, far, reach), (far, b, reach)]
+        px, py = x[at] - x[a][piece], y[at] - y[a][piece]
+        along = (px * dx[piece] + py * dy[piece]) / np.where(length2 > 0, length2, 1.0)[piece]
+        t = np.where((length2 > 0)[piece], np.clip(along, 0.0, 1.0), 0.0)
+        d2 = (px - t * dx[piece]) ** 2 + (py - t * dy[piece]) ** 2
+        most = np.maximum.reduceat(d2, begins)
+        hits = np.flatnonzero(d2 == most[piece])
+        far = at[hits[np.unique(piece[hits], return_index=True)[1]]]
+        reach = np.minimum(cap, np.sqrt(most))
+        split = reach > 0
+        sig[far[split]] = reach[split]
+        a, b = (
+            np.concatenate([a[split], far[split]]),
+            np.concatenate([far[split], b[split]]),
+        )
+        cap = np.concatenate([reach[split], reach[split]])
+        wide = b - a > 1
+        a, b, cap = a[wide], b[wide], cap[wide]
     return sig
 
 
 @F.arrow_udf(SIG)
 def _significance(xs: pa.Array, ys: pa.Array) -> pa.Array:
-    x, y = xs.values.to_numpy(zero_copy_only=False), ys.values.to_numpy(zero_copy_only=False)
     ends = xs.offsets.to_numpy()
-    out = [line_significance(x[a:b], y[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    flat = np.concatenate(out) if out else np.zeros(0)
-    lengths = np.concatenate([[0], np.cumsum([len(s) for s in out])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))
+    begin, stop = ends[0], ends[-1]
+    x = xs.values.to_numpy(zero_copy_only=False)[begin:stop]
+    y = ys.values.to_numpy(zero_copy_only=False)[ys.offsets[0].as_py() : ys.offsets[-1].as_py()]
+    sig = batch_significance(x, y, ends - begin)
+    return pa.ListArray.from_arrays(pa.array(ends - begin), pa.array(sig))
 
 
 def significance_m(geometry) -> Column:
@@ -228,10 +242,17 @@ def with_significance(parts: DataFrame, lines=LINES) -> DataFrame:
     )
 
 
-def split_long(parts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of one-part tracks, checkpointed rows of longer tracks or None)."""
+def split_long(
+    parts: DataFrame, several: bool | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of one-part tracks, checkpointed rows of longer tracks or None).
+
+    ``several`` says whether there are longer tracks; it is looked up when not given.
+    """
     ids = parts.where("part > 0").select("activity_id").distinct()
-    if ids.isEmpty():
+    if several is None:
+        several = not ids.isEmpty()
+    if not several:
         return parts, None
     ids = cut_lineage(ids)
     return (

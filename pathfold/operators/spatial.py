@@ -14,7 +14,7 @@ from .tracks import CHUNK_POINTS, GAP_M, KEY, chunk_of
 
 Ring = Sequence[tuple[float, float]]
 BOUNDARY_EPS = 1e-12
-GRID = 2**15  # cells per axis of the picking grid
+FINEST_GRID = 2**15  # cells per axis; bounds the cells of a long edge
 PICK_PIXELS = 14.0
 
 
@@ -125,8 +125,8 @@ def _cut_places(polygon: Ring) -> Column:
 def edge_covered(polygon: Ring) -> tuple[Column, Column]:
     """(edge lies in the closed polygon, edge reaches the open interior).
 
-    The edge is cut where it meets a side; between cuts it cannot change sides, so one middle
-    point decides each piece.
+    An edge clear of the boundary is decided by one end.  One that meets it is cut there;
+    between cuts it cannot change sides, so one middle point decides each piece.
     """
     x0, y0, x1, y1 = (F.col(n) for n in ("x0", "y0", "x1", "y1"))
     cuts = _cut_places(polygon)
@@ -147,7 +147,11 @@ def edge_covered(polygon: Ring) -> tuple[Column, Column]:
         x, y = at(t)
         return inside(x, y, polygon) & ~on_boundary(x, y, polygon)
 
-    return F.forall(middles, closed), F.exists(middles, opened)
+    meets, begins_inside = edge_meets_boundary(x0, y0, x1, y1, polygon), inside(x0, y0, polygon)
+    return (
+        F.when(meets, F.forall(middles, closed)).otherwise(begins_inside),
+        F.when(meets, F.exists(middles, opened)).otherwise(begins_inside),
+    )
 
 
 def polygon_filter(
@@ -223,53 +227,58 @@ def pick_tolerance(zoom: float) -> float:
     return PICK_PIXELS / (512 * 2**zoom) * 2.5
 
 
-def _range(low: Column, high: Column) -> Column:
-    return F.sequence(low.cast("long"), high.cast("long"))
-
-
 def nearest_route(
-    probes: DataFrame, edges: DataFrame, tolerance: float, grid: int = GRID
+    probes: DataFrame, edges: DataFrame, tolerance: float, grid: int | None = None
 ) -> DataFrame:
     """Closest route to each probe (probe_id, lon, lat), nearer than ``tolerance``.
 
-    Equi-join on grid cells: an edge lands in the cells of its bounding box, a probe in the
-    cells around it.  A measured-small probe table is broadcast and the edges never move;
-    otherwise probes are replicated over salts so that a crowded cell is spread over tasks.
-    Partial aggregation keeps one best row per probe and task.
+    Equi-join on grid cells: a probe has one cell, an edge lands in every cell within the
+    tolerance of its box, so a pair meets once.  A measured-small probe table is broadcast and
+    the edges never move; otherwise probes are replicated over salts so that a crowded cell is
+    spread over tasks.  Partial aggregation keeps one best row per probe and task.
     """
     c = F.col
-    radius = max(1, math.ceil(tolerance * grid))
-    n_probes = probes.count()
-    small = n_probes * (2 * radius + 1) ** 2 <= BROADCAST_ROWS
+    if grid is None:
+        grid = min(FINEST_GRID, 2 ** max(0, math.floor(math.log2(1 / tolerance))))
+    small = probes.count() <= BROADCAST_ROWS
     salts = 1 if small else 32
-    placed = probes.withColumns({"px": unit_x("lon"), "py": unit_y("lat")}).select(
-        "probe_id", "px", "py"
-    )
     near = (
-        placed.withColumn(
-            "gx", F.explode(_range(F.floor(c("px") * grid) - radius, F.floor(c("px") * grid) + radius))
-        )
-        .withColumn(
-            "gy", F.explode(_range(F.floor(c("py") * grid) - radius, F.floor(c("py") * grid) + radius))
+        probes.select("probe_id", unit_x("lon").alias("px"), unit_y("lat").alias("py"))
+        .withColumns(
+            {
+                "gx": F.floor(c("px") * grid),
+                "gy": F.floor(c("py") * grid),
+                "salt": F.explode(F.sequence(F.lit(0), F.lit(salts - 1))),
+            }
         )
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
 
-    def cells(low: Column, high: Column) -> Column:
-        first = F.greatest(F.lit(0).cast("long"), F.floor(low * grid))
-        return _range(first, F.least(F.lit(grid - 1).cast("long"), F.floor(high * grid)))
+    def cells(a: str, b: str) -> Column:
+        return F.explode(
+            F.sequence(
+                F.floor((F.least(a, b) - tolerance) * grid),
+                F.floor((F.greatest(a, b) + tolerance) * grid),
+            )
+        )
 
     segments = (
         on_unit_square(edges)
-        .withColumn("gx", F.explode(cells(F.least("x0", "x1"), F.greatest("x0", "x1"))))
-        .withColumn("gy", F.explode(cells(F.least("y0", "y1"), F.greatest("y0", "y1"))))
+        .withColumn("gx", cells("x0", "x1"))
+        .withColumn("gy", cells("y0", "y1"))
         .withColumn("salt", F.pmod(F.hash("activity_id", "seq"), F.lit(salts)))
     )
+    close = (
+        (c("px") >= F.least("x0", "x1") - tolerance)
+        & (c("px") <= F.greatest("x0", "x1") + tolerance)
+        & (c("py") >= F.least("y0", "y1") - tolerance)
+        & (c("py") <= F.greatest("y0", "y1") + tolerance)
+    )
     metres = point_segment_distance(c("px"), c("py"), c("x0"), c("y0"), c("x1"), c("y1"))
     pairs = segments.join(F.broadcast(near) if small else near, ["gx", "gy", "salt"])
     best = F.min(F.struct(c("d"), c("activity_id"), c("seq")))
     return (
-        pairs.withColumn("d", metres)
+        pairs.where(close)
+        .withColumn("d", metres)
         .where(c("d") < tolerance)
         .groupBy("probe_id")
         .agg(best.alias("b"))

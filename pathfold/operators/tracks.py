@@ -26,19 +26,18 @@ def _in_chunk() -> Window:
 
 
 def chunk_of(chunk_points: int = CHUNK_POINTS) -> Column:
-    return F.floor(F.col("seq") / F.lit(chunk_points)).cast("long")
+    return F.expr(f"seq div {int(chunk_points)}")
 
 
 def with_halo(points: DataFrame, chunk_points: int = CHUNK_POINTS) -> DataFrame:
     """Assign chunks and copy each border point to the neighbouring chunk (``core`` = false)."""
+    if chunk_points < 2:
+        raise ValueError("a chunk holds at least two points")
     own, place = chunk_of(chunk_points), F.col("seq") % chunk_points
-    homes = F.filter(
-        F.array(
-            own,
-            F.when((place == 0) & (own > 0), own - 1),
-            F.when(place == chunk_points - 1, own + 1),
-        ),
-        lambda c: c.isNotNull(),
+    homes = (
+        F.when((place == 0) & (own > 0), F.array(own, own - 1))
+        .when(place == chunk_points - 1, F.array(own, own + 1))
+        .otherwise(F.array(own))
     )
     return points.withColumn("chunk", F.explode(homes)).withColumn("core", F.col("chunk") == own)
 
@@ -73,39 +72,45 @@ def clean_track(points: DataFrame, chunk_points: int = CHUNK_POINTS) -> DataFram
         }
     )
     c = F.col
-    leg_in = haversine_m(c("_p_lon"), c("_p_lat"), c("lon"), c("lat"))
-    leg_out = haversine_m(c("lon"), c("lat"), c("_n_lon"), c("_n_lat"))
-    leg_past = haversine_m(c("_p_lon"), c("_p_lat"), c("_n_lon"), c("_n_lat"))
-    s_in, s_out = _seconds(c("_p_ts"), c("ts")), _seconds(c("ts"), c("_n_ts"))
-    s_past = _seconds(c("_p_ts"), c("_n_ts"))
+    # Named before use, so that each leg and delta is computed once.
+    measured = around.withColumns(
+        {
+            "_leg_in": haversine_m("_p_lon", "_p_lat", "lon", "lat"),
+            "_leg_out": haversine_m("lon", "lat", "_n_lon", "_n_lat"),
+            "_leg_past": haversine_m("_p_lon", "_p_lat", "_n_lon", "_n_lat"),
+            "_s_in": _seconds(c("_p_ts"), c("ts")),
+            "_s_out": _seconds(c("ts"), c("_n_ts")),
+            "_s_past": _seconds(c("_p_ts"), c("_n_ts")),
+            "_rise": c("ele") - c("_p_ele"),
+            "_drop": c("ele") - c("_n_ele"),
+        }
+    )
     inner = c("_p_lon").isNotNull() & c("_n_lon").isNotNull()
-    rise, drop = c("ele") - c("_p_ele"), c("ele") - c("_n_ele")
 
-    def steep(delta: Column, seconds: Column) -> Column:
-        return F.abs(delta) > F.coalesce(seconds * 10.0, F.lit(500.0))
+    def steep(delta: str, seconds: str) -> Column:
+        return F.abs(delta) > F.coalesce(c(seconds) * 10.0, F.lit(500.0))
 
     spike = (
-        (F.abs(rise) > 150)
-        & (F.abs(drop) > 150)
-        & (rise * drop > 0)
+        (F.abs("_rise") > 150)
+        & (F.abs("_drop") > 150)
+        & (c("_rise") * c("_drop") > 0)
         & (F.abs(c("_n_ele") - c("_p_ele")) < 100)
-        & steep(rise, s_in)
-        & steep(drop, s_out)
+        & steep("_rise", "_s_in")
+        & steep("_drop", "_s_out")
+    )
+    jump = (
+        inner
+        & _implausible(c("_leg_in"), c("_s_in"))
+        & _implausible(c("_leg_out"), c("_s_out"))
+        & ~_implausible(c("_leg_past"), c("_s_past"))
     )
     flagged = (
-        around.withColumn("leg_m", F.coalesce(leg_in, F.lit(0.0)))
-        .withColumn(
-            "dropped_jump",
-            inner
-            & _implausible(leg_in, s_in)
-            & _implausible(leg_out, s_out)
-            & ~_implausible(leg_past, s_past),
-        )
+        measured.where("core")
+        .withColumns({"leg_m": F.coalesce("_leg_in", F.lit(0.0)), "dropped_jump": jump})
         .withColumn(
             "dropped_elevation",
             inner & ~c("dropped_jump") & F.coalesce(spike, F.lit(False)),
         )
-        .where("core")
     )
     return flagged.select(
         *points.columns,
@@ -226,11 +231,18 @@ def chunk_sums(flagged: DataFrame, *more: Column) -> DataFrame:
         }
     )
     clean, has_ele = c("clean"), c("ele").isNotNull()
-    clean_leg = haversine_m(c("_cp.lon"), c("_cp.lat"), c("lon"), c("lat"))
-    up, clean_up = c("ele") - c("_e"), c("ele") - c("_ce")
+    kept = kept.withColumns(
+        {
+            "_leg": F.when(clean, haversine_m(c("_cp.lon"), c("_cp.lat"), c("lon"), c("lat"))),
+            "_up": c("ele") - c("_e"),
+            "_cup": F.when(clean, c("ele") - c("_ce")),
+            "_cele": F.when(clean, c("ele")),
+        }
+    )
+    up, clean_up = c("_up"), c("_cup")
 
     def positive(x: Column) -> Column:
-        return F.when(x > 0, x).otherwise(0.0)
+        return F.when(x > 0, x)
 
     def ends(value: Column, when: Column, name: str) -> list[Column]:
         at = F.when(when, c("seq"))
@@ -244,17 +256,17 @@ def chunk_sums(flagged: DataFrame, *more: Column) -> DataFrame:
         F.min("ts").alias("track_start"),
         F.max("ts").alias("track_end"),
         F.sum("leg_m").alias("distance"),
-        F.sum(F.when(clean, clean_leg)).alias("clean_distance"),
+        F.sum("_leg").alias("clean_distance"),
         F.count("ele").alias("elevations"),
-        F.count_if(clean & has_ele).alias("clean_elevations"),
+        F.count("_cele").alias("clean_elevations"),
         F.sum(positive(up)).alias("gain"),
         F.sum(positive(-up)).alias("loss"),
-        F.sum(F.when(clean, positive(clean_up))).alias("clean_gain"),
-        F.sum(F.when(clean, positive(-clean_up))).alias("clean_loss"),
+        F.sum(positive(clean_up)).alias("clean_gain"),
+        F.sum(positive(-clean_up)).alias("clean_loss"),
         F.min("ele").alias("min_elevation"),
         F.max("ele").alias("max_elevation"),
-        F.min(F.when(clean, c("ele"))).alias("clean_min_elevation"),
-        F.max(F.when(clean, c("ele"))).alias("clean_max_elevation"),
+        F.min("_cele").alias("clean_min_elevation"),
+        F.max("_cele").alias("clean_max_elevation"),
         *(
             fn(F.when(clean, c(axis)) if prefix else c(axis)).alias(f"{prefix}{out}")
             for prefix in ("", "clean_")

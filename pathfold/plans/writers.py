@@ -159,10 +159,12 @@ def write_metadata(spark: SparkSession, root: str, row_group_rows: int = 128) ->
     )
 
 
-def render_levels(canonical: DataFrame, chunk_points: int = CHUNK_POINTS) -> DataFrame:
+def render_levels(
+    canonical: DataFrame, chunk_points: int = CHUNK_POINTS, several: bool | None = None
+) -> DataFrame:
     """One row per (activity, part, level) with both simplified lines and their sizes."""
     keep = ["activity_id", *BOUNDS, *CLEAN_BOUNDS, "spatial_order", "part", "geometry", "geometry_clean"]
-    single, wide = split_long(canonical.select(*keep))
+    single, wide = split_long(canonical.select(*keep), several)
     measured = with_significance(single)
     if wide is not None:
         measured = measured.unionByName(with_long_significance(wide, chunk_points))

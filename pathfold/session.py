@@ -53,3 +53,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when the measured row count allows it, else leave the join to AQE."""
     return F.broadcast(df) if df.count() <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy row-wise work on an input of few splits.
+
+    A scan with at least as many splits as cores, the usual case at scale, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

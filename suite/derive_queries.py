@@ -353,10 +353,11 @@ def _(spark, d):
 
 
 def levels(spark, d):
-    """Render rows of the derived activities (all tracks fit one part)."""
-    f = flagged(spark, d)
-    rows = activities(spark, d)
-    return render_levels(tr.track_parts(f).join(rows, "activity_id"))
+    """Render rows of the derived activities."""
+    p = points(spark, d)
+    several = not p.where(F.col("seq") >= tr.CHUNK_POINTS).isEmpty()
+    parts = tr.track_parts(tr.clean_track(p))
+    return render_levels(parts.join(activities(spark, d), "activity_id"), several=several)
 
 
 LEVELS = (

@@ -8,6 +8,7 @@ from pathfold.functions import color, geo, predicates, scalar, text
 from pathfold.operators import registry as reg
 from pathfold.operators import selection as sel
 from pathfold.operators import stats
+from pathfold.session import spread
 
 from .base import POINTS, activities, points, q, r, rounded, stamp, table, view, with_activities
 
@@ -469,7 +470,7 @@ def _(spark, d):
     planted = F.expr(PLANTED)
     clean = F.col("clean")
     return (
-        table(spark, d, "documents")
+        spread(table(spark, d, "documents").select("doc_id", "text"))
         .select("doc_id", text.redact(planted).alias("clean"))
         .select(
             "doc_id",
