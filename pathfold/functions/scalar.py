@@ -131,3 +131,16 @@ def dimension_kind(type_name: str) -> str | None:
     if t.startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")):
         return "numeric"
     return "categorical"
+
+
+REJECTION_JSON = (
+    "source_path string, source_activity_id string, stage string, reason_code string, message string"
+)
+
+
+def rejection_to_json(record) -> Column:
+    return F.to_json(col(record))
+
+
+def rejection_from_json(text) -> Column:
+    return F.from_json(col(text), REJECTION_JSON)
