@@ -35,3 +35,9 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """Full URI of a path, so that tasks resolve it as the driver does."""
+    fs, target = _path(spark, path)
+    return fs.makeQualified(target).toString()

@@ -15,16 +15,19 @@ from .archive import plain_path
 
 VERTEX = ("vertex_count", "clean_vertex_count")
 FACTS = (
-    "uri string, byte_size long, sha256 string, row_group int, row_count long, "
+    "uri string, byte_size long, sha256 string, geo boolean, row_group int, row_count long, "
     "uncompressed_bytes long, xmin double, ymin double, xmax double, ymax double, "
     + ", ".join(f"{v}_{s} long" for v in VERTEX for s in ("sum", "min", "max"))
 )
 
 
-def _open(uri: str):
+def open_uri(uri: str):
     """File system and path of a URI (``file:/x`` as Spark writes it, or ``scheme://host/x``)."""
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
+    for alias in ("s3a://", "s3n://"):
+        if uri.startswith(alias):
+            uri = "s3://" + uri[len(alias) :]
     return pafs.FileSystem.from_uri(uri)
 
 
@@ -41,12 +44,13 @@ def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Checksum and per-row-group facts; only bounds and count columns are decoded."""
     for batch in batches:
         for uri in batch["uri"]:
-            fs, path = _open(uri)
+            fs, path = open_uri(uri)
             sha, size = _digest(fs, path)
             rows = []
             with fs.open_input_file(path) as handle:
                 parquet = pq.ParquetFile(handle)
                 names = set(parquet.schema_arrow.names)
+                described = b"geo" in (parquet.metadata.metadata or {})
                 wanted = [c for c in ("xmin", "ymin", "xmax", "ymax", *VERTEX) if c in names]
                 for number in range(parquet.num_row_groups):
                     meta = parquet.metadata.row_group(number)
@@ -55,6 +59,7 @@ def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         "uri": uri,
                         "byte_size": size,
                         "sha256": sha,
+                        "geo": described,
                         "row_group": number,
                         "row_count": meta.num_rows,
                         "uncompressed_bytes": meta.total_byte_size,
