@@ -56,6 +56,32 @@ def dense_sequence(
     )
 
 
+# Up to this k Spark itself limits each task's rows before the shuffle.
+PUSHED_LIMIT = 1000
+
+
+def top_per_key(
+    df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank", salts: int = 256
+) -> DataFrame:
+    """The first ``k`` rows of each key in ``order``, ranked from 1.
+
+    A larger ``k`` is limited in salted shares of each key first, so that a crowded key does
+    not meet in one task whole.
+    """
+    rank = F.row_number()
+    if k > PUSHED_LIMIT:
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
+        share = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        df = (
+            df.withColumn("_salt", salt)
+            .withColumn("_share", rank.over(share))
+            .where(F.col("_share") <= k)
+            .drop("_salt", "_share")
+        )
+    ranked = df.withColumn(name, rank.over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.where(F.col(name) <= k)
+
+
 def global_rank(df: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:
     """0-based position in a total order, without a single-partition window.
 

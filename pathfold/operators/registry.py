@@ -5,9 +5,11 @@ Tables are append-only: a later row of a key replaces the earlier one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import top_per_key
+
 TERMINAL = ("ready", "failed")
 # Upload states in the order they are passed.
 UPLOAD_STATES = (
@@ -76,8 +78,7 @@ def upload_views(uploads: DataFrame, builds: DataFrame) -> DataFrame:
 
 def newest(rows: DataFrame, key: str, order: list[str], keep: int) -> DataFrame:
     """The ``keep`` newest rows of each key, ranked from 1."""
-    latest_first = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
-    return rows.withColumn("rank", F.row_number().over(latest_first)).where(F.col("rank") <= keep)
+    return top_per_key(rows, [key], [F.desc(c) for c in order], keep)
 
 
 def user_rollup(profiles: DataFrame, uploads: DataFrame, datasets: DataFrame) -> DataFrame:
@@ -117,7 +118,7 @@ def promote_uploads(uploads: DataFrame, dataset_counts: DataFrame) -> DataFrame:
     """Mark a user's oldest unfinished uploads ready while datasets outnumber ready uploads.
 
     Only the ready count per user and the rank among unfinished uploads are needed; the rank is
-    limited before the shuffle by the largest number of promotions open to anyone.
+    limited by the largest number of promotions open to anyone.
     """
     c = F.col
     ready = uploads.where("status = 'ready'").groupBy("subject").agg(
@@ -127,12 +128,12 @@ def promote_uploads(uploads: DataFrame, dataset_counts: DataFrame) -> DataFrame:
         "subject", (c("datasets") - F.coalesce("ready", F.lit(0))).alias("room")
     )
     most = room.agg(F.max("room")).first()[0] or 0
-    oldest = Window.partitionBy("subject").orderBy("created_at", "upload_id")
+    waiting = uploads.where(~c("status").isin(*TERMINAL)).select(
+        "subject", "upload_id", "created_at"
+    )
+    oldest = [F.asc("created_at"), F.asc("upload_id")]
     chosen = (
-        uploads.where(~c("status").isin(*TERMINAL))
-        .select("subject", "upload_id", "created_at")
-        .withColumn("rank", F.row_number().over(oldest))
-        .where(c("rank") <= int(most))
+        top_per_key(waiting, ["subject"], oldest, max(0, int(most)))
         .join(room, "subject")
         .where("rank <= room")
         .select("upload_id", F.lit(True).alias("promoted"))

@@ -13,12 +13,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.geo import LOD_TOLERANCES_M, mercator_x, mercator_y
 from ..session import broadcast_if_small, cut_lineage
+from .ranks import top_per_key
 from .spatial import point_segment_distance
 from .tracks import CHUNK_POINTS
 
@@ -301,16 +302,15 @@ def with_long_significance(
 def target_thresholds(parts: DataFrame, geometry: str, sig_deg: str, targets) -> DataFrame:
     """Per track of several parts: the threshold that meets each vertex target (``t<target>``).
 
-    Only the best ``max(targets) + 1`` values matter; the rank limit applies per task before
-    the shuffle, so a long track sends that many values per task.
+    Only the best ``max(targets) + 1`` values of a part, and then of a track, matter.
     """
     xs = F.transform(F.col(geometry), lambda p: p[0])
     ys = F.transform(F.col(geometry), lambda p: p[1])
-    best_first = Window.partitionBy("activity_id").orderBy(F.desc("_s"))
+    most = max(targets) + 1
+    best = F.slice(F.sort_array(sig_deg, asc=False), 1, most)
+    values = parts.select("activity_id", "part", F.posexplode(best).alias("_at", "_s"))
     ranked = (
-        parts.select("activity_id", F.explode(sig_deg).alias("_s"))
-        .withColumn("_rn", F.row_number().over(best_first))
-        .where(F.col("_rn") <= max(targets) + 1)
+        top_per_key(values, ["activity_id"], [F.desc("_s")], most, "_rn")
         .groupBy("activity_id")
         .agg(*[F.max(F.when(F.col("_rn") == t + 1, F.col("_s"))).alias(f"_s{t}") for t in targets])
     )

@@ -22,6 +22,11 @@ from . import render as rn
 from .writers import read_manifest
 
 
+# The metadata index is kept resident up to this many activities; beyond it, scans with
+# pushed-down bounds are the cheaper way.
+RESIDENT_ROWS = 20_000_000
+
+
 @dataclass(frozen=True)
 class SelectionSpec:
     """A selection: SQL over ``activities``, clean values or not, and an optional polygon."""
@@ -51,7 +56,9 @@ class DatasetSession:
         self.spark = use_utc(self.parent.newSession())
         self.spark.conf.set("spark.sql.runSQLOnFiles", "false")
         self.manifest = read_manifest(self.spark, self.root)
-        self.metadata = scan_metadata(self.spark, self.root).persist(StorageLevel.MEMORY_AND_DISK)
+        self.metadata = scan_metadata(self.spark, self.root)
+        if self.manifest["activity_count"] <= RESIDENT_ROWS:
+            self.metadata = self.metadata.persist(StorageLevel.MEMORY_AND_DISK)
         self.canonical = scan_canonical(self.spark, self.root)
         self.files = (
             self.spark.read.parquet(f"{self.root}/manifest")

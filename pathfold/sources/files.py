@@ -90,8 +90,11 @@ def row_group_facts(spark: SparkSession, root: str, kind: str) -> DataFrame:
         .load(f"{root}/{kind}")
         .select(plain_path("path").alias("uri"), "length")
     )
-    # One task per file would follow the listing's packing; spread by name instead.
-    facts = listed.select("uri").repartition("uri").mapInPandas(_facts, FACTS)
+    # The listing is tiny but each file is work, so the number of tasks is fixed here.
+    tasks = max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
+    facts = listed.select("uri").repartition(tasks, "uri").mapInPandas(_facts, FACTS)
     marker = f"/{kind}/"
     inside = F.expr(f"substring(uri, length(uri) - length(substring_index(uri, '{marker}', -1)) + 1)")
     return facts.withColumn("path", F.concat(F.lit(f"{kind}/"), inside)).drop("uri")

@@ -130,3 +130,12 @@ def test_haversine(spark):
     got = spark.range(1).select(haversine_m(0, 0, 180, 0).alias("half"), haversine_m(0, 0, 0, 1).alias("one")).first()
     assert got.half == pytest.approx(math.pi * 6371000)
     assert got.one == pytest.approx(math.pi * 6371000 / 180)
+
+
+def test_top_per_key_salts_large_k(spark):
+    from pathfold.operators.ranks import top_per_key
+
+    frame = spark.range(5000).select((F.col("id") % 2).alias("k"), F.col("id").alias("v"))
+    top = top_per_key(frame, ["k"], [F.desc("v")], 1500).collect()
+    assert len(top) == 3000 and min(r.v for r in top) == 2000
+    assert {r.v: r["rank"] for r in top if r.k == 1}[4999] == 1
