@@ -66,7 +66,7 @@ def hav(a: str, b: str, c: str, d: str) -> str:
 
 
 def q(x: str, digits: int = 3) -> str:
-    return f"(round({x}, {digits}) + 0.0)"
+    return f"(round(CAST({x} AS DOUBLE), {digits}) + 0.0)"
 
 
 POINTS = """
@@ -77,7 +77,7 @@ ev AS (
 pts AS (
   SELECT u || '-' || week AS activity_id, u, week, e,
     CAST(row_number() OVER (PARTITION BY u, week ORDER BY e) - 1 AS BIGINT) AS seq,
-    week * 604800.0 + 10 * (row_number() OVER (PARTITION BY u, week ORDER BY e) - 1) AS t,
+    CAST(week * 604800 + 10 * (row_number() OVER (PARTITION BY u, week ORDER BY e) - 1) AS DOUBLE) AS t,
     CASE WHEN e % 41 = 0 THEN 0.0 ELSE -105.0 + (u % 50) * CAST(0.02 AS DOUBLE) + (e % 97) * CAST(0.00005 AS DOUBLE) END AS lon,
     CASE WHEN e % 41 = 0 THEN 0.0 ELSE 39.5 + (u % 40) * CAST(0.02 AS DOUBLE) + (e % 89) * CAST(0.00005 AS DOUBLE) END AS lat,
     CASE WHEN e % 53 = 0 THEN NULL WHEN e % 37 = 0 THEN 3500.0 ELSE 1500.0 + v / 10 END AS ele,

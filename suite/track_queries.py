@@ -216,7 +216,7 @@ def _(spark, d):
     "profile_asof_targets",
     with_flags(
         f""", {PROFILE}, s AS (SELECT * FROM prof WHERE ele IS NOT NULL),
-  tg AS (SELECT DISTINCT activity_id, 100.0 * (u % 9) AS target_m FROM pts),
+  tg AS (SELECT DISTINCT activity_id, CAST(100 * (u % 9) AS DOUBLE) AS target_m FROM pts),
   h AS (SELECT activity_id, target_m, min(seq) AS seq FROM s JOIN tg USING (activity_id) WHERE dist >= target_m GROUP BY ALL)
   SELECT activity_id, target_m, seq, {q('ele')} AS ele FROM h JOIN s USING (activity_id, seq)"""
     ),
