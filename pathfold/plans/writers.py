@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import LOD_TOLERANCES_M
@@ -86,6 +86,7 @@ def write_canonical(
     shard_rows: int = 512,
     row_group_rows: int = 128,
     chunk_points: int = CHUNK_POINTS,
+    progress: Observation | None = None,
 ) -> None:
     """Shards by family in (spatial_order, activity_id) order, with exact row-group sizes.
 
@@ -106,8 +107,11 @@ def write_canonical(
         if wide is not None:
             long = long_coarse_lines(wide, chunk_points).select(*columns)
             placed = placed.unionByName(long).repartitionByRange(*order)
+    ordered = placed.select(*columns).sortWithinPartitions(*order)
+    if progress is not None:  # after the range shuffle, which samples its input
+        ordered = ordered.observe(progress, F.count_if(F.col("part") == 0).alias("completed"))
     write_geo(
-        placed.select(*columns).sortWithinPartitions(*order),
+        ordered,
         f"{root}/activities",
         partition="activity_family",
         group_rows=row_group_rows,

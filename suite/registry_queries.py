@@ -9,6 +9,7 @@ from pathfold.operators import registry as reg
 from pathfold.plans import writers
 from pathfold.session import scratch_path
 from pathfold.sources import archive
+from pathfold.sources.files import row_group_facts
 from pathfold.streaming import live
 
 from .base import activities, flagged, q, r, rounded, stamp, table, with_activities
@@ -283,30 +284,31 @@ def _(spark, d):
 @register(
     "metadata_locators",
     with_activities(
-        "SELECT activity_id, 'activities/activity_family=' || activity_family AS folder, CAST(floor((row_number() OVER (PARTITION BY activity_family ORDER BY spatial_order, activity_id) - 1) / 64) AS INTEGER) AS row_group FROM activities"
+        "SELECT activity_id, 'activities/activity_family=' || activity_family AS folder, true AS agrees FROM activities"
     ),
 )
 def _(spark, d):
-    """Write shards and read every activity's locator back.
-
-    The SQL expects one shard per family, so each family is written by one task here.
-    """
+    """Write shards, read every activity's locator back, and compare with the files' row groups."""
     root = scratch_path(spark, "locators")
-    rows = activities(spark, d)
-    narrow = rows.withColumn("part", F.lit(0).cast("long"))
     order = ["activity_family", "spatial_order", "activity_id"]
-    (
-        narrow.repartition("activity_family")
-        .sortWithinPartitions(*order)
-        .write.partitionBy("activity_family")
-        .option("parquet.block.row.count.limit", 64)
-        .parquet(f"{root}/activities")
+    rows = activities(spark, d).withColumn("part", F.lit(0).cast("long"))
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    writers.write_geo(
+        placed, f"{root}/activities", partition="activity_family", group_rows=64, file_rows=256
     )
     found = writers.locators(spark, root, 64)
-    return found.select(
+    group = ["canonical_path", "canonical_row_group"]
+    facts = row_group_facts(spark, root, "activities").select(
+        F.col("path").alias("canonical_path"),
+        F.col("row_group").alias("canonical_row_group"),
+        "row_count",
+    )
+    sizes = found.groupBy(*group).count().join(facts, group, "full")
+    checked = sizes.select(*group, F.col("count").eqNullSafe(F.col("row_count")).alias("agrees"))
+    return found.join(checked, group).select(
         "activity_id",
         F.regexp_extract("canonical_path", "^(.*)/[^/]+$", 1).alias("folder"),
-        F.col("canonical_row_group").alias("row_group"),
+        "agrees",
     )
 
 

@@ -1,12 +1,15 @@
 import json
+import shutil
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from pathfold.plans import builds
 from pathfold.plans.compile import (
     ArchiveAdapter,
     CompileOptions,
+    check_rejections,
     compile_dataset,
     rebuild_derived,
     validate_dataset,
@@ -51,7 +54,9 @@ def test_compile_validate_rebuild_publish(spark, archive, tmp_path):
     with open(archive / "activities.csv", "a") as handle:
         handle.write('4,"Jan 05, 2025, 12:00:00 AM",Bad,Run,60,2,60,60,2,0,activities/4.gpx\n')
     out = f"{tmp_path}/out"
-    manifest = compile_dataset(spark, ArchiveAdapter(str(archive)), out)
+    progress = Observation("compiled")
+    manifest = compile_dataset(spark, ArchiveAdapter(str(archive)), out, progress=progress)
+    assert progress.get["completed"] == 2
     assert manifest["activity_count"] == 2
     assert manifest["rejection_count"] == 2
     assert manifest["bbox"] == [-105.02, 40.0, -105.0, 40.02]
@@ -68,14 +73,15 @@ def test_compile_validate_rebuild_publish(spark, archive, tmp_path):
     with pytest.raises(FileExistsError):
         compile_dataset(spark, ArchiveAdapter(str(archive)), out)
     with pytest.raises(ValueError, match="rejection count"):
-        compile_dataset(
-            spark, ArchiveAdapter(str(archive)), f"{tmp_path}/other", CompileOptions(max_rejections=0)
-        )
+        check_rejections(manifest, CompileOptions(max_rejections=1))
+    with pytest.raises(ValueError, match="rejection rate"):
+        check_rejections(manifest, CompileOptions(max_rejection_rate=0.4))
+    check_rejections(manifest, CompileOptions(max_rejections=2, max_rejection_rate=0.5))
 
     store = tmp_path / "store"
     rebuilt = rebuild_derived(spark, out, f"{store}/builds/b1")
     assert rebuilt["derived_from_schema_version"] == "1.6.0"
-    rebuild_derived(spark, out, f"{store}/builds/b2")
+    shutil.copytree(store / "builds" / "b1", store / "builds" / "b2")
     registry = f"{tmp_path}/registry"
     builds.publish_build(spark, str(store), "d", "b1", registry, "u")
     builds.publish_build(spark, str(store), "d", "b2", registry, "u")
