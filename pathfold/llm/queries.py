@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathfold.llm.line_dedup import dedup_lines
+from pathfold.llm.piece_codec import decode, encode
+from pathfold.llm.token_counts import count_tokens
 
 
 def documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -17,8 +19,28 @@ def op1_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op2_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return count_tokens(documents(spark, d, "doc_id", "text"), piece_model(), keep=["doc_id"])
+
+
+def op3_piece_codec(spark: SparkSession, d: str) -> DataFrame:
+    """Encoded texts, and the digest of what the ids decode to."""
+    model = piece_model()
+    encoded = encode(documents(spark, d, "doc_id", "text"), model, keep=["doc_id"])
+    out = decode(encoded, model)
+    return out.select("doc_id", "ids", "n_pieces", "score", "next_best", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_token_counts": op2_token_counts,
+    "op3_piece_codec": op3_piece_codec,
 }
 
 ORACLES = {
