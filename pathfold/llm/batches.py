@@ -197,13 +197,14 @@ def add_columns(
     width = len(kept)
     given = [F.col(f"`{c}`") if isinstance(c, str) else c for c in inputs]
     source = df.select(*[F.col(f"`{c}`") for c in kept], *[c.alias(f"__in{i}") for i, c in enumerate(given)])
+    columns = range(width, width + len(given))
 
     def run(batches):
         compute = make()
         for batch in batches:
             for a, b in blocks(batch.column(width)):
                 part = batch.slice(a, b - a)
-                out = compute(*[part.column(width + i) for i in range(len(given))])
+                out = compute(*[part.column(i) for i in columns])
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], *out], names=names)
 
     return source.mapInArrow(run, schema)

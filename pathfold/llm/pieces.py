@@ -39,10 +39,11 @@ class Pieces:
             raise ValueError("a piece holds a space mark after another character")
         # No piece mixes letters with other characters (but for its space mark) or holds a newline
         # among others, so texts fall apart there. Both are checked, not assumed.
-        letter = re.compile(r"[^\W\d_]")
-        self.letters_alone = not any(
-            bool(letter.match(a)) != bool(letter.match(b)) for x in long for a, b in zip(x.lstrip(SPACE), x.lstrip(SPACE)[1:])
-        )
+        pairs = {(a, b) for x in long for a, b in zip(x.lstrip(SPACE), x.lstrip(SPACE)[1:])}
+        # Numerals such as a superscript two are word characters of the pattern, but no letters.
+        odd = re.escape("".join(sorted({c for p in pairs for c in p if c.isalnum() and not c.isalpha() and not c.isdecimal()})))
+        letter = re.compile(rf"[^\W\d_{odd}]")
+        self.letters_alone = not any(bool(letter.match(a)) != bool(letter.match(b)) for a, b in pairs)
         self.newline_alone = not any("\n" in x for x in long)
         self.longest = max(map(len, self.ids))
         self.lowest = min(self.scores.values())
@@ -55,8 +56,8 @@ class Pieces:
         self.begins.update(self.scores)
         newline = "\n" if self.newline_alone else ""
         if self.letters_alone:
-            other = rf"(?:[^\w{newline}{SPACE}]+|[\d_]+)"
-            rule = rf"{SPACE}*[^\W\d_]+|{SPACE}+{other}*|{other}+" + ("|\n" if newline else "")
+            other = rf"(?:[^\w{newline}{SPACE}]+|[\d_{odd}]+)"
+            rule = rf"{SPACE}*[^\W\d_{odd}]+|{SPACE}+{other}*|{other}+" + ("|\n" if newline else "")
         else:
             rule = f"{SPACE}+[^{SPACE}{newline}]*|[^{SPACE}{newline}]+" + ("|\n" if newline else "")
         self._cut = re.compile(rule)
