@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathfold.llm.fingerprints import compare_with_next
 from pathfold.llm.line_dedup import dedup_lines
 from pathfold.llm.piece_codec import decode, encode
+from pathfold.llm.quality_rules import judge_quality
+from pathfold.llm.secret_scan import BASE_KINDS, scan_secrets
 from pathfold.llm.token_counts import count_tokens
 
 
@@ -37,10 +40,34 @@ def op3_piece_codec(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "ids", "n_pieces", "score", "next_best", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    return judge_quality(documents(spark, d, "doc_id", "text", "lang"), labels, keep=["doc_id"])
+
+
+def span_text(spans) -> Column:
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+
+def op6_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    found = scan_secrets(documents(spark, d, "doc_id", "text"), keep=["doc_id"])
+    kinds = F.transform("secrets", lambda s: s["kind"])
+    base = F.filter("secrets", lambda s: s["kind"].isin(*BASE_KINDS))
+    counts = [(F.size("secrets") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("secrets")).alias("spans"))
+
+
+def op9_document_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return compare_with_next(documents(spark, d, "doc_id", "text"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_piece_codec": op3_piece_codec,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_secret_scan": op6_secret_scan,
+    "op9_document_fingerprints": op9_document_fingerprints,
 }
 
 ORACLES = {
