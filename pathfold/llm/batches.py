@@ -47,6 +47,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def span_hashes(symbols: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each span of symbols: a polynomial of their random codes, then mixed with the length.
+
+    Prefix sums are made a segment at a time and read at the borders of spans only.
+    """
+    at_start = np.empty(len(starts), np.uint64)
+    at_end = np.empty(len(starts), np.uint64)
+    base, scale = U(0), U(1)
+    turn = U(pow(BASE, SEGMENT, 1 << 64))
+    with np.errstate(over="ignore"):
+        for s in range(0, len(symbols), SEGMENT):
+            seg = symbols[s : s + SEGMENT]
+            local = np.empty(len(seg) + 1, np.uint64)
+            local[0] = 0
+            np.cumsum(codes[seg] * POWERS[: len(seg)], out=local[1:])
+            lo, hi = np.searchsorted(starts, (s, s + len(seg)))
+            at_start[lo:hi] = base + scale * local[starts[lo:hi] - s]
+            lo, hi = np.searchsorted(ends, (s + 1, s + len(seg) + 1))
+            at_end[lo:hi] = base + scale * local[ends[lo:hi] - s]
+            base, scale = base + scale * local[-1], scale * turn
+        back = INVERSES[starts % SEGMENT]
+        rounds = starts // SEGMENT
+        if len(rounds) and rounds[-1]:
+            back = back * _powers(pow(INVERSE, SEGMENT, 1 << 64), int(rounds[-1]) + 1)[rounds]
+        return mix((at_end - at_start) * back + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+
+
+def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Positions start[i], start[i]+1, ..., ``count[i]`` of them, for each i, one after the other."""
+    first = np.cumsum(count) - count
+    return np.repeat(start - first, count) + np.arange(int(count.sum()))
+
+
 class Texts:
     """A block of texts: one byte buffer, document offsets, word spans and hashes."""
 
@@ -87,27 +120,7 @@ class Texts:
 
     def word_hashes(self, lower: bool) -> np.ndarray:
         """A 64-bit hash of each word: a polynomial of random byte codes, then mixed."""
-        codes = LOWER_CODES if lower else CODES
-        at_start = np.empty(len(self.starts), np.uint64)
-        at_end = np.empty(len(self.starts), np.uint64)
-        base, scale = U(0), U(1)
-        turn = U(pow(BASE, SEGMENT, 1 << 64))
-        with np.errstate(over="ignore"):
-            for s in range(0, len(self.bytes), SEGMENT):
-                seg = self.bytes[s : s + SEGMENT]
-                local = np.empty(len(seg) + 1, np.uint64)
-                local[0] = 0
-                np.cumsum(codes[seg] * POWERS[: len(seg)], out=local[1:])
-                lo, hi = np.searchsorted(self.starts, (s, s + len(seg)))
-                at_start[lo:hi] = base + scale * local[self.starts[lo:hi] - s]
-                lo, hi = np.searchsorted(self.ends, (s + 1, s + len(seg) + 1))
-                at_end[lo:hi] = base + scale * local[self.ends[lo:hi] - s]
-                base, scale = base + scale * local[-1], scale * turn
-            back = INVERSES[self.starts % SEGMENT]
-            rounds = self.starts // SEGMENT
-            if len(rounds) and rounds[-1]:
-                back = back * _powers(pow(INVERSE, SEGMENT, 1 << 64), int(rounds[-1]) + 1)[rounds]
-            return mix((at_end - at_start) * back + (self.ends - self.starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+        return span_hashes(self.bytes, LOWER_CODES if lower else CODES, self.starts, self.ends)
 
     def ngrams(self, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all n-word windows and their document.

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from pathfold.llm.batches import add_columns, lists
+from pathfold.llm.batches import add_columns, lists, spread
 from pathfold.llm.pieces import Pieces, load
 
 CACHE = 1 << 18
@@ -129,13 +129,6 @@ class SegmentTable(dict):
         self.new = []
 
 
-def spread_lists(start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Positions start[i], start[i]+1, ... for each i, one after the other."""
-    total = int(count.sum())
-    first = np.cumsum(count) - count
-    return np.repeat(start - first, count) + np.arange(total)
-
-
 def combine(rows: np.ndarray, table: SegmentTable) -> list[tuple[float, list[tuple[int, int]]]]:
     """The n best choices over a text's segments: (loss, [(segment, rank), ...]), best first.
 
@@ -199,7 +192,7 @@ def encode(docs: DataFrame, model_path: str, n: int = 4, text: str = "text", kee
                 rows.append(np.fromiter(map(get, found), np.int64, len(found)))
             table.settle()
             every = np.concatenate(rows) if rows else np.empty(0, np.int64)
-            ids = table.ids[spread_lists(table.start[every], table.count[every])]
+            ids = table.ids[spread(table.start[every], table.count[every])]
             totals, scores, after = [], [], []
             for r in rows:
                 counts = table.count[r]

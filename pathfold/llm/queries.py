@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathfold.llm.chat_rotation import rotate
 from pathfold.llm.fingerprints import compare_with_next
+from pathfold.llm.language_id import identify, train
 from pathfold.llm.line_dedup import dedup_lines
 from pathfold.llm.piece_codec import decode, encode
 from pathfold.llm.quality_rules import judge_quality
 from pathfold.llm.secret_scan import BASE_KINDS, scan_secrets
+from pathfold.llm.source_mix import plan_mix
 from pathfold.llm.token_counts import count_tokens
 
 
@@ -40,6 +43,12 @@ def op3_piece_codec(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "ids", "n_pieces", "score", "next_best", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_chat_rotation(spark: SparkSession, d: str) -> DataFrame:
+    out = rotate(spark.read.parquet(f"{d}/conversations.parquet"))
+    spans = F.transform("masks", lambda m: F.concat_ws("-", m["start"], m["end"]))
+    return out.withColumn("masks", F.concat_ws(",", spans))
+
+
 def op5_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     labels = spark.read.parquet(f"{d}/labels.parquet")
     return judge_quality(documents(spark, d, "doc_id", "text", "lang"), labels, keep=["doc_id"])
@@ -57,17 +66,34 @@ def op6_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("secrets")).alias("spans"))
 
 
+def op8_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d, "doc_id", "text", "lang")
+    part = F.crc32(F.col("doc_id").cast("string")) % 4
+    fitted = train(docs, part.isin(0, 3), part == 1)
+    marked = docs.select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "text")
+    return identify(marked, fitted, keep=["doc_id", "held_out"])
+
+
 def op9_document_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return compare_with_next(documents(spark, d, "doc_id", "text"))
 
 
+def op10_source_mix(spark: SparkSession, d: str) -> DataFrame:
+    plan = plan_mix(documents(spark, d, "doc_id", "text", "source"))
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return plan.select("doc_id", "source", "size", "source_size", "target", taken, "copies")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_piece_codec": op3_piece_codec,
+    "op4_chat_rotation": op4_chat_rotation,
     "op5_quality_rules": op5_quality_rules,
     "op6_secret_scan": op6_secret_scan,
+    "op8_language_id": op8_language_id,
     "op9_document_fingerprints": op9_document_fingerprints,
+    "op10_source_mix": op10_source_mix,
 }
 
 ORACLES = {
@@ -90,5 +116,24 @@ marked AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op4_chat_rotation": r"""
+WITH speakers AS (
+    SELECT DISTINCT conv_id, role AS participant FROM conversations WHERE role IS NOT NULL AND role <> 'system'),
+views AS (
+    SELECT s.conv_id, s.participant, coalesce(c.turn // 256, 18014398509481984) * 256 AS part,
+        c.turn, c.role, coalesce(c.text, '') AS body,
+        '<|im_start|>' || CASE WHEN c.role = s.participant THEN 'assistant' WHEN c.role = 'system' THEN 'system'
+            WHEN c.role IS NULL THEN 'user' ELSE 'user name=' || c.role END || chr(10) AS head
+    FROM speakers s JOIN conversations c ON s.conv_id IS NOT DISTINCT FROM c.conv_id),
+placed AS (
+    SELECT *, row_number() OVER told AS nth,
+        coalesce(sum(length(head) + length(body) + 11) OVER (told ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+    FROM views WINDOW told AS (PARTITION BY conv_id, participant, part ORDER BY turn NULLS LAST, role NULLS FIRST, body))
+SELECT conv_id, participant, part, CAST(0 AS INTEGER) AS slice, CAST(count(*) AS INTEGER) AS n_turns,
+    string_agg(head || body || '<|im_end|>' || chr(10), '' ORDER BY nth) AS text,
+    coalesce(string_agg((pos + length(head)) || '-' || (pos + length(head) + length(body) + 10), ',' ORDER BY nth)
+        FILTER (role = participant), '') AS masks
+FROM placed GROUP BY ALL
 """,
 }
