@@ -239,10 +239,10 @@ def train(docs: DataFrame, learn: Column, calibrate: Column, bounds: Training =
 
     picked = sample(known.filter(learn), {r["lang"]: r["a"] for r in top}, bounds.documents, bounds.max_chars, 1)
     grams = expand(picked, make, "lang long, gram long, n long", ["text", "lang"])
-    table = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    keys, at = np.unique(table["gram"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
+    table = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    keys, at = np.unique(table["gram"].to_numpy().view(np.uint64), return_inverse=True)
     counts = np.zeros((len(keys), len(langs)))
-    counts[at, table["lang"].to_numpy(np.int64)] = table["n"]
+    counts[at, table["lang"].to_numpy()] = table["n"].to_numpy()
     model = Model(langs, keys, counts)
 
     def make_scores():
@@ -257,12 +257,12 @@ def train(docs: DataFrame, learn: Column, calibrate: Column, bounds: Training =
         return compute
 
     held = sample(known.filter(calibrate), {r["lang"]: max(1, r["b"] or 0) for r in top}, bounds.calibration, bounds.max_chars, 2)
-    rows = expand(held, make_scores, "lang int, n double, total array<double>", ["text", "lang"]).filter("n > 0").toPandas()
+    rows = expand(held, make_scores, "lang int, n double, total array<double>", ["text", "lang"]).filter("n > 0").toArrow()
     worst = np.full(len(langs), np.inf)
     if not len(rows):
         return Identifier(model, 1.0, 0.0, worst)
     truth, n = rows["lang"].to_numpy(), rows["n"].to_numpy()
-    entropy = -np.stack(rows["total"].to_numpy()) / n[:, None]
+    entropy = -np.array(rows["total"].to_pylist()) / n[:, None]
     losses = [(-np.log(np.maximum(tempered(entropy, n, t)[np.arange(len(n)), truth], 1e-12)).mean(), t) for t in np.geomspace(0.01, 100, 41)]
     temper = min(losses)[1]
     probability = tempered(entropy, n, temper)

@@ -9,6 +9,7 @@ from pathfold.llm.chat_rotation import rotate
 from pathfold.llm.fingerprints import compare_with_next
 from pathfold.llm.language_id import identify, train
 from pathfold.llm.line_dedup import dedup_lines
+from pathfold.llm.ngram_join import link_classes
 from pathfold.llm.piece_codec import decode, encode
 from pathfold.llm.quality_rules import judge_quality
 from pathfold.llm.secret_scan import BASE_KINDS, scan_secrets
@@ -66,6 +67,10 @@ def op6_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("secrets")).alias("spans"))
 
 
+def op7_ngram_join(spark: SparkSession, d: str) -> DataFrame:
+    return link_classes(documents(spark, d, "doc_id", "text"), n=3, t=0.9).drop("text_key")
+
+
 def op8_language_id(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d, "doc_id", "text", "lang")
     part = F.crc32(F.col("doc_id").cast("string")) % 4
@@ -91,6 +96,7 @@ QUERIES = {
     "op4_chat_rotation": op4_chat_rotation,
     "op5_quality_rules": op5_quality_rules,
     "op6_secret_scan": op6_secret_scan,
+    "op7_ngram_join": op7_ngram_join,
     "op8_language_id": op8_language_id,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_source_mix": op10_source_mix,
