@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,20 +19,14 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a temporary folder.
-    """
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else one in the warehouse."""
     context = spark.sparkContext
     named = (
         spark.conf.get("spark.checkpoint.dir", None)
         or context.getConf().get("spark.checkpoint.dir")
         or context.getCheckpointDir()
+        or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.scratch"
     )
-    if not named:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        named = tempfile.mkdtemp(prefix="pathfold-checkpoint-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
@@ -50,6 +43,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, so that the planner knows their size."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when the measured row count allows it, else leave the join to AQE."""
     return F.broadcast(df) if df.count() <= limit else df
