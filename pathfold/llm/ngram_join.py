@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from pathfold.llm.batches import Texts, blocks, distinct_in_docs, expand, mix
 from pathfold.llm.graph import components
-from pathfold.session import cut_lineage
+from pathfold.session import cut_lineage, stored
 
 BUCKETS = 1 << 18
 SLICES = 64
@@ -200,14 +200,14 @@ def product_links(sets: list[np.ndarray], t: float, side: np.ndarray | None = No
 
 
 def link_classes(docs: DataFrame, n: int = 5, t: float = 0.8) -> DataFrame:
-    """(doc_id, text_key, n_shingles, component_id), a row for each row of (doc_id, text).
+    """(doc_id, text_key, n_shingles, component_id, root), a row for each row of (doc_id, text).
 
     A text's set is its distinct n-grams of words, A-Z lower-cased; a text of fewer words has its
     whole sequence as its one n-gram. Two texts link when the Jaccard similarity of their sets is
     at least ``t`` (below 1); ``component_id`` is the smallest doc_id that links reach, the own one
-    included. ``text_key`` is the xxhash64 of the text.
+    included. ``text_key`` is the xxhash64 of the text, ``root`` numbers the component.
 
-    Texts without words, empty and null ones have 0 n-grams and link with nothing. Equal sets are
+    Texts without words, empty and null ones have 0 n-grams, link with nothing and have no root. Equal sets are
     one row of the matrix, so copies cost no more than their count. Repeated rows come out as often
     as they come in. A null doc_id counts as larger than all others; a component of null ids only
     has a null component_id. An empty table gives an empty table. Extra columns are ignored. Sets
@@ -265,14 +265,33 @@ def link_classes(docs: DataFrame, n: int = 5, t: float = 0.8) -> DataFrame:
     links = cut_lineage(block_links(docs, nodes, blocks_of, n, t))
     rooted = nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("node", "component_id")
+    named = rooted.join(smallest, "root").select("node", "component_id", "root")
     out = rows.join(named, "node", "left")
     return out.select(
         "doc_id", "text_key", F.col("size").cast("long").alias("n_shingles"),
-        F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root",
     )
 
 
+def keep_one(docs: DataFrame, n: int = 5, t: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` less all but one of each component of :func:`link_classes`.
+
+    The one with the smallest doc_id stays, null last; of texts with one doc_id that of the
+    smallest hash, of equal rows any one. Texts without words stay, all of them. Columns stay as
+    they are.
+    """
+    linked = cut_lineage(link_classes(docs, n, t).filter(F.col("root").isNotNull()).select("root", "doc_id", "text_key"))
+    first = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_key")).alias("best"))
+    best = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))
+    lost = linked.join(first, "root").filter(~best).select("doc_id", "text_key").distinct()
+    again = linked.groupBy("doc_id", "text_key").count().filter("count > 1").select("doc_id", "text_key")
+    lost, again = (stored(x.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))) for x in (lost, again))
+    match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
+    left = docs.join(lost, match, "left_anti")
+    single = left.join(again, match, "left_anti")
+    return single.unionByName(left.join(again, match, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def crowded_buckets(counts: DataFrame) -> np.ndarray:
     """A bit for each bucket that holds more than ``CROWDED`` times the mean: a fixed 32 KB."""
 

@@ -68,7 +68,7 @@ def op6_secret_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op7_ngram_join(spark: SparkSession, d: str) -> DataFrame:
-    return link_classes(documents(spark, d, "doc_id", "text"), n=3, t=0.9).drop("text_key")
+    return link_classes(documents(spark, d, "doc_id", "text"), n=3, t=0.9).drop("text_key", "root")
 
 
 def op8_language_id(spark: SparkSession, d: str) -> DataFrame:

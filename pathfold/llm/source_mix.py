@@ -14,12 +14,10 @@ All draws are hashes of document keys, the seed and the round: reruns and retrie
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathfold.session import cut_lineage, scratch_path
+from pathfold.session import cut_lineage, stored
 
 GROUP = 64
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,13 +47,6 @@ def source_targets(units: DataFrame, weights: tuple[int, ...], cap: float) -> Da
     return s.select("nosource", "src", "source_size", target.alias("target"))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder, so that the planner knows their size."""
-    path = scratch_path(df.sparkSession, f"mix-{uuid.uuid4().hex[:8]}")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def draw(*columns: Column) -> Column:
     """A number in [0, 1) from a hash."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
