@@ -47,10 +47,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def span_hashes(symbols: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each span of symbols: a polynomial of their random codes, then mixed with the length.
+def span_hashes(symbols: np.ndarray, codes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each span of symbols: a polynomial of their codes, then mixed with the length.
 
-    Prefix sums are made a segment at a time and read at the borders of spans only.
+    ``codes`` is a table of random codes by symbol, or a function that gives them.
+ Prefix sums are made a segment at a time and read at the borders of spans only.
     """
     at_start = np.empty(len(starts), np.uint64)
     at_end = np.empty(len(starts), np.uint64)
@@ -61,7 +62,7 @@ def span_hashes(symbols: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends
             seg = symbols[s : s + SEGMENT]
             local = np.empty(len(seg) + 1, np.uint64)
             local[0] = 0
-            np.cumsum(codes[seg] * POWERS[: len(seg)], out=local[1:])
+            np.cumsum((codes(seg) if callable(codes) else codes[seg]) * POWERS[: len(seg)], out=local[1:])
             lo, hi = np.searchsorted(starts, (s, s + len(seg)))
             at_start[lo:hi] = base + scale * local[starts[lo:hi] - s]
             lo, hi = np.searchsorted(ends, (s + 1, s + len(seg) + 1))
@@ -84,10 +85,10 @@ class Texts:
     """A block of texts: one byte buffer, document offsets, word spans and hashes."""
 
     def __init__(self, texts: pa.Array):
-        if texts.null_count:
-            texts = texts.fill_null("")
         if not pa.types.is_string(texts.type):
             texts = texts.cast(pa.string())
+        if texts.null_count:
+            texts = texts.fill_null("")
         n = len(texts)
         _, offsets, data = texts.buffers()
         at = np.frombuffer(offsets, dtype=np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
@@ -187,6 +188,15 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened where the columns have them (Spark does not tell case apart)."""
+    taken = {c.lower() for c in columns}
+    tail = ""
+    while any((n + tail).lower() in taken for n in names):
+        tail += "_"
+    return [n + tail for n in names]
+
+
 def ddl(schema: str | StructType) -> StructType:
     return StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
@@ -204,12 +214,14 @@ def add_columns(
     with the name of an added one is replaced.
     """
     new = ddl(added)
-    kept = [c for c in (df.columns if keep is None else keep) if c not in new.names]
+    added_names = {c.lower() for c in new.names}
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in added_names]
     schema = StructType([df.schema[c] for c in kept] + new.fields)
     names = schema.names
     width = len(kept)
     given = [F.col(f"`{c}`") if isinstance(c, str) else c for c in inputs]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], *[c.alias(f"__in{i}") for i, c in enumerate(given)])
+    inner = unused(kept, *[f"__in{i}" for i in range(len(given))])
+    source = df.select(*[F.col(f"`{c}`") for c in kept], *[c.alias(x) for x, c in zip(inner, given)])
     columns = range(width, width + len(given))
 
     def run(batches):

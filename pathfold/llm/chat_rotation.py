@@ -47,7 +47,7 @@ def rotate(turns: DataFrame, system: tuple[str, ...] = ("system",)) -> DataFrame
     is a dialogue of its own. Repeated rows are repeated turns. A dialogue of system turns alone
     has no rows. Extra columns are ignored.
     """
-    block = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit((1 << 62)))
+    block = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(1 << 54))
     rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), block.alias("part"))
     sizes = rows.groupBy("conv_id", "part").count().filter(F.col("count") > CROWD)
     sizes = sizes.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.ceil(F.col("count") / CROWD).alias("slices"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathfold.llm.batches import Texts, expand, lists
+from pathfold.llm.batches import Texts, expand, lists, unused
 from pathfold.session import cut_lineage
 
 HOT = 2000
@@ -219,23 +219,25 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
         .filter(F.coalesce("doc_id", F.lit(NO_ID)) != F.col("last_doc"))
         .select("doc_id", "text_key", "positions")
     )
-    drops = dropped.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("positions"))).alias("__drop"))
-    drops = drops.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "__drop")
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    own_id, own_key, drop = unused(kept, "__id", "__key", "__drop")
+    drops = dropped.groupBy(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key)).agg(
+        F.array_distinct(F.flatten(F.collect_list("positions"))).alias(drop)
+    )
     joined = docs.select(*[F.col(f"`{c}`") for c in kept]).join(
-        drops, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left"
+        drops, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(own_key)), "left"
     )
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     # The lines are bound to a lambda variable, so they are split once and picked in linear time.
     pick = F.transform(
-        F.array(F.struct(lines.alias("lines"), F.col("__drop").alias("drop"))),
+        F.array(F.struct(lines.alias("lines"), F.col(drop).alias("drop"))),
         lambda s: F.concat_ws(
             "\n",
             F.transform(F.array_except(F.sequence(F.lit(0), F.size(s["lines"]) - 1), s["drop"]), lambda i: s["lines"][i]),
         ),
     )[0]
     return joined.select(
-        *[F.when(F.col("__drop").isNull(), F.col("text")).otherwise(pick).alias("text") if c == "text" else F.col(f"`{c}`") for c in kept],
+        *[F.when(F.col(drop).isNull(), F.col("text")).otherwise(pick).alias("text") if c == "text" else F.col(f"`{c}`") for c in kept],
         F.size(lines).cast("long").alias("n_lines"),
-        F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop")).cast("long").alias("n_dropped"),
+        F.when(F.col(drop).isNull(), 0).otherwise(F.size(drop)).cast("long").alias("n_dropped"),
     )

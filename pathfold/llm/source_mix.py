@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathfold.llm.batches import unused
 from pathfold.session import cut_lineage, stored
 
 GROUP = 64
@@ -181,12 +182,17 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: floa
     Of several equal rows (doc_id, source, text) any one stands for all; their extra columns may
     differ, and one of them is repeated. Columns stay as they are.
     """
-    taken = plan_mix(docs, weights, cap, seed).filter("copies > 0").select(
-        F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("source").alias("__source"), F.col("n_rows").alias("__n"), F.col("copies").alias("__copies")
-    )
-    match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")) & F.col("source").eqNullSafe(F.col("__source"))
+    names = unused(docs.columns, "__id", "__key", "__source", "__rows", "__copies", "__copy")
+    own_id, own_key, own_source, n_rows, copies, copy = names
+    plan = plan_mix(docs, weights, cap, seed).filter("copies > 0")
+    taken = plan.select(*[F.col(c).alias(x) for c, x in zip(("doc_id", "text_key", "source", "n_rows", "copies"), names)])
+    match = (
+        F.col("doc_id").eqNullSafe(F.col(own_id))
+        & (F.xxhash64("text") == F.col(own_key))
+        & F.col("source").eqNullSafe(F.col(own_source))
+    )
     found = docs.join(taken, match)
-    single = found.filter("__n = 1")
-    several = found.filter("__n > 1").dropDuplicates(["__id", "__key", "__source"])
+    single = found.filter(F.col(n_rows) == 1)
+    several = found.filter(F.col(n_rows) > 1).dropDuplicates([own_id, own_key, own_source])
     rows = single.unionByName(several)
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(copy)).drop(copy)
