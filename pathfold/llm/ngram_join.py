@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathfold.llm.batches import Texts, blocks, distinct_in_docs, expand, mix
+from pathfold.llm.batches import Texts, blocks, distinct_in_docs, expand, mix, unused
 from pathfold.llm.graph import components
 from pathfold.session import cut_lineage, stored
 
@@ -111,9 +111,8 @@ def signatures(grams: np.ndarray, doc: np.ndarray, first: np.ndarray, t: float,
             owner = np.repeat(np.arange(len(sizes)), width)
             part = np.arange(len(owner)) - start[owner]
             place = ((value >> U(32)) * width[doc].astype(np.uint64) >> U(32)).astype(np.int64) + start[doc]
-            use = cls[doc] >= 0
+            use = width[doc] > 0
             label = mix(part.astype(np.uint64) + (cls[owner].astype(np.uint64) << U(32)))
-            whole = None
             for scheme in (0, 1):  # parts of rare n-grams; whole parts
                 chosen = use & rare if scheme == 0 else use
                 total = np.zeros(len(owner), np.uint64)
@@ -285,8 +284,9 @@ def keep_one(docs: DataFrame, n: int = 5, t: float = 0.8) -> DataFrame:
     best = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))
     lost = linked.join(first, "root").filter(~best).select("doc_id", "text_key").distinct()
     again = linked.groupBy("doc_id", "text_key").count().filter("count > 1").select("doc_id", "text_key")
-    lost, again = (stored(x.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))) for x in (lost, again))
-    match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
+    own_id, own_key = unused(docs.columns, "__id", "__key")
+    lost, again = (stored(x.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key))) for x in (lost, again))
+    match = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(own_key))
     left = docs.join(lost, match, "left_anti")
     single = left.join(again, match, "left_anti")
     return single.unionByName(left.join(again, match, "left_semi").dropDuplicates(["doc_id", "text"]))
