@@ -16,7 +16,6 @@ SECRET = (
 URL = rf"(?i)https?://[^{BLANK})]+"
 LOCAL_PATH = rf"(?i)(?:file://)?/?(?:Users|home)/[^{BLANK})]+"
 QUERY_ERRORS = r"(?i)(Parser Error|Binder Error|Catalog Error|syntax error)"
-MESSAGE_LIMIT = 500
 FAILURE = "DuckDB failure"
 
 
@@ -34,7 +33,7 @@ def classify_error(operation, message) -> Column:
     return F.when(mistake, "query").otherwise("unexpected")
 
 
-def first_error_line(message, marker: str = "DuckDB error:", limit: int | None = MESSAGE_LIMIT) -> Column:
+def first_error_line(message, marker: str = "DuckDB error:", limit: int | None = None) -> Column:
     """First non-empty line after the last marker, redacted."""
     detail = F.substring_index(col(message), marker, -1)
     lines = F.filter(
@@ -43,11 +42,12 @@ def first_error_line(message, marker: str = "DuckDB error:", limit: int | None =
     return redact(F.coalesce(F.get(lines, F.lit(0)), F.lit(FAILURE)), limit)
 
 
-def failure_detail(message, limit: int = MESSAGE_LIMIT) -> Column:
+def failure_detail(message, limit: int | None = None) -> Column:
     """Last quoted schema error of a trace, else its last line."""
     lines = F.split(F.regexp_replace(col(message), r"\r?\n$", ""), r"\r?\n")
     quoted = F.filter(lines, lambda x: F.contains(x, F.lit('"error":')))
     picked = F.regexp_extract(F.trim(F.get(quoted, F.size(quoted) - 1)), r'"error":(.*)$', 1)
     stripped = F.regexp_replace(F.trim(picked), r'^[,"]+|[,"]+$', "")
     plain = F.get(lines, F.size(lines) - 1)
-    return F.substring(F.when(F.size(quoted) > 0, stripped).otherwise(plain), 1, limit)
+    detail = F.when(F.size(quoted) > 0, stripped).otherwise(plain)
+    return detail if limit is None else F.substring(detail, 1, limit)

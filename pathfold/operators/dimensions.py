@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.color import dimension_color
 from .ranks import global_rank
 from .selection import dimension_columns
 
-# Above this many distinct steps the step index is ranked over range partitions.
-WINDOW_STEPS = 1_000_000
+SALTS = 32
 ORDER = ["dimension", "number", "value"]
 
 
@@ -38,12 +37,9 @@ def dimension_values(selected: DataFrame) -> DataFrame:
     )
 
 
-def dimension_steps(values: DataFrame, window_steps: int = WINDOW_STEPS) -> DataFrame:
+def dimension_steps(values: DataFrame) -> DataFrame:
     """Distinct steps of each dimension with their 0-based index in value order."""
     steps = values.where("value IS NOT NULL").select("kind", *ORDER).distinct()
-    if steps.count() <= window_steps:
-        order = Window.partitionBy("dimension").orderBy("number", "value")
-        return steps.withColumn("step", (F.row_number().over(order) - 1).cast("long"))
     ranked = global_rank(steps, ORDER, "_r")
     first = ranked.groupBy("dimension").agg(F.min("_r").alias("_first"))
     return (
@@ -67,8 +63,19 @@ def dimension_profile(values: DataFrame) -> DataFrame:
 
 
 def with_steps(values: DataFrame, steps: DataFrame) -> DataFrame:
-    """Value rows with their step index; a null value keeps a null step."""
-    return values.join(steps.select("dimension", "value", "step"), ["dimension", "value"], "left")
+    """Value rows with their step index; a null value keeps a null step.
+
+    Null values take no part in the join, and each step stands in ``SALTS`` copies so that the rows
+    of a frequent value are dealt over as many tasks.
+    """
+    present = values.where("value IS NOT NULL").withColumn(
+        "_salt", F.pmod(F.xxhash64("activity_id"), F.lit(SALTS)).cast("int")
+    )
+    copies = steps.select(
+        "dimension", "value", "step", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    )
+    found = present.join(copies, ["dimension", "value", "_salt"], "left").drop("_salt")
+    return found.unionByName(values.where("value IS NULL"), allowMissingColumns=True)
 
 
 def frame_visible(step, current: int, mode: str = "cumulative", window: int = 1) -> Column:
@@ -107,33 +114,51 @@ def dimension_colors(
     )
 
 
-def reconcile_encodings(encodings: DataFrame, dimensions: list[str]) -> DataFrame:
-    """Blank the animate/colour dimension of saved views that the selection no longer has."""
-    known = [F.lit(d) for d in dimensions] or [F.lit(None).cast("string")]
+def dimension_sizes(values: DataFrame) -> DataFrame:
+    """(dimension, steps) of every dimension, also of one without any value."""
+    return values.groupBy("dimension").agg(F.countDistinct("value").alias("steps"))
 
-    def keep(name: str) -> Column:
-        return F.when(F.col(name).isin(*known), F.col(name)).otherwise("")
 
-    animated = keep("animate_by")
-    return encodings.withColumns(
+def reconcile_encodings(encodings: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Fit saved views to the dimensions the selection has now (dimension, steps).
+
+    A lost animate or colour dimension is blanked; the step is clamped to the dimension's steps, and
+    only a dimension of two steps or more plays.
+    """
+    side = F.broadcast(sizes)  # one row per column of the selection
+    moving = side.select(F.col("dimension").alias("animate_by"), F.col("steps").alias("_moving"))
+    coloured = side.select(F.col("dimension").alias("color_by"), F.lit(True).alias("_coloured"))
+    joined = encodings.join(moving, "animate_by", "left").join(coloured, "color_by", "left")
+    kept = F.col("_moving").isNotNull()
+    last = F.greatest(F.col("_moving") - 1, F.lit(0))
+    step = F.greatest(F.lit(0), F.least(last, F.col("animation_step")))
+    return joined.withColumns(
         {
-            "animation_step": F.when(animated != "", F.col("animation_step")).otherwise(0),
-            "playing": (animated != "") & F.col("playing"),
-            "color_by": keep("color_by"),
-            "animate_by": animated,
+            "animation_step": F.when(kept, F.coalesce(step, F.lit(0))).otherwise(0),
+            "playing": kept & (F.col("_moving") > 1) & F.coalesce("playing", F.lit(False)),
+            "color_by": F.when(F.col("_coloured"), F.col("color_by")).otherwise(""),
+            "animate_by": F.when(kept, F.col("animate_by")).otherwise(""),
         }
-    )
+    ).select(*encodings.columns)
+
+
+def _finite(name: str) -> Column:
+    return F.col(name).isNotNull() & (F.abs(name) < float("inf")) & ~F.isnan(name)
 
 
 def normalize_encodings(encodings: DataFrame) -> DataFrame:
-    """Clamp saved animation settings and fall back to the defaults."""
+    """Clamp saved animation settings; missing and non-finite ones fall back to the defaults.
+
+    ``loop`` and ``show_map_controls`` are added with their defaults where the rows lack them.
+    """
     c = F.col
-    window = F.when(c("window_size").isNull() | F.isnan("window_size"), 1.0).otherwise(
-        F.greatest(F.lit(1.0), F.floor(c("window_size") + 0.5))
-    )
-    speed = F.when(c("playback_speed").isNull() | F.isnan("playback_speed"), 2.0).otherwise(
-        F.least(F.lit(240.0), F.greatest(F.lit(0.1), c("playback_speed")))
-    )
+    for name in ("loop", "show_map_controls"):
+        if name not in encodings.columns:
+            encodings = encodings.withColumn(name, F.lit(None).cast("boolean"))
+    window = F.when(_finite("window_size"), F.greatest(F.lit(1.0), F.floor(c("window_size") + 0.5))).otherwise(1.0)
+    speed = F.when(
+        _finite("playback_speed"), F.least(F.lit(240.0), F.greatest(F.lit(0.1), c("playback_speed")))
+    ).otherwise(2.0)
     custom = F.filter(
         F.split(F.regexp_replace("palette", "^custom:", ""), ","),
         lambda s: s.rlike("^#[0-9a-fA-F]{6}$"),
@@ -149,5 +174,7 @@ def normalize_encodings(encodings: DataFrame) -> DataFrame:
             "mode": F.when(c("mode") == "windowed", "windowed").otherwise("cumulative"),
             "animate_by": F.coalesce("animate_by", F.lit("")),
             "color_by": F.coalesce("color_by", F.lit("")),
+            "loop": F.coalesce("loop", F.lit(True)),
+            "show_map_controls": F.coalesce("show_map_controls", F.lit(False)),
         }
     )

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import finite, world_x, world_y
-from ..session import BROADCAST_ROWS
+
+# A viewport has a fixed number of pixels; this many cells of it are broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def visible_cells(

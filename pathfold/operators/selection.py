@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +23,52 @@ def is_universal(sql: str) -> bool:
     return " ".join(sql.split()).lower() == UNIVERSAL
 
 
-def select(spark: SparkSession, sql: str) -> DataFrame:
-    """Run a selection; it must be a query (not a command) that returns ``activity_id``."""
-    selected = spark.sql(f"SELECT * FROM (\n{normalize_sql(sql)}\n)")
+APPROVED = ("activities", "activities_full")
+CATALYST = "org.apache.spark.sql.catalyst"
+REFUSED = ("reflect", "java_method", "try_reflect")
+
+
+def _inside(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def check_query(spark: SparkSession, sql: str, relations: tuple[str, ...] = APPROVED) -> None:
+    """Raise unless the query reads approved relations only and calls no JVM method.
+
+    The parsed plan is walked, subqueries and CTEs included, before anything is resolved.
+    """
+    gateway = spark.sparkContext._gateway
+    allowed = {name.lower() for name in relations}
+    queue = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
+    read: set[str] = set()
+    while queue:
+        node = queue.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedRelation":
+            read.add(".".join(_inside(node.multipartIdentifier())).lower())
+        elif kind == "UnresolvedWith":
+            for named in _inside(node.cteRelations()):
+                allowed.add(named._1().lower())
+        elif kind == "UnresolvedFunction":
+            name = _inside(node.nameParts())[-1].lower()
+            if name in REFUSED:
+                raise ValueError(f"a selection may not call {name}")
+        elif "UnresolvedIdentifier" in kind:
+            raise ValueError("a selection names its relations as they are")
+        queue += _inside(node.children())
+        if is_instance_of(gateway, node, f"{CATALYST}.plans.logical.LogicalPlan"):
+            queue += _inside(node.expressions()) + _inside(node.innerChildren().toSeq())
+        elif is_instance_of(gateway, node, f"{CATALYST}.expressions.SubqueryExpression"):
+            queue.append(node.plan())
+    if read - allowed:
+        raise ValueError(f"a selection may not read {sorted(read - allowed)}")
+
+
+def select(spark: SparkSession, sql: str, relations: tuple[str, ...] = APPROVED) -> DataFrame:
+    """Run a selection; it must be a query on ``relations`` that returns ``activity_id``."""
+    wrapped = f"SELECT * FROM (\n{normalize_sql(sql)}\n)"
+    check_query(spark, wrapped, relations)
+    selected = spark.sql(wrapped)
     if "activity_id" not in selected.columns:
         raise ValueError("SQL must return an activity_id column")
     return selected

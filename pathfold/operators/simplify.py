@@ -6,7 +6,7 @@ farthest-distance on the way down to it.  A tolerance keeps the vertices above i
 number of levels or vertex targets come from one pass over the line.
 
 Lines of one part are measured inside an Arrow UDF.  A track of several parts is split by
-DataFrame rounds (``long_significance``), each of which advances all open pieces at once.
+DataFrame rounds (``long_significance``) until its pieces are small enough for one.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.geo import LOD_TOLERANCES_M, mercator_x, mercator_y
-from ..session import broadcast_if_small, cut_lineage
+from ..session import cut_lineage
 from .ranks import top_per_key
 from .spatial import point_segment_distance
 from .tracks import CHUNK_POINTS
@@ -153,23 +153,41 @@ def simplify_to_target(rows: DataFrame, geometry: str, target: int, name: str) -
     )
 
 
-def long_significance(vertices: DataFrame, floor: Column | float = 0.0) -> DataFrame:
+PIECE_POINTS = CHUNK_POINTS
+
+
+def piece_significance(table: pa.Table) -> pa.Table:
+    """Significance above the floor of one open piece, all of whose points are at hand."""
+    table = table.sort_by("seq")
+    a, b = table["a"][0].as_py(), table["b"][0].as_py()
+    x, y = ([a[c], *table[c].to_pylist(), b[c]] for c in ("x", "y"))
+    whole = batch_significance(np.array(x), np.array(y), np.array([0, len(x)]))
+    sig = np.minimum(whole[1:-1], table["cap"][0].as_py())
+    keep = pa.array(sig > table["floor"].to_numpy())
+    out = pa.table([table["activity_id"], table["seq"], pa.array(sig)], names=["activity_id", "seq", "significance"])
+    return out.filter(keep)
+
+
+def long_significance(
+    vertices: DataFrame, floor: Column | float = 0.0, piece_points: int = PIECE_POINTS
+) -> DataFrame:
     """Significance above ``floor`` for lines too long for one task.
 
     ``vertices`` is (activity_id, seq, x, y) and may carry the columns ``floor`` uses.  Each
     round finds the farthest vertex of every open piece with a partial ``max`` and splits the
-    piece there; pieces without a vertex above the floor are closed and their points leave.
-    The layout is checkpointed once per round, so a lost executor repeats one round.
+    piece there, until pieces have at most ``piece_points`` points; those are finished one to a
+    group.  So a line of n such pieces takes a few rounds more than the depth down to them.  The
+    layout is checkpointed once per round, so a lost executor repeats one round.
     """
     c = F.col
     floor = floor if isinstance(floor, Column) else F.lit(float(floor))
     at = F.struct("seq", "x", "y")
+    piece = ["activity_id", "a_seq"]
     ends = vertices.groupBy("activity_id").agg(
         F.min_by(at, "seq").alias("a"), F.max_by(at, "seq").alias("b")
     )
-    opened = vertices.withColumn("floor", floor).join(broadcast_if_small(ends), "activity_id")
-    opened = opened.select(
-        "activity_id", "seq", "x", "y", "floor", "a", "b", F.lit(float("inf")).alias("cap")
+    opened = vertices.withColumn("floor", floor).join(ends, "activity_id").select(
+        "activity_id", "seq", "x", "y", "floor", "a", "b", F.lit(float("inf")).alias("cap"), c("a.seq").alias("a_seq")
     )
     done = [
         ends.select("activity_id", F.explode(F.array("a.seq", "b.seq")).alias("seq"))
@@ -177,40 +195,41 @@ def long_significance(vertices: DataFrame, floor: Column | float = 0.0) -> DataF
         .withColumn("significance", F.lit(float("inf")))
     ]
     opened = cut_lineage(opened.where("seq > a.seq AND seq < b.seq"))
+    kind = vertices.schema["activity_id"].dataType.simpleString()
     while True:
         reach = point_segment_distance(c("x"), c("y"), c("a.x"), c("a.y"), c("b.x"), c("b.y"))
         farthest = F.max(F.struct(reach.alias("d"), (-c("seq")).alias("back"), at.alias("m")))
-        splits = cut_lineage(
-            opened.groupBy("activity_id", c("a.seq").alias("a_seq"), "cap", "floor")
-            .agg(farthest.alias("f"))
-            .select(
-                "activity_id", "a_seq", c("f.m").alias("m"), F.least("cap", "f.d").alias("reach"), "floor"
-            )
+        pieces = cut_lineage(
+            opened.groupBy(*piece, "cap", "floor")
+            .agg(farthest.alias("f"), F.count(F.lit(1)).alias("n"))
+            .select(*piece, "n", c("f.m").alias("m"), F.least("cap", "f.d").alias("reach"), "floor")
             .where("reach > floor")
             .drop("floor")
         )
+        short = opened.join(pieces.where(c("n") <= piece_points).select(*piece), piece, "left_semi")
+        done.append(
+            short.groupBy(*piece).applyInArrow(piece_significance, f"activity_id {kind}, seq long, significance double")
+        )
+        splits = pieces.where(c("n") > piece_points).drop("n")
         if splits.isEmpty():
             break
         done.append(splits.select("activity_id", c("m.seq").alias("seq"), c("reach").alias("significance")))
         before = c("seq") < c("m.seq")
-        opened = cut_lineage(
-            opened.withColumn("a_seq", c("a.seq"))
-            .join(broadcast_if_small(splits), ["activity_id", "a_seq"])
-            .where("seq <> m.seq")
-            .select(
-                "activity_id",
-                "seq",
-                "x",
-                "y",
-                "floor",
-                F.when(before, c("a")).otherwise(c("m")).alias("a"),
-                F.when(before, c("m")).otherwise(c("b")).alias("b"),
-                c("reach").alias("cap"),
-            )
+        opened = opened.join(splits, piece).where("seq <> m.seq").select(
+            "activity_id",
+            "seq",
+            "x",
+            "y",
+            "floor",
+            F.when(before, c("a")).otherwise(c("m")).alias("a"),
+            F.when(before, c("m")).otherwise(c("b")).alias("b"),
+            c("reach").alias("cap"),
+            F.when(before, c("a_seq")).otherwise(c("m.seq")).alias("a_seq"),
         )
+        opened = cut_lineage(opened)
     out = done[0]
-    for piece in done[1:]:
-        out = out.unionByName(piece)
+    for part in done[1:]:
+        out = out.unionByName(part)
     return out
 
 
@@ -286,7 +305,7 @@ def with_long_significance(
         extent = vertices.groupBy("activity_id").agg(
             F.greatest(F.max("lon") - F.min("lon"), F.max("lat") - F.min("lat")).alias("_extent")
         )
-        degrees = vertices.join(broadcast_if_small(extent), "activity_id").select(
+        degrees = vertices.join(extent, "activity_id").select(
             "activity_id", "seq", F.col("lon").alias("x"), F.col("lat").alias("y"), "_extent"
         )
         finest = F.col("_extent") / float(2**BISECTION_STEPS)

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m, unit_x, unit_y
-from ..session import BROADCAST_ROWS
 from .tracks import CHUNK_POINTS, GAP_M, KEY, chunk_of
 
 Ring = Sequence[tuple[float, float]]
@@ -223,6 +222,9 @@ def on_unit_square(edges: DataFrame) -> DataFrame:
     )
 
 
+SALTS = 32
+
+
 def pick_tolerance(zoom: float) -> float:
     return PICK_PIXELS / (512 * 2**zoom) * 2.5
 
@@ -233,22 +235,19 @@ def nearest_route(
     """Closest route to each probe (probe_id, lon, lat), nearer than ``tolerance``.
 
     Equi-join on grid cells: a probe has one cell, an edge lands in every cell within the
-    tolerance of its box, so a pair meets once.  A measured-small probe table is broadcast and
-    the edges never move; otherwise probes are replicated over salts so that a crowded cell is
-    spread over tasks.  Partial aggregation keeps one best row per probe and task.
+    tolerance of its box, so a pair meets once.  Probes are replicated over salts so that a
+    crowded cell is spread over tasks.  Partial aggregation keeps one best row per probe and task.
     """
     c = F.col
     if grid is None:
         grid = min(FINEST_GRID, 2 ** max(0, math.floor(math.log2(1 / tolerance))))
-    small = probes.count() <= BROADCAST_ROWS
-    salts = 1 if small else 32
     near = (
         probes.select("probe_id", unit_x("lon").alias("px"), unit_y("lat").alias("py"))
         .withColumns(
             {
                 "gx": F.floor(c("px") * grid),
                 "gy": F.floor(c("py") * grid),
-                "salt": F.explode(F.sequence(F.lit(0), F.lit(salts - 1))),
+                "salt": F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))),
             }
         )
     )
@@ -265,7 +264,7 @@ def nearest_route(
         on_unit_square(edges)
         .withColumn("gx", cells("x0", "x1"))
         .withColumn("gy", cells("y0", "y1"))
-        .withColumn("salt", F.pmod(F.hash("activity_id", "seq"), F.lit(salts)))
+        .withColumn("salt", F.pmod(F.hash("activity_id", "seq"), F.lit(SALTS)))
     )
     close = (
         (c("px") >= F.least("x0", "x1") - tolerance)
@@ -274,7 +273,7 @@ def nearest_route(
         & (c("py") <= F.greatest("y0", "y1") + tolerance)
     )
     metres = point_segment_distance(c("px"), c("py"), c("x0"), c("y0"), c("x1"), c("y1"))
-    pairs = segments.join(F.broadcast(near) if small else near, ["gx", "gy", "salt"])
+    pairs = segments.join(near, ["gx", "gy", "salt"])
     best = F.min(F.struct(c("d"), c("activity_id"), c("seq")))
     return (
         pairs.where(close)
@@ -370,13 +369,29 @@ def profile_at(
     )
 
 
-def as_of_forward(targets: DataFrame, profile: DataFrame) -> DataFrame:
-    """First profile sample with distance_m >= target for rows (activity_id, target_m)."""
+def as_of_forward(
+    targets: DataFrame, profile: DataFrame, chunk_points: int = CHUNK_POINTS
+) -> DataFrame:
+    """First profile sample with distance_m >= target for rows (activity_id, target_m).
+
+    Distance never falls along a track, so a target belongs to the first chunk that ends at or
+    beyond it, and there it meets that chunk's samples only.
+    """
+    c = F.col
+    chunked = profile.withColumn("chunk", chunk_of(chunk_points))
+    ends = chunked.groupBy(*KEY).agg(F.max("distance_m").alias("_end"))
+    # One row per chunk; a target meets the chunk ends of its track, not the samples.
+    home = (
+        targets.distinct()
+        .join(ends, "activity_id")
+        .where(c("_end") >= c("target_m"))
+        .groupBy("activity_id", "target_m")
+        .agg(F.min("chunk").alias("chunk"))
+    )
     best = F.min(F.struct("distance_m", "seq", "ele", "lon", "lat"))
-    side = F.broadcast(targets) if targets.count() <= BROADCAST_ROWS else targets
     return (
-        profile.join(side, "activity_id")
-        .where(F.col("distance_m") >= F.col("target_m"))
+        chunked.join(home, KEY)
+        .where(c("distance_m") >= c("target_m"))
         .groupBy("activity_id", "target_m")
         .agg(best.alias("s"))
         .select("activity_id", "target_m", "s.*")

@@ -24,7 +24,7 @@ REGISTRY = (
 
 def check_build_id(build_id: str) -> str:
     if not re.fullmatch(BUILD_ID, build_id):
-        raise ValueError("invalid build identifier")
+        raise ValueError(f"not a build id: {build_id!r}")
     return build_id
 
 
@@ -33,18 +33,10 @@ def default_build_id(now: datetime | None = None) -> str:
 
 
 def versioned_manifest(manifest: dict, build_id: str) -> dict:
-    """Stable-root manifest whose paths point into one build."""
-    prefix = f"builds/{check_build_id(build_id)}/"
-
-    def moved(entries: list[dict]) -> list[dict]:
-        return [{**e, "path": prefix + e["path"]} for e in entries]
-
-    levels = [{**v, "files": moved(v.get("files", []))} for v in manifest.get("render_levels", [])]
+    """Stable-root manifest that names the folder of one build; its paths are relative to that."""
     return {
         **manifest,
-        "shards": moved(manifest.get("shards", [])),
-        "metadata": moved(manifest.get("metadata", [])),
-        "render_levels": levels,
+        "build_path": f"builds/{check_build_id(build_id)}/",
         "build": {"id": build_id, "created_at": datetime.now(UTC).isoformat().replace("+00:00", "Z")},
     }
 
@@ -122,12 +114,10 @@ def snapshot_legacy(
     legacy_id = check_build_id(f"legacy-before-{target_build}")
     schema = current.pop("derived_from_schema_version", current.get("schema_version"))
     current.pop("render_levels", None)
-    shards = [{**e, "path": e["path"][e["path"].find("activities/") :]} for e in current["shards"]]
     now = datetime.now(UTC)
     legacy = {
         **current,
         "schema_version": schema,
-        "shards": shards,
         "build": {"id": legacy_id, "created_at": now.isoformat().replace("+00:00", "Z")},
     }
     write_text(spark, f"{build_root(root, legacy_id)}/dataset.json", json.dumps(legacy, indent=2) + "\n")

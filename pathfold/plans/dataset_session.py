@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import MAX_LOD, requested_lod, scheduled_vertex_budget
@@ -17,14 +17,12 @@ from ..operators import tracks as tr
 from ..operators.activities import clean_view
 from ..schema import CLEAN_VERSIONS
 from ..session import use_utc
-from ..sources.dataset import scan_canonical, scan_canonical_file, scan_metadata, scan_render
+from ..sources.dataset import scan_canonical, scan_metadata, scan_render
 from . import render as rn
 from .writers import read_manifest
 
 
 # The metadata index is kept resident up to this many activities; beyond it, scans with
-# pushed-down bounds are the cheaper way.
-RESIDENT_ROWS = 20_000_000
 
 
 @dataclass(frozen=True)
@@ -56,21 +54,11 @@ class DatasetSession:
         self.spark = use_utc(self.parent.newSession())
         self.spark.conf.set("spark.sql.runSQLOnFiles", "false")
         self.manifest = read_manifest(self.spark, self.root)
+        # A published root names the folder of its active build.
+        self.root = f"{self.root.rstrip('/')}/{self.manifest.get('build_path', '')}".rstrip("/")
         self.metadata = scan_metadata(self.spark, self.root)
-        if self.manifest["activity_count"] <= RESIDENT_ROWS:
-            self.metadata = self.metadata.persist(StorageLevel.MEMORY_AND_DISK)
+        self.metadata = self.metadata.persist(StorageLevel.MEMORY_AND_DISK)
         self.canonical = scan_canonical(self.spark, self.root)
-        self.files = (
-            self.spark.read.parquet(f"{self.root}/manifest")
-            .where("kind = 'render'")
-            .groupBy("lod", "path")
-            .agg(
-                F.min("xmin").alias("xmin"),
-                F.min("ymin").alias("ymin"),
-                F.max("xmax").alias("xmax"),
-                F.max("ymax").alias("ymax"),
-            )
-        )
         self._use_view(False)
 
     @property
@@ -113,17 +101,15 @@ class DatasetSession:
         return chosen
 
     def _edges(self, lines: DataFrame) -> DataFrame:
-        """Edges inside stored parts, and the ones that join consecutive parts."""
+        """Edges inside stored parts, and the ones that join each part to the one before with vertices."""
         g = F.col("geometry")
         ends = lines.where(F.size(g) > 0).select(
-            "activity_id", "part", F.get(g, F.lit(0)).alias("a"), F.get(g, F.size(g) - 1).alias("b")
+            "activity_id", "part", F.get(g, F.lit(0)).alias("n"), F.get(g, F.size(g) - 1).alias("_last")
         )
-        later = ends.where("part > 0").select(
-            "activity_id", (F.col("part") - 1).alias("part"), F.col("a").alias("n")
-        )
-        bridges = ends.drop("a").join(later, ["activity_id", "part"]).select(
+        track = Window.partitionBy("activity_id").orderBy("part")  # one light row a part
+        bridges = ends.withColumn("b", F.lag("_last").over(track)).where("b IS NOT NULL").select(
             "activity_id",
-            ((F.col("part") + 1) * (1 << 24) - 1).alias("seq"),
+            (F.col("part") * (1 << 24) - 1).alias("seq"),
             F.col("b")[0].alias("x0"),
             F.col("b")[1].alias("y0"),
             F.col("n")[0].alias("x1"),
@@ -149,21 +135,23 @@ class DatasetSession:
         return sel.route_metadata(self.metadata, activity_id, self.clean)
 
     def _shard(self, activity_id: str) -> DataFrame | None:
-        """Rows of one activity: the shard its locator names, or all shards for a long track."""
+        """All rows of one activity.
+
+        The shards are sorted by family, spatial order and id, so the partition and the pushed
+        order leave a row group or two to read, however many parts the track has.
+        """
         found = (
             self.metadata.where(F.col("activity_id") == activity_id)
-            .select("canonical_path", "point_count")
+            .select("activity_family", "spatial_order")
             .take(1)
         )
         if not found:
             return None
-        one_part = found[0].point_count <= tr.CHUNK_POINTS
-        rows = (
-            scan_canonical_file(self.spark, self.root, found[0].canonical_path)
-            if one_part
-            else self.canonical
+        return self.canonical.where(
+            (F.col("activity_family") == found[0].activity_family)
+            & F.col("spatial_order").eqNullSafe(found[0].spatial_order)
+            & (F.col("activity_id") == activity_id)
         )
-        return rows.where(F.col("activity_id") == activity_id)
 
     def activity_detail(self, activity_id: str) -> DataFrame | None:
         """Scalars and lines of one activity (a row per part)."""
@@ -213,7 +201,7 @@ class DatasetSession:
             requested_lod(float(zoom), pixel_error, bias).alias("lod"),
             scheduled_vertex_budget(float(zoom), resolution, three_d).alias("budget"),
         ).first()
-        levels = scan_render(self.spark, self.root, None, bounds, self.clean, self.files)
+        levels = scan_render(self.spark, self.root, None, bounds, self.clean)
         return rn.render_viewport(
             levels,
             self.metadata,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -29,12 +31,25 @@ def move(spark: SparkSession, source: str, target: str, replace: bool = False) -
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file under a new name, then put it in place in one step."""
     fs, target = _path(spark, path)
-    out = fs.create(target, True)
+    fresh = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.new")
+    out = fs.create(fresh, False)
     try:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    context = hadoop.FileContext.getFileContext(fs.makeQualified(target).toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(fresh), fs.makeQualified(target), options)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of a job's own; nothing happens when it is not there."""
+    fs, target = _path(spark, path)
+    fs.delete(target, True)
 
 
 def qualified(spark: SparkSession, path: str) -> str:

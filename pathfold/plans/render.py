@@ -79,10 +79,14 @@ def fetch_lines(
     bounds: Bounds | None = None,
     clean: bool = False,
 ) -> DataFrame:
-    """(activity_id, part, geometry) of the visible selected routes of one level."""
-    line = F.col("geometry_clean" if clean else "geometry")
+    """(activity_id, part, geometry, carried) of the visible selected routes of one level.
+
+    ``carried``: the line starts with the last vertex of an earlier part.
+    """
+    prefix, name = ("clean_", "geometry_clean") if clean else ("", "geometry")
+    line = F.col(name)
     return sel.semi(level.where(viewport_intersects(bounds, clean)), selected).select(
-        "activity_id", "part", line.alias("geometry")
+        "activity_id", "part", line.alias("geometry"), (F.size(line) > F.col(f"{prefix}vertex_count")).alias("carried")
     )
 
 
@@ -109,11 +113,14 @@ def line_edges(lines: DataFrame) -> DataFrame:
 
 
 def line_segments(lines: DataFrame, gap_m: float = GAP_M) -> DataFrame:
-    """Split each line at long legs: (activity_id, part, segment_no, positions).
+    """Split each line at long legs: (activity_id, part, segment_no, positions, continues).
 
-    A line is one bounded array, so the split folds it in place without a shuffle.
+    A line is one bounded array, so the split folds it in place without a shuffle.  A line that
+    starts with a carried vertex goes on with the segment before (``continues``), unless the leg
+    from it is a long one; then the vertex alone makes no segment.
     """
     g = F.col("geometry")
+    carried = F.col("carried") if "carried" in lines.columns else F.lit(False)
     breaks = F.filter(
         F.sequence(F.lit(1), F.size(g) - 1),
         lambda i: haversine_m(g[i - 1][0], g[i - 1][1], g[i][0], g[i][1]) > gap_m,
@@ -122,8 +129,12 @@ def line_segments(lines: DataFrame, gap_m: float = GAP_M) -> DataFrame:
     starts = F.concat(F.array(F.lit(0)), breaks)
     ends = F.concat(breaks, F.array(F.size(g)))
     pieces = F.zip_with(starts, ends, lambda a, b: F.slice(g, a + 1, b - a))
-    return lines.where(F.size(g) > 0).select(
-        "activity_id", "part", F.posexplode(pieces).alias("segment_no", "positions")
+    split = lines.where(F.size(g) > 0).select(
+        "activity_id", "part", carried.alias("carried"), F.posexplode(pieces).alias("segment_no", "positions")
+    )
+    first = F.col("carried") & (F.col("segment_no") == 0)
+    return split.where(~(first & (F.size("positions") == 1))).select(
+        "activity_id", "part", "segment_no", "positions", first.alias("continues")
     )
 
 

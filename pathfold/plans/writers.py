@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import LOD_TOLERANCES_M
@@ -34,15 +34,14 @@ from ..schema import (
     SCALARS,
     SCHEMA_VERSION,
 )
-from ..session import broadcast_if_small, scratch_path
 from ..sources import geo_parquet
 from ..sources.dataset import scan_canonical
 from ..sources.files import row_group_facts
 from ..sources.geo_parquet import geo_footer
-from .paths import exists, qualified, write_text
+from .paths import delete, exists, qualified, write_text
 
 METADATA_GROUP_ROWS = 4096
-MANIFEST_FILES = 10_000
+FILES = "manifest_files"
 # Above any row group the row limit closes, so that the limit alone decides.
 WIDE_BLOCK_BYTES = 1 << 30
 
@@ -68,7 +67,7 @@ def long_coarse_lines(wide: DataFrame, chunk_points: int = CHUNK_POINTS) -> Data
         sig = F.col(f"{prefix}sig_deg")
         cuts = target_thresholds(out, name, f"{prefix}sig_deg", LINE_TARGETS)
         out = (
-            out.join(broadcast_if_small(cuts), "activity_id")
+            out.join(cuts, "activity_id")
             .withColumns(
                 {
                     f"{name}_lod{i}": keep_above(F.col(name), sig, F.col(f"t{t}"))
@@ -159,7 +158,7 @@ def write_metadata(spark: SparkSession, root: str, row_group_rows: int = 128) ->
         F.count(F.lit(1)).alias("n"), F.countDistinct("activity_id").alias("ids")
     ).first()
     if counted.n != counted.ids:
-        raise ValueError(f"duplicate canonical activity_id: {counted.n - counted.ids} repeated rows")
+        raise ValueError(f"{counted.n - counted.ids} activities are stored more than once")
     order = ["spatial_order", "activity_id"]
     (
         rows.select(*METADATA.fieldNames())
@@ -173,15 +172,40 @@ def write_metadata(spark: SparkSession, root: str, row_group_rows: int = 128) ->
     )
 
 
+def carry_over(levels: DataFrame) -> DataFrame:
+    """Start each part's lines with the last vertex of the part before it that has any.
+
+    ``levels`` holds the rows of tracks of several parts.  The vertex counts stay those of the
+    part, so a line is one vertex longer than its count where it goes on from an earlier part.
+    """
+    track = Window.partitionBy("activity_id", "lod").orderBy("part")  # one light row a part
+    ends = levels.select(
+        "activity_id", "lod", "part", *[F.get(n, F.size(n) - 1).alias(f"_{n}") for n in LINE_NAMES]
+    )
+    earlier = track.rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(
+        "activity_id", "lod", "part", *[F.last(f"_{n}", ignorenulls=True).over(earlier).alias(f"_{n}") for n in LINE_NAMES]
+    )
+    return levels.join(before, ["activity_id", "lod", "part"]).withColumns(
+        {
+            n: F.when((F.size(n) > 0) & F.col(f"_{n}").isNotNull(), F.concat(F.array(f"_{n}"), n)).otherwise(F.col(n))
+            for n in LINE_NAMES
+        }
+    ).drop(*[f"_{n}" for n in LINE_NAMES])
+
+
+LINE_NAMES = ("geometry", "geometry_clean")
+
+
 def render_levels(
     canonical: DataFrame, chunk_points: int = CHUNK_POINTS, several: bool | None = None
 ) -> DataFrame:
-    """One row per (activity, part, level) with both simplified lines and their sizes."""
+    """One row per (activity, part, level) with both simplified lines and their sizes.
+
+    The parts of a track are one route: a part's line starts where the one before ended.
+    """
     keep = ["activity_id", *BOUNDS, *CLEAN_BOUNDS, "spatial_order", "part", "geometry", "geometry_clean"]
     single, wide = split_long(canonical.select(*keep), several)
-    measured = with_significance(single)
-    if wide is not None:
-        measured = measured.unionByName(with_long_significance(wide, chunk_points))
     raw, clean = F.col("geometry"), F.col("geometry_clean")
     levels = F.array(
         *[
@@ -193,18 +217,21 @@ def render_levels(
             for lod in range(len(LOD_TOLERANCES_M))
         ]
     )
-    heads = [c for c in keep if c not in ("geometry", "geometry_clean")]
-    return (
-        measured.select(*heads, F.explode(levels).alias("l"))
-        .select(*heads, "l.*")
-        .withColumns(
+    heads = [c for c in keep if c not in LINE_NAMES]
+
+    def leveled(measured: DataFrame) -> DataFrame:
+        rows = measured.select(*heads, F.explode(levels).alias("l")).select(*heads, "l.*")
+        return rows.withColumns(
             {
                 "vertex_count": F.size("geometry").cast("long"),
                 "clean_vertex_count": F.size("geometry_clean").cast("long"),
             }
         )
-        .select(*RENDER.fieldNames(), "lod")
-    )
+
+    out = leveled(with_significance(single))
+    if wide is not None:
+        out = out.unionByName(carry_over(leveled(with_long_significance(wide, chunk_points))))
+    return out.select(*RENDER.fieldNames(), "lod")
 
 
 def write_render_pyramid(
@@ -219,10 +246,16 @@ def write_render_pyramid(
     The levels are written once unordered, the layout is decided on their narrow columns, and
     the final files follow it; the heavy columns are simplified a single time.
     """
-    staged = scratch_path(spark, "render")
-    levels = render_levels(scan_canonical(spark, root), chunk_points)
-    levels.write.option("compression", "zstd").parquet(staged)
-    levels = spark.read.parquet(staged)
+    staged = f"{root.rstrip('/')}-levels"
+    try:
+        levels = render_levels(scan_canonical(spark, root), chunk_points)
+        levels.write.mode("overwrite").option("compression", "zstd").parquet(staged)
+        _write_levels(spark.read.parquet(staged), root, group_bytes, file_bytes)
+    finally:
+        delete(spark, staged)
+
+
+def _write_levels(levels: DataFrame, root: str, group_bytes: int, file_bytes: int) -> None:
     sized = levels.select(
         "activity_id", "part", "lod", *BOUNDS, render_row_bytes().alias("bytes")
     )
@@ -257,10 +290,10 @@ def _box(row) -> list[float]:
 
 
 def build_manifest(spark: SparkSession, root: str, extra: dict | None = None) -> dict:
-    """Row-group table under ``manifest/`` and a ``dataset.json`` of totals and levels.
+    """Row-group table under ``manifest/``, file table, and a ``dataset.json`` of totals and levels.
 
-    The row-group table grows with the data and stays a table; ``dataset.json`` lists files
-    only up to ``MANIFEST_FILES`` of them.
+    Both tables grow with the data and stay tables at any size; ``dataset.json`` names the file
+    table under ``files``.
     """
     facts = None
     for kind in ("activities", "metadata", "render"):
@@ -279,6 +312,8 @@ def build_manifest(spark: SparkSession, root: str, extra: dict | None = None) ->
         F.count(F.lit(1)).alias("row_group_count"),
         *box,
     )
+    files.write.mode("errorifexists").option("compression", "zstd").parquet(f"{root}/{FILES}")
+    files = spark.read.parquet(f"{root}/{FILES}")
     levels = (
         files.groupBy("kind", "lod")
         .agg(
@@ -307,20 +342,6 @@ def build_manifest(spark: SparkSession, root: str, extra: dict | None = None) ->
         )
     )
     rejected = spark.read.parquet(f"{root}/rejections").count()
-    n_files = sum(level.file_count for level in levels)
-    listed: dict = {}
-    if n_files <= MANIFEST_FILES:
-        for r in files.orderBy("path").collect():
-            listed.setdefault((r.kind, r.lod), []).append(
-                {
-                    "path": r.path,
-                    "row_count": r.row_count,
-                    "byte_size": r.byte_size,
-                    "sha256": r.sha256,
-                    "bbox": _box(r),
-                    "row_group_count": r.row_group_count,
-                }
-            )
     manifest = {
         "schema_version": SCHEMA_VERSION,
         "compiler_version": COMPILER_VERSION,
@@ -331,8 +352,7 @@ def build_manifest(spark: SparkSession, root: str, extra: dict | None = None) ->
         "bbox": _box(totals),
         "first_activity": totals.first,
         "last_activity": totals.last,
-        "metadata": listed.get(("metadata", None), []),
-        "shards": listed.get(("activities", None), []),
+        "files": FILES,
         "render_levels": [
             {
                 "lod": level.lod,
@@ -343,7 +363,6 @@ def build_manifest(spark: SparkSession, root: str, extra: dict | None = None) ->
                 "bbox": _box(level),
                 "file_count": level.file_count,
                 "row_group_count": level.row_group_count,
-                "files": listed.get(("render", level.lod), []),
             }
             for level in levels
             if level.kind == "render"
@@ -356,8 +375,20 @@ def build_manifest(spark: SparkSession, root: str, extra: dict | None = None) ->
     return manifest
 
 
+def manifest_files(spark: SparkSession, root: str) -> DataFrame:
+    """The files of the dataset at ``root`` (of its active build, for a published root).
+
+    ``path`` is relative to ``root``.
+    """
+    manifest = read_manifest(spark, root)
+    build = manifest.get("build_path", "")
+    return spark.read.parquet(f"{root}/{build}{manifest['files']}").withColumn(
+        "path", F.concat(F.lit(build), "path")
+    )
+
+
 def read_manifest(spark: SparkSession, root: str) -> dict:
     rows = spark.read.text(f"{root}/dataset.json", wholetext=True).take(1)
     if not rows:
-        raise ValueError("dataset.json is missing")
+        raise ValueError(f"{root} has no dataset.json")
     return json.loads(rows[0][0])

@@ -1,15 +1,10 @@
-"""Session helpers: UTC, lineage cuts, and size-checked broadcasts."""
+"""Session helpers: UTC, lineage cuts and tables in the shared folder."""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A broadcast side is only hinted after its row count was measured below this.
-BROADCAST_ROWS = 200_000
-
 
 def use_utc(spark: SparkSession) -> SparkSession:
     """All timestamps of the data model are UTC."""
@@ -50,11 +45,6 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when the measured row count allows it, else leave the join to AQE."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for heavy row-wise work on an input of few splits.
 

@@ -55,41 +55,16 @@ def scan_metadata(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/metadata")
 
 
-def candidate_paths(files: DataFrame, root: str, bounds: Bounds | None, limit: int = 10_000) -> list[str] | None:
-    """Paths of the files a viewport touches, or None when there are too many to list."""
-    hits = (
-        files.withColumn("box", F.struct(*BOUNDS))
-        .where(bounds_intersect("box", bounds))
-        .select("path")
-        .limit(limit + 1)
-        .collect()
-    )
-    return [f"{root}/{r.path}" for r in hits] if len(hits) <= limit else None
-
-
 def scan_render(
     spark: SparkSession,
     root: str,
     lod: int | None = None,
     bounds: Bounds | None = None,
     clean: bool = False,
-    files: DataFrame | None = None,
 ) -> DataFrame:
-    """Render rows of one level (or all), pruned by partition, file list and pushed bounds.
-
-    ``files`` (lod, path, bounds) is the manifest's file table; with it, files outside the
-    viewport are not even opened.
-    """
+    """Render rows of one level (or all), pruned by partition and, in each file, by pushed bounds."""
     use_utc(spark)
-    base = f"{root}/render"
-    reader = spark.read.option("basePath", base)
-    paths = None
-    if files is not None and bounds is not None:
-        wanted = files if lod is None else files.where(F.col("lod") == lod)
-        paths = candidate_paths(wanted, root, bounds)
-    rows = reader.parquet(*paths) if paths else spark.read.parquet(base)
-    if paths == []:
-        rows = rows.where(F.lit(False))
+    rows = spark.read.parquet(f"{root}/render")
     if lod is not None:
         rows = rows.where(F.col("lod") == lod)
     return rows.where(viewport_intersects(bounds, clean))

@@ -148,7 +148,7 @@ def _(spark, d):
 @register("dimension_steps_ranked", with_activities(f", {LONG} SELECT * FROM steps"))
 def _(spark, d):
     # The range-partitioned ranking that large step tables take.
-    return dim.dimension_steps(values(spark, d), window_steps=0)
+    return dim.dimension_steps(values(spark, d).repartition(7))
 
 
 @register("dimension_profile", with_activities(f", {LONG} SELECT * FROM prof"))

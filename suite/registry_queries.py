@@ -41,7 +41,7 @@ BUILDS_SQL = """SELECT o_orderkey - o_orderkey % 3 AS dataset_id, 'b' || o_order
 DATASETS_SQL = """SELECT o_orderkey AS dataset_id, o_custkey AS subject,
     CASE o_custkey % 3 WHEN 0 THEN (CASE WHEN o_orderkey % 2 = 0 THEN 'ready' ELSE 'completed' END) WHEN 1 THEN (CASE WHEN o_orderkey % 2 = 0 THEN 'completed' ELSE 'gone' END) END AS status,
     o_orderkey % 1000 AS activity_count, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS created_at,
-    o_orderdate AS updated_at FROM orders WHERE o_orderstatus = 'F'"""
+    o_orderdate AS updated_at FROM orders"""
 PROFILES_SQL = """SELECT c_custkey AS subject, CASE c_custkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'rejected' WHEN 2 THEN 'approved' END AS access FROM customer"""
 
 
@@ -134,13 +134,15 @@ def _(spark, d):
 
 @register(
     "repair_datasets",
-    f"""{BASE}, st AS (SELECT ds.*, coalesce(up.created_at, ds.created_at, ds.updated_at) AS stamp FROM ds LEFT JOIN up ON up.upload_id = ds.dataset_id AND up.upload_id % 2 = 0),
+    f"""{BASE}, st AS (SELECT ds.*, coalesce(CASE WHEN up.upload_id % 2 = 0 THEN up.created_at END, ds.created_at, ds.updated_at) AS stamp FROM ds LEFT JOIN up ON up.upload_id = ds.dataset_id),
       rd AS (SELECT * FROM st WHERE status = 'ready'),
       lg AS (SELECT * FROM st WHERE (status IS NULL OR status IN ('', 'completed')) AND subject NOT IN (SELECT subject FROM rd) QUALIFY row_number() OVER (PARTITION BY subject ORDER BY stamp DESC, dataset_id DESC) = 1)
       SELECT subject, dataset_id, 'ready' AS status, strftime(coalesce(created_at, stamp), '%Y-%m-%d') AS created_at, strftime(stamp, '%Y-%m-%d') AS updated_at FROM (SELECT * FROM rd UNION ALL SELECT * FROM lg)""",
 )
 def _(spark, d):
-    uploads = named(spark, d, UPLOADS_SQL).where(F.col("upload_id") % 2 == 0)
+    uploads = named(spark, d, UPLOADS_SQL).withColumn(
+        "created_at", F.when(F.col("upload_id") % 2 == 0, F.col("created_at"))
+    )
     rows = reg.repair_datasets(named(spark, d, DATASETS_SQL), uploads)
     day = {n: F.date_format(n, "yyyy-MM-dd") for n in ("created_at", "updated_at")}
     return rows.withColumns(day)
@@ -224,8 +226,8 @@ def _(spark, d):
     "match_rejections",
     MATCH
     + """ SELECT coalesce(base, '') AS source_path, source_activity_id, 'discovery' AS stage, CASE WHEN file_name IS NULL THEN 'missing_file' ELSE 'unsupported_format' END AS reason_code,
-      CASE WHEN file_name IS NULL THEN 'metadata row has no matching activity file' ELSE 'activity file format is unsupported' END AS message FROM m WHERE file_name IS NULL OR ends_with(file_name, '.txt')
-      UNION ALL SELECT file_name, NULL, 'discovery', 'unmatched_file', 'activity file has no metadata row' FROM f WHERE file_name NOT IN (SELECT base FROM j WHERE base IS NOT NULL)""",
+      CASE WHEN file_name IS NULL THEN 'the table names a file that the archive lacks' ELSE 'no reader for this kind of file' END AS message FROM m WHERE file_name IS NULL OR ends_with(file_name, '.txt')
+      UNION ALL SELECT file_name, NULL, 'discovery', 'unmatched_file', 'the table does not name this file' FROM f WHERE file_name NOT IN (SELECT base FROM j WHERE base IS NOT NULL)""",
 )
 def _(spark, d):
     _, rejections = archive.match_files(named(spark, d, CSV_SQL), named(spark, d, FILES_SQL))
@@ -243,12 +245,14 @@ def _(spark, d):
     other = e.select(F.concat(F.lit("media/"), "user_id", F.lit(".jpg")).alias("name")).distinct()
     csv = e.select(F.lit("activities.csv").alias("name")).distinct()
     listing = inside.unionByName(other).unionByName(csv).withColumn("byte_size", F.lit(10).cast("long"))
-    return archive.filter_archive_entries(listing).select("name")
+    return archive.filter_archive_entries(listing, 100_000, 1_000_000_000, 20_000_000_000).select("name")
 
 
-SETTINGS = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'sport_type' WHEN 1 THEN 'gone' WHEN 2 THEN '' END AS animate_by,
+SETTINGS = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'sport_type' WHEN 1 THEN 'gone' WHEN 2 THEN '' WHEN 3 THEN 'single' END AS animate_by,
     CASE event_id % 3 WHEN 0 THEN 'month_day' WHEN 1 THEN 'gone' END AS color_by, event_id % 9 AS animation_step, event_id % 2 = 0 AS playing,
-    CASE WHEN event_id % 5 <> 0 THEN value - 3 END AS window_size, CASE WHEN event_id % 6 <> 0 THEN value - 1 END AS playback_speed,
+    CASE WHEN event_id % 31 = 1 THEN CAST('Infinity' AS DOUBLE) WHEN event_id % 31 = 2 THEN CAST('NaN' AS DOUBLE) WHEN event_id % 5 <> 0 THEN value - 3 END AS window_size,
+    CASE WHEN event_id % 29 = 1 THEN CAST('-Infinity' AS DOUBLE) WHEN event_id % 29 = 2 THEN CAST('Infinity' AS DOUBLE) WHEN event_id % 6 <> 0 THEN value - 1 END AS playback_speed,
+    CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS loop,
     CASE event_id % 5 WHEN 0 THEN 'fire' WHEN 1 THEN 'custom:#00ff00,#FF0000' WHEN 2 THEN 'custom:#00ff00' WHEN 3 THEN 'none' END AS palette,
     CASE WHEN event_id % 3 = 0 THEN 'windowed' ELSE 'other' END AS mode FROM events"""
 
@@ -261,23 +265,29 @@ def settings(spark, d):
 @register(
     "normalize_encodings",
     f"""WITH s AS ({SETTINGS}) SELECT event_id, coalesce(animate_by, '') AS animate_by, coalesce(color_by, '') AS color_by,
-      CAST(CASE WHEN window_size IS NULL THEN 1 ELSE greatest(1, floor(window_size + 0.5)) END AS BIGINT) AS window_size,
-      {q('CASE WHEN playback_speed IS NULL THEN 2.0 ELSE least(240.0, greatest(0.1, playback_speed)) END')} AS playback_speed,
-      CASE WHEN event_id % 5 IN (0, 1) THEN palette ELSE 'viridis' END AS palette, CASE WHEN mode = 'windowed' THEN 'windowed' ELSE 'cumulative' END AS mode FROM s""",
+      CAST(CASE WHEN window_size IS NULL OR NOT isfinite(window_size) THEN 1 ELSE greatest(1, floor(window_size + 0.5)) END AS BIGINT) AS window_size,
+      {q('CASE WHEN playback_speed IS NULL OR NOT isfinite(playback_speed) THEN 2.0 ELSE least(240.0, greatest(0.1, playback_speed)) END')} AS playback_speed,
+      CASE WHEN event_id % 5 IN (0, 1) THEN palette ELSE 'viridis' END AS palette, CASE WHEN mode = 'windowed' THEN 'windowed' ELSE 'cumulative' END AS mode,
+      coalesce(loop, true) AS loop, false AS show_map_controls FROM s""",
 )
 def _(spark, d):
-    names = ("event_id", "animate_by", "color_by", "window_size", "playback_speed", "palette", "mode")
+    names = ("event_id", "animate_by", "color_by", "window_size", "playback_speed", "palette", "mode", "loop", "show_map_controls")
     return rounded(dim.normalize_encodings(settings(spark, d)).select(*names))
 
 
+SIZES = """SELECT 'sport_type' AS dimension, count(DISTINCT event_type) AS steps FROM events
+    UNION ALL SELECT 'month_day', count(DISTINCT user_id % 3) FROM events UNION ALL SELECT 'single', count(DISTINCT user_id < 0) FROM events"""
+
+
 @register(
     "reconcile_encodings",
-    f"""WITH s AS ({SETTINGS}) SELECT event_id, CASE WHEN animate_by IN ('sport_type', 'month_day') THEN animate_by ELSE '' END AS animate_by,
-      CASE WHEN color_by IN ('sport_type', 'month_day') THEN color_by ELSE '' END AS color_by,
-      CASE WHEN animate_by = 'sport_type' THEN animation_step ELSE 0 END AS animation_step, coalesce(animate_by = 'sport_type', false) AND playing AS playing FROM s""",
+    f"""WITH s AS ({SETTINGS}), z AS ({SIZES}) SELECT event_id, coalesce(a.dimension, '') AS animate_by, coalesce(c.dimension, '') AS color_by,
+      CASE WHEN a.dimension IS NULL THEN 0 ELSE greatest(0, least(a.steps - 1, animation_step)) END AS animation_step, coalesce(a.steps > 1, false) AND playing AS playing
+      FROM s LEFT JOIN z a ON a.dimension = animate_by LEFT JOIN z c ON c.dimension = color_by""",
 )
 def _(spark, d):
-    kept = dim.reconcile_encodings(settings(spark, d), ["sport_type", "month_day"])
+    saved = settings(spark, d)
+    kept = dim.reconcile_encodings(saved, spark.sql(SIZES))
     return kept.select("event_id", "animate_by", "color_by", "animation_step", "playing")
 
 

@@ -172,7 +172,9 @@ def _(spark, d):
 )
 def _(spark, d):
     points(spark, d).createOrReplaceTempView("track_rows")
-    return sel.dedupe_selection(sel.select(spark, "SELECT activity_id, hr, cadence FROM track_rows"))
+    return sel.dedupe_selection(
+        sel.select(spark, "SELECT activity_id, hr, cadence FROM track_rows", ("track_rows",))
+    )
 
 
 @register(

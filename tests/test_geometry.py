@@ -186,7 +186,6 @@ def test_nearest_route_matches_scan(spark, monkeypatch):
 
     expected = {n: v[1:] for n, v in want.items()}
     assert 5 < len(expected) < 60 and found() == expected
-    monkeypatch.setattr(spatial, "BROADCAST_ROWS", 0)  # the salted join of large probe tables
     assert found() == expected
 
 

@@ -7,6 +7,8 @@ from pathfold.plans.layout_trial import compare_layouts
 from pathfold.plans.writers import read_manifest
 from pathfold.sources import dataset as ds
 
+from .conftest import WALK
+
 
 def test_session_over_a_compiled_dataset(spark, archive, tmp_path):
     root = f"{tmp_path}/out"
@@ -14,35 +16,38 @@ def test_session_over_a_compiled_dataset(spark, archive, tmp_path):
     session = DatasetSession(spark, root)
     assert session.execute(SelectionSpec()) is None and session.count() == 2
     total = session.summary().first()
-    assert total.activity_count == 2 and total.elevation_gain_m == 10
-    assert [r.sport for r in session.family_counts().collect()] == ["ride", "run"]
+    assert total.activity_count == 2 and total.elevation_gain_m == 37
+    assert [r.sport for r in session.family_counts().collect()] == ["foot", "ride"]
 
-    spec = SelectionSpec("SELECT activity_id, sport_type, point_count FROM activities WHERE point_count > 2;")
-    assert [r.activity_id for r in session.execute(spec).collect()] == ["1"]
+    spec = SelectionSpec("SELECT activity_id, sport_type, point_count FROM activities WHERE point_count > 3;")
+    assert [r.activity_id for r in session.execute(spec).collect()] == ["501"]
     assert session.count() == 1
     assert {r.dimension for r in session.dimensions.collect()} == {"sport_type", "point_count"}
-    assert session.table((-106, 39, -104, 41)).count() == 1
-    assert session.table((-105.01, 39, -104, 41)).count() == 0  # containment, not intersection
+    assert session.table((7, 46, 8, 47)).count() == 1
+    assert session.table((7.442, 46, 8, 47)).count() == 0  # containment, not intersection
     telemetry = SelectionSpec(
         "SELECT activity_id FROM activities_full WHERE exists(track_points, p -> p.heart_rate >= 120)"
     )
-    assert [r.activity_id for r in session.execute(telemetry).collect()] == ["2"]
-    box = [(-105.03, 40.015), (-105.0, 40.015), (-105.0, 40.03), (-105.03, 40.03)]
+    assert [r.activity_id for r in session.execute(telemetry).collect()] == ["502"]
+    box = [(7.43, 46.9525), (7.46, 46.9525), (7.46, 46.96), (7.43, 46.96)]
     spatial = SelectionSpec(clean=True, polygon=box)
-    assert [r.activity_id for r in session.execute(spatial).collect()] == ["1"]
-    detail = session.activity_detail("1").first()
-    assert detail.path == [[-105.0, 40.0], [-105.01, 40.01], [-105.02, 40.02]]
-    profile = session.elevation_profile("1").orderBy("seq").collect()
-    assert [p.ele for p in profile] == [1600, 1610, 1605] and profile[0].distance_m == 0
+    assert [r.activity_id for r in session.execute(spatial).collect()] == ["501"]
+    detail = session.activity_detail("501").first()
+    assert detail.path == [[x, y] for y, x, *_ in WALK]
+    profile = session.elevation_profile("501").orderBy("seq").collect()
+    assert [p.ele for p in profile] == [540, 552, 549, 561, 558, 566] and profile[0].distance_m == 0
     assert session.activity_detail("nope") is None
-    assert session.route_metadata("2").first().name == "Ride"
+    assert session.route_metadata("502").first().name == "Home"
 
-    view = session.render(18.0, (-106, 39, -104, 41))
-    assert view.plan.lod == 7 and view.plan.vertices == 3 and view.candidate_routes == 1
+    view = session.render(18.0, (7, 46, 8, 47))
+    assert view.plan.lod == 7 and view.plan.vertices == 6 and view.candidate_routes == 1
     assert set(view.resolutions) == {"low", "medium", "high"}
-    assert [len(r.positions) for r in view.segments.collect()] == [3]
+    assert [len(r.positions) for r in view.segments.collect()] == [6]
     assert session.render(18.0, (10, 10, 11, 11)).segments.count() == 0
-    for bad in ("SELECT * FROM parquet.`/tmp/x`", "SELECT activity_id FROM other", "DROP VIEW activities"):
+    spark.range(1).selectExpr("'501' AS activity_id").createOrReplaceGlobalTempView("seen")
+    fine = "WITH long AS (SELECT activity_id FROM activities WHERE point_count > 3) SELECT activity_id FROM long"
+    assert session.execute(SelectionSpec(fine)).count() == 1
+    for bad in ("SELECT * FROM parquet.`/tmp/x`", "SELECT activity_id FROM other", "DROP VIEW activities", "SELECT reflect('java.lang.System', 'currentTimeMillis') AS activity_id", "SELECT activity_id FROM global_temp.seen", "SELECT activity_id FROM activities WHERE EXISTS (SELECT 1 FROM global_temp.seen)", "WITH x AS (SELECT java_method('java.lang.Math', 'random') AS activity_id) SELECT * FROM x"):
         with pytest.raises(Exception):
             session.execute(SelectionSpec(bad))
     session.close()
