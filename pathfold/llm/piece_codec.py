@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from pathfold.llm.batches import add_columns, lists, spread
-from pathfold.llm.pieces import Pieces, load
+from pathfold.llm.batches import add_columns, lists, spread, unused
+from pathfold.llm.pieces import Pieces, Segments, load
 
-CACHE = 1 << 18
+CACHE = 1 << 19
+KEPT_USES = 3
+RECENT = 1 << 14
 UNKNOWN_PENALTY = 10.0
 
 
@@ -30,9 +32,10 @@ def n_best(text: str, pieces: Pieces, n: int) -> list[tuple[float, list[int]]]:
 
     A character without a piece is an arc of the lowest score less a penalty, spelt in byte pieces.
     An agenda entry takes an arc and stands for the worse arcs into the same position, so a step
-    pushes two entries at most. Among equal scores, earlier starts of the last piece come first.
+    pushes two entries at most. Among equal scores the search goes
+    on where it is, so that ties of a long text do not make it wide.
     """
-    begins, ids, size = pieces.begins, pieces.ids, len(text)
+    get, ids, size, absent = pieces.begins.get, pieces.ids, len(text), ()
     lowest = pieces.lowest - UNKNOWN_PENALTY
     best = [0.0] + [-inf] * size
     arcs: list[list[tuple[float, int, float]]] = [[] for _ in range(size + 1)]  # into each position
@@ -43,10 +46,10 @@ def n_best(text: str, pieces: Pieces, n: int) -> list[tuple[float, list[int]]]:
             if here + lowest > best[i + 1]:
                 best[i + 1] = here + lowest
         for j in range(i + 1, size + 1):
-            s = begins.get(text[i:j], 0)
+            s = get(text[i:j], absent)
             if s is None:
                 continue
-            if s == 0 and text[i:j] not in ids:
+            if s is absent:
                 break
             arcs[j].append((-here - s, i, s))
             if here + s > best[j]:
@@ -64,13 +67,13 @@ def n_best(text: str, pieces: Pieces, n: int) -> list[tuple[float, list[int]]]:
         cost, i, s = into[rank]
         rank += 1
         if rank < len(into):
-            met += 1
+            met -= 1
             heappush(agenda, (into[rank][0] - tail, met, at, rank, tail, path))
         tail += s
         if i:
             if not order[i]:
                 order[i] = not arcs[i].sort()
-            met += 1
+            met -= 1
             heappush(agenda, (arcs[i][0][0] - tail, met, i, 0, tail, (i, at, path)))
             continue
         found, path = [], (0, at, path)
@@ -88,45 +91,65 @@ def n_best(text: str, pieces: Pieces, n: int) -> list[tuple[float, list[int]]]:
 
 
 class SegmentTable(dict):
-    """Segment -> row of growing arrays: ids of the best path, its score, losses of the next ones."""
+    """Segment -> row of growing arrays: ids of the best path, its score, losses of the next ones.
+
+    When it is full, only the segments seen ``KEPT_USES`` times or more stay.
+    """
 
     def __init__(self, pieces: Pieces, n: int):
         super().__init__()
         self.pieces, self.n = pieces, n
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
-        self.new: list[tuple] = []
-        self.paths: list[list[list[int]]] = []
+        self.fresh: list[tuple[list[int], float, list[float]]] = []
+        self.rows = 0
         self.ids = np.empty(0, np.int32)
-        self.start = np.empty(0, np.int64)
-        self.count = np.empty(0, np.int64)
+        self.start = self.count = self.uses = np.empty(0, np.int64)
         self.score = np.empty(0)
-        self.loss = np.empty((0, self.n - 1))
+        self.loss = np.empty((0, n - 1))
+        self.recent: dict[str, list[tuple[float, list[int]]]] = {}
 
     def __missing__(self, segment: str) -> int:
         found = n_best(segment, self.pieces, self.n)
-        row = len(self.paths)
-        self.paths.append([p for _, p in found])
         losses = [found[0][0] - s for s, _ in found[1:]]
-        self.new.append((found[0][0], losses + [inf] * (self.n - 1 - len(losses))))
-        self[segment] = row
+        self.fresh.append((found[0][1], found[0][0], losses + [inf] * (self.n - 1 - len(losses))))
+        self[segment] = row = self.rows
+        self.rows += 1
         return row
 
     def settle(self) -> None:
         """Move the new segments to the arrays."""
-        if not self.new:
+        if not self.fresh:
             return
-        fresh = self.paths[len(self.count) :]
-        counts = np.array([len(p[0]) for p in fresh], np.int64)
-        starts = len(self.ids) + np.cumsum(counts) - counts
-        self.ids = np.concatenate([self.ids, np.array([i for p in fresh for i in p[0]], np.int32)])
+        counts = np.array([len(ids) for ids, _, _ in self.fresh], np.int64)
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(counts) - counts])
+        self.ids = np.concatenate([self.ids, np.array([i for ids, _, _ in self.fresh for i in ids], np.int32)])
         self.count = np.concatenate([self.count, counts])
-        self.start = np.concatenate([self.start, starts])
-        self.score = np.concatenate([self.score, np.array([s for s, _ in self.new])])
-        self.loss = np.concatenate([self.loss, np.array([x for _, x in self.new]).reshape(len(self.new), self.n - 1)])
-        self.new = []
+        self.uses = np.concatenate([self.uses, np.zeros(len(counts), np.int64)])
+        self.score = np.concatenate([self.score, np.array([s for _, s, _ in self.fresh])])
+        self.loss = np.concatenate([self.loss, np.array([x for _, _, x in self.fresh]).reshape(len(counts), self.n - 1)])
+        self.fresh = []
+
+    def shrink(self) -> None:
+        if self.rows <= CACHE:
+            return
+        stay = np.flatnonzero(self.uses >= KEPT_USES)[: CACHE // 2]
+        number = np.full(self.rows, -1, np.int64)
+        number[stay] = np.arange(len(stay))
+        kept = {s: int(number[r]) for s, r in self.items() if number[r] >= 0}
+        self.clear()
+        self.update(kept)
+        self.ids = self.ids[spread(self.start[stay], self.count[stay])]
+        self.count = self.count[stay]
+        self.start = np.cumsum(self.count) - self.count
+        self.uses, self.score, self.loss, self.rows = self.uses[stay] // 2, self.score[stay], self.loss[stay], len(stay)
+
+    def path(self, segment: str, rank: int) -> list[int]:
+        """The ids of a segment's path of this rank; few are asked for, so they are searched anew."""
+        found = self.recent.get(segment)
+        if found is None:
+            if len(self.recent) >= RECENT:
+                self.recent.clear()
+            found = self.recent[segment] = n_best(segment, self.pieces, self.n)
+        return found[rank][1]
 
 
 def combine(rows: np.ndarray, table: SegmentTable) -> list[tuple[float, list[tuple[int, int]]]]:
@@ -183,38 +206,32 @@ def encode(docs: DataFrame, model_path: str, n: int = 4, text: str = "text", kee
         table = SegmentTable(pieces, n)
 
         def compute(texts):
-            if len(table) > CACHE:
-                table.reset()
-            get = table.__getitem__
-            rows = []
-            for x in texts.to_pylist():
-                found = pieces.segments(x) if x else []
-                rows.append(np.fromiter(map(get, found), np.int64, len(found)))
+            table.shrink()
+            cut = Segments(texts, pieces)
+            row_of = np.array([table[x] for x in cut.distinct], np.int64)
             table.settle()
-            every = np.concatenate(rows) if rows else np.empty(0, np.int64)
-            ids = table.ids[spread(table.start[every], table.count[every])]
-            totals, scores, after = [], [], []
-            for r in rows:
-                counts = table.count[r]
-                total, score = int(counts.sum()), float(table.score[r].sum())
-                totals.append(total)
-                scores.append(score)
-                if not len(r):
-                    after.append([])
-                    continue
-                places = np.cumsum(counts) - counts
+            every = row_of[cut.index] if len(row_of) else np.empty(0, np.int64)
+            np.add.at(table.uses, every, 1)
+            counts = table.count[every]
+            ids = table.ids[spread(table.start[every], counts)]
+            at = np.concatenate([[0], np.cumsum(counts)])
+            first, last = cut.first[:-1], cut.first[1:]
+            totals = at[last] - at[first]
+            scores = [float(table.score[every[a:b]].sum()) for a, b in zip(first.tolist(), last.tolist())]
+            after = []
+            for d, (a, b) in enumerate(zip(first.tolist(), last.tolist())):
                 entries = []
-                for loss, choice in combine(r, table)[1:]:
-                    edits = [(int(places[k]), int(counts[k]), table.paths[r[k]][rank]) for k, rank in choice]
+                for loss, choice in combine(every[a:b], table)[1:] if b > a else ():
+                    edits = [(int(at[a + k] - at[a]), int(counts[a + k]), table.path(cut.distinct[cut.index[a + k]], rank)) for k, rank in choice]
                     entries.append(
                         {
-                            "score": score - loss,
-                            "n_pieces": total + sum(len(new) - old for _, old, new in edits),
-                            "edits": [{"at": a, "n_old": old, "ids": new} for a, old, new in edits],
+                            "score": scores[d] - loss,
+                            "n_pieces": int(totals[d]) + sum(len(new) - old for _, old, new in edits),
+                            "edits": [{"at": x, "n_old": old, "ids": new} for x, old, new in edits],
                         }
                     )
                 after.append(entries)
-            return [lists(ids, np.array(totals, np.int64), pa.int32()), pa.array(totals, pa.int32()), pa.array(scores, pa.float64()), pa.array(after, NEXT)]
+            return [lists(ids, totals, pa.int32()), pa.array(totals, pa.int32()), pa.array(scores, pa.float64()), pa.array(after, NEXT)]
 
         return compute
 
@@ -234,25 +251,43 @@ def decode_ids(ids: list[int], raw: list[bytes]) -> str:
     return b"".join([raw[i] for i in ids]).removeprefix(b" ").decode("utf-8", "replace")
 
 
+def decode_block(ids: pa.ListArray, pieces: Pieces) -> pa.Array:
+    """The texts of lists of ids, gathered from one buffer of all pieces' bytes."""
+    flat = ids.flatten().to_numpy().astype(np.int64)
+    counts = pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy().astype(np.int64)
+    start, size = pieces.raw_start[flat], pieces.raw_size[flat]
+    text = pieces.raw_bytes[spread(start, size)]
+    borders = np.concatenate([[0], np.cumsum(size)])
+    offsets = borders[np.concatenate([[0], np.cumsum(counts)])]
+    head = offsets[:-1][offsets[1:] > offsets[:-1]]
+    keep = np.ones(len(text) + 1, bool)
+    keep[head[text[head] == 32]] = False
+    offsets = offsets - np.concatenate([[0], np.cumsum(~keep)])[offsets]
+    text = text[keep[:-1]]
+    data = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(text)])
+    try:
+        out = data.cast(pa.string())
+    except pa.ArrowInvalid:
+        out = pa.array([x.decode("utf-8", "replace") for x in data.to_pylist()], pa.string())
+    return pa.compute.if_else(ids.is_valid(), out, pa.scalar(None, pa.string())) if ids.null_count else out
+
+
 def decode(encoded: DataFrame, model_path: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Add ``decoded``: the text that the ids spell.
 
     Control pieces spell nothing. Null ids give a null text, no ids the empty text. A literal
     space mark (U+2581) in the encoded text comes back as a space, as in the library.
     """
-
-    kept = [c for c in (encoded.columns if keep is None else keep) if c != "decoded"]
-
+    kept = [c for c in (encoded.columns if keep is None else keep) if c.lower() != "decoded"]
     out = StructType([encoded.schema[c] for c in kept] + [StructField("decoded", StringType())])
-    source = encoded.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{ids}`").alias("__ids"))
+    source = encoded.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{ids}`").alias(unused(kept, "__ids")[0]))
     names = out.names
 
     def run(batches):
-        raw = load(model_path).raw
+        pieces = load(model_path)
         for batch in batches:
             for a in range(0, len(batch), 256):
                 part = batch.slice(a, 256)
-                texts = [None if x is None else decode_ids(x, raw) for x in part.column(len(kept)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], decode_block(part.column(len(names) - 1), pieces)], names=names)
 
     return source.mapInArrow(run, out)

@@ -5,6 +5,11 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+
+from pathfold.llm.batches import mix, span_hashes
+
 SPACE = "▁"  # the mark that stands for a space
 
 
@@ -51,20 +56,60 @@ class Pieces:
         self.raw = [bytes([byte_of[i]]) if i in byte_of else b"" for i in range(n)]
         for name, i in self.ids.items():
             self.raw[i] = name.replace(SPACE, " ").encode()
+        self.raw_bytes = np.frombuffer(b"".join(self.raw) + b" ", np.uint8)
+        self.raw_size = np.array([len(x) for x in self.raw], np.int64)
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
         # Score of each piece, None for what only begins one.
         self.begins: dict[str, float | None] = {x[:k]: None for x in self.ids for k in range(1, len(x))}
         self.begins.update(self.scores)
-        newline = "\n" if self.newline_alone else ""
-        if self.letters_alone:
-            other = rf"(?:[^\w{newline}{SPACE}]+|[\d_{odd}]+)"
-            rule = rf"{SPACE}*[^\W\d_{odd}]+|{SPACE}+{other}*|{other}+" + ("|\n" if newline else "")
-        else:
-            rule = f"{SPACE}+[^{SPACE}{newline}]*|[^{SPACE}{newline}]+" + ("|\n" if newline else "")
-        self._cut = re.compile(rule)
-
-    def segments(self, text: str) -> list[str]:
-        """Parts of the marked text that no piece crosses; joined, they give the marked text."""
-        return self._cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        # 0: space mark, 1: letter, 2: other, 3: newline; without a border between 1 and 2 all are 2.
+        self._letter = letter
+        self._kinds: np.ndarray | None = None
+
+    def kinds(self) -> np.ndarray:
+        """The kind of each code point."""
+        if self._kinds is None:
+            every = "".join(map(chr, range(0x110000)))
+            kinds = np.full(0x110000, 2, np.uint8)
+            if self.letters_alone:
+                kinds[[m.start() for m in self._letter.finditer(every)]] = 1
+            kinds[ord(SPACE)] = 0
+            if self.newline_alone:
+                kinds[10] = 3
+            self._kinds = kinds
+        return self._kinds
+
+
+class Segments:
+    """The marked texts of a block cut into segments, parts that no piece crosses.
+
+    A segment is a run of space marks with the letters, or the other characters, that follow; or
+    such a run without marks; or a newline. ``distinct`` holds the different ones, ``index`` the
+    number of each segment among them, ``first`` where each text's segments begin.
+    """
+
+    def __init__(self, texts: pa.Array, pieces: Pieces):
+        marked = [SPACE + x.replace(" ", SPACE) if x else "" for x in texts.to_pylist()]
+        joined = "".join(marked)
+        offsets = np.zeros(len(marked) + 1, np.int64)
+        np.cumsum([len(x) for x in marked], out=offsets[1:])
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = pieces.kinds()[points]
+        start = np.zeros(len(points) + 1, bool)
+        if len(points):
+            before, now = kind[:-1], kind[1:]
+            start[1:-1] = ((now != before) & ((before != 0) | (now == 3))) | (now == 3)
+        start[offsets] = True
+        borders = np.flatnonzero(start)
+        starts, ends = borders[:-1], borders[1:]
+        hashes = span_hashes(points, point_codes, starts, ends)
+        _, example, self.index = np.unique(hashes, return_index=True, return_inverse=True)
+        self.distinct = [joined[a:b] for a, b in zip(starts[example].tolist(), ends[example].tolist())]
+        self.first = np.searchsorted(starts, offsets)
+
+
+def point_codes(points: np.ndarray) -> np.ndarray:
+    return mix(points.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
 
 
 @lru_cache(maxsize=2)
