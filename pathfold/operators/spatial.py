@@ -13,6 +13,8 @@ from .tracks import CHUNK_POINTS, GAP_M, KEY, chunk_of
 
 Ring = Sequence[tuple[float, float]]
 BOUNDARY_EPS = 1e-12
+SALTS = 32
+CELL_LEVELS = 16
 FINEST_GRID = 2**15  # cells per axis; bounds the cells of a long edge
 PICK_PIXELS = 14.0
 
@@ -43,92 +45,90 @@ def polygon_bounds_of(vertices: Column) -> Column:
     )
 
 
-def _sides(polygon: Ring) -> list[tuple[float, float, float, float]]:
-    ring = check_polygon(polygon)
-    return [(*a, *b) for a, b in zip(ring, [*ring[1:], ring[0]], strict=True)]
+def sides(polygon: Ring) -> Column:
+    """The sides of a polygon as a literal array of (px, py, qx, qy)."""
+    ring = [tuple(map(float, p)) for p in check_polygon(polygon)]
+    return F.array(*[F.array(*[F.lit(v) for v in (*a, *b)]) for a, b in zip(ring, [*ring[1:], ring[0]], strict=True)])
+
+
+def sides_of(ring: Column) -> Column:
+    """The sides of an ``array<struct<x,y>>`` column."""
+    after = F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1))
+    return F.zip_with(ring, after, lambda a, b: F.array(a["x"], a["y"], b["x"], b["y"]))
 
 
 def _turn(ax, ay, bx, by, cx, cy) -> Column:
     return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
 
 
-def _any(terms: list[Column]) -> Column:
-    out = terms[0]
-    for t in terms[1:]:
-        out = out | t
-    return out
+def inside(x: Column, y: Column, ring: Column) -> Column:
+    """Even-odd test of the open interior; ``ring`` is an array of sides."""
 
+    def crosses(s: Column) -> Column:
+        slope = (s[2] - s[0]) / F.nullif(s[3] - s[1], F.lit(0.0))
+        spans = (s[1] > y) != (s[3] > y)
+        return F.coalesce(spans & (x < (y - s[1]) * slope + s[0]), F.lit(False))
 
-def inside(x: Column, y: Column, polygon: Ring) -> Column:
-    """Even-odd test of the open interior."""
-    crossings = F.lit(0)
-    for px, py, qx, qy in _sides(polygon):
-        if py == qy:
-            continue
-        spans = (F.lit(py) > y) != (F.lit(qy) > y)
-        at = (y - py) * ((qx - px) / (qy - py)) + px
-        crossings = crossings + F.when(spans & (x < at), 1).otherwise(0)
-    return crossings % 2 == 1
+    return F.aggregate(ring, F.lit(False), lambda odd, s: odd != crosses(s))
 
 
-def on_boundary(x: Column, y: Column, polygon: Ring) -> Column:
-    return _any(
-        [
-            point_segment_distance(x, y, F.lit(px), F.lit(py), F.lit(qx), F.lit(qy)) <= BOUNDARY_EPS
-            for px, py, qx, qy in _sides(polygon)
-        ]
-    )
+def on_boundary(x: Column, y: Column, ring: Column) -> Column:
+    return F.exists(ring, lambda s: point_segment_distance(x, y, s[0], s[1], s[2], s[3]) <= BOUNDARY_EPS)
 
 
-def edge_meets_boundary(x0: Column, y0: Column, x1: Column, y1: Column, polygon: Ring) -> Column:
+def edge_meets_boundary(x0: Column, y0: Column, x1: Column, y1: Column, ring: Column) -> Column:
     """Closed segment against the closed sides of the polygon."""
 
-    def one(px, py, qx, qy) -> Column:
+    def meets(s: Column) -> Column:
+        px, py, qx, qy = (s[i] for i in range(4))
         split = _turn(px, py, qx, qy, x0, y0) * _turn(px, py, qx, qy, x1, y1) <= 0
         across = _turn(x0, y0, x1, y1, px, py) * _turn(x0, y0, x1, y1, qx, qy) <= 0
         overlap = (
-            (F.least(x0, x1) <= max(px, qx))
-            & (F.greatest(x0, x1) >= min(px, qx))
-            & (F.least(y0, y1) <= max(py, qy))
-            & (F.greatest(y0, y1) >= min(py, qy))
+            (F.least(x0, x1) <= F.greatest(px, qx))
+            & (F.greatest(x0, x1) >= F.least(px, qx))
+            & (F.least(y0, y1) <= F.greatest(py, qy))
+            & (F.greatest(y0, y1) >= F.least(py, qy))
         )
         return overlap & split & across
 
-    return _any([one(*s) for s in _sides(polygon)])
+    return F.exists(ring, meets)
 
 
-def edge_intersects(polygon: Ring) -> Column:
+def edge_intersects(ring: Column) -> Column:
     """Edge (x0, y0, x1, y1) shares a point with the closed polygon."""
     x0, y0, x1, y1 = (F.col(n) for n in ("x0", "y0", "x1", "y1"))
-    return inside(x0, y0, polygon) | edge_meets_boundary(x0, y0, x1, y1, polygon)
+    return inside(x0, y0, ring) | edge_meets_boundary(x0, y0, x1, y1, ring)
 
 
-def _cut_places(polygon: Ring) -> Column:
+def _cut_places(ring: Column) -> Column:
     """Positions along an edge where it meets the sides, with 0 and 1, sorted."""
     x0, y0, x1, y1 = (F.col(n) for n in ("x0", "y0", "x1", "y1"))
     dx, dy = x1 - x0, y1 - y0
     length2 = dx * dx + dy * dy
-    places = [F.lit(0.0), F.lit(1.0)]
-    for px, py, qx, qy in _sides(polygon):
-        ex, ey = qx - px, qy - py
+
+    def places(s: Column) -> Column:
+        ex, ey = s[2] - s[0], s[3] - s[1]
         cross = dx * ey - dy * ex
-        t = ((F.lit(px) - x0) * ey - (F.lit(py) - y0) * ex) / F.when(cross != 0, cross)
-        places.append(t)
-        for vx, vy in ((px, py), (qx, qy)):  # parallel side: its ends projected on the edge
-            s = ((F.lit(vx) - x0) * dx + (F.lit(vy) - y0) * dy) / F.when(length2 > 0, length2)
-            places.append(F.when(cross == 0, s))
-    inner = F.filter(F.array(*places), lambda t: t.isNotNull() & (t >= 0) & (t <= 1))
+        met = ((s[0] - x0) * ey - (s[1] - y0) * ex) / F.when(cross != 0, cross)
+        # A parallel side: its ends projected on the edge.
+        ends = [
+            F.when(cross == 0, ((s[i] - x0) * dx + (s[i + 1] - y0) * dy) / F.when(length2 > 0, length2)) for i in (0, 2)
+        ]
+        return F.array(met, *ends)
+
+    every = F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.flatten(F.transform(ring, places)))
+    inner = F.filter(every, lambda t: t.isNotNull() & (t >= 0) & (t <= 1))
     return F.array_sort(F.array_distinct(inner))
 
 
-def edge_covered(polygon: Ring) -> tuple[Column, Column]:
+def edge_covered(ring: Column) -> tuple[Column, Column]:
     """(edge lies in the closed polygon, edge reaches the open interior).
 
     An edge clear of the boundary is decided by one end.  One that meets it is cut there;
     between cuts it cannot change sides, so one middle point decides each piece.
     """
     x0, y0, x1, y1 = (F.col(n) for n in ("x0", "y0", "x1", "y1"))
-    cuts = _cut_places(polygon)
+    cuts = _cut_places(ring)
     middles = F.zip_with(
         F.slice(cuts, 1, F.size(cuts) - 1),
         F.slice(cuts, 2, F.size(cuts) - 1),
@@ -140,13 +140,13 @@ def edge_covered(polygon: Ring) -> tuple[Column, Column]:
 
     def closed(t: Column) -> Column:
         x, y = at(t)
-        return inside(x, y, polygon) | on_boundary(x, y, polygon)
+        return inside(x, y, ring) | on_boundary(x, y, ring)
 
     def opened(t: Column) -> Column:
         x, y = at(t)
-        return inside(x, y, polygon) & ~on_boundary(x, y, polygon)
+        return inside(x, y, ring) & ~on_boundary(x, y, ring)
 
-    meets, begins_inside = edge_meets_boundary(x0, y0, x1, y1, polygon), inside(x0, y0, polygon)
+    meets, begins_inside = edge_meets_boundary(x0, y0, x1, y1, ring), inside(x0, y0, ring)
     return (
         F.when(meets, F.forall(middles, closed)).otherwise(begins_inside),
         F.when(meets, F.exists(middles, opened)).otherwise(begins_inside),
@@ -169,9 +169,12 @@ def polygon_filter(
             (c("xmin") >= xmin) & (c("xmax") <= xmax) & (c("ymin") >= ymin) & (c("ymax") <= ymax)
         )
     candidates = activities.where(near).select("activity_id")
-    routes = edges.join(candidates, "activity_id", "left_semi")
+    # Salted: the edges of a long route are dealt over tasks.
+    salt = F.pmod(F.xxhash64("seq"), F.lit(SALTS)).cast("int")
+    copies = candidates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    routes = edges.withColumn("_salt", salt).join(copies, ["activity_id", "_salt"], "left_semi")
     if predicate == "within":
-        covered, interior = edge_covered(polygon)
+        covered, interior = edge_covered(sides(polygon))
         hit = routes.groupBy("activity_id").agg(
             (F.min(covered.cast("int")) + F.max(interior.cast("int"))).alias("_h")
         )
@@ -184,19 +187,55 @@ def polygon_filter(
         & (F.greatest("y0", "y1") >= ymin)
         & (F.least("y0", "y1") <= ymax)
     )
-    return routes.where(reach).where(edge_intersects(polygon)).select("activity_id").distinct()
+    return routes.where(reach).where(edge_intersects(sides(polygon))).select("activity_id").distinct()
+
+
+def _cell_level(width: Column, height: Column) -> Column:
+    """The finest level whose cells (360 / 2 ** level degrees) are no smaller than a box."""
+    size = F.greatest(width, height, F.lit(360.0 / 2**CELL_LEVELS))
+    return F.greatest(F.lit(0), F.floor(F.log2(F.lit(360.0) / size)).cast("int"))
 
 
-def polygon_join(edges: DataFrame, polygons: dict[str, Ring]) -> DataFrame:
-    """(polygon_id, activity_id) of every intersecting pair, for a list of polygons.
+def _cells(box: tuple[Column, ...], level: Column) -> Column:
+    """The cells of a level, four at most, that a box of that level or a finer one meets."""
+    scale = F.pow(F.lit(2.0), level) / 360
 
-    Each polygon is a literal, so an edge is tested in place and nothing is paired up.
+    def span(a: Column, b: Column) -> Column:
+        return F.sequence(F.floor((a + 180) * scale), F.floor((b + 180) * scale))
+
+    return F.flatten(
+        F.transform(span(box[0], box[2]), lambda x: F.transform(span(box[1], box[3]), lambda y: F.struct(level.alias("level"), x.alias("x"), y.alias("y"))))
+    )
+
+
+def polygon_join(edges: DataFrame, polygons: DataFrame) -> DataFrame:
+    """(polygon_id, activity_id) of every pair where a route meets a polygon.
+
+    ``polygons`` is (polygon_id, ring: array<struct<x,y>>).  An equi-join on grid cells: a polygon
+    and an edge meet in the cells of the coarser of their two levels, where each has four cells at
+    most.  Edges are listed at their own level and at the levels of polygons coarser than that;
+    there are at most ``CELL_LEVELS`` + 1 levels.  The boxes, then the exact test decide.
     """
-    hits = F.filter(
-        F.array(*[F.when(edge_intersects(ring), F.lit(name)) for name, ring in polygons.items()]),
-        lambda name: name.isNotNull(),
+    c = F.col
+    b = polygon_bounds_of(c("ring"))
+    areas = polygons.select("polygon_id", sides_of(c("ring")).alias("ring"), b.alias("b")).withColumn(
+        "own", _cell_level(c("b.xmax") - c("b.xmin"), c("b.ymax") - c("b.ymin"))
     )
-    return edges.select("activity_id", F.explode(hits).alias("polygon_id")).distinct()
+    levels = sorted(r.own for r in areas.select("own").distinct().collect())  # CELL_LEVELS + 1 rows at most
+    coarser = F.filter(F.array(*[F.lit(v) for v in levels]).cast("array<int>"), lambda v: v < c("own"))
+    box = (F.least("x0", "x1"), F.least("y0", "y1"), F.greatest("x0", "x1"), F.greatest("y0", "y1"))
+    listed = edges.withColumn("own", _cell_level(box[2] - box[0], box[3] - box[1])).select(
+        "activity_id", "x0", "y0", "x1", "y1", c("own").alias("edge_level"),
+        F.explode(F.flatten(F.transform(F.concat(coarser, F.array("own")), lambda v: _cells(box, v)))).alias("cell"),
+    )
+    corner = (c("b.xmin"), c("b.ymin"), c("b.xmax"), c("b.ymax"))
+    spread = areas.select(
+        "polygon_id", "ring", "b", c("own").alias("area_level"),
+        F.explode(F.flatten(F.transform(F.sequence(F.lit(0), c("own")), lambda v: _cells(corner, v)))).alias("cell"),
+    )
+    met = listed.join(spread, "cell").where(c("cell.level") == F.least("edge_level", "area_level"))
+    close = (box[2] >= c("b.xmin")) & (box[0] <= c("b.xmax")) & (box[3] >= c("b.ymin")) & (box[1] <= c("b.ymax"))
+    return met.where(close).where(edge_intersects(c("ring"))).select("polygon_id", "activity_id").distinct()
 
 
 def point_segment_distance(px, py, x0, y0, x1, y1) -> Column:
@@ -222,9 +261,6 @@ def on_unit_square(edges: DataFrame) -> DataFrame:
     )
 
 
-SALTS = 32
-
-
 def pick_tolerance(zoom: float) -> float:
     return PICK_PIXELS / (512 * 2**zoom) * 2.5
 

@@ -22,6 +22,7 @@ from .base import (
     r,
     records,
     rounded,
+    table,
     view,
     with_activities,
     with_flags,
@@ -258,26 +259,25 @@ def _(spark, d):
     return sp.polygon_filter(sel.semi(rows, runs), lines, RING)
 
 
-RINGS = {
-    "north": [(-105.0, 40.0), (-104.0, 40.0), (-104.5, 40.4)],
-    "south": [(-105.0, 39.45), (-104.0, 39.45), (-104.4, 39.8), (-104.6, 39.55)],
-}
+# A triangle for each nation, of four sizes.
+TRIANGLES = """SELECT n_name AS polygon_id, -105.0 + (n_nationkey % 5) * CAST(0.2 AS DOUBLE) AS x, 39.5 + n_nationkey * CAST(0.03 AS DOUBLE) AS y,
+    CAST(0.03 AS DOUBLE) + (n_nationkey % 4) * CAST(0.1 AS DOUBLE) AS r FROM nation"""
+PAIRS = crossing(RING).replace("activity_id, seq", "polygon_id, activity_id, seq").replace(ring_values(RING), "sd")
 
 
 @register(
     "polygon_join",
     with_flags(
-        f", {edges_sql()}, "
-        + ", ".join(f"t{i} AS ({crossing(ring)})" for i, ring in enumerate(RINGS.values()))
-        + " "
-        + " UNION ALL ".join(
-            f"SELECT '{name}' AS polygon_id, activity_id FROM t{i} GROUP BY 2 HAVING bool_or(crosses OR inside)"
-            for i, name in enumerate(RINGS)
-        )
+        f""", {edges_sql()}, pg AS ({TRIANGLES}), sd AS (SELECT polygon_id, x - r AS px, y AS py, x + r AS qx, y AS qy FROM pg
+        UNION ALL SELECT polygon_id, x + r, y, x, y + 2 * r FROM pg UNION ALL SELECT polygon_id, x, y + 2 * r, x - r, y FROM pg),
+        t AS ({PAIRS}) SELECT polygon_id, activity_id FROM t GROUP BY 1, 2 HAVING bool_or(crosses OR inside)"""
     ),
 )
 def _(spark, d):
-    return sp.polygon_join(tr.edges(points(spark, d)), RINGS)
+    table(spark, d, "nation").createOrReplaceTempView("nation")
+    corners = "array(named_struct('x', x - r, 'y', y), named_struct('x', x + r, 'y', y), named_struct('x', x, 'y', y + 2 * r))"
+    polygons = spark.sql(TRIANGLES).selectExpr("polygon_id", f"{corners} AS ring")
+    return sp.polygon_join(tr.edges(points(spark, d)), polygons)
 
 
 UX = "({} + 180) / 360"
