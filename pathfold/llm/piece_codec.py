@@ -9,6 +9,7 @@ best. Segments repeat, so each worker keeps the results of up to ``CACHE`` of th
 
 from __future__ import annotations
 
+from functools import lru_cache
 from heapq import heappop, heappush
 from math import inf
 
@@ -37,44 +38,42 @@ def n_best(text: str, pieces: Pieces, n: int) -> list[tuple[float, list[int]]]:
     """
     get, ids, size, absent = pieces.begins.get, pieces.ids, len(text), ()
     lowest = pieces.lowest - UNKNOWN_PENALTY
-    best = [0.0] + [-inf] * size
-    arcs: list[list[tuple[float, int, float]]] = [[] for _ in range(size + 1)]  # into each position
+    if not size:
+        return [(0.0, [])]
+    # Arcs into each position: (cost of the best path that ends in the arc, start). Sorted when
+    # the pass gets there, they give the position's best score.
+    arcs: list[list[tuple[float, int]]] = [[] for _ in range(size + 1)]
+    arcs[0].append((0.0, -1))
+    best = [0.0] * (size + 1)
     for i in range(size):
-        here = best[i]
+        into = arcs[i]
+        into.sort()
+        best[i] = here = into[0][0]
         if text[i] not in ids:  # spelt in bytes
-            arcs[i + 1].append((-here - lowest, i, lowest))
-            if here + lowest > best[i + 1]:
-                best[i + 1] = here + lowest
+            arcs[i + 1].append((here - lowest, i))
         for j in range(i + 1, size + 1):
             s = get(text[i:j], absent)
-            if s is None:
-                continue
             if s is absent:
                 break
-            arcs[j].append((-here - s, i, s))
-            if here + s > best[j]:
-                best[j] = here + s
-    # An agenda entry stands for one arc into ``at`` and for all arcs ranked after it.
-    if not size:
-        return [(0.0, [])]
-    order: list[bool] = [False] * (size + 1)
-    agenda = [(-best[size], 0, size, 0, 0.0, None)]
-    order[size] = not arcs[size].sort()
+            if s is not None:
+                arcs[j].append((here - s, i))
+    arcs[size].sort()
+    # An agenda entry stands for one arc into ``at`` and for all arcs ranked after it; ``tail`` is
+    # the cost of what follows.
+    agenda = [(arcs[size][0][0], 0, size, 0, 0.0, None)]
     out, met = [], 0
     while agenda:
         _, _, at, rank, tail, path = heappop(agenda)
         into = arcs[at]
-        cost, i, s = into[rank]
+        cost, i = into[rank]
         rank += 1
         if rank < len(into):
             met -= 1
-            heappush(agenda, (into[rank][0] - tail, met, at, rank, tail, path))
-        tail += s
+            heappush(agenda, (into[rank][0] + tail, met, at, rank, tail, path))
+        tail += cost - best[i]
         if i:
-            if not order[i]:
-                order[i] = not arcs[i].sort()
             met -= 1
-            heappush(agenda, (arcs[i][0][0] - tail, met, i, 0, tail, (i, at, path)))
+            heappush(agenda, (arcs[i][0][0] + tail, met, i, 0, tail, (i, at, path)))
             continue
         found, path = [], (0, at, path)
         while path is not None:
@@ -84,7 +83,7 @@ def n_best(text: str, pieces: Pieces, n: int) -> list[tuple[float, list[int]]]:
                 found.extend(pieces.byte_ids[b] for b in text[i:j].encode())
             else:
                 found.append(known)
-        out.append((tail, found))
+        out.append((-tail, found))
         if len(out) == n:
             break
     return out
@@ -152,6 +151,12 @@ class SegmentTable(dict):
         return found[rank][1]
 
 
+@lru_cache(maxsize=1)
+def segment_table(model_path: str, n: int) -> SegmentTable:
+    """The worker's table: it outlives the task."""
+    return SegmentTable(load(model_path), n)
+
+
 def combine(rows: np.ndarray, table: SegmentTable) -> list[tuple[float, list[tuple[int, int]]]]:
     """The n best choices over a text's segments: (loss, [(segment, rank), ...]), best first.
 
@@ -203,7 +208,7 @@ def encode(docs: DataFrame, model_path: str, n: int = 4, text: str = "text", kee
 
     def make():
         pieces = load(model_path)
-        table = SegmentTable(pieces, n)
+        table = segment_table(model_path, n)
 
         def compute(texts):
             table.shrink()
