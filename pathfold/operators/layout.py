@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import mercator_x, mercator_y
@@ -70,14 +70,19 @@ def str_order(sized: DataFrame, target_bytes: int = GROUP_BYTES) -> DataFrame:
     key = ["activity_id", "part"]
     one = centred.select(*key, "cx", "cy").distinct()
     ranked = global_rank(one, ["cx", "cy", "activity_id", "part"], "x_rank").select(*key, "x_rank")
-    in_stripe = Window.partitionBy("lod", "stripe").orderBy("cy", "cx", "activity_id", "part")
-    return (
+    striped = (
         centred.join(ranked, key)
         .join(F.broadcast(per_level), "lod")  # one row per level
         .withColumn("stripe", F.floor(c("x_rank") / c("slice_rows")).cast("long"))
-        .withColumn("position", (F.row_number().over(in_stripe) - 1).cast("long"))
         .drop("_l", "_r", "_b", "_t", "x_rank", "slice_rows")
     )
+    # Ranked over range partitions: a stripe may hold any share of the rows.
+    placed = global_rank(striped, ["lod", "stripe", "cy", "cx", "activity_id", "part"], "_rank")
+    first = placed.groupBy("lod", "stripe").agg(F.min("_rank").alias("_first"))
+    return placed.join(first, ["lod", "stripe"]).withColumn("position", c("_rank") - c("_first")).drop("_rank", "_first")
+
+
+RUN_ROWS = 1 << 16
 
 
 def greedy_groups(sizes: np.ndarray, target: int) -> np.ndarray:
@@ -94,20 +99,22 @@ def greedy_groups(sizes: np.ndarray, target: int) -> np.ndarray:
 
 
 def byte_groups(ordered: DataFrame, target_bytes: int = GROUP_BYTES) -> DataFrame:
-    """Add ``group_no`` inside each (lod, stripe); only narrow columns enter Python.
+    """Add ``group_no``, rising inside each (lod, stripe); only narrow columns enter Python.
 
-    A stripe holds about the square root of a level's rows, so one task stays small.
+    A stripe is packed in runs of ``RUN_ROWS`` positions, so a group ends at the end of a run.
     """
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("position")
         return rows.assign(group_no=greedy_groups(rows["bytes"].to_numpy(), target_bytes))
 
-    narrow = ordered.select("lod", "stripe", "position", "bytes")
-    packed = narrow.groupBy("lod", "stripe").applyInPandas(
-        pack, "lod int, stripe long, position long, bytes long, group_no long"
+    run = F.floor(F.col("position") / RUN_ROWS)
+    narrow = ordered.select("lod", "stripe", run.alias("run"), "position", "bytes")
+    packed = narrow.groupBy("lod", "stripe", "run").applyInPandas(
+        pack, "lod int, stripe long, run long, position long, bytes long, group_no long"
     )
-    return ordered.join(packed.drop("bytes"), ["lod", "stripe", "position"])
+    numbered = packed.select("lod", "stripe", "position", (F.col("run") * RUN_ROWS + F.col("group_no")).alias("group_no"))
+    return ordered.join(numbered, ["lod", "stripe", "position"])
 
 
 def str_layout(sized: DataFrame, target_bytes: int = GROUP_BYTES) -> DataFrame:

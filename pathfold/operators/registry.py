@@ -5,7 +5,7 @@ Tables are append-only: a later row of a key replaces the earlier one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranks import top_per_key
@@ -23,7 +23,6 @@ UPLOAD_STATES = (
     "ready",
     "failed",
 )
-READY_DETAIL = "Compiled dataset ready."
 
 
 def stamp() -> Column:
@@ -171,9 +170,19 @@ def stale_builds(registry: DataFrame, render_version: str) -> DataFrame:
     return registry.where(~F.col("render_version").eqNullSafe(F.lit(render_version)))
 
 
-def once_only(events: DataFrame, key: str) -> DataFrame:
-    """First event of each key."""
-    return events.dropDuplicates([key])
+def upload_transitions(events: DataFrame) -> DataFrame:
+    """(upload_id, changed_at, previous, status, allowed) of every status change of (upload_id, changed_at, status).
+
+    An upload passes its states in order and may skip some; it may fail from any of them, and
+    nothing follows ``ready`` or ``failed``.  A repeated state is no change.
+    """
+    order = F.array(*[F.lit(s) for s in UPLOAD_STATES])
+    story = Window.partitionBy("upload_id").orderBy("changed_at", "status")  # as long as an upload's states
+    told = events.withColumn("previous", F.lag("status").over(story))
+    changed = told.where(~F.col("previous").eqNullSafe(F.col("status")))
+    onwards = F.array_position(order, F.col("status")) > F.coalesce(F.array_position(order, F.col("previous")), F.lit(0))
+    ended = F.coalesce(F.col("previous").isin(*TERMINAL), F.lit(False))
+    return changed.select("upload_id", "changed_at", "previous", "status", (F.coalesce(onwards, F.lit(False)) & ~ended).alias("allowed"))
 
 
 # Identifier patterns of the registry.
@@ -185,7 +194,6 @@ PATTERNS = {
     "part_checksum": r"^[A-Za-z0-9+/]{43}=$",
 }
 MAX_UPLOAD_BYTES = 5_000_000_000
-MAX_PARTS = 10_000
 
 
 def matches(column, pattern: str) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathfold.functions import scalar as sc
 from pathfold.operators import dimensions as dim
 from pathfold.operators import registry as reg
 from pathfold.plans import writers
@@ -12,7 +14,7 @@ from pathfold.sources import archive
 from pathfold.sources.files import row_group_facts
 from pathfold.streaming import live
 
-from .base import activities, flagged, q, r, rounded, stamp, table, with_activities
+from .base import activities, flagged, points, q, r, rounded, stamp, table, with_activities, with_points
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -248,6 +250,125 @@ def _(spark, d):
     return archive.filter_archive_entries(listing, 100_000, 1_000_000_000, 20_000_000_000).select("name")
 
 
+# Documents hold FILE_POINTS points of a track each, so none grows with its track.
+FILE_POINTS = 4096
+
+
+def track_files(spark, d, point) -> DataFrame:
+    """(file, text) of the derived tracks, with one XML element a point."""
+    rows = points(spark, d).select(
+        "activity_id", F.floor(F.col("seq") / FILE_POINTS).alias("n"), "seq", point.alias("xml")
+    )
+    told = F.array_sort(F.collect_list(F.struct("seq", "xml")))
+    return rows.groupBy("activity_id", "n").agg(told.alias("told")).select(
+        F.concat_ws("#", "activity_id", "n").alias("file"), F.concat_ws("", F.transform("told", lambda t: t["xml"])).alias("body")
+    )
+
+
+def element(name: str, value) -> Column:
+    return F.when(value.isNotNull(), F.concat(F.lit(f"<{name}>"), value.cast("string"), F.lit(f"</{name}>"))).otherwise("")
+
+
+def parsed_points(rows: DataFrame, *names: str) -> DataFrame:
+    number = F.substring_index("activity_id", "#", -1).cast("long")
+    seconds = F.unix_seconds(F.col("ts")) - F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return rows.select(
+        F.substring_index("activity_id", "#", 1).alias("activity_id"),
+        (number * FILE_POINTS + F.col("seq")).alias("seq"),
+        seconds.cast("double").alias("t"),
+        *names,
+    )
+
+
+@register("gpx_points", with_points("SELECT activity_id, seq, t, lon, lat, ele FROM pts"))
+def _(spark, d):
+    """The derived points written as GPX and read back."""
+    when = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    place = F.format_string('<trkpt lat="%s" lon="%s">', F.col("lat").cast("string"), F.col("lon").cast("string"))
+    point = F.concat(place, element("ele", F.col("ele")), element("time", when), F.lit("</trkpt>"))
+    whole = F.concat(F.lit('<gpx xmlns="http://www.topografix.com/GPX/1/1"><trk><trkseg>'), "body", F.lit("</trkseg></trk></gpx>"))
+    return parsed_points(archive.parse_gpx(track_files(spark, d, point).select("file", whole.alias("text"))), "lon", "lat", "ele")
+
+
+@register("tcx_points", with_points("SELECT activity_id, seq, t, lon, lat, ele, hr, cadence, power FROM pts"))
+def _(spark, d):
+    """The derived points written as TCX and read back."""
+    when = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    place = F.concat(F.lit("<Position>"), element("LatitudeDegrees", F.col("lat")), element("LongitudeDegrees", F.col("lon")), F.lit("</Position>"))
+    heart = F.when(F.col("hr").isNull(), "").otherwise(F.concat(F.lit("<HeartRateBpm>"), element("Value", F.col("hr")), F.lit("</HeartRateBpm>")))
+    point = F.concat(
+        F.lit("<Trackpoint>"), element("Time", when), place, element("AltitudeMeters", F.col("ele")), heart,
+        element("Cadence", F.col("cadence")), element("Watts", F.col("power")), F.lit("</Trackpoint>"),
+    )
+    whole = F.concat(F.lit("<TrainingCenterDatabase><Activities><Activity><Lap><Track>"), "body", F.lit("</Track></Lap></Activity></Activities></TrainingCenterDatabase>"))
+    read = archive.parse_tcx(track_files(spark, d, point).select("file", whole.alias("text")))
+    return parsed_points(read, "lon", "lat", "ele", "hr", "cadence", "power")
+
+
+@register(
+    "dataset_files",
+    with_activities(
+        f"SELECT activity_family, count(*) AS activities, CAST(sum(point_count) AS BIGINT) AS points, {q('sum(distance_m)', 1)} AS distance_m FROM activities GROUP BY 1"
+    ),
+)
+def _(spark, d):
+    """A dataset finished from its shards: totals of the shards that the file table names, and every check."""
+    from pathfold.operators import tracks as tr
+    from pathfold.plans import compile as cp
+
+    root = scratch_path(spark, "finished")
+    parts = tr.track_parts(flagged(spark, d))
+    writers.write_canonical(parts.join(activities(spark, d), "activity_id"), root)
+    none = spark.createDataFrame([], "source_path string, source_activity_id string, stage string, reason_code string, message string")
+    writers.write_rejections(none, root)
+    cp.finish_dataset(spark, root)
+    cp.validate_dataset(spark, root)
+    files = writers.manifest_files(spark, root).where("kind = 'activities'").select("path", "row_count")
+    rows = spark.read.parquet(f"{root}/activities").where("part = 0").select(
+        "activity_family", "activity_id", "point_count", "distance_m", F.regexp_extract(F.col("_metadata.file_path"), "(activities/.*)$", 1).alias("path")
+    )
+    return rounded(
+        rows.join(files, "path").groupBy("activity_family").agg(
+            F.count(F.lit(1)).alias("activities"), F.sum("point_count").alias("points"), F.sum("distance_m").alias("distance_m")
+        ),
+        1,
+    )
+
+
+STORY = """SELECT event_id % 997 AS upload_id, event_id AS changed_at, CASE event_id // 997 % 11 WHEN 0 THEN 'uploading' WHEN 1 THEN 'pending' WHEN 2 THEN 'queued' WHEN 3 THEN 'queued'
+    WHEN 4 THEN 'downloading' WHEN 5 THEN (CASE WHEN user_id % 3 = 0 THEN 'submitting' ELSE 'compiling' END) WHEN 6 THEN 'publishing' WHEN 7 THEN 'ready' WHEN 8 THEN 'failed' WHEN 9 THEN 'lost' ELSE 'uploading' END AS status FROM events"""
+STATES = "['" + "', '".join(reg.UPLOAD_STATES) + "']"
+
+
+@register(
+    "upload_transitions",
+    f"""WITH s AS ({STORY}), p AS (SELECT *, lag(status) OVER (PARTITION BY upload_id ORDER BY changed_at, status) AS previous FROM s)
+      SELECT upload_id, changed_at, previous, status, coalesce(list_position({STATES}, status), 0) > coalesce(list_position({STATES}, previous), 0) AND coalesce(previous NOT IN ('ready', 'failed'), true) AS allowed
+      FROM p WHERE previous IS DISTINCT FROM status""",
+)
+def _(spark, d):
+    table(spark, d, "events").createOrReplaceTempView("events")
+    return reg.upload_transitions(spark.sql(STORY.replace("//", "DIV")))
+
+
+@register(
+    "rejection_json",
+    "SELECT event_id, 'f' || user_id || '.gpx' AS source_path, CASE WHEN event_id % 3 <> 0 THEN CAST(event_id AS VARCHAR) END AS source_activity_id, 'parse' AS stage, event_type AS reason_code, props AS message FROM events",
+)
+def _(spark, d):
+    """Rejections as JSON text and back."""
+    record = F.struct(
+        F.format_string("f%d.gpx", "user_id").alias("source_path"),
+        F.when(F.col("event_id") % 3 != 0, F.col("event_id").cast("string")).alias("source_activity_id"),
+        F.lit("parse").alias("stage"),
+        F.col("event_type").alias("reason_code"),
+        F.col("props").alias("message"),
+    )
+    told = table(spark, d, "events").select("event_id", record.alias("r"))
+    text = told.select("event_id", sc.rejection_to_json("r").alias("j"))
+    return text.select("event_id", sc.rejection_from_json("j").alias("r")).select("event_id", "r.*")
+
+
 SETTINGS = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'sport_type' WHEN 1 THEN 'gone' WHEN 2 THEN '' WHEN 3 THEN 'single' END AS animate_by,
     CASE event_id % 3 WHEN 0 THEN 'month_day' WHEN 1 THEN 'gone' END AS color_by, event_id % 9 AS animation_step, event_id % 2 = 0 AS playing,
     CASE WHEN event_id % 31 = 1 THEN CAST('Infinity' AS DOUBLE) WHEN event_id % 31 = 2 THEN CAST('NaN' AS DOUBLE) WHEN event_id % 5 <> 0 THEN value - 3 END AS window_size,
