@@ -7,14 +7,16 @@ repeat, so each worker keeps the counts of up to twice ``CACHE`` of them.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
 
 from pathfold.llm.batches import add_columns
-from pathfold.llm.pieces import Pieces, load
+from pathfold.llm.pieces import Pieces, Segments, load
 
 CACHE = 1 << 19
 
@@ -84,6 +86,12 @@ class SegmentCounts(dict):
         return out
 
 
+@lru_cache(maxsize=1)
+def segment_counts(model_path: str) -> SegmentCounts:
+    """The worker's counts: they outlive the task."""
+    return SegmentCounts(load(model_path))
+
+
 def count_tokens(
     docs: DataFrame, model_path: str, limit: int = 4096, text: str = "text", keep: list[str] | None = None
 ) -> DataFrame:
@@ -97,13 +105,15 @@ def count_tokens(
 
     def make():
         pieces = load(model_path)
-        counts = SegmentCounts(pieces)
+        counts = segment_counts(model_path)
 
         def compute(texts):
             sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).cast(pa.int64())
-            get = counts.__getitem__
-            tokens = [sum(map(get, pieces.segments(x))) if x else 0 for x in texts.to_pylist()]
-            return [sizes, pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())]
+            cut = Segments(texts, pieces)
+            each = np.array([counts[s] for s in cut.distinct], np.int64)
+            below = np.concatenate([[0], np.cumsum(each[cut.index])])
+            tokens = below[cut.first[1:]] - below[cut.first[:-1]]
+            return [sizes, pa.array(tokens), pa.array(tokens > limit)]
 
         return compute
 
