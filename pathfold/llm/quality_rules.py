@@ -186,7 +186,7 @@ def certify(docs: DataFrame, labels: DataFrame, stratum: str, alpha: float, delt
 def judge_quality(
     docs: DataFrame,
     labels: DataFrame,
-    alpha: float = 0.02,
+    alpha: float = 0.05,
     delta: float = 0.05,
     stratum: str = "lang",
     keep: list[str] | None = None,
