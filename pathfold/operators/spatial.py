@@ -251,14 +251,35 @@ def continuous(edges: DataFrame, gap_m: float = GAP_M) -> DataFrame:
     return edges.where(haversine_m("x0", "y0", "x1", "y1") <= gap_m)
 
 
-def on_unit_square(edges: DataFrame) -> DataFrame:
-    return edges.select(
-        *[c for c in edges.columns if c not in ("x0", "y0", "x1", "y1")],
+def on_unit_square(edges: DataFrame, wrap: bool = True) -> DataFrame:
+    """Edges in projected coordinates from 0 to 1.
+
+    With ``wrap``, a leg that is shorter the other way round the globe becomes two pieces that end
+    at the antimeridian, so that it does not span the whole square.
+    """
+    kept = [F.col(c) for c in edges.columns if c not in ("x0", "y0", "x1", "y1")]
+    flat = edges.select(
+        *kept,
         unit_x("x0").alias("x0"),
         unit_y("y0").alias("y0"),
         unit_x("x1").alias("x1"),
         unit_y("y1").alias("y1"),
     )
+    if not wrap:
+        return flat
+    x0, y0, x1, y1 = (F.col(n) for n in ("x0", "y0", "x1", "y1"))
+
+    def piece(*values: Column) -> Column:
+        return F.struct(*[v.alias(n) for v, n in zip(values, ("x0", "y0", "x1", "y1"), strict=True)])
+
+    rim = F.when(x1 > x0, 0.0).otherwise(1.0)  # where the leg leaves the square
+    beyond = F.when(x1 > x0, x1 - 1).otherwise(x1 + 1)
+    height = y0 + (y1 - y0) * (rim - x0) / F.when(beyond != x0, beyond - x0)
+    height = F.coalesce(height, y0)
+    pieces = F.when(
+        F.abs(x1 - x0) > 0.5, F.array(piece(x0, y0, rim, height), piece(1 - rim, height, x1, y1))
+    ).otherwise(F.array(piece(x0, y0, x1, y1)))
+    return flat.select(*kept, F.explode(pieces).alias("_leg")).select(*kept, "_leg.*")
 
 
 def pick_tolerance(zoom: float) -> float:
@@ -343,7 +364,7 @@ def tile_segments(
 
     c = F.col
     return (
-        on_unit_square(edges)
+        on_unit_square(edges, wrap=zoom > 0)  # one tile holds both pieces
         .withColumn("tile_x", F.explode(tiles(F.least("x0", "x1"), F.greatest("x0", "x1"), x_first, x_last)))
         .withColumn("tile_y", F.explode(tiles(F.least("y0", "y1"), F.greatest("y0", "y1"), y_first, y_last)))
         .select("tile_x", "tile_y", "activity_id", "seq")

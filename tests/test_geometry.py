@@ -262,3 +262,26 @@ def test_as_of_forward(spark):
     assert got == {0.0: 0, 15.0: 2, 50.0: 5}
     shares = {r.ratio: r.seq for r in spatial.profile_at(profile, [0.0, 0.31, 1.0], 2).collect()}
     assert shares == {0.0: 0, 0.31: 2, 1.0: 5}
+
+
+def test_legs_over_the_antimeridian(spark):
+    legs = spark.createDataFrame([("a", 0, 179.9, 10.0, -179.9, 10.2), ("b", 0, 0.0, 10.0, 0.1, 10.0)], "activity_id string, seq long, x0 double, y0 double, x1 double, y1 double")
+    tiles = spatial.tile_segments(legs, 8).where("activity_id = 'a'").collect()
+    assert {r.tile_x for r in tiles} == {0, 255}
+    assert spatial.tile_segments(legs, 0).count() == 2
+    probes = spark.createDataFrame([(1, -179.95, 10.15), (2, 179.95, 10.05), (3, 90.0, 10.1)], "probe_id long, lon double, lat double")
+    found = {r.probe_id: r.activity_id for r in spatial.nearest_route(probes, legs, 0.001).collect()}
+    assert found == {1: "a", 2: "a"}
+
+
+def test_a_ring_of_many_vertices(spark):
+    import math
+
+    ring = [(math.cos(i / 250 * math.pi), math.sin(i / 250 * math.pi)) for i in range(500)]
+    rows = [("in", 0, 0.1, 0.0, 0.2, 0.3), ("out", 0, 1.2, 0.0, 1.3, 0.1), ("through", 0, -2.0, 0.1, 2.0, 0.1)]
+    edges = spark.createDataFrame(rows, "activity_id string, seq long, x0 double, y0 double, x1 double, y1 double")
+    boxes = spark.createDataFrame([(i, min(a, c), min(b, d), max(a, c), max(b, d)) for i, _, a, b, c, d in rows], "activity_id string, xmin double, ymin double, xmax double, ymax double")
+    assert {r[0] for r in spatial.polygon_filter(boxes, edges, ring).collect()} == {"in", "through"}
+    assert {r[0] for r in spatial.polygon_filter(boxes, edges, ring, "within").collect()} == {"in"}
+    polygons = spark.createDataFrame([("disc", ring), ("far", [(5.0, 5.0), (6.0, 5.0), (5.0, 6.0)]), ("globe", [(-170.0, -80.0), (170.0, -80.0), (0.0, 80.0)])], "polygon_id string, ring array<struct<x: double, y: double>>")
+    assert {tuple(r) for r in spatial.polygon_join(edges, polygons).collect()} == {("disc", "in"), ("disc", "through"), ("globe", "in"), ("globe", "out"), ("globe", "through")}
