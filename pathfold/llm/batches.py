@@ -201,18 +201,30 @@ def ddl(schema: str | StructType) -> StructType:
     return StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
 
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> None:
+    """Texts are long, so at most ``BATCH_ROWS`` of them go to a Python worker at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, BATCH_ROWS)
+
+
 def add_columns(
     df: DataFrame,
     make: Callable[[], Callable[..., list[pa.Array]]],
     added: str,
     inputs: list[Column | str],
     keep: list[str] | None = None,
+    limit: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``keep`` columns (all by default) and the ``added`` ones that ``make()`` computes per block.
 
     ``inputs`` go to the function, the first being the text that sizes the blocks. A kept column
     with the name of an added one is replaced.
     """
+    small_batches(df)
     new = ddl(added)
     added_names = {c.lower() for c in new.names}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in added_names]
@@ -227,7 +239,7 @@ def add_columns(
     def run(batches):
         compute = make()
         for batch in batches:
-            for a, b in blocks(batch.column(width)):
+            for a, b in blocks(batch.column(width), limit):
                 part = batch.slice(a, b - a)
                 out = compute(*[part.column(i) for i in columns])
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], *out], names=names)
@@ -239,6 +251,7 @@ def expand(
     df: DataFrame, make: Callable[[], Callable[..., dict[str, pa.Array] | None]], schema: str, inputs: list[Column | str]
 ) -> DataFrame:
     """Any number of rows from each block of texts."""
+    small_batches(df)
     out_schema = ddl(schema)
     names = out_schema.names
     given = [F.col(f"`{c}`") if isinstance(c, str) else c for c in inputs]

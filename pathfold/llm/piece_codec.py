@@ -4,7 +4,7 @@ The lattice of a text is a chain of segments that no piece crosses. In each segm
 Viterbi pass gives the best score of every prefix; these scores are the exact heuristic of an A*
 search that walks back from the end, so complete paths leave its agenda best first. The texts'
 n best segmentations combine those of their segments, again best first, by the loss against the
-best. Segments repeat, so each worker keeps the results of up to ``CACHE`` of them.
+best. Segments repeat, so each worker keeps the results of a bounded number of them.
 """
 
 from __future__ import annotations
@@ -22,9 +22,10 @@ from pyspark.sql.types import StringType, StructField, StructType
 from pathfold.llm.batches import add_columns, lists, spread, unused
 from pathfold.llm.pieces import Pieces, Segments, load
 
-CACHE = 1 << 19
+CACHE = 400_000
+BLOCK_BYTES = 1 << 20
 KEPT_USES = 3
-RECENT = 1 << 14
+RECENT = 1 << 12
 UNKNOWN_PENALTY = 10.0
 
 
@@ -95,9 +96,9 @@ class SegmentTable(dict):
     When it is full, only the segments seen ``KEPT_USES`` times or more stay.
     """
 
-    def __init__(self, pieces: Pieces, n: int):
+    def __init__(self, pieces: Pieces, n: int, cache: int = CACHE):
         super().__init__()
-        self.pieces, self.n = pieces, n
+        self.pieces, self.n, self.cache = pieces, n, cache
         self.fresh: list[tuple[list[int], float, list[float]]] = []
         self.rows = 0
         self.ids = np.empty(0, np.int32)
@@ -128,9 +129,9 @@ class SegmentTable(dict):
         self.fresh = []
 
     def shrink(self) -> None:
-        if self.rows <= CACHE:
+        if self.rows <= self.cache:
             return
-        stay = np.flatnonzero(self.uses >= KEPT_USES)[: CACHE // 2]
+        stay = np.flatnonzero(self.uses >= KEPT_USES)[: self.cache // 2]
         number = np.full(self.rows, -1, np.int64)
         number[stay] = np.arange(len(stay))
         kept = {s: int(number[r]) for s, r in self.items() if number[r] >= 0}
@@ -152,9 +153,9 @@ class SegmentTable(dict):
 
 
 @lru_cache(maxsize=1)
-def segment_table(model_path: str, n: int) -> SegmentTable:
+def segment_table(model_path: str, n: int, cache: int) -> SegmentTable:
     """The worker's table: it outlives the task."""
-    return SegmentTable(load(model_path), n)
+    return SegmentTable(load(model_path), n, cache)
 
 
 def combine(rows: np.ndarray, table: SegmentTable) -> list[tuple[float, list[tuple[int, int]]]]:
@@ -194,9 +195,20 @@ ENCODED = (
 )
 
 
-def encode(docs: DataFrame, model_path: str, n: int = 4, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encode(
+    docs: DataFrame,
+    model_path: str,
+    n: int = 4,
+    text: str = "text",
+    keep: list[str] | None = None,
+    decoded: bool = False,
+    cache: int = CACHE,
+) -> DataFrame:
     """Add ``ids``, ``n_pieces``, ``score`` of the best segmentation and ``next_best``.
 
+    With ``decoded``, also the text that the ids spell, as :func:`decode` gives it, in the same pass.
+    ``cache`` bounds the segments a worker keeps, about 400 bytes each; it changes no result.
+
     The score of a segmentation is the sum of its pieces' scores. ``next_best`` holds the second
     to n-th best; each gives its score, its number of pieces and, against ``ids``, its edits:
     ``n_old`` ids from position ``at`` (0-based) are replaced by the edit's ids. A text with fewer
@@ -208,7 +220,7 @@ def encode(docs: DataFrame, model_path: str, n: int = 4, text: str = "text", kee
 
     def make():
         pieces = load(model_path)
-        table = segment_table(model_path, n)
+        table = segment_table(model_path, n, cache)
 
         def compute(texts):
             table.shrink()
@@ -236,11 +248,13 @@ def encode(docs: DataFrame, model_path: str, n: int = 4, text: str = "text", kee
                         }
                     )
                 after.append(entries)
-            return [lists(ids, totals, pa.int32()), pa.array(totals, pa.int32()), pa.array(scores, pa.float64()), pa.array(after, NEXT)]
+            listed = lists(ids, totals, pa.int32())
+            out = [listed, pa.array(totals, pa.int32()), pa.array(scores, pa.float64()), pa.array(after, NEXT)]
+            return [*out, decode_block(listed, pieces)] if decoded else out
 
         return compute
 
-    return add_columns(docs, make, ENCODED, [text], keep)
+    return add_columns(docs, make, ENCODED + (", decoded string" if decoded else ""), [text], keep, BLOCK_BYTES)
 
 
 def apply_edits(ids: list[int], edits: list) -> list[int]:

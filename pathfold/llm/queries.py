@@ -10,7 +10,7 @@ from pathfold.llm.fingerprints import compare_with_next
 from pathfold.llm.language_id import identify, train
 from pathfold.llm.line_dedup import dedup_lines
 from pathfold.llm.ngram_join import link_classes
-from pathfold.llm.piece_codec import decode, encode
+from pathfold.llm.piece_codec import encode
 from pathfold.llm.quality_rules import judge_quality
 from pathfold.llm.secret_scan import BASE_KINDS, scan_secrets
 from pathfold.llm.source_mix import plan_mix
@@ -38,9 +38,7 @@ def op2_token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def op3_piece_codec(spark: SparkSession, d: str) -> DataFrame:
     """Encoded texts, and the digest of what the ids decode to."""
-    model = piece_model()
-    encoded = encode(documents(spark, d, "doc_id", "text"), model, keep=["doc_id"])
-    out = decode(encoded, model)
+    out = encode(documents(spark, d, "doc_id", "text"), piece_model(), keep=["doc_id"], decoded=True)
     return out.select("doc_id", "ids", "n_pieces", "score", "next_best", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
