@@ -7,12 +7,12 @@ bound that their sizes give.
 
 *Which rows share a block.* Two sets of Jaccard similarity t or more differ in at most
 H = (1 - t) / (1 + t) (|x| + |y|) n-grams. Cut into K > H parts by a hash, at least K - H of their
-parts are equal. So each set registers a signature of every part; sets that agree in one are
-candidates, and the connected candidates are a block. K depends on the size class of the smaller
-set, so a set registers for its own class and, if it may be the larger one of a pair, for the one
-below. N-grams of crowded hash buckets (a boilerplate passage) count for no part; a set that so
-has many empty parts registers whole parts as well. Nothing is dropped: every pair that links is in
-one block.
+parts are equal. So each set registers a signature of every part; sets that agree in ``SHARED`` of
+them are candidates, and the connected candidates are a block. K depends on the size class of the
+smaller set, so a set registers for its own class and, if it may be the larger one of a pair, for
+the one below. N-grams of crowded hash buckets (a boilerplate passage) count for no part; a set
+that so has many empty parts registers whole parts as well. Nothing is dropped: every pair that
+links is in one block.
 
 *Blocks of any size.* A block of more than ``TILE_ROWS`` rows or ``TILE_GRAMS`` n-grams is dealt
 into shares, and each pair of shares is a tile of its own. A tile returns a spanning forest of its
@@ -39,6 +39,8 @@ TILE_ROWS = 512
 TILE_GRAMS = 1 << 21
 COLUMNS = 2048
 FILTER_BITS = 1 << 24
+SHARED = 3
+FEW = 16
 U = np.uint64
 
 
@@ -74,7 +76,7 @@ def parts_of(cls: int, t: float) -> tuple[int, int]:
     """(K, spare) for pairs whose smaller set is of this class.
 
     At least ``spare`` + 1 of the K parts of a linked pair are equal, so a set with at most
-    ``spare`` empty parts has an equal one that is not empty.
+    ``spare`` + 1 - ``SHARED`` empty parts has ``SHARED`` equal ones that are not empty.
     """
     small = math.ceil(2 ** ((cls + 1) / 2)) - 1  # the largest size of the class
     large = math.floor(small / t + 1e-9)
@@ -122,7 +124,7 @@ def signatures(grams: np.ndarray, doc: np.ndarray, first: np.ndarray, t: float,
                 if scheme == 0:
                     empty = np.zeros(len(sizes), np.int64)
                     np.add.at(empty, owner, ~filled)
-                    sparse = empty > spare  # such sets find each other by whole parts
+                    sparse = empty > spare + 1 - SHARED  # such sets find each other by whole parts
                     keep = filled
                 else:
                     if not sparse.any():
@@ -255,9 +257,7 @@ def link_classes(docs: DataFrame, n: int = 5, t: float = 0.8) -> DataFrame:
         return compute
 
     marks = expand(docs, make_signatures, "sig long, node long", ["text"])
-    first = F.first("node").over(Window.partitionBy("sig").orderBy("node"))
-    near = marks.select("node", first.alias("head")).filter("node <> head").distinct()
-    blocks_of = cut_lineage(components(near.select(F.col("node").alias("a"), F.col("head").alias("b"))))
+    blocks_of = cut_lineage(components(candidate_edges(marks)))
     nodes = cut_lineage(
         rows.filter("size > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"))
     )
@@ -292,6 +292,25 @@ def keep_one(docs: DataFrame, n: int = 5, t: float = 0.8) -> DataFrame:
     return single.unionByName(left.join(again, match, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
+def candidate_edges(marks: DataFrame) -> DataFrame:
+    """(a, b): edges that connect all sets that may link, from (sig, node).
+
+    Two sets that link agree in ``SHARED`` signatures or more. A signature of few sets gives its
+    pairs, which count; one of many sets ties all of them to the first. So a pair that links is
+    counted often enough, or is tied, and sets that agree by chance in one part stay apart.
+    """
+    same = Window.partitionBy("sig")
+    inside = same.orderBy("node")
+    met = marks.withColumn("n", F.count(F.lit(1)).over(same)).filter("n > 1")
+    met = met.withColumn("head", F.first("node").over(inside)).withColumn(
+        "before", F.collect_list("node").over(inside.rowsBetween(1 - FEW, -1))
+    )
+    tied = met.filter(F.col("n") > FEW).select(F.col("node").alias("a"), F.col("head").alias("b"))
+    pairs = met.filter(F.col("n") <= FEW).select(F.col("node").alias("a"), F.explode("before").alias("b"))
+    counted = pairs.filter("a <> b").groupBy("a", "b").count().filter(F.col("count") >= SHARED).select("a", "b")
+    return tied.filter("a <> b").distinct().union(counted)
+
+
 def crowded_buckets(counts: DataFrame) -> np.ndarray:
     """A bit for each bucket that holds more than ``CROWDED`` times the mean: a fixed 32 KB."""
 

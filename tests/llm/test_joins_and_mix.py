@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathfold.llm.graph import components
-from pathfold.llm.ngram_join import crowded_buckets, keep_one, link_classes, parts_of, product_links, registrations
+from pathfold.llm.ngram_join import SHARED, crowded_buckets, keep_one, link_classes, parts_of, product_links, registrations
 from pathfold.llm.source_mix import mix_sources, plan_mix, source_targets
 
 from .helpers import WORD, documents, fresh, linked, odd_rows
@@ -69,7 +69,7 @@ def test_parts_catch_every_linked_pair():
                 overlap = -(-int(round(t * 100)) * (x + y) // (100 + int(round(t * 100))))
                 differ = x + y - 2 * overlap
                 k, spare = parts_of(cls, t)
-                assert differ <= 0 or k - differ >= spare + 1
+                assert differ <= 0 or k - differ >= spare + 1 >= SHARED
 
 
 def test_product_in_slices_equals_counting(monkeypatch):
