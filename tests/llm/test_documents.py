@@ -13,7 +13,7 @@ from pathfold.llm.chat_rotation import rotate
 from pathfold.llm.fingerprints import compare_with_next, containment, distinct, fingerprint, merge_fingerprints, pack, resemblance, sketch_block, unpack
 from pathfold.llm.language_id import Model, Training, Words, identify, train
 from pathfold.llm.quality_rules import BINS, binomial_below, choose_cutoff, judge_quality
-from pathfold.llm.secret_scan import HEX, MIXED, Scan, hot_windows, scan_secrets
+from pathfold.llm.secret_scan import HEX, MIXED, Scan, hot_windows, scan_block, scan_secrets
 from pyspark.sql import functions as F
 
 from .helpers import WORD, documents, fresh, odd_rows, word_set
@@ -125,6 +125,20 @@ def test_secrets(spark):
     assert scan_secrets(documents(spark, [])).count() == 0
 
 
+def test_secrets_in_and_after_addresses():
+    key = "q7Zp2LxV9sKd4TbWn8Rf3Yc6"
+    texts = [
+        '{"url":"https://a.example/x","key":"%s","n":1}', "<a href='https://a.example/x'>%s</a>", "https://a.example/x,%s,1", "[a](https://a.example/x)(%s)",
+        "https://a.example/x;%s", "https://a.example/x?sig=%s&n=1", "https://a.example/#key=%s", "https://user:%s@a.example/x", "https://%s@a.example/x",
+        "https://hooks.a.example/services/%s", "https://a.example/api/webhooks/9/%s", "https://a.example/bot12345:%s/send", "https://a.example/key=%s",
+    ]
+    for text, spans in zip(texts, scan_block(pa.array([t % key for t in texts]), Scan())):
+        at = text.index("%s")
+        assert any(a <= at and at + len(key) <= b for k, a, b in spans if k.startswith("entropy")), text
+    plain = ["https://a.example:80/" + key, "see https://a.example/x/%s.html?n=1, or not" % key]
+    assert scan_block(pa.array(plain), Scan()) == [[], []]
+
+
 def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
