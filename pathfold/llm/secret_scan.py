@@ -2,9 +2,10 @@
 
 Candidates are runs of the characters of keys and tokens, at least a window long. In each
 character class a window slides over the candidate; its Shannon entropy comes from running counts,
-one character in and one out a step. Windows above the class's limit are joined to spans, which an
-allow-list suppresses where a known harmless pattern covers them. Spans of the fixed patterns are
-never suppressed.
+one character in and one out a step. Where a window mixes the cases the entropy alone decides; others
+must hold digits too. Windows above the limit of a class are joined to spans, which an allow-list
+suppresses where a known harmless pattern covers them; the spans of classes of one kind are joined
+then. Spans of the fixed patterns are never suppressed.
 """
 
 from __future__ import annotations
@@ -29,20 +30,34 @@ HEX_MIN, ACCESS_MIN, VALUE_MIN = 24, 20, 6
 
 @dataclass(frozen=True)
 class WindowClass:
-    """A character class: its window, the entropy limit in bits, and what a window must hold."""
+    """A character class: its window, the entropy limit in bits, and what a window must hold.
+
+    Candidates longer than ``longest`` are left to other classes; 0 is no bound.
+    """
 
     kind: str
     chars: bytes
     window: int
     limit: float
-    min_digits: int
-    min_letters: int
+    min_digits: int = 0
+    min_letters: int = 0
+    min_upper: int = 0
+    min_lower: int = 0
+    longest: int = 0
 
 
 HEX = WindowClass("entropy_hex", b"0123456789abcdefABCDEF", 20, 3.0, 3, 2)
-MIXED = WindowClass(
-    "entropy_mixed", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 20, 3.8, 3, 3
-)
+ALNUM = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+KEY_CHARS = ALNUM + b"+/_=-"
+# Both cases: the entropy decides. A word with a capital has one upper-case letter, so two of each.
+MIXED = WindowClass("entropy_mixed", KEY_CHARS, 20, 3.8, min_upper=2, min_lower=2)
+# Mostly one case, as long words and names in print are: these need digits too.
+ONE_CASE = WindowClass("entropy_mixed", KEY_CHARS, 20, 3.8, 3, 3)
+# Strings too short for a window of 20, alone or between separators of a longer one: 3.5 of at most
+# 4 bits, as 3.8 of at most 4.3.
+SHORT = WindowClass("entropy_mixed", KEY_CHARS, 16, 3.5, min_upper=3, min_lower=3, longest=19)  # of two names: two capitals
+SHORT_PART = WindowClass("entropy_mixed", ALNUM, 16, 3.5, min_upper=2, min_lower=2, longest=19)
+SHORT_ONE_CASE = WindowClass("entropy_mixed", KEY_CHARS, 16, 3.5, 3, 3, longest=19)
 # Plain parts of an address: scheme and host without user info, and path parts up to one that names a
 # hook or a key. What is not plain ends it, so user info, query values and what follows are scanned.
 ADDRESS = (
@@ -61,7 +76,7 @@ ALLOWED = (
 
 @dataclass(frozen=True)
 class Scan:
-    classes: tuple[WindowClass, ...] = (HEX, MIXED)
+    classes: tuple[WindowClass, ...] = (HEX, MIXED, ONE_CASE, SHORT, SHORT_PART, SHORT_ONE_CASE)
     allowed: tuple[bytes, ...] = field(default=ALLOWED)
 
 
@@ -85,22 +100,25 @@ def hot_windows(part: bytes, rule: WindowClass) -> list[tuple[int, int]]:
     weight = [0.0] + [c * log2(c) for c in range(1, w + 1)]
     counts = [0] * 256
     total = 0.0
-    digits = letters = 0
+    digits = upper = lower = 0
     out: list[list[int]] = []
     for i, c in enumerate(part):
         n = counts[c]
         counts[c] = n + 1
         total += weight[n + 1] - weight[n]
         digits += 48 <= c <= 57
-        letters += 65 <= c <= 90 or 97 <= c <= 122
+        upper += 65 <= c <= 90
+        lower += 97 <= c <= 122
         if i >= w:
             old = part[i - w]
             n = counts[old]
             counts[old] = n - 1
             total -= weight[n] - weight[n - 1]
             digits -= 48 <= old <= 57
-            letters -= 65 <= old <= 90 or 97 <= old <= 122
-        if i >= w - 1 and digits >= rule.min_digits and letters >= rule.min_letters and log2(w) - total / w >= rule.limit - 1e-9:
+            upper -= 65 <= old <= 90
+            lower -= 97 <= old <= 122
+        enough = digits >= rule.min_digits and upper + lower >= rule.min_letters and upper >= rule.min_upper and lower >= rule.min_lower
+        if enough and i >= w - 1 and log2(w) - total / w >= rule.limit - 1e-9:
             a = i - w + 1
             if out and a <= out[-1][1]:
                 out[-1][1] = i + 1
@@ -109,6 +127,17 @@ def hot_windows(part: bytes, rule: WindowClass) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of several classes of one kind, those that touch made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def base_spans(text: bytes) -> list[tuple[str, int, int]]:
     """The spans of the assign and access patterns (byte offsets)."""
     out = []
@@ -128,31 +157,42 @@ def scan_block(texts: pa.Array, scan: Scan) -> list[list[tuple[str, int, int]]]:
     for i in range(block.n):
         found[i] = base_spans(block.text(i))
 
-    def spots(chars: bytes, least: int):
+    def spots(chars: bytes, least: int) -> tuple[np.ndarray, np.ndarray]:
         table = np.zeros(256, bool)
         table[list(chars)] = True
-        starts, ends = runs(table[raw], breaks, least)
+        return runs(table[raw], breaks, least)
+
+    def placed(starts: np.ndarray, ends: np.ndarray):
         owner = np.searchsorted(breaks, starts, side="right") - 1
         return zip(owner.tolist(), (starts - breaks[owner]).tolist(), (ends - breaks[owner]).tolist(), starts.tolist(), ends.tolist())
 
-    for d, a, b, _, _ in spots(b"0123456789abcdef", HEX_MIN):
+    for d, a, b, _, _ in placed(*spots(b"0123456789abcdef", HEX_MIN)):
         found[d].append(("hex", a, b))
-    digit = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum((raw >= 48) & (raw <= 57), out=digit[1:])
+    below = {}
+    for name, a, b in (("digits", 48, 57), ("upper", 65, 90), ("lower", 97, 122)):
+        below[name] = np.zeros(len(raw) + 1, np.int32)
+        np.cumsum((raw >= a) & (raw <= b), out=below[name][1:])
+    least = {c: min(x.window for x in scan.classes if x.chars == c) for c in {x.chars for x in scan.classes}}
+    candidates = {c: spots(c, n) for c, n in least.items()}
     allowed = re.compile(b"|".join(b"(?:%s)" % x for x in scan.allowed)) if scan.allowed else None
     harmless: dict[int, list[tuple[int, int]]] = {}
+    hot: dict[tuple[int, str], list[tuple[int, int]]] = {}
     for rule in scan.classes:
-        for d, a, b, i, j in spots(rule.chars, rule.window):
-            if digit[j] - digit[i] < rule.min_digits:
-                continue
+        starts, ends = candidates[rule.chars]
+        able = (ends - starts >= rule.window) & (ends - starts <= (rule.longest or len(raw)))
+        for name, n in (("digits", rule.min_digits), ("upper", rule.min_upper), ("lower", rule.min_lower)):
+            able &= below[name][ends] - below[name][starts] >= n
+        for d, a, b, i, j in placed(starts[able], ends[able]):
             for x, y in hot_windows(raw[i:j].tobytes(), rule):
                 if allowed is not None:
                     if d not in harmless:
                         harmless[d] = [m.span() for m in allowed.finditer(block.text(d))]
                     if any(p <= a + x and a + y <= q for p, q in harmless[d]):
                         continue
-                found[d].append((rule.kind, a + x, a + y))
-    rank = {k: n for n, k in enumerate((*BASE_KINDS, *(c.kind for c in scan.classes)))}
+                hot.setdefault((d, rule.kind), []).append((a + x, a + y))
+    for (d, kind), spans in hot.items():
+        found[d] += [(kind, a, b) for a, b in joined(spans)]
+    rank = {k: n for n, k in enumerate((*BASE_KINDS, *dict.fromkeys(c.kind for c in scan.classes)))}
     for d, spans in enumerate(found):
         if spans:
             chars = np.zeros(int(breaks[d + 1] - breaks[d]) + 1, np.int64)

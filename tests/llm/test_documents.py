@@ -139,6 +139,19 @@ def test_secrets_in_and_after_addresses():
     assert scan_block(pa.array(plain), Scan()) == [[], []]
 
 
+def test_secrets_recall_on_random_keys():
+    rng = random.Random(4)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for chars, least in ((alnum, 0.9), (alnum[:52], 0.84)):  # with digits, letters only
+        for n in (16, 17, 18, 19, 20, 24, 32, 40):
+            keys = ["".join(rng.choice(chars) for _ in range(n)) for _ in range(2000)]
+            for frame in ("the %s.", "a/%s/thisisaverylongtail") if n < 20 else ("the %s.",):
+                spans = scan_block(pa.array([frame % k for k in keys]), Scan())
+                assert np.mean([any(k == "entropy_mixed" for k, _, _ in s) for s in spans]) >= least, (n, frame)
+    plain = ["Donaudampfschifffahrtsgesellschaft und Nordrhein-Westfalen", "INTERNATIONALIZATION", "thisisaverylongtail/andanotherone"]
+    assert scan_block(pa.array(plain), Scan()) == [[], [], []]
+
+
 def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
