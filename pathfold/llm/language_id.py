@@ -4,9 +4,11 @@ A text is its words, runs of letters in lower case, each predicted character by
 its end from the three characters before; words start from blank context. So a word has a fixed
 log probability in each language, and a block scores each of its distinct words once.
 
-Training counts come from a bounded sample of labelled documents (:class:`Training`). A model is a
-sorted array of n-gram hashes for each order with a matrix of interpolated log probabilities, a
-column a language, and the like for the weights that contexts give to the shorter order.
+Training counts come from a sample of labelled documents, bounded for each language
+(:class:`Training`); every labelled language is learned. A model is a sorted array of n-gram hashes
+for each order with a matrix of interpolated log probabilities, a column a language, and the like
+for the weights that contexts give to the shorter order. A model holds up to :data:`GROUP` languages
+and all models share one alphabet, so memory grows with the languages and not with their square.
 
 The score is the probability of the best language after tempering; the temperature and the limits
 of rejection come from other labelled documents than the counts.
@@ -21,20 +23,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathfold.llm.batches import add_columns, expand, mix, span_hashes
+from pathfold.llm.batches import add_columns, expand, lists, mix, span_hashes
 
 START, END, OTHER = 1, 2, 3  # marks; characters beyond 16 bits fold into OTHER
+GROUP = 32  # languages a model
+TEMPERS = np.geomspace(0.01, 100, 41)
 _letters: np.ndarray | None = None
 
 
 @dataclass(frozen=True)
 class Training:
-    """Bounds of the sample that is fitted on: expected documents a language, longest text, languages."""
+    """Bounds of the sample that is fitted on: expected documents a language, and the longest text.
+
+    A language all of whose texts are longer is fitted on those.
+    """
 
     documents: int = 1200
     calibration: int = 400
     max_chars: int = 20_000
-    languages: int = 64
     accepted_accuracy: float = 0.99
     entropy_quantile: float = 0.999
 
@@ -114,8 +120,11 @@ def find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Model:
     """Sorted hash arrays: for each order the n-grams' log probabilities and contexts' weights."""
 
-    def __init__(self, languages: list[str], grams: np.ndarray, counts: np.ndarray):
-        """``grams``: distinct 4-grams; ``counts``: their number in each language, a column each."""
+    def __init__(self, languages: list[str], grams: np.ndarray, counts: np.ndarray, size: int | None = None):
+        """``grams``: distinct 4-grams; ``counts``: their number in each language, a column each.
+
+        ``size``: characters that any language has, and one; by default those of ``grams``.
+        """
         self.languages = languages
         self.logp: list[tuple[np.ndarray, np.ndarray]] = []
         self.back: list[tuple[np.ndarray, np.ndarray]] = []
@@ -123,7 +132,7 @@ class Model:
         for order in (3, 2, 1):  # continuation counts: distinct characters seen before the n-gram
             above, seen = tables[0]
             tables.insert(0, group_sum(above & np.uint64((1 << 16 * order) - 1), (seen > 0).astype(np.float64)))
-        size = len(tables[0][0]) + 1
+        size = size or len(tables[0][0]) + 1
         self.unseen = np.full(len(languages), -np.log(size))
         below = None
         for order, (keys, seen) in enumerate(tables, start=1):
@@ -161,20 +170,39 @@ class Model:
         return out
 
 
-def text_scores(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+class Models:
+    """Models of up to ``GROUP`` languages each; absent n-grams and zero counts have equal scores."""
+
+    def __init__(self, languages: list[str], lang: np.ndarray, grams: np.ndarray, n: np.ndarray):
+        """``n`` of each language index and 4-gram, each pair once."""
+        self.languages = languages
+        size = len(np.unique(grams & np.uint64(0xFFFF))) + 1
+        self.parts = []
+        for start in range(0, len(languages), GROUP):
+            own = languages[start : start + GROUP]
+            rows = np.flatnonzero((lang >= start) & (lang < start + len(own)))
+            keys, at = np.unique(grams[rows], return_inverse=True)
+            counts = np.zeros((len(keys), len(own)))
+            counts[at, lang[rows] - start] = n[rows]
+            self.parts.append(Model(own, keys, counts, size))
+
+
+def text_scores(models: Models, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Total log probability of each text in each language, and its number of predicted characters."""
     words = Words(texts)
     grams, border = words.grams()
-    each = model.score(grams)
-    below = np.zeros((len(each) + 1, each.shape[1]))
-    np.cumsum(each, axis=0, out=below[1:])
-    of_words = below[border[1:]] - below[border[:-1]]
-    return words.totals(of_words), words.totals((words.lengths + 1).astype(np.float64))
+    totals = [np.zeros((words.n, 0))]
+    for part in models.parts:
+        each = part.score(grams)
+        below = np.zeros((len(each) + 1, each.shape[1]))
+        np.cumsum(each, axis=0, out=below[1:])
+        totals.append(words.totals(below[border[1:]] - below[border[:-1]]))
+    return np.concatenate(totals, axis=1), words.totals((words.lengths + 1).astype(np.float64))
 
 
 @dataclass
 class Identifier:
-    model: Model
+    model: Models
     temper: float
     limit: float
     worst: np.ndarray
@@ -198,27 +226,31 @@ def tempered(entropy: np.ndarray, n: np.ndarray, temper: float) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
-def sample(docs: DataFrame, langs: dict[str, int], size: int, max_chars: int, salt: int) -> DataFrame:
-    """Labelled rows, about ``size`` of each language, chosen by a hash of their doc_id."""
-    share = F.lit(0.0)
-    for lang, n in langs.items():
-        share = F.when(F.col("lang") == lang, min(1.0, size / n)).otherwise(share)
+def sample(docs: DataFrame, langs: dict[str, tuple[int, int]], size: int, max_chars: int, salt: int) -> DataFrame:
+    """Rows, about ``size`` of each language, chosen by a hash of their doc_id.
+
+    ``langs``: the rows of each language of up to ``max_chars`` characters, and all. A language
+    without shorter rows has a sample of the longer ones.
+    """
+    shares = [(lang, min(1.0, size / max(1, short or n)), not short) for lang, (short, n) in langs.items()]
+    table = docs.sparkSession.createDataFrame(shares, "lang string, share double, any_length boolean")
     u = F.shiftrightunsigned(F.xxhash64(F.lit(salt), "doc_id"), 11) / F.lit(float(1 << 53))
-    return docs.filter((u < share) & (F.length("text") <= max_chars))
+    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(table), "lang")
+    return rows.filter((u < F.col("share")) & (F.col("any_length") | (F.length("text") <= max_chars)))
 
 
 def train(docs: DataFrame, learn: Column, calibrate: Column, bounds: Training = Training()) -> Identifier:
     """Fit on rows (doc_id, text, lang) where ``learn``; calibrate on rows where ``calibrate``.
 
-    Each sample is bounded by :class:`Training`: languages (the most frequent ones), expected
-    documents of each, and characters of a document. Only n-gram counts and scores of these samples
-    reach the driver.
+    Every language of a row to learn from is fitted. The sample of each is bounded by
+    :class:`Training`. Only n-gram counts and a row of figures for each calibrating document reach
+    the driver.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    usable = known.filter(F.length("text") <= bounds.max_chars)
-    counted = usable.groupBy("lang").agg(F.sum(learn.cast("int")).alias("a"), F.sum(calibrate.cast("int")).alias("b"))
-    top = counted.filter("a > 0").orderBy(F.desc("a"), "lang").limit(bounds.languages).collect()
-    langs = sorted(r["lang"] for r in top)
+    short = F.length("text") <= bounds.max_chars
+    ways = {"a": learn & short, "a_all": learn, "b": calibrate & short, "b_all": calibrate}
+    counted = known.groupBy("lang").agg(*[F.count_if(x).alias(k) for k, x in ways.items()]).filter("a_all > 0").collect()
+    langs = sorted(r["lang"] for r in counted)
     number = {x: i for i, x in enumerate(langs)}
 
     def make():
@@ -237,43 +269,47 @@ def train(docs: DataFrame, learn: Column, calibrate: Column, bounds: Training =
 
         return compute
 
-    picked = sample(known.filter(learn), {r["lang"]: r["a"] for r in top}, bounds.documents, bounds.max_chars, 1)
+    picked = sample(known.filter(learn), {r["lang"]: (r["a"], r["a_all"]) for r in counted}, bounds.documents, bounds.max_chars, 1)
     grams = expand(picked, make, "lang long, gram long, n long", ["text", "lang"])
     table = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    keys, at = np.unique(table["gram"].to_numpy().view(np.uint64), return_inverse=True)
-    counts = np.zeros((len(keys), len(langs)))
-    counts[at, table["lang"].to_numpy()] = table["n"].to_numpy()
-    model = Model(langs, keys, counts)
+    model = Models(langs, table["lang"].to_numpy(), table["gram"].to_numpy().view(np.uint64), table["n"].to_numpy())
 
     def make_scores():
         def compute(texts, names):
             total, n = text_scores(model, texts)
+            entropy = -total / np.maximum(n, 1)[:, None]
+            truth = np.array([number[x] for x in names.to_pylist()], np.int64)
+            row, counts = np.arange(len(n)), np.full(len(n), len(TEMPERS))
+            each = [tempered(entropy, n, t) for t in TEMPERS]
             return {
-                "lang": pa.array([number[x] for x in names.to_pylist()], pa.int32()),
+                "lang": pa.array(truth),
                 "n": pa.array(n),
-                "total": pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * total.shape[1]), pa.array(total.ravel())),
+                "own": pa.array(entropy[row, truth]),
+                "right": pa.array(entropy.argmin(axis=1) == truth),
+                "true": lists(np.stack([p[row, truth] for p in each], axis=1).ravel(), counts, pa.float64()),
+                "top": lists(np.stack([p.max(axis=1) for p in each], axis=1).ravel(), counts, pa.float64()),
             }
 
         return compute
 
-    held = sample(known.filter(calibrate), {r["lang"]: max(1, r["b"] or 0) for r in top}, bounds.calibration, bounds.max_chars, 2)
-    rows = expand(held, make_scores, "lang int, n double, total array<double>", ["text", "lang"]).filter("n > 0").toArrow()
+    held = sample(known.filter(calibrate), {r["lang"]: (r["b"], r["b_all"]) for r in counted}, bounds.calibration, bounds.max_chars, 2)
+    scored = "lang long, n double, own double, right boolean, true array<double>, top array<double>"
+    rows = expand(held, make_scores, scored, ["text", "lang"]).filter("n > 0").toArrow()
     worst = np.full(len(langs), np.inf)
     if not len(rows):
         return Identifier(model, 1.0, 0.0, worst)
-    truth, n = rows["lang"].to_numpy(), rows["n"].to_numpy()
-    entropy = -np.array(rows["total"].to_pylist()) / n[:, None]
-    losses = [(-np.log(np.maximum(tempered(entropy, n, t)[np.arange(len(n)), truth], 1e-12)).mean(), t) for t in np.geomspace(0.01, 100, 41)]
-    temper = min(losses)[1]
-    probability = tempered(entropy, n, temper)
-    score, right = probability.max(axis=1), entropy.argmin(axis=1) == truth
+    own_all = rows["own"].to_numpy()
+    truth, right = rows["lang"].to_numpy(), rows["right"].to_numpy()
+    true, top = (rows[x].combine_chunks().flatten().to_numpy().reshape(len(rows), -1) for x in ("true", "top"))
+    best = min(range(len(TEMPERS)), key=lambda k: -np.log(np.maximum(true[:, k], 1e-12)).mean())
+    temper, score = TEMPERS[best], top[:, best]
     # The lowest score from which on the accepted share is as accurate as asked.
     order = np.argsort(-score, kind="stable")
     accuracy = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
     good = np.flatnonzero(accuracy >= bounds.accepted_accuracy)
     limit = float(score[order[good[-1]]]) if len(good) else 1.0
     for k in range(len(langs)):
-        own = entropy[truth == k, k]
+        own = own_all[truth == k]
         if len(own):
             worst[k] = np.quantile(own, bounds.entropy_quantile)
     return Identifier(model, float(temper), limit, worst)

@@ -11,7 +11,7 @@ import pytest
 from pathfold.llm import secret_scan
 from pathfold.llm.chat_rotation import rotate
 from pathfold.llm.fingerprints import compare_with_next, containment, distinct, fingerprint, merge_fingerprints, pack, resemblance, sketch_block, unpack
-from pathfold.llm.language_id import Model, Training, Words, identify, train
+from pathfold.llm.language_id import Model, Models, Training, Words, identify, train
 from pathfold.llm.quality_rules import BINS, binomial_below, choose_cutoff, judge_quality
 from pathfold.llm.secret_scan import HEX, MIXED, Scan, hot_windows, scan_block, scan_secrets
 from pyspark.sql import functions as F
@@ -273,6 +273,34 @@ def test_language_identification(spark):
     assert {r.lang_pred for r in identify(docs, none).collect()} == {"und"}
 
 
+def test_every_labelled_language_is_learned(spark):
+    """Ninety languages, each with two letters of its own; the last one has long texts only."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(90 * 8):
+        own = chr(0x4E00 + 2 * (i % 90)) + chr(0x4E01 + 2 * (i % 90))
+        words = 900 if i % 90 == 89 else 20
+        rows.append((i, " ".join("".join(rng.choice(own + "aei") for _ in range(5)) for _ in range(words)), f"l{i % 90:02}", "", 0, "", "", ""))
+    docs = documents(spark, rows)
+    fitted = train(docs, F.col("doc_id") < 90 * 5, (F.col("doc_id") >= 90 * 5) & (F.col("doc_id") < 90 * 7), Training(max_chars=1000))
+    assert fitted.model.languages == [f"l{k:02}" for k in range(90)]
+    out = identify(docs.filter(F.col("doc_id") >= 90 * 7), fitted).collect()
+    assert len(out) == 90 and all(r.lang_pred == r.lang for r in out)
+
+
+def test_models_in_groups_score_like_one():
+    rng = np.random.default_rng(1)
+    languages, grams = [f"l{k}" for k in range(70)], np.unique(Words(pa.array([fresh(random.Random(k), 60) for k in range(9)])).grams()[0])
+    counts = np.where(rng.random((len(grams), 70)) < 0.3, rng.integers(1, 9, (len(grams), 70)), 0)
+    counts[:, 0] += 1
+    at, lang = np.nonzero(counts)
+    parts = Models(languages, lang, grams[at], counts[at, lang].astype(float)).parts
+    assert len(parts) > 1
+    probe = np.concatenate([grams[::7], grams[::11] ^ np.uint64(3), grams[::13] ^ np.uint64(5 << 48)])
+    want = Model(languages, grams, counts.astype(float)).score(probe)
+    assert np.allclose(np.concatenate([p.score(probe) for p in parts], axis=1), want, atol=1e-4)
+
+
 def test_chat_rotation(spark):
     turns = [
         (1, 0, "system", "be brief"), (1, 1, "ann", "hé"), (1, 2, "bob", None), (1, 3, "ann", "<|im_end|>"), (1, 3, "ann", "<|im_end|>"),
