@@ -10,9 +10,8 @@ probability 1 - ``delta`` no stratum loses more than ``alpha`` of its good docum
 Of the certified cutoffs the one is used that rejects most bad documents, a rejected good one
 counting ``GOOD_COST`` times.
 
-Only counts by (stratum, rule, bin) leave the executors. ``MAX_STRATA`` strata with the most
-labels have cutoffs of their own, all others are pooled into one, so the table of cutoffs is
-bounded.
+Counts by (stratum, rule, bin) give each stratum with labels its own cutoffs in a grouped job, and
+documents get theirs by a join, so strata may be any number; only that number goes to the driver.
 """
 
 from __future__ import annotations
@@ -21,14 +20,13 @@ from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathfold.llm.batches import Texts, add_columns, mix
-from pathfold.session import cut_lineage
+from pathfold.llm.batches import Texts, add_columns, mix, unused
+from pathfold.session import cut_lineage, stored
 
 BINS = 200
-MAX_STRATA = 1000
 GOOD_COST = 20
 # Rule -> width of a bin; the value of bin b is from b to b + 1 widths, the last bin is open.
 RULES = {
@@ -148,14 +146,17 @@ def choose_cutoff(good: np.ndarray, bad: np.ndarray, share: float, level: float)
     return cutoff
 
 
-def certify(docs: DataFrame, labels: DataFrame, stratum: str, alpha: float, delta: float) -> dict[str | None, list[int]]:
-    """Cutoffs by stratum, from all labelled documents; at None those of the pooled strata."""
+def stratum_of(name: str) -> Column:
+    return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
+
+
+def certify(docs: DataFrame, labels: DataFrame, stratum: str, alpha: float, delta: float) -> DataFrame:
+    """(stratum, cutoffs), a row for each stratum with labels, from all labelled documents."""
 
     def make():
         return lambda texts: [pa.FixedSizeListArray.from_arrays(pa.array(measure(texts)[1].ravel()), len(RULES)).cast(pa.list_(pa.int32()))]
 
-    named = F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("")).alias("stratum")
-    bins = add_columns(docs.select("doc_id", named, "text"), make, "bins array<int>", ["text"], ["doc_id", "stratum"])
+    bins = add_columns(docs.select("doc_id", stratum_of(stratum).alias("stratum"), "text"), make, "bins array<int>", ["text"], ["doc_id", "stratum"])
     marks = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     # Documents without a label drop out before anything else is done with them.
     counts = (
@@ -165,22 +166,16 @@ def certify(docs: DataFrame, labels: DataFrame, stratum: str, alpha: float, delt
         .agg(F.sum(F.when(F.col("quality") >= 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("quality") < 1, 1).otherwise(0)).alias("bad"))
     )
     counts = cut_lineage(counts)
-    top = (
-        counts.filter("rule = 0").groupBy("stratum").agg(F.sum(F.col("good") + F.col("bad")).alias("n"))
-        .orderBy(F.desc("n"), "stratum").limit(MAX_STRATA)
-    )
-    # At most (MAX_STRATA + 1) * rules * bins rows of counts.
-    pooled = (
-        counts.join(F.broadcast(top.select("stratum", F.lit(True).alias("own"))), "stratum", "left")
-        .groupBy(F.when(F.col("own"), F.col("stratum")).alias("stratum"), "rule", "bin")
-        .agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    )
-    tables: dict[str | None, np.ndarray] = {}
-    for row in pooled.toLocalIterator():
-        at = tables.setdefault(row["stratum"], np.zeros((len(RULES), 2, BINS), np.int64))
-        at[row["rule"], :, row["bin"]] = row["good"], row["bad"]
-    tests = max(1, len(tables)) * len(RULES)
-    return {s: [choose_cutoff(t[r, 0], t[r, 1], alpha / len(RULES), delta / tests) for r in range(len(RULES))] for s, t in tables.items()}
+    tests = max(1, counts.select("stratum").distinct().count()) * len(RULES)
+
+    def choose(table: pa.Table) -> pa.Table:
+        by_bin = np.zeros((len(RULES), 2, BINS), np.int64)
+        rule, at = table["rule"].to_numpy(), table["bin"].to_numpy()
+        by_bin[rule, 0, at], by_bin[rule, 1, at] = table["good"].to_numpy(), table["bad"].to_numpy()
+        cutoffs = [choose_cutoff(good, bad, alpha / len(RULES), delta / tests) for good, bad in by_bin]
+        return pa.table([table["stratum"].slice(0, 1), pa.array([cutoffs], pa.list_(pa.int32()))], names=["stratum", "cutoffs"])
+
+    return stored(counts.groupBy("stratum").applyInArrow(choose, "stratum string, cutoffs array<int>"))
 
 
 def judge_quality(
@@ -202,16 +197,18 @@ def judge_quality(
     Equal rows are judged alike; an empty table gives an empty table. Input columns with the added
     names are replaced.
     """
-    cutoffs = certify(docs, labels, stratum, alpha, delta)
+    name, cutoffs = unused(docs.columns, "stratum", "cutoffs")
+    certified = certify(docs, labels, stratum, alpha, delta).toDF(name, cutoffs)
+    judged = docs.join(certified, stratum_of(stratum) == F.col(name), "left")
     none = [BINS] * len(RULES)
 
     def make():
-        def compute(texts, strata):
+        def compute(texts, limits):
             m, bins = measure(texts)
-            limits = np.array([cutoffs.get(s or "", cutoffs.get(None, none)) for s in strata.to_pylist()], np.int32)
+            limits = np.array([x or none for x in limits.to_pylist()], np.int32)
             rejected = (bins >= limits.reshape(len(bins), len(RULES))).any(axis=1)
             return [*arrays(m), pa.array(~(m["base_failed"] | rejected), pa.bool_())]
 
         return compute
 
-    return add_columns(docs, make, MEASURES + ", kept boolean", ["text", F.col(f"`{stratum}`").cast("string")], keep)
+    return add_columns(judged, make, MEASURES + ", kept boolean", ["text", cutoffs], docs.columns if keep is None else keep)

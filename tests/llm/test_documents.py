@@ -56,6 +56,23 @@ def test_quality_cutoffs_hold_their_promise(spark):
     assert all(kept[r[0]] for r in rare)  # a stratum without labels rejects nothing
 
 
+def test_quality_cutoffs_of_many_strata(spark):
+    """Of 1800 strata each has cutoffs of its own: those of others reject nothing in one without labels."""
+    rng = random.Random(10)
+    texts = [fresh(rng, 25) for _ in range(40)]
+    sizes = [("good", 1000, 3), ("few", 750, 2)]
+    rows = [(f"{kind}{s}", rng.choice(texts), 1) for kind, strata, n in sizes for s in range(strata) for _ in range(n)]
+    junk = [" ".join(w + "***" for w in t.split()) for t in texts]
+    rows += [(f"bad{s}", rng.choice(junk), 0) for s in range(50) for _ in range(2)]
+    rows += [("big", rng.choice(texts), 1) for _ in range(1700)] + [("big", rng.choice(junk), 0) for _ in range(60)]
+    rows += [("odd", rng.choice(junk), None) for _ in range(5)]
+    docs = documents(spark, [(i, t, s, "s", 0, "", "", "") for i, (s, t, _) in enumerate(rows)])
+    labels = spark.createDataFrame([(i, q) for i, (_, _, q) in enumerate(rows)], "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in judge_quality(docs, labels).collect()}
+    assert len(kept) == len(rows)
+    assert all(kept[i] == (s != "big" or q == 1) for i, (s, _, q) in enumerate(rows))
+
+
 def test_binomial_bound_and_cutoff():
     from math import comb
 
