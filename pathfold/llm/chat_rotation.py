@@ -1,16 +1,18 @@
 """Dialogues from every participant's point of view, with masks of what that participant says.
 
-A dialogue is cut into parts of ``BLOCK`` turn numbers, and a block with more than ``CROWD`` rows
-(many rows of one turn) by turn and by slices of a row hash, so no part grows with the dialogue.
-Each part meets each participant of its dialogue once.
+A dialogue is cut into parts of ``BLOCK`` turn numbers, and a part with more than ``CROWD`` rows (many
+rows of one turn) into slices of ``CROWD`` rows in the order of the rows, so no slice grows with the
+dialogue. Each slice meets each participant of its dialogue once.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathfold.session import cut_lineage
+
 BLOCK = 256
 CROWD = 4096
 HEAD, TAIL = "<|im_start|>", "<|im_end|>"
@@ -34,6 +36,30 @@ def render(turns: list[tuple[str | None, str | None]], me: str, system: tuple[st
     return "".join(out), masks
 
 
+def slices(rows: DataFrame) -> DataFrame:
+    """Rows (conv_id, part, late, turn, role, text) of crowded parts, each with its ``slice`` and number ``n`` there.
+
+    Equal rows are one with a count, so ranges of the distinct rows are of any size; running counts
+    within range partitions and the totals before each give every row its place in its part.
+    """
+    order = ["conv_id", "part", "late", "turn", "role", "text"]
+    ranged = rows.groupBy(*order).count().repartitionByRange(*order).sortWithinPartitions(*order)
+    laid_out = cut_lineage(ranged.withColumn("at", F.monotonically_increasing_id())).withColumn("range", F.shiftright("at", 33))
+    so_far = Window.partitionBy("range").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = laid_out.groupBy("range").agg(F.sum("count").alias("total"))
+    ranges = ranges.select("range", F.coalesce(F.sum("total").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    placed = laid_out.withColumn("inside", F.coalesce(F.sum("count").over(so_far), F.lit(0))).join(F.broadcast(ranges), "range")  # a row a range
+    placed = placed.withColumn("first", F.col("inside") + F.col("before"))
+    starts = placed.groupBy("conv_id", "part").agg(F.min("first").alias("start")).select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "start")
+    # At most a row for CROWD rows.
+    placed = placed.join(F.broadcast(starts), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")))
+    first = F.col("first") - F.col("start")
+    last = first + F.col("count") - 1
+    cut = placed.select(*order, first.alias("first"), last.alias("last"), F.explode(F.sequence(F.floor(first / CROWD), F.floor(last / CROWD))).alias("slice"))
+    n = F.least("last", F.col("slice") * CROWD + CROWD - 1) - F.greatest("first", F.col("slice") * CROWD) + 1
+    return cut.select(*order, "slice", n.cast("int").alias("n"))
+
+
 def rotate(turns: DataFrame, system: tuple[str, ...] = ("system",)) -> DataFrame:
     """(conv_id, participant, part, slice, n_turns, text, masks) from (conv_id, turn, role, text).
 
@@ -41,6 +67,7 @@ def rotate(turns: DataFrame, system: tuple[str, ...] = ("system",)) -> DataFrame
     the assistant's, other roles' are users' with the role as name, system roles' stay system.
     ``masks`` are code point ranges of ``text``, end exclusive, of the assistant's contents with
     the end mark. A dialogue's text is that of its parts, by part, then slice; nearly all have one.
+    A part has one slice, 0, unless it has more than ``CROWD`` rows; masks count from the slice.
 
     Turns come by turn number, null last; rows of one turn by role, null first, then text. A null
     role speaks as a user without name and is no participant. Null texts are empty. A null conv_id
@@ -50,21 +77,17 @@ def rotate(turns: DataFrame, system: tuple[str, ...] = ("system",)) -> DataFrame
     block = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(1 << 54))
     rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), block.alias("part"))
     sizes = rows.groupBy("conv_id", "part").count().filter(F.col("count") > CROWD)
-    sizes = sizes.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.ceil(F.col("count") / CROWD).alias("slices"))
-    crowded = rows.join(sizes, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left")
-    # In a crowded block a part is one turn number, cut by the hash of its rows.
-    own = F.pmod(F.xxhash64("role", "text"), F.col("slices"))
-    cells = crowded.select(
-        "conv_id", "part", "role", "text", "turn",
-        F.when(F.col("slices").isNotNull(), F.coalesce("turn", F.lit(1 << 62))).otherwise(0).alias("cell"),
-        F.coalesce(own, F.lit(0)).alias("slice"),
-    )
-    told = F.sort_array(F.collect_list(F.struct(F.col("turn").isNull().alias("late"), "turn", "role", "text")))
-    parts = cells.groupBy("conv_id", "part", "cell", "slice").agg(told.alias("told"))
+    sizes = sizes.select(F.col("conv_id").alias("c"), F.col("part").alias("p"))
+    marked = rows.withColumn("late", F.col("turn").isNull()).join(sizes, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left")
+    crowded = marked.filter(F.col("p").isNotNull()).drop("c", "p")
+    plain = marked.filter(F.col("p").isNull()).select("conv_id", "part", "late", "turn", "role", "text", F.lit(0).cast("long").alias("slice"), F.lit(1).alias("n"))
+    told = F.sort_array(F.collect_list(F.struct("late", "turn", "role", "text", "n")))
+    told = F.flatten(F.transform(told, lambda t: F.array_repeat(t, t["n"])))
+    parts = plain.unionByName(slices(crowded)).groupBy("conv_id", "part", "slice").agg(told.alias("told"))
     speakers = rows.filter(F.col("role").isNotNull() & ~F.col("role").isin(*system)).select(F.col("conv_id").alias("c"), F.col("role").alias("participant")).distinct()
     views = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).select(
         "conv_id", "participant",
-        F.when(F.col("cell") > 0, F.col("cell")).otherwise(F.col("part") * BLOCK).cast("long").alias("part"),
+        (F.col("part") * BLOCK).cast("long").alias("part"),
         F.col("slice").cast("int").alias("slice"),
         F.transform("told", lambda t: t["role"]).alias("roles"),
         F.transform("told", lambda t: t["text"]).alias("texts"),

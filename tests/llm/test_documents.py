@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from pathfold.llm import secret_scan
-from pathfold.llm.chat_rotation import rotate
+from pathfold.llm.chat_rotation import render, rotate
 from pathfold.llm.fingerprints import compare_with_next, containment, distinct, fingerprint, merge_fingerprints, pack, resemblance, sketch_block, unpack
 from pathfold.llm.language_id import Model, Models, Training, Words, identify, train
 from pathfold.llm.quality_rules import BINS, binomial_below, choose_cutoff, judge_quality
@@ -348,3 +348,17 @@ def test_chat_with_a_crowded_turn(spark):
     assert out.agg(F.max("n_turns")).first()[0] <= 6000
     assert {r.participant: (r.n, r.m) for r in out.groupBy("participant").agg(F.sum("n_turns").alias("n"), F.sum(F.size("masks")).alias("m")).collect()} == {
         "a": (10_000, 5000), "b": (10_000, 5000)}
+
+
+def test_chat_slices_follow_the_order_of_the_rows(spark):
+    """Slices of a crowded part, one after the other, are the part's text; repeated rows may span slices."""
+    turns = [(1, 3, "b", "same")] * 9000 + [(1, 3, "ab"[i % 2], f"{i * 7919 % 3000:04}") for i in range(3000)] + [(1, None, None, "z"), (1, 2, "a", "first"), (2, 3, "a", "x")]
+    rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(7)
+    got = sorted(((r.conv_id, r.participant, r.part, r.slice, r) for r in rotate(rows).collect()), key=lambda x: x[:4])
+    mine = [r for *_, r in got if r.conv_id == 1 and r.participant == "b" and r.part == 0]
+    assert [(r.slice, r.n_turns) for r in mine] == [(0, 4096), (1, 4096), (2, 12_001 - 8192)]
+    told = sorted((t, r, x) for c, t, r, x in turns if c == 1 and t is not None)
+    assert "".join(r.text for r in mine) == render([x[1:] for x in told], "b", ("system",))[0]
+    spoken = [r.text[m.start : m.end] for r in mine for m in r.masks]
+    assert spoken == [x + "<|im_end|>" for _, r, x in told if r == "b"]
+    assert [(r.part, r.slice, r.n_turns) for *_, r in got if r.conv_id == 2] == [(0, 0, 1)]
