@@ -1,4 +1,4 @@
-"""Streaming forms: live tracks, upload status, once-only markers, incremental compile."""
+"""Streaming forms: live tracks, upload status, once-only markers, new archive files."""
 
 from __future__ import annotations
 
