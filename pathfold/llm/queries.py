@@ -10,11 +10,14 @@ from pathfold.llm.fingerprints import compare_with_next
 from pathfold.llm.language_id import identify, train
 from pathfold.llm.line_dedup import dedup_lines
 from pathfold.llm.ngram_join import link_classes
+from pathfold.llm.oracles import REPAIR, vector_codes
 from pathfold.llm.piece_codec import encode
 from pathfold.llm.quality_rules import judge_quality
 from pathfold.llm.secret_scan import BASE_KINDS, scan_secrets
 from pathfold.llm.source_mix import plan_mix
+from pathfold.llm.structure_repair import damaged, digests, repair
 from pathfold.llm.token_counts import count_tokens
+from pathfold.llm.vector_codes import codebooks_sha256, encode_vectors, fit_codebooks, label_errors
 
 
 def documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -87,6 +90,25 @@ def op10_source_mix(spark: SparkSession, d: str) -> DataFrame:
     return plan.select("doc_id", "source", "size", "source_size", "target", taken, "copies")
 
 
+def op11_structure_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Every conversation's repair after the damage; one that lost all its rows has zeros."""
+    given = spark.read.parquet(f"{d}/conversations.parquet")
+    report, rows = repair(damaged(given))
+    told = digests(rows).select(F.col("conv_id").alias("d"), "repaired_sha256")
+    found = report.join(told, F.col("conv_id").eqNullSafe(F.col("d")), "left").withColumnRenamed("conv_id", "c")
+    out = given.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    digest = F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), digest)
+
+
+def op13_vector_codes(spark: SparkSession, d: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{d}/embeddings.parquet")
+    books, width = fit_codebooks(vectors)
+    coded = label_errors(encode_vectors(vectors, books, width, keep=["vec_id", "label"]))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_counts": op2_token_counts,
@@ -98,9 +120,13 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_source_mix": op10_source_mix,
+    "op11_structure_repair": op11_structure_repair,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES = {
+    "op11_structure_repair": REPAIR,
+    "op13_vector_codes": vector_codes(),
     "op1_line_dedup": r"""
 WITH lines AS (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
