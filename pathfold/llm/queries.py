@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pathfold.llm.chat_rotation import rotate
 from pathfold.llm.fingerprints import compare_with_next
+from pathfold.llm.hyper_minhash import near_classes
 from pathfold.llm.language_id import identify, train
 from pathfold.llm.line_dedup import dedup_lines
 from pathfold.llm.ngram_join import link_classes
@@ -102,6 +103,10 @@ def op11_structure_repair(spark: SparkSession, d: str) -> DataFrame:
     return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), digest)
 
 
+def op12_hyper_minhash(spark: SparkSession, d: str) -> DataFrame:
+    return near_classes(documents(spark, d, "doc_id", "text"), n=2, percent=80)
+
+
 def op13_vector_codes(spark: SparkSession, d: str) -> DataFrame:
     vectors = spark.read.parquet(f"{d}/embeddings.parquet")
     books, width = fit_codebooks(vectors)
@@ -121,6 +126,7 @@ QUERIES = {
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_source_mix": op10_source_mix,
     "op11_structure_repair": op11_structure_repair,
+    "op12_hyper_minhash": op12_hyper_minhash,
     "op13_vector_codes": op13_vector_codes,
 }
 
