@@ -2,21 +2,21 @@
 
 *Registers.* Hash functions deal a set's n-grams to buckets; a bucket's register is its least hash
 value, kept as the count of its leading zeros and the ``MANTISSA`` bits after the first one. A set of
-size n uses the largest power of two of buckets, up to ``BANDS``, that leaves 8 n-grams or more
+size n uses the largest power of two of buckets, up to 2 ** ``TOP``, that leaves 8 n-grams or more
 to a bucket, and as many hash functions as make ``REGISTERS`` in all. Sets of two such classes cannot
 be compared, so a set whose partners may be of the class below has registers for that one, too.
 
 *Candidates.* ``ROWS`` registers are a band, and sets that agree in a band may link. Of a band's sets
 the densest (whose bands hold most sets) meets all others first: sets in one group of copies so
-become connected by a star. Only sets that those links left apart meet each other afterwards,
-by pairs in groups of up to ``FEW``, else in tiles that compare registers and return pairs.
+become connected by a star. Bands with one head are one group, and only sets that those links left
+apart meet the others of their group afterwards, in tiles that return the links they find.
 
 *Estimates.* Equal registers of different values are expected at a rate that follows from the sizes;
 the share of equal registers less that rate estimates the Jaccard similarity. Pairs estimated
 ``MARGIN`` below the bound drop out; all others are confirmed on their full sets.
 
-Two sets of similarity 0.8 share no band with probability (1 - 0.8 ** 5) ** 64 = 9e-12, and are
-estimated below 0.65 with about 1e-11; more similar ones with far less. Nothing is capped.
+Two sets of similarity 0.8 share no band with probability (1 - 0.8 ** 5) ** 48 = 5e-9, and are
+estimated below 0.64 with about 2e-9; pairs of 0.85 with less than 1e-12. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -33,18 +33,19 @@ from pathfold.llm.graph import components
 from pathfold.llm.ngram_join import gram_sets, set_ids
 from pathfold.session import stored
 
-BANDS = 64
+BANDS = 48
 ROWS = 5
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 VALUE_BITS = 52
 PER_BUCKET = 8
 EMPTY = np.uint16(0xFFFF)
-MARGIN = 0.15
-FEW = 24
+MARGIN = 0.16
+TOP = 4
 SHARE = 256
 HEAD_SHARE = 512
-TOP = BANDS.bit_length() - 1
+TILE_GRAMS = 1 << 20
+SLAB = 2048
 U = np.uint64
 
 
@@ -282,60 +283,134 @@ def confirmed(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     return tested.select("b", "late", "node", "grams").mapInArrow(run, "a long, b long")
 
 
-def star_pairs(met: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each set with the head of each of its bands."""
-    both = met.join(heads, "key").filter((F.col("node") != F.col("head")) & fits("size", "head_size", percent))
-    return both.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-
+def by_groups(batches, width: int):
+    """Tables of equal values in the first ``width`` columns, from batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(i).to_numpy() for i in range(width)]
+        edge = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            edge[1:] |= k[1:] != k[:-1]
+        starts = [0, *np.flatnonzero(edge).tolist(), batch.num_rows]
+        if held and any(held[-1].column(i)[-1].as_py() != k[0] for i, k in enumerate(keys)):
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        for start, stop in zip(starts, starts[1:]):
+            held.append(batch.slice(start, stop - start))
+            if stop < batch.num_rows:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections of two lists of sets, a slab of n-grams at a time."""
+    every = np.unique(np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.float32)
+    sides = []
+    for sets in (left, right):
+        grams, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.searchsorted(every, grams)
+        at[at == len(every)] = 0
+        shared = every[at] == grams
+        order = np.argsort(at[shared], kind="stable")
+        sides.append((at[shared][order], row[shared][order], len(sets)))
+    for start in range(0, len(every), SLAB):
+        slabs = []
+        for at, row, n in sides:
+            lo, hi = np.searchsorted(at, (start, start + SLAB))
+            slab = np.zeros((n, SLAB), np.float32)
+            slab[row[lo:hi], at[lo:hi] - start] = 1
+            slabs.append(slab)
+        out += slabs[0] @ slabs[1].T
+    return out
+
+
+def tile_links(size: np.ndarray, root: np.ndarray, side: np.ndarray, regs: np.ndarray, low: np.ndarray, sets: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Links of a tile's two sides between sets of different roots, enough to connect what they connect.
+
+    The sides may hold the same sets. Pairs are estimated by their registers, and only those that may
+    link are counted on their full sets.
+    """
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    own = size_class(size)
+    may = np.zeros((len(left), len(right)), bool)
+    for at, i in enumerate(left.tolist()):
+        fit = np.flatnonzero((root[right] != root[i]) & (100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i])))
+        cls = size_class(np.minimum(size[right[fit]], size[i]))
+        for c in np.unique(cls).tolist():
+            cols = fit[cls == c]
+            other = right[cols]
+            theirs = np.where((own[other] == c)[:, None], regs[other], low[other])
+            equal = (theirs == (regs if own[i] == c else low)[i]).mean(axis=1)
+            kinds = np.full(len(other), c)
+            may[at, cols] = estimate(equal, np.full(len(other), size[i]), size[other], kinds) >= percent / 100 - MARGIN
+    rows, cols = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
+    if not len(rows):
+        return []
+    left, right = left[rows], right[cols]
+    grams = {i: np.frombuffer(sets[i], np.uint64) for i in {*left.tolist(), *right.tolist()}}
+    common = overlaps([grams[i] for i in left.tolist()], [grams[i] for i in right.tolist()])
+    union = size[left][:, None] + size[right][None, :] - common
+    parent = {r: r for r in root[np.concatenate([left, right])].tolist()}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(may[np.ix_(rows, cols)] & (100 * common >= percent * union))):
+        x, y = find(int(root[left[i]])), find(int(root[right[j]]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((int(left[i]), int(right[j])))
+    return out
+
+
+def open_links(groups: DataFrame, nodes: DataFrame, linked: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between sets of one (head, node) group that no link has connected so far.
+
+    ``linked`` has the (node, root) of connected sets. Links with the head are known, and any other
+    has an end that is not connected with the head. So groups whose sets are all connected drop out,
+    and in the others the sets apart from the head, dealt into shares, meet shares of all sets.
+    Each pair of shares is a tile, which returns links and not pairs.
+    """
+    heads = linked.select(F.col("node").alias("head"), F.col("root").alias("head_root"))
+    placed = groups.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")).join(heads, "head", "left")
+    placed = placed.withColumn("apart", F.col("root") != F.coalesce("head_root", "head"))
 
-def open_pairs(met: DataFrame, heads: DataFrame, nodes: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of a band's sets that no link connects, other than those with the head.
+    def shares(which: Column) -> Column:
+        rows = F.ceil(F.count_if(which) / SHARE)
+        return F.greatest(rows, F.ceil(F.sum(F.when(which, F.col("size"))) / TILE_GRAMS)).cast("int")
 
-    ``linked`` has the (node, root) of connected sets. One of such a pair is apart from the head, so
-    bands whose sets are all connected drop out, and in crowded ones the sets that are apart from
-    the head, in shares, meet shares of all sets.
-    """
-    placed = met.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    still = placed.groupBy("key").agg(F.min("root").alias("low_root"), F.max("root").alias("high_root"), F.count("*").alias("n"))
-    still = still.filter("low_root <> high_root").select("key", "n")
-    heads = heads.join(linked, F.col("head") == F.col("node"), "left").select("key", "head", F.coalesce("root", "head").alias("head_root"))
-    here = stored(placed.join(still, "key").join(heads, "key").withColumn("apart", F.col("root") != F.col("head_root")))
-
-    sets = F.sort_array(F.collect_list(F.struct("node", "size", "root", "apart")))
-    small = here.filter((F.col("n") <= FEW) & (F.col("node") != F.col("head"))).groupBy("key").agg(sets.alias("x"))
-    small = small.select(F.explode("x").alias("a"), F.col("x").alias("y")).select("a", F.explode("y").alias("b"))
-    small = small.filter((F.col("a.node") > F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.apart") | F.col("b.apart")))
-    small = small.filter(fits("a.size", "b.size", percent)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-
-    crowd = here.filter(F.col("n") > FEW)
-    apart = crowd.groupBy("key").agg(F.ceil(F.count_if("apart") / SHARE).cast("int").alias("ys"))
-    crowd = crowd.join(apart, "key").withColumn("xs", F.ceil(F.col("n") / SHARE).cast("int"))
-    own = ["key", "node", "size", "cls", "root"]
+    still = placed.groupBy("head").agg(
+        F.min("root").alias("low_root"), F.max("root").alias("high_root"), shares(F.lit(True)).alias("xs"), shares(F.col("apart")).alias("ys")
+    )
+    here = placed.join(still.filter("low_root <> high_root").select("head", "xs", "ys"), "head")
+    whole = here.join(nodes.select("node", "regs", "low"), "node").join(grams, "node")
+    own = ["node", "size", "root", "regs", "low", "grams"]
     share = {x: F.pmod(F.xxhash64("node", F.lit(x)), F.col(f"{x}s")).cast("int") for x in ("x", "y")}
-    to = {x: F.explode(F.sequence(F.lit(0), F.col(f"{x}s") - 1)) for x in ("x", "y")}
-    every = crowd.select(*own, share["x"].alias("x"), to["y"].alias("y"), F.lit(0).alias("side"))
-    others = crowd.filter("apart").select(*own, to["x"].alias("x"), share["y"].alias("y"), F.lit(1).alias("side"))
-    tiles = every.union(others).join(nodes.select("node", "regs", "low"), "node")
-    bound = percent / 100 - MARGIN
+    sides = F.transform(F.sequence(F.lit(0), F.col("ys") - 1), lambda y: F.struct(share["x"].alias("x"), y.alias("y"), F.lit(0).alias("side")))
+    others = F.transform(F.sequence(F.lit(0), F.col("xs") - 1), lambda x: F.struct(x.alias("x"), share["y"].alias("y"), F.lit(1).alias("side")))
+    places = F.when(F.col("apart"), F.concat(sides, others)).otherwise(sides)
+    tiles = whole.select("head", F.explode(places).alias("at"), *own).select("head", "at.x", "at.y", "at.side", *own)
+    ordered = tiles.repartition("head", "x", "y").sortWithinPartitions("head", "x", "y")
+
+    def run(batches):
+        for table in by_groups(batches, 3):
+            size, root, side = (table[c].to_numpy() for c in ("size", "root", "side"))
+            links = tile_links(size, root, side, as_registers(table["regs"]), as_registers(table["low"]), table["grams"].to_pylist(), percent)
+            if links:
+                node = table["node"].to_numpy()
+                a, b = np.array(links).T
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        node, size, root, side = (table[c].to_numpy() for c in ("node", "size", "root", "side"))
-        cls = table["cls"][0].as_py()
-        regs = np.where((size_class(size) == cls)[:, None], as_registers(table["regs"]), as_registers(table["low"]))
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        a, b = [], []
-        for i in left.tolist():
-            open_ = right[(root[right] != root[i]) & (100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i]))]
-            equal = (regs[open_] == regs[i]).mean(axis=1)
-            close = open_[estimate(equal, np.full(len(open_), size[i]), size[open_], np.full(len(open_), cls)) >= bound]
-            a.append(np.maximum(node[close], node[i]))
-            b.append(np.minimum(node[close], node[i]))
-        empty = np.empty(0, np.int64)
-        return pa.table([pa.array(np.concatenate([empty, *v])) for v in (a, b)], names=["a", "b"])
-
-    dealt = tiles.select("key", "x", "y", "side", "node", "size", "cls", "root", "regs", "low")
-    return small.union(dealt.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long")).distinct()
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def near_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -356,20 +431,19 @@ def near_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         raise ValueError("bands and margin hold for a similarity of 0.8 or more")
     rows = stored(sketches(docs, n, percent))
     nodes = stored(rows.filter(F.col("regs").isNotNull()).select("node", "size", "regs", "low").dropDuplicates(["node"]))
-    marks = stored(band_marks(nodes))
-    crowds = marks.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = stored(marks.join(crowds, "key"))
+    crowds = band_marks(nodes).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = stored(band_marks(nodes).join(crowds, "key"))
     density = met.groupBy("node").agg(F.sum("n").alias("density"))
-    met = stored(met.drop("n").join(density, "node"))
-    heads = met.groupBy("key").agg(F.max(F.struct("density", "node", "size")).alias("top"))
-    heads = stored(heads.select("key", F.col("top.node").alias("head"), F.col("top.size").alias("head_size")))
-    met = met.drop("density")
+    tops = met.join(density, "node").groupBy("key").agg(F.max(F.struct("density", "node", "size")).alias("top"))
+    heads = tops.select("key", F.col("top.node").alias("head"), F.col("top.size").alias("head_size"))
+    groups = met.join(heads, "key").filter(F.col("node") != F.col("head")).select("head", "node", "size", "head_size").distinct()
+    groups = stored(groups)
 
     grams = gram_table(docs, met.select("node").distinct(), n)
-    stars = stored(confirmed(likely(star_pairs(met, heads, percent), nodes, percent), grams, percent))
+    pairs = groups.filter(fits("size", "head_size", percent)).select(F.col("node").alias("a"), F.col("head").alias("b"))
+    stars = stored(confirmed(likely(pairs, nodes, percent), grams, percent))
     linked = stored(components(stars))
-    rest = open_pairs(met, heads.select("key", "head"), nodes, linked, percent)
-    links = stored(confirmed(likely(rest, nodes, percent), grams, percent))
+    links = stored(open_links(groups.drop("head_size"), nodes, linked, grams, percent))
     joined = stored(components(links.union(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))))
 
     least = rows.filter("size > 0").groupBy("node").agg(F.min("doc_id").alias("least"))

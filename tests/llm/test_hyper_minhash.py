@@ -28,7 +28,8 @@ def test_crowds_that_no_link_connects(spark, monkeypatch):
     """A passage that makes many texts alike but not alike enough, chains, and a crowd of copies."""
     monkeypatch.setattr(hm, "SHARE", 8)
     monkeypatch.setattr(hm, "HEAD_SHARE", 4)
-    monkeypatch.setattr(hm, "FEW", 5)
+    monkeypatch.setattr(hm, "TILE_GRAMS", 3000)
+    monkeypatch.setattr(hm, "SLAB", 64)
     rng = random.Random(11)
     passage = fresh(rng, 70)
     texts = [passage + " " + fresh(rng, rng.randrange(14, 24)) for _ in range(90)]
