@@ -13,7 +13,7 @@ from ..functions.scalar import BUILD_ID
 from ..operators.registry import latest_per_key
 from ..schema import COMPILER_VERSION, SCHEMA_VERSION
 from .paths import exists, write_text
-from .writers import read_manifest
+from .writers import manifest_files, read_manifest
 
 REGISTRY = (
     "dataset_id string, build_id string, status string, event string, owner string, "
@@ -58,9 +58,7 @@ def publish_build(
     source = build_root(root, build_id)
     manifest = read_manifest(spark, source)
     published = versioned_manifest(manifest, build_id)
-    size = spark.read.parquet(f"{source}/manifest").select("path", "byte_size").distinct().agg(
-        F.sum("byte_size")
-    ).first()[0]
+    size = manifest_files(spark, source).agg(F.sum("byte_size")).first()[0]
     facts = {
         "dataset_id": dataset_id,
         "build_id": build_id,
@@ -77,10 +75,15 @@ def publish_build(
         registry,
         [{**facts, "status": "ready", "event": "built"}, {**facts, "status": "ready", "event": "activated"}],
     )
-    write_text(spark, f"{root}/dataset.json", json.dumps(published, indent=2) + "\n")
+    point(spark, root, published)
     return published
 
 
+def point(spark: SparkSession, root: str, published: dict) -> None:
+    """Make a version the one that readers of the root see, in one step."""
+    write_text(spark, f"{root}/dataset.json", json.dumps(published, indent=2) + "\n")
+
+
 def rollback(spark: SparkSession, root: str, dataset_id: str, build_id: str, registry: str) -> dict:
     """Point the stable manifest back at an earlier build."""
     if not exists(spark, f"{build_root(root, build_id)}/dataset.json"):
@@ -102,7 +105,7 @@ def rollback(spark: SparkSession, root: str, dataset_id: str, build_id: str, reg
             }
         ],
     )
-    write_text(spark, f"{root}/dataset.json", json.dumps(published, indent=2) + "\n")
+    point(spark, root, published)
     return published
 
 

@@ -17,17 +17,31 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
-def move(spark: SparkSession, source: str, target: str, replace: bool = False) -> None:
+def rename(spark: SparkSession, source: str, target: str) -> None:
     fs, src = _path(spark, source)
-    _, dst = _path(spark, target)
+    if not fs.rename(src, _path(spark, target)[1]):
+        raise OSError(f"could not move {source} to {target}")
+
+
+def move(spark: SparkSession, source: str, target: str, replace: bool = False) -> None:
+    """Move a folder; one it replaces is kept aside until the new one is in place, and put back on failure."""
+    fs, dst = _path(spark, target)
+    aside = None
     if fs.exists(dst):
         if not replace:
             raise FileExistsError(f"output already exists: {target}")
-        fs.delete(dst, True)
-    if dst.getParent() is not None:
+        aside = f"{target.rstrip('/')}.replaced-{uuid.uuid4().hex[:12]}"
+        rename(spark, target, aside)
+    elif dst.getParent() is not None:
         fs.mkdirs(dst.getParent())
-    if not fs.rename(src, dst):
-        raise OSError(f"could not move {source} to {target}")
+    try:
+        rename(spark, source, target)
+    except Exception:
+        if aside:
+            rename(spark, aside, target)
+        raise
+    if aside:
+        delete(spark, aside)
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:

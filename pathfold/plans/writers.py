@@ -35,13 +35,12 @@ from ..schema import (
     SCHEMA_VERSION,
 )
 from ..sources import geo_parquet
-from ..sources.dataset import scan_canonical
+from ..sources.dataset import FILES, read_manifest, scan_canonical, version_of  # noqa: F401
 from ..sources.files import row_group_facts
 from ..sources.geo_parquet import geo_footer
 from .paths import delete, exists, qualified, write_text
 
 METADATA_GROUP_ROWS = 4096
-FILES = "manifest_files"
 # Above any row group the row limit closes, so that the limit alone decides.
 WIDE_BLOCK_BYTES = 1 << 30
 
@@ -133,27 +132,21 @@ def write_geo(rows: DataFrame, path: str, **options) -> None:
 def locators(spark: SparkSession, root: str, row_group_rows: int = 128) -> DataFrame:
     """Scalars of every activity with the shard and row group that hold its first part."""
     path = F.col("_metadata.file_path")
+    place = {
+        "canonical_path": F.concat(F.lit("activities/"), F.substring_index(path, "/activities/", -1)),
+        "canonical_row_group": F.floor(F.col("_metadata.row_index") / row_group_rows).cast("int"),
+    }
     return (
-        scan_canonical(spark, root)
-        .select(
-            *SCALARS.fieldNames(),
-            "activity_family",
-            "part",
-            F.concat(F.lit("activities/"), F.substring_index(path, "/activities/", -1)).alias(
-                "canonical_path"
-            ),
-            F.floor(F.col("_metadata.row_index") / row_group_rows).cast("int").alias(
-                "canonical_row_group"
-            ),
-        )
+        scan_canonical(spark, root, place)
+        .select(*SCALARS.fieldNames(), "activity_family", "part", *place)
         .where("part = 0")
         .drop("part")
     )
 
 
-def write_metadata(spark: SparkSession, root: str, row_group_rows: int = 128) -> None:
-    """Light index read back from the shards, so every row carries a true locator."""
-    rows = locators(spark, root, row_group_rows)
+def write_metadata(spark: SparkSession, root: str, row_group_rows: int = 128, source: str | None = None) -> None:
+    """Light index read back from the shards (of ``source``, if given), so every row carries a true locator."""
+    rows = locators(spark, source or root, row_group_rows)
     counted = rows.agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("activity_id").alias("ids")
     ).first()
@@ -240,6 +233,7 @@ def write_render_pyramid(
     chunk_points: int = CHUNK_POINTS,
     group_bytes: int = GROUP_BYTES,
     file_bytes: int = FILE_BYTES,
+    source: str | None = None,
 ) -> None:
     """Eight levels in sort-tile-recursive order.
 
@@ -248,7 +242,7 @@ def write_render_pyramid(
     """
     staged = f"{root.rstrip('/')}-levels"
     try:
-        levels = render_levels(scan_canonical(spark, root), chunk_points)
+        levels = render_levels(scan_canonical(spark, source or root), chunk_points)
         levels.write.mode("overwrite").option("compression", "zstd").parquet(staged)
         _write_levels(spark.read.parquet(staged), root, group_bytes, file_bytes)
     finally:
@@ -289,14 +283,16 @@ def _box(row) -> list[float]:
     return [row.xmin, row.ymin, row.xmax, row.ymax]
 
 
-def build_manifest(spark: SparkSession, root: str, extra: dict | None = None) -> dict:
+def build_manifest(
+    spark: SparkSession, root: str, extra: dict | None = None, kinds: tuple[str, ...] = ("activities", "metadata", "render")
+) -> dict:
     """Row-group table under ``manifest/``, file table, and a ``dataset.json`` of totals and levels.
 
     Both tables grow with the data and stay tables at any size; ``dataset.json`` names the file
     table under ``files``.
     """
     facts = None
-    for kind in ("activities", "metadata", "render"):
+    for kind in kinds:  # those the build has files of its own of
         rows = row_group_facts(spark, root, kind).withColumn("kind", F.lit(kind))
         facts = rows if facts is None else facts.unionByName(rows)
     lod = F.when(F.col("kind") == "render", F.regexp_extract("path", r"/lod=(\d+)/", 1).cast("int"))
@@ -312,7 +308,9 @@ def build_manifest(spark: SparkSession, root: str, extra: dict | None = None) ->
         F.count(F.lit(1)).alias("row_group_count"),
         *box,
     )
-    files.write.mode("errorifexists").option("compression", "zstd").parquet(f"{root}/{FILES}")
+    order = ["kind", "lod", "path"]
+    ordered = files.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered.write.mode("errorifexists").option("compression", "zstd").parquet(f"{root}/{FILES}")
     files = spark.read.parquet(f"{root}/{FILES}")
     levels = (
         files.groupBy("kind", "lod")
@@ -376,19 +374,17 @@ def build_manifest(spark: SparkSession, root: str, extra: dict | None = None) ->
 
 
 def manifest_files(spark: SparkSession, root: str) -> DataFrame:
-    """The files of the dataset at ``root`` (of its active build, for a published root).
+    """The files of the dataset at ``root``: of a store, those of all builds of the active version.
 
-    ``path`` is relative to ``root``.
+    ``path`` is relative to ``root``, or to the store that a build with parts lies in.
     """
-    manifest = read_manifest(spark, root)
-    build = manifest.get("build_path", "")
-    return spark.read.parquet(f"{root}/{build}{manifest['files']}").withColumn(
-        "path", F.concat(F.lit(build), "path")
-    )
-
-
-def read_manifest(spark: SparkSession, root: str) -> dict:
-    rows = spark.read.text(f"{root}/dataset.json", wholetext=True).take(1)
-    if not rows:
-        raise ValueError(f"{root} has no dataset.json")
-    return json.loads(rows[0][0])
+    root = root.rstrip("/")
+    version, out = version_of(spark, root), None
+    base = root.rsplit("/builds/", 1)[0] if "parts" in version.manifest else root
+    for kind, folders in version.folders.items():
+        for folder in folders if kind != "rejections" else ():  # the table lists no rejections
+            rows = spark.read.parquet(f"{folder}/{FILES}").where(F.col("kind") == kind)
+            inside = f"{folder}/"[len(base) + 1 :]
+            rows = rows.withColumn("path", F.concat(F.lit(inside), "path"))
+            out = rows if out is None else out.unionByName(rows)
+    return out

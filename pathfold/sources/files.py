@@ -11,6 +11,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.paths import qualified
 from .archive import plain_path
 
 VERTEX = ("vertex_count", "clean_vertex_count")
@@ -82,14 +83,20 @@ def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def row_group_facts(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    """One row per row group of every Parquet file under ``root/kind``."""
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.parquet")
-        .load(f"{root}/{kind}")
-        .select(plain_path("path").alias("uri"), "length")
-    )
+    """One row per row group of every Parquet file that counts under ``root/kind``."""
+    from .dataset import listed_files  # reads what this module describes
+
+    listed = listed_files(spark, root, kind)
+    if listed is not None:
+        listed = listed.select(F.concat(F.lit(f"{qualified(spark, root)}/"), "path").alias("uri")).distinct()
+    else:
+        listed = (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", "*.parquet")
+            .load(f"{root}/{kind}")
+            .select(plain_path("path").alias("uri"))
+        )
     # The listing is tiny but each file is work, so the number of tasks is fixed here.
     tasks = max(
         spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -98,3 +105,39 @@ def row_group_facts(spark: SparkSession, root: str, kind: str) -> DataFrame:
     marker = f"/{kind}/"
     inside = F.expr(f"substring(uri, length(uri) - length(substring_index(uri, '{marker}', -1)) + 1)")
     return facts.withColumn("path", F.concat(F.lit(f"{kind}/"), inside)).drop("uri")
+
+
+def copy_files(paths: DataFrame, source: str, target: str) -> None:
+    """Copy files (path, relative to both folders) byte for byte, one task's share each."""
+    spark = paths.sparkSession
+    old, new = qualified(spark, source), qualified(spark, target)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                fs, there = open_uri(f"{old}/{path}")
+                out_fs, here = open_uri(f"{new}/{path}")
+                out_fs.create_dir(here.rsplit("/", 1)[0])
+                with fs.open_input_stream(there) as stream, out_fs.open_output_stream(here) as out:
+                    while chunk := stream.read(8 << 20):
+                        out.write(chunk)
+            yield batch[["path"]]
+
+    spread = paths.select("path").repartition(spark.sparkContext.defaultParallelism)
+    spread.mapInPandas(run, "path string").write.format("noop").mode("overwrite").save()
+
+
+def remove_files(uris: DataFrame) -> int:
+    """Delete files (uri); returns their number."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for uri in batch["uri"]:
+                fs, path = open_uri(uri)
+                try:
+                    fs.delete_file(path)
+                except FileNotFoundError:
+                    pass  # by an earlier attempt
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return uris.select("uri").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

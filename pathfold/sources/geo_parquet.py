@@ -3,6 +3,10 @@
 ``df.write.format("pathfold_geo")`` expects rows sorted by the partition and group columns.
 Options: ``path``; ``partition`` (one column, becomes folders); ``group`` (comma-separated
 columns whose change closes a row group); ``group_rows``, ``file_rows``, ``file_bytes``.
+
+A task writes its files where they stay, under names of its own attempt, and the commit writes the
+list of those that count to ``_files``. No file is moved, and what a lost attempt has left behind
+is on no list.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from ..schema import BOUNDS
 from .files import open_uri
 
 FORMAT = "pathfold_geo"
+LISTS = "_files"
 LINE = pa.list_(pa.list_(pa.float64(), 2))
 LINE_METADATA = {
     "ARROW:extension:name": "geoarrow.linestring",
@@ -60,16 +65,16 @@ def _typed(table: pa.Table) -> pa.Table:
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[tuple[str, str]]
+    files: list[str]
 
 
 class _Output:
     """The open file of a task; a new one starts at a partition change or when full."""
 
-    def __init__(self, fs, base: str, staging: str, stem: str, file_rows: int, file_bytes: int):
-        self.fs, self.base, self.staging, self.stem = fs, base, staging, stem
+    def __init__(self, fs, base: str, stem: str, file_rows: int, file_bytes: int):
+        self.fs, self.base, self.stem = fs, base, stem
         self.file_rows, self.file_bytes = file_rows, file_bytes
-        self.files: list[tuple[str, str]] = []
+        self.files: list[str] = []
         self.writer = None
 
     def room(self) -> int:
@@ -84,10 +89,9 @@ class _Output:
             name = f"{self.stem}-{len(self.files):05d}.parquet"
             self.folder, self.rows, self.bytes = folder, 0, 0
             self.box = [np.inf, np.inf, -np.inf, -np.inf]
-            temporary = f"{self.staging}/{folder}/{name}"
-            self.fs.create_dir(f"{self.staging}/{folder}")
-            self.files.append((temporary, f"{self.base}/{folder}/{name}"))
-            self.sink = self.fs.open_output_stream(temporary)
+            self.fs.create_dir(f"{self.base}/{folder}")
+            self.files.append(f"{folder}/{name}".removeprefix("./"))
+            self.sink = self.fs.open_output_stream(f"{self.base}/{self.files[-1]}")
             self.writer = pq.ParquetWriter(self.sink, group.schema, compression="zstd")
             self.lines = [n for n in group.schema.names if n.startswith("geometry")]
         self.writer.write_table(group, row_group_size=group.num_rows)
@@ -117,9 +121,6 @@ class GeoParquetWriter(DataSourceArrowWriter):
         self.file_bytes = int(options.get("file_bytes", 1 << 30))
         self.job = uuid.uuid4().hex
 
-    def _staging(self, base: str) -> str:
-        return f"{base}/_staging-{self.job}"
-
     def _runs(self, table: pa.Table) -> list[tuple[int, int]]:
         """Row ranges with equal partition and group values."""
         change = np.zeros(table.num_rows, dtype=bool)
@@ -135,9 +136,8 @@ class GeoParquetWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, base = open_uri(self.path)
         context = TaskContext.get()
-        stem = f"part-{context.partitionId():05d}-{self.job[:8]}"
-        staging = f"{self._staging(base)}/{context.taskAttemptId()}"
-        out = _Output(fs, base, staging, stem, self.file_rows, self.file_bytes)
+        stem = f"part-{context.partitionId():05d}-{self.job[:8]}-{context.taskAttemptId()}"
+        out = _Output(fs, base, stem, self.file_rows, self.file_bytes)
         drop = [c for c in (self.partition, *self.group) if c]
         pending: list[pa.Table] = []
         key = folder = None
@@ -175,24 +175,18 @@ class GeoParquetWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written]) -> None:
         fs, base = open_uri(self.path)
-        made = set()
-        for message in messages:
-            for temporary, final in message.files if message else []:
-                folder = final.rsplit("/", 1)[0]
-                if folder not in made:
-                    fs.create_dir(folder)
-                    made.add(folder)
-                fs.move(temporary, final)
-        self._clean(fs, base)
+        names = "".join(f"{name}\n" for message in messages if message for name in message.files)
+        fs.create_dir(f"{base}/{LISTS}")
+        fresh = f"{base}/{LISTS}/.{self.job}"
+        with fs.open_output_stream(fresh) as out:
+            out.write(names.encode())
+        fs.move(fresh, f"{base}/{LISTS}/{self.job}.txt")  # the list appears whole
 
     def abort(self, messages: list[Written]) -> None:
-        self._clean(*open_uri(self.path))
-
-    def _clean(self, fs, base: str) -> None:
-        try:
-            fs.delete_dir(self._staging(base))
-        except FileNotFoundError:
-            pass  # no task wrote anything
+        fs, base = open_uri(self.path)
+        for message in messages:
+            for name in message.files if message else []:
+                fs.delete_file(f"{base}/{name}")
 
 
 class GeoParquetSource(DataSource):
