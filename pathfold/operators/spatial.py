@@ -15,6 +15,8 @@ Ring = Sequence[tuple[float, float]]
 BOUNDARY_EPS = 1e-12
 SALTS = 32
 CELL_LEVELS = 16
+MOST_FINER = 5  # levels between a polygon's box and its covering cells
+WIDEN = 1e-7  # of a cell
 FINEST_GRID = 2**15  # cells per axis; bounds the cells of a long edge
 PICK_PIXELS = 14.0
 
@@ -197,7 +199,7 @@ def _cell_level(width: Column, height: Column) -> Column:
 
 
 def _cells(box: tuple[Column, ...], level: Column) -> Column:
-    """The cells of a level, four at most, that a box of that level or a finer one meets."""
+    """The cells of a level that a box meets; four at most if it is of that level or a finer one."""
     scale = F.pow(F.lit(2.0), level) / 360
 
     def span(a: Column, b: Column) -> Column:
@@ -208,34 +210,124 @@ def _cells(box: tuple[Column, ...], level: Column) -> Column:
     )
 
 
+def _grid(lo: Column, hi: Column, level: Column) -> Column:
+    """Numbers of the cells of a level that a span of degrees meets, its ends a little widened."""
+    scale = F.pow(F.lit(2.0), level) / 360
+    return F.sequence(F.floor((lo + 180) * scale - WIDEN), F.floor((hi + 180) * scale + WIDEN))
+
+
+def polygon_cover(polygons: DataFrame) -> DataFrame:
+    """(polygon_id, level, x, y, sides, corner): the cells that cover each polygon.
+
+    A polygon has the cells of one level, finer than its box by more the more sides it has. Cells
+    that sides pass have those ``sides``, and ``corner``, whether their right lower corner is inside; cells
+    without sides are all inside and have null, those outside are left out.
+    """
+    c = F.col
+    scale = F.pow(F.lit(2.0), c("level")) / 360
+    key = ["polygon_key", "level", "x", "y"]
+    grid = polygons.select(
+        "polygon_id", "polygon_key", "level", "ring", F.explode(_grid(c("b.xmin"), c("b.xmax"), c("level"))).alias("x"), "b"
+    ).select("polygon_id", "polygon_key", "level", "ring", "x", F.explode(_grid(c("b.ymin"), c("b.ymax"), c("level"))).alias("y"))
+    left, low = c("x") / scale - 180, c("y") / scale - 180
+    grid = grid.select(
+        "polygon_id", *key,
+        inside(left + 1 / scale, low, c("ring")).alias("corner"), inside(left + 0.5 / scale, low + 0.5 / scale, c("ring")).alias("middle"),
+    )
+    # Sides in pieces no longer than a cell, so that a slanting side is listed along its way only.
+    sides = polygons.select("polygon_key", "level", F.explode("ring").alias("s"))
+    dx, dy = c("s")[2] - c("s")[0], c("s")[3] - c("s")[1]
+    pieces = F.ceil(F.greatest(F.abs(dx), F.abs(dy)) * scale) + 1
+
+    def cells(i: Column) -> Column:
+        ends = [(c("s")[0] + dx * t / pieces, c("s")[1] + dy * t / pieces) for t in (i, i + 1)]
+        (x0, y0), (x1, y1) = ends
+        columns = _grid(F.least(x0, x1), F.greatest(x0, x1), c("level"))
+        rows = _grid(F.least(y0, y1), F.greatest(y0, y1), c("level"))
+        return F.flatten(F.transform(columns, lambda x: F.transform(rows, lambda y: F.struct(x.alias("x"), y.alias("y")))))
+
+    passed = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), pieces - 1), cells)))
+    local = sides.select("polygon_key", "level", "s", F.explode(passed).alias("at")).select("polygon_key", "level", "at.x", "at.y", "s")
+    local = local.groupBy(*key).agg(F.collect_list("s").alias("sides"))  # at most one ring
+    covered = grid.join(local, key, "left").where(c("sides").isNotNull() | c("middle"))
+    return covered.select("polygon_id", "level", "x", "y", "sides", "corner")
+
+
+def inside_cell(x: Column, y: Column, sides: Column, corner: Column, right: Column, low: Column) -> Column:
+    """``inside`` for a point of a covering cell, from the cell's sides alone.
+
+    The ray to the right is followed to the cell's border; from there on it meets as many sides, odd
+    or even, as the one from the corner, but for those that pass the border in between.
+    """
+
+    def odd(s: Column) -> Column:
+        slope = (s[2] - s[0]) / F.nullif(s[3] - s[1], F.lit(0.0))
+        at = (y - s[1]) * slope + s[0]
+        ahead = ((s[1] > y) != (s[3] > y)) & (x < at) & (at <= right)
+        rise = (s[3] - s[1]) / F.nullif(s[2] - s[0], F.lit(0.0))
+        up = (right - s[0]) * rise + s[1]
+        # A rising side is beyond the border above their meeting, a falling one below it.
+        between = F.when(rise > 0, (up >= low) & (up < y)).otherwise((up > low) & (up <= y))
+        border = ((s[0] > right) != (s[2] > right)) & between
+        return F.coalesce(ahead, F.lit(False)) != F.coalesce(border, F.lit(False))
+
+    return F.aggregate(sides, corner, lambda so_far, s: so_far != odd(s))
+
+
 def polygon_join(edges: DataFrame, polygons: DataFrame) -> DataFrame:
     """(polygon_id, activity_id) of every pair where a route meets a polygon.
 
-    ``polygons`` is (polygon_id, ring: array<struct<x,y>>).  An equi-join on grid cells: a polygon
-    and an edge meet in the cells of the coarser of their two levels, where each has four cells at
-    most.  Edges are listed at their own level and at the levels of polygons coarser than that;
-    there are at most ``CELL_LEVELS`` + 1 levels.  The boxes, then the exact test decide.
+    ``polygons`` is (polygon_id, ring: array<struct<x,y>>), of any sizes and numbers of vertices.
+    Two equi-joins on grid cells, told apart by which side is the coarser one:
+
+    * an edge no larger than a polygon's covering cells meets those of its own place. The start of
+      an edge in a cell that is all inside decides without a test, once for each activity and cell; in other
+      cells the sides that pass the cell decide;
+    * a larger edge, at its own level, meets polygons with finer cells by their boxes, then all sides.
+
+    So a wide polygon and small ones share no cell but where they lie, and no edge meets a polygon that it
+    is not near.
     """
     c = F.col
     b = polygon_bounds_of(c("ring"))
-    areas = polygons.select("polygon_id", sides_of(c("ring")).alias("ring"), b.alias("b")).withColumn(
-        "own", _cell_level(c("b.xmax") - c("b.xmin"), c("b.ymax") - c("b.ymin"))
-    )
-    levels = sorted(r.own for r in areas.select("own").distinct().collect())  # CELL_LEVELS + 1 rows at most
-    coarser = F.filter(F.array(*[F.lit(v) for v in levels]).cast("array<int>"), lambda v: v < c("own"))
+    areas = polygons.where(F.size("ring") > 0).select(
+        "polygon_id", F.xxhash64("polygon_id", "ring").alias("polygon_key"), sides_of(c("ring")).alias("ring"), b.alias("b")
+    ).distinct()
+    finer = F.least(F.lit(MOST_FINER), F.greatest(F.lit(1), F.floor(F.log2(F.size("ring").cast("double")) / 2).cast("int")))
+    own = _cell_level(c("b.xmax") - c("b.xmin"), c("b.ymax") - c("b.ymin"))
+    areas = areas.withColumn("own", own).withColumn("level", F.least(c("own") + finer, F.lit(CELL_LEVELS)))
+    cover = polygon_cover(areas).persist()
     box = (F.least("x0", "x1"), F.least("y0", "y1"), F.greatest("x0", "x1"), F.greatest("y0", "y1"))
-    listed = edges.withColumn("own", _cell_level(box[2] - box[0], box[3] - box[1])).select(
-        "activity_id", "x0", "y0", "x1", "y1", c("own").alias("edge_level"),
-        F.explode(F.flatten(F.transform(F.concat(coarser, F.array("own")), lambda v: _cells(box, v)))).alias("cell"),
-    )
+    sized = edges.select("activity_id", "x0", "y0", "x1", "y1").withColumn("own", _cell_level(box[2] - box[0], box[3] - box[1]))
+    levels = sorted(r.level for r in areas.select("level").distinct().collect())  # CELL_LEVELS + 1 rows at most
+    wider = F.filter(F.array(*[F.lit(v) for v in levels]).cast("array<int>"), lambda v: v <= c("own"))
+
+    def at(value: str, level: Column) -> Column:
+        return F.floor((c(value) + 180) * F.pow(F.lit(2.0), level) / 360)
+
+    starts = sized.select("activity_id", "x0", "y0", F.explode(wider).alias("level"))
+    starts = starts.select("activity_id", "level", at("x0", c("level")).alias("x"), at("y0", c("level")).alias("y")).distinct()
+    within = cover.where("sides IS NULL").join(starts, ["level", "x", "y"]).select("polygon_id", "activity_id")
+
+    listed = sized.select(
+        "activity_id", "x0", "y0", "x1", "y1", F.explode(F.flatten(F.transform(wider, lambda v: _cells(box, v)))).alias("cell")
+    ).select("activity_id", "x0", "y0", "x1", "y1", "cell.*")
+    near = listed.join(cover.where("sides IS NOT NULL"), ["level", "x", "y"])
+    width = F.lit(360.0) / F.pow(F.lit(2.0), c("level"))
+    begins = (at("x0", c("level")) == c("x")) & (at("y0", c("level")) == c("y"))
+    right, low = (c("x") + 1) * width - 180, c("y") * width - 180
+    start_in = begins & inside_cell(c("x0"), c("y0"), c("sides"), c("corner"), right, low)
+    ends = [c(n) for n in ("x0", "y0", "x1", "y1")]
+    met = near.where(start_in | edge_meets_boundary(*ends, c("sides"))).select("polygon_id", "activity_id")
+
     corner = (c("b.xmin"), c("b.ymin"), c("b.xmax"), c("b.ymax"))
-    spread = areas.select(
-        "polygon_id", "ring", "b", c("own").alias("area_level"),
-        F.explode(F.flatten(F.transform(F.sequence(F.lit(0), c("own")), lambda v: _cells(corner, v)))).alias("cell"),
-    )
-    met = listed.join(spread, "cell").where(c("cell.level") == F.least("edge_level", "area_level"))
+    boxes = areas.where("level > 0").select(
+        "polygon_id", "ring", "b", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), c("level") - 1), lambda v: _cells(corner, v)))).alias("cell")
+    )
+    large = sized.select("activity_id", "x0", "y0", "x1", "y1", F.explode(_cells(box, c("own"))).alias("cell"))
     close = (box[2] >= c("b.xmin")) & (box[0] <= c("b.xmax")) & (box[3] >= c("b.ymin")) & (box[1] <= c("b.ymax"))
-    return met.where(close).where(edge_intersects(c("ring"))).select("polygon_id", "activity_id").distinct()
+    coarse = large.join(boxes, "cell").where(close).where(edge_intersects(c("ring"))).select("polygon_id", "activity_id")
+    return within.union(met).union(coarse).distinct()
 
 
 def point_segment_distance(px, py, x0, y0, x1, y1) -> Column:

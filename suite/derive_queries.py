@@ -262,22 +262,29 @@ def _(spark, d):
 # A triangle for each nation, of four sizes.
 TRIANGLES = """SELECT n_name AS polygon_id, -105.0 + (n_nationkey % 5) * CAST(0.2 AS DOUBLE) AS x, 39.5 + n_nationkey * CAST(0.03 AS DOUBLE) AS y,
     CAST(0.03 AS DOUBLE) + (n_nationkey % 4) * CAST(0.1 AS DOUBLE) AS r FROM nation"""
+# One that holds all of these, and a saw of a thousand teeth with a flat back.
+WIDE = "SELECT 'wide' AS polygon_id, CAST(-105.0 AS DOUBLE) AS x, CAST(25.0 AS DOUBLE) AS y, CAST(15.0 AS DOUBLE) AS r"
+SAW = """SELECT i, CASE WHEN i < 1000 THEN CAST(-104.93 AS DOUBLE) + i * CAST(0.0007 AS DOUBLE) WHEN i = 1000 THEN CAST(-104.2 AS DOUBLE) ELSE CAST(-104.95 AS DOUBLE) END AS x,
+    CASE WHEN i < 1000 THEN CAST(40.0 AS DOUBLE) + (i % 2) * CAST(0.09 AS DOUBLE) ELSE CAST(39.7 AS DOUBLE) END AS y FROM {ids}"""
 PAIRS = crossing(RING).replace("activity_id, seq", "polygon_id, activity_id, seq").replace(ring_values(RING), "sd")
 
 
 @register(
     "polygon_join",
     with_flags(
-        f""", {edges_sql()}, pg AS ({TRIANGLES}), sd AS (SELECT polygon_id, x - r AS px, y AS py, x + r AS qx, y AS qy FROM pg
-        UNION ALL SELECT polygon_id, x + r, y, x, y + 2 * r FROM pg UNION ALL SELECT polygon_id, x, y + 2 * r, x - r, y FROM pg),
+        f""", {edges_sql()}, pg AS ({TRIANGLES} UNION ALL {WIDE}), sd AS (SELECT polygon_id, x - r AS px, y AS py, x + r AS qx, y AS qy FROM pg
+        UNION ALL SELECT polygon_id, x + r, y, x, y + 2 * r FROM pg UNION ALL SELECT polygon_id, x, y + 2 * r, x - r, y FROM pg
+        UNION ALL SELECT 'saw', x, y, coalesce(lead(x) OVER (ORDER BY i), first_value(x) OVER (ORDER BY i)), coalesce(lead(y) OVER (ORDER BY i), first_value(y) OVER (ORDER BY i)) FROM ({SAW.format(ids='range(1002) t(i)')})),
         t AS ({PAIRS}) SELECT polygon_id, activity_id FROM t GROUP BY 1, 2 HAVING bool_or(crosses OR inside)"""
     ),
 )
 def _(spark, d):
     table(spark, d, "nation").createOrReplaceTempView("nation")
     corners = "array(named_struct('x', x - r, 'y', y), named_struct('x', x + r, 'y', y), named_struct('x', x, 'y', y + 2 * r))"
-    polygons = spark.sql(TRIANGLES).selectExpr("polygon_id", f"{corners} AS ring")
-    return sp.polygon_join(tr.edges(points(spark, d)), polygons)
+    polygons = spark.sql(f"{TRIANGLES} UNION ALL {WIDE}").selectExpr("polygon_id", f"{corners} AS ring")
+    saw = spark.sql(SAW.format(ids="(SELECT id AS i FROM range(1002))")).groupBy().agg(F.sort_array(F.collect_list(F.struct("i", "x", "y"))).alias("v"))
+    saw = saw.select(F.lit("saw").alias("polygon_id"), F.transform("v", lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))).alias("ring"))
+    return sp.polygon_join(tr.edges(points(spark, d)), polygons.unionByName(saw))
 
 
 UX = "({} + 180) / 360"

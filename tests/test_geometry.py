@@ -1,5 +1,9 @@
+import math
+import random
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pathfold.functions.geo import LOD_TOLERANCES_M
 from pathfold.operators import batches, layout, simplify, spatial
@@ -285,3 +289,42 @@ def test_a_ring_of_many_vertices(spark):
     assert {r[0] for r in spatial.polygon_filter(boxes, edges, ring, "within").collect()} == {"in"}
     polygons = spark.createDataFrame([("disc", ring), ("far", [(5.0, 5.0), (6.0, 5.0), (5.0, 6.0)]), ("globe", [(-170.0, -80.0), (170.0, -80.0), (0.0, 80.0)])], "polygon_id string, ring array<struct<x: double, y: double>>")
     assert {tuple(r) for r in spatial.polygon_join(edges, polygons).collect()} == {("disc", "in"), ("disc", "through"), ("globe", "in"), ("globe", "out"), ("globe", "through")}
+
+
+def test_polygon_join_of_all_sizes(spark):
+    """Against every pair: tiny, wide and many-sided polygons, short and long edges."""
+    rng = random.Random(6)
+    rings = []
+    for k in range(40):
+        x, y, r = rng.uniform(-1, 1), rng.uniform(-1, 1), rng.choice([0.002, 0.05, 0.4])
+        n = rng.choice([3, 4, 9, 60])
+        turns = sorted(rng.uniform(0, 2 * math.pi) for _ in range(n))
+        rings.append((f"p{k}", [(x + r * rng.uniform(0.3, 1) * math.cos(t), y + r * rng.uniform(0.3, 1) * math.sin(t)) for t in turns]))
+    rings.append(("wide", [(-80.0, -60.0), (90.0, -50.0), (5.0, 70.0)]))
+    turns = [2 * math.pi * i / 10_000 for i in range(10_000)]
+    rings.append(("star", [((0.5 + 0.4 * (i % 2)) * math.cos(t), (0.5 + 0.4 * (i % 2)) * math.sin(t)) for i, t in enumerate(turns)]))
+    rings += [("bow", [(0.0, 0.0), (1.0, 1.0), (1.0, 0.0), (0.0, 1.0)]), ("flat", [(0.1, 0.1), (0.9, 0.1), (0.4, 0.1)])]
+    polygons = spark.createDataFrame(rings, "polygon_id string, ring array<struct<x:double,y:double>>")
+    legs = []
+    for k in range(250):
+        x, y, size = rng.uniform(-1.2, 1.2), rng.uniform(-1.2, 1.2), rng.choice([0.0, 0.0005, 0.02, 0.6, 40.0])
+        legs.append((f"a{k}", 0, x, y, x + rng.uniform(-size, size), y + rng.uniform(-size, size)))
+    edges = spark.createDataFrame(legs, "activity_id string, seq long, x0 double, y0 double, x1 double, y1 double")
+    got = {tuple(r) for r in spatial.polygon_join(edges, polygons).collect()}
+    listed = polygons.withColumn("ring", spatial.sides_of(F.col("ring"))).crossJoin(edges)  # 44 polygons by 250 edges
+    want = {(r.polygon_id, r.activity_id) for r in listed.where(spatial.edge_intersects(F.col("ring"))).select("polygon_id", "activity_id").collect()}
+    assert got == want and len({p for p, _ in want}) > 25
+
+
+def test_cover_cells_hold_few_polygons(spark):
+    """A wide polygon among many small ones is listed at its own level only."""
+    small = [(f"s{k}", [(k / 500, 0.0), (k / 500 + 0.001, 0.0), (k / 500, 0.001)]) for k in range(400)]
+    wide = [("wide", [(-170.0, -80.0), (170.0, -80.0), (0.0, 85.0)])]
+    polygons = spark.createDataFrame(small + wide, "polygon_id string, ring array<struct<x:double,y:double>>")
+    legs = [(f"a{k}", 0, k / 2000, 0.0005, k / 2000 + 0.0001, 0.0005) for k in range(2000)]
+    edges = spark.createDataFrame(legs, "activity_id string, seq long, x0 double, y0 double, x1 double, y1 double")
+    areas = polygons.select("polygon_id", F.xxhash64("polygon_id").alias("polygon_key"), spatial.sides_of(F.col("ring")).alias("ring"), spatial.polygon_bounds_of(F.col("ring")).alias("b"))
+    cells = spatial.polygon_cover(areas.withColumn("level", F.when(F.col("polygon_id") == "wide", 2).otherwise(16)))
+    assert cells.groupBy("level", "x", "y").count().agg(F.max("count")).first()[0] <= 4
+    out = spatial.polygon_join(edges, polygons)
+    assert out.where("polygon_id = 'wide'").count() == 2000 and out.where("polygon_id <> 'wide'").count() > 400
