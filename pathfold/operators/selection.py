@@ -26,6 +26,7 @@ def is_universal(sql: str) -> bool:
 APPROVED = ("activities", "activities_full")
 CATALYST = "org.apache.spark.sql.catalyst"
 REFUSED = ("reflect", "java_method", "try_reflect")
+TABLE_FUNCTIONS = ("explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple")
 
 
 def _inside(seq) -> list:
@@ -35,33 +36,42 @@ def _inside(seq) -> list:
 def check_query(spark: SparkSession, sql: str, relations: tuple[str, ...] = APPROVED) -> None:
     """Raise unless the query reads approved relations only and calls no JVM method.
 
-    The parsed plan is walked, subqueries and CTEs included, before anything is resolved.
+    The parsed plan is walked, subqueries and CTEs included, before anything is resolved. A CTE's
+    name counts where the query can see it: in the CTEs after it (in itself, if it is recursive)
+    and in the body of its WITH. Functions go by one name, table functions are on a list.
     """
     gateway = spark.sparkContext._gateway
-    allowed = {name.lower() for name in relations}
-    queue = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
-    read: set[str] = set()
+    queue = [(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql), frozenset(name.lower() for name in relations))]
     while queue:
-        node = queue.pop()
+        node, known = queue.pop()
         kind = node.getClass().getSimpleName()
-        if kind == "UnresolvedRelation":
-            read.add(".".join(_inside(node.multipartIdentifier())).lower())
-        elif kind == "UnresolvedWith":
+        if kind == "UnresolvedWith":
             for named in _inside(node.cteRelations()):
-                allowed.add(named._1().lower())
+                seen = known | {named._1().lower()}
+                queue.append((named._2(), seen if node.allowRecursion() else known))
+                known = seen
+            queue += [(child, known) for child in _inside(node.children())]
+            continue
+        if kind == "UnresolvedRelation":
+            name = ".".join(_inside(node.multipartIdentifier())).lower()
+            if name not in known:
+                raise ValueError(f"a selection may not read {name}")
         elif kind == "UnresolvedFunction":
-            name = _inside(node.nameParts())[-1].lower()
-            if name in REFUSED:
-                raise ValueError(f"a selection may not call {name}")
+            parts = [part.lower() for part in _inside(node.nameParts())]
+            if len(parts) > 1 or parts[0] in REFUSED:
+                raise ValueError(f"a selection may not call {'.'.join(parts)}")
+        elif kind in ("UnresolvedTableValuedFunction", "UnresolvedGenerator"):
+            name = node.name().mkString(".") if kind == "UnresolvedTableValuedFunction" else node.name().unquotedString()
+            if name.lower() not in TABLE_FUNCTIONS:
+                raise ValueError(f"a selection may not call the table function {name}")
         elif "UnresolvedIdentifier" in kind:
             raise ValueError("a selection names its relations as they are")
-        queue += _inside(node.children())
+        below = _inside(node.children())
         if is_instance_of(gateway, node, f"{CATALYST}.plans.logical.LogicalPlan"):
-            queue += _inside(node.expressions()) + _inside(node.innerChildren().toSeq())
+            below += _inside(node.expressions()) + _inside(node.innerChildren().toSeq())
         elif is_instance_of(gateway, node, f"{CATALYST}.expressions.SubqueryExpression"):
-            queue.append(node.plan())
-    if read - allowed:
-        raise ValueError(f"a selection may not read {sorted(read - allowed)}")
+            below.append(node.plan())
+        queue += [(child, known) for child in below]
 
 
 def select(spark: SparkSession, sql: str, relations: tuple[str, ...] = APPROVED) -> DataFrame:
