@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pathfold.functions.color import PRESETS
+from pathfold.functions.predicates import viewport_intersects
 from pathfold.operators import dimensions as dim
 from pathfold.operators import heat, layout, stats
 from pathfold.operators import selection as sel
@@ -546,13 +547,15 @@ def _(spark, d):
       m AS (SELECT count(*) FILTER (WHERE hit) AS candidate_files, count(*) AS total_files, CAST(sum(byte_size) FILTER (WHERE hit) AS BIGINT) AS candidate_bytes, CAST(sum(byte_size) AS BIGINT) AS total_bytes,
         CAST(sum(expected) FILTER (WHERE hit) AS BIGINT) AS expected_row_groups, CAST(sum(groups) FILTER (WHERE hit) AS BIGINT) AS candidate_row_groups, CAST(sum(groups) AS BIGINT) AS total_row_groups,
         CAST(sum(expected_rows) FILTER (WHERE hit) AS BIGINT) AS expected_rows FROM h JOIN g USING (path))
-      SELECT *, 200 AS kept_rows, {q('(total_bytes - candidate_bytes) * 100.0 / total_bytes', 4)} AS avoided_bytes_percent, {q('200 * 100.0 / expected_rows', 4)} AS kept_percent FROM m"""
+      SELECT *, {q('(total_bytes - candidate_bytes) * 100.0 / total_bytes', 4)} AS avoided_bytes_percent, {q('kept_rows * 100.0 / expected_rows', 4)} AS kept_percent
+      FROM m, (SELECT count(*) AS kept_rows FROM activities WHERE {sql_intersects(BOX)})"""
     ),
 )
 def _(spark, d):
     g = groups(spark, d)
     files = stats.file_rollup(g, ["path"]).withColumn("byte_size", F.col("row_count") * 100)
-    return rounded(stats.scan_metrics(files, g, BOX, 200), 4)
+    kept = activities(spark, d).where(viewport_intersects(BOX)).count()  # rows, as a scan of them keeps
+    return rounded(stats.scan_metrics(files, g, BOX, kept), 4)
 
 
 @register(
