@@ -4,11 +4,14 @@ The lattice of a text is a chain of segments that no piece crosses. In each segm
 Viterbi pass gives the best score of every prefix; these scores are the exact heuristic of an A*
 search that walks back from the end, so complete paths leave its agenda best first. The texts'
 n best segmentations combine those of their segments, again best first, by the loss against the
-best. Segments repeat, so each worker keeps the results of a bounded number of them.
+best. Only segments whose second path may be among a text's next ones are searched by A*; of the
+others the forward pass alone tells the best path and what the second loses. Segments repeat, so
+each worker keeps the results of a bounded number of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 from heapq import heappop, heappush
 from math import inf
@@ -26,6 +29,9 @@ CACHE = 400_000
 BLOCK_BYTES = 1 << 20
 KEPT_USES = 3
 RECENT = 1 << 12
+LONGEST = 64
+IDS_PER_ROW = 8
+NEAR = 1e-9
 UNKNOWN_PENALTY = 10.0
 
 
@@ -90,10 +96,54 @@ def n_best(text: str, pieces: Pieces, n: int) -> list[tuple[float, list[int]]]:
     return out
 
 
+def best_path(text: str, pieces: Pieces) -> tuple[float, list[int], float]:
+    """(score, ids, loss of the second) of a segment's best path, by the forward pass alone.
+
+    Another path leaves the best one, from its end, at some position by an arc that is not the best
+    into it; the least that such an arc loses is what the second path loses, up to rounding.
+    """
+    get, ids, size, absent = pieces.begins.get, pieces.ids, len(text), ()
+    lowest = pieces.lowest - UNKNOWN_PENALTY
+    best, second, back = [inf] * (size + 1), [inf] * (size + 1), [0] * (size + 1)
+    best[0] = 0.0
+    for i in range(size):
+        here = best[i]
+        if text[i] not in ids:  # spelt in bytes
+            cost, j = here - lowest, i + 1
+            if cost < best[j]:
+                best[j], second[j], back[j] = cost, best[j], i
+            elif cost < second[j]:
+                second[j] = cost
+        for j in range(i + 1, size + 1):
+            s = get(text[i:j], absent)
+            if s is absent:
+                break
+            if s is not None:
+                cost = here - s
+                if cost < best[j]:
+                    best[j], second[j], back[j] = cost, best[j], i
+                elif cost < second[j]:
+                    second[j] = cost
+    tail, loss, at, found = 0.0, inf, size, []
+    while at:
+        i = back[at]
+        loss = min(loss, second[at] - best[at])
+        tail += best[at] - best[i]
+        known = ids.get(text[i:at])
+        if known is None:
+            found.extend(pieces.byte_ids[b] for b in reversed(text[i:at].encode()))
+        else:
+            found.append(known)
+        at = i
+    found.reverse()
+    return -tail, found, loss
+
+
 class SegmentTable(dict):
     """Segment -> row of growing arrays: ids of the best path, its score, losses of the next ones.
 
-    When it is full, only the segments seen ``KEPT_USES`` times or more stay.
+    The losses are those of the forward pass until a text needs them all. When the table is full, in
+    rows or ids, only segments of up to ``LONGEST`` characters seen ``KEPT_USES`` times or more stay.
     """
 
     def __init__(self, pieces: Pieces, n: int, cache: int = CACHE):
@@ -105,33 +155,57 @@ class SegmentTable(dict):
         self.start = self.count = self.uses = np.empty(0, np.int64)
         self.score = np.empty(0)
         self.loss = np.empty((0, n - 1))
+        self.searched = np.empty(0, bool)
         self.recent: dict[str, list[tuple[float, list[int]]]] = {}
+        self.here: dict[str, list[tuple[float, list[int]]]] = {}
 
     def __missing__(self, segment: str) -> int:
-        found = n_best(segment, self.pieces, self.n)
-        losses = [found[0][0] - s for s, _ in found[1:]]
-        self.fresh.append((found[0][1], found[0][0], losses + [inf] * (self.n - 1 - len(losses))))
+        score, ids, loss = best_path(segment, self.pieces)
+        losses = [loss] + [inf] * (self.n - 2)
+        if loss < NEAR:  # equal paths are in the order of the search
+            (score, ids), losses = self.search(segment)
+        self.fresh.append((ids, score, losses, loss < NEAR))
         self[segment] = row = self.rows
         self.rows += 1
         return row
 
+    def search(self, segment: str) -> tuple[tuple[float, list[int]], list[float]]:
+        """The best path and the losses of the next ones, by A*; kept for the block."""
+        found = self.here[segment] = n_best(segment, self.pieces, self.n)
+        losses = [found[0][0] - s for s, _ in found[1:]]
+        return found[0], losses + [inf] * (self.n - 1 - len(losses))
+
+    def complete(self, segment: Callable[[int], str], rows: np.ndarray) -> None:
+        """Search the segments of a text that may be among the n-1 with the smallest losses."""
+        first = self.loss[rows, 0]
+        bound = np.partition(first, self.n - 2)[self.n - 2] if len(first) > self.n - 1 else inf
+        for k in np.flatnonzero((first <= bound + NEAR) & ~self.searched[rows] & np.isfinite(first)).tolist():
+            row = rows[k]
+            if not self.searched[row]:
+                self.loss[row] = self.search(segment(k))[1]
+                self.searched[row] = True
+
     def settle(self) -> None:
         """Move the new segments to the arrays."""
         if not self.fresh:
             return
-        counts = np.array([len(ids) for ids, _, _ in self.fresh], np.int64)
+        counts = np.array([len(f[0]) for f in self.fresh], np.int64)
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(counts) - counts])
-        self.ids = np.concatenate([self.ids, np.array([i for ids, _, _ in self.fresh for i in ids], np.int32)])
+        self.ids = np.concatenate([self.ids, np.array([i for f in self.fresh for i in f[0]], np.int32)])
         self.count = np.concatenate([self.count, counts])
         self.uses = np.concatenate([self.uses, np.zeros(len(counts), np.int64)])
-        self.score = np.concatenate([self.score, np.array([s for _, s, _ in self.fresh])])
-        self.loss = np.concatenate([self.loss, np.array([x for _, _, x in self.fresh]).reshape(len(counts), self.n - 1)])
+        self.score = np.concatenate([self.score, np.array([f[1] for f in self.fresh])])
+        self.loss = np.concatenate([self.loss, np.array([f[2] for f in self.fresh]).reshape(len(counts), self.n - 1)])
+        self.searched = np.concatenate([self.searched, np.array([f[3] for f in self.fresh])])
         self.fresh = []
 
     def shrink(self) -> None:
-        if self.rows <= self.cache:
+        self.here.clear()
+        if self.rows <= self.cache and len(self.ids) <= IDS_PER_ROW * self.cache:
             return
-        stay = np.flatnonzero(self.uses >= KEPT_USES)[: self.cache // 2]
+        short = np.zeros(self.rows, bool)
+        short[[r for s, r in self.items() if len(s) <= LONGEST]] = True
+        stay = np.flatnonzero(short & (self.uses >= KEPT_USES))[: self.cache // 2]
         number = np.full(self.rows, -1, np.int64)
         number[stay] = np.arange(len(stay))
         kept = {s: int(number[r]) for s, r in self.items() if number[r] >= 0}
@@ -141,14 +215,16 @@ class SegmentTable(dict):
         self.count = self.count[stay]
         self.start = np.cumsum(self.count) - self.count
         self.uses, self.score, self.loss, self.rows = self.uses[stay] // 2, self.score[stay], self.loss[stay], len(stay)
+        self.searched = self.searched[stay]
 
     def path(self, segment: str, rank: int) -> list[int]:
         """The ids of a segment's path of this rank; few are asked for, so they are searched anew."""
-        found = self.recent.get(segment)
+        found = self.here.get(segment) or self.recent.get(segment)
         if found is None:
+            found = n_best(segment, self.pieces, self.n)
             if len(self.recent) >= RECENT:
                 self.recent.clear()
-            found = self.recent[segment] = n_best(segment, self.pieces, self.n)
+            (self.recent if len(segment) <= LONGEST else self.here)[segment] = found
         return found[rank][1]
 
 
@@ -238,6 +314,8 @@ def encode(
             after = []
             for d, (a, b) in enumerate(zip(first.tolist(), last.tolist())):
                 entries = []
+                if b > a:
+                    table.complete(lambda k: cut.distinct[cut.index[a + k]], every[a:b])
                 for loss, choice in combine(every[a:b], table)[1:] if b > a else ():
                     edits = [(int(at[a + k] - at[a]), int(counts[a + k]), table.path(cut.distinct[cut.index[a + k]], rank)) for k, rank in choice]
                     entries.append(

@@ -171,3 +171,35 @@ def test_encode_text_n_best_and_decode(spark, pieces):
     for r in back.collect():
         assert r.decoded == r.first == (r.text or "").replace("▁", " ")
     assert encode(documents(spark, []), MODEL).count() == 0
+
+
+def test_long_and_rare_segments_leave_the_table(spark):
+    """A long run of letters is encoded whole and not kept; lines of rare segments keep the table small."""
+    import base64
+    import random
+
+    import public_tokenizers
+
+    from pathfold.llm import piece_codec as pc
+    from pathfold.llm.pieces import load
+
+    rng = random.Random(9)
+    pieces = load(public_tokenizers.path("piece_bpe_32k.model"))
+    for text in ["▁" + "".join(rng.choices("abcdefghij", k=n)) for n in (1, 2, 5, 30, 300)] + ["▁aaaa", "▁日é", ""]:
+        found = pc.n_best(text, pieces, 2)
+        score, ids, loss = pc.best_path(text, pieces)
+        assert ids == found[0][1] and score == found[0][0]
+        assert len(found) == 1 and loss == float("inf") or abs(loss - (found[0][0] - found[1][0])) < 1e-9
+    run = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=100_000))
+    lines = [base64.b64encode(rng.randbytes(600)).decode() for _ in range(40)]
+    docs = spark.createDataFrame([(1, run), (2, "\n".join(lines)), (3, run)], "doc_id long, text string").coalesce(1)
+    out = {r.doc_id: r for r in pc.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded=True, cache=50).collect()}
+    assert out[1].decoded == run and out[1].ids == out[3].ids and out[2].decoded == "\n".join(lines)
+    assert len(out[1].next_best) == 3 and out[1].next_best == out[3].next_best
+    table = pc.SegmentTable(pieces, 4, 50)
+    for s in ["▁" + line for line in lines] + ["▁a"] * 3:
+        table[s]
+        table.settle()
+    table.uses[:] = 5
+    table.shrink()
+    assert set(table) == {"▁a"} and len(table.ids) < 3 and table.rows == 1
