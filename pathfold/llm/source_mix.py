@@ -21,6 +21,7 @@ from pathfold.llm.batches import unused
 from pathfold.session import cut_lineage, stored
 
 GROUP = 64
+RUN = 4096  # equal rows that one row stands for until the end
 WORD = r"[^\x20\x09-\x0D]+"
 EPS = 1e-9
 
@@ -106,7 +107,7 @@ def is_open(p: Column) -> Column:
 SOURCE = ["nosource", "src", "source_size", "target"]
 
 
-def plan_mix(
+def plan_documents(
     docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 0
 ) -> DataFrame:
     """(doc_id, text_key, source, size, n_rows, source_size, target, copies), a row a document.
@@ -176,15 +177,39 @@ def plan_mix(
     )
 
 
+def plan_mix(
+    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 0
+) -> DataFrame:
+    """(doc_id, text_key, source, size, source_size, target, copies), a row for each row of ``docs``.
+
+    The copies of :func:`plan_documents`, dealt evenly to the rows of a document: its equal rows
+    differ by one copy at most, and none has more than ``cap`` copies. Odd rows are those of
+    :func:`plan_documents`.
+    """
+    plan = plan_documents(docs, weights, cap, seed)
+    each, more = F.floor(F.col("copies") / F.col("n_rows")), F.col("copies") % F.col("n_rows")
+    # Two numbers of copies, each with its number of rows; these in runs, so that many equal rows are made by many tasks.
+    kinds = F.array(
+        F.struct((each + 1).alias("copies"), more.alias("rows")), F.struct(each.alias("copies"), (F.col("n_rows") - more).alias("rows"))
+    )
+    start = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("kind.rows") - 1) / RUN))).alias("run")
+    rest = ["doc_id", "text_key", "source", "size", "source_size", "target"]
+    dealt = plan.select(*rest, "n_rows", F.explode(kinds).alias("kind")).filter("kind.rows > 0").select(*rest, "n_rows", "kind", start)
+    length = F.least(F.lit(RUN), F.col("kind.rows") - F.col("run") * RUN).cast("int")
+    few = dealt.filter(F.col("n_rows") <= RUN)
+    many = dealt.filter(F.col("n_rows") > RUN).repartition("doc_id", "text_key", "kind.copies", "run")
+    return few.unionByName(many).select(*rest, F.col("kind.copies").alias("copies"), F.explode(F.array_repeat(F.lit(0), length)).alias("row")).drop("row")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 0) -> DataFrame:
-    """The rows of ``docs``, each as often as the plan of :func:`plan_mix` takes its document.
+    """The rows of ``docs``, each as often as the plan of :func:`plan_documents` takes its document.
 
     Of several equal rows (doc_id, source, text) any one stands for all; their extra columns may
     differ, and one of them is repeated. Columns stay as they are.
     """
     names = unused(docs.columns, "__id", "__key", "__source", "__rows", "__copies", "__copy")
     own_id, own_key, own_source, n_rows, copies, copy = names
-    plan = plan_mix(docs, weights, cap, seed).filter("copies > 0")
+    plan = plan_documents(docs, weights, cap, seed).filter("copies > 0")
     taken = plan.select(*[F.col(c).alias(x) for c, x in zip(("doc_id", "text_key", "source", "n_rows", "copies"), names)])
     match = (
         F.col("doc_id").eqNullSafe(F.col(own_id))

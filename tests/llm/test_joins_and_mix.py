@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pathfold.llm.graph import components
 from pathfold.llm.ngram_join import SHARED, crowded_buckets, keep_one, link_classes, parts_of, product_links, registrations
-from pathfold.llm.source_mix import mix_sources, plan_mix, source_targets
+from pathfold.llm.source_mix import mix_sources, plan_documents, plan_mix, source_targets
 
 from .helpers import WORD, documents, fresh, linked, odd_rows
 
@@ -203,11 +203,26 @@ def test_mix_keeps_expectations(spark):
 
 def test_mix_of_odd_rows(spark):
     docs = documents(spark)
-    plan = plan_mix(docs).collect()
+    plan = plan_documents(docs).collect()
     assert len(plan) == len({(r[0], r[1], r[3]) for r in odd_rows()})
     assert {r.n_rows for r in plan if r.doc_id == 9} == {2} and all(r.copies <= 3 * r.n_rows for r in plan)
     assert {r.size for r in plan if r.doc_id in (1, 2, 3)} == {0}
+    rows = plan_mix(docs).collect()
+    assert sorted((r.doc_id for r in rows), key=repr) == sorted((r[0] for r in odd_rows()), key=repr) and max(r.copies for r in rows) <= 3
+    assert all(sum(r.copies for r in rows if r.doc_id == p.doc_id and r.text_key == p.text_key and r.source == p.source) == p.copies for p in plan)
     mixed = mix_sources(docs)
     counts = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
     assert counts == {i: c for i in {r.doc_id for r in plan} if (c := sum(r.copies for r in plan if r.doc_id == i))}
     assert plan_mix(documents(spark, [])).count() == 0 and mix_sources(documents(spark, [])).count() == 0
+
+
+def test_mix_deals_the_copies_of_a_document_to_its_rows(spark):
+    """A document of 10 000 equal rows among others: a row for each, two numbers of copies, one apart."""
+    rows = [(7, "one two three four", None, "a", 0, "", "", "")] * 10_000 + [(8 + i, "w " * (1 + i), None, "b", 0, "", "", "") for i in range(50)]
+    docs = documents(spark, rows)
+    found = plan_mix(docs).groupBy("doc_id", "copies").count().collect()
+    hot = {r.copies: r["count"] for r in found if r.doc_id == 7}
+    assert sum(hot.values()) == 10_000 and max(hot) - min(hot) <= 1 and max(hot) <= 3
+    (plan,) = plan_documents(docs).filter("doc_id = 7").collect()
+    assert sum(c * n for c, n in hot.items()) == plan.copies
+    assert sum(r["count"] for r in found) == len(rows) and all(r.copies <= 3 for r in found)
