@@ -64,6 +64,8 @@ def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
     """Estimated share of a's shingles that b has; 1 for a text without any."""
     if not len(a):
         return 1.0
+    if max(len(a), len(b)) < k:  # both are known whole
+        return len(np.intersect1d(a, b, assume_unique=True)) / len(a)
     joint = np.union1d(a, b)[:k]
     return min(1.0, resemblance(a, b, k) * distinct(joint, k) / distinct(a, k))
 
@@ -142,9 +144,11 @@ def range_of(column, cuts: list[int]):
 
 EDITED = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-    "near_edited double, near_next double"
+    "near_edited double, near_next double, n_shingles_est double, in_edited double, in_next double"
 )
 
+NAMES = [field.split()[0] for field in EDITED.split(", ")]
+
 
 def compare_with_next(docs: DataFrame, k: int = K, n: int = WORDS, parts: int | None = None) -> DataFrame:
     """Fingerprints of each text, of its edited text, and how near it is to both that and the next.
@@ -152,6 +156,8 @@ def compare_with_next(docs: DataFrame, k: int = K, n: int = WORDS, parts: int |
     In the edited text the last floor(n_chars / 2) code points give way to the first as many (or
     all) of the next document by doc_id; the first follows the last. Texts move once, to the range
     of ids of their document; a range's first document goes to the range before it as well.
+    Beside resemblance (near_edited, near_next) come the estimated number of distinct shingles and
+    the estimated share of them that the edited and the next text have (in_edited, in_next).
 
     Null texts count as empty. Rows with one doc_id follow each other by text; a null doc_id comes
     first. The only document of a table is its own next. Extra columns are ignored.
@@ -190,8 +196,11 @@ def compare_with_next(docs: DataFrame, k: int = K, n: int = WORDS, parts: int |
                 pa.array([pack(s) for s in cut]),
                 pa.array([resemblance(a, b, k) for a, b in zip(own, cut)], pa.float64()),
                 pa.array([resemblance(a, b, k) for a, b in zip(own, following)], pa.float64()),
+                pa.array([distinct(a, k) for a in own], pa.float64()),
+                pa.array([containment(a, b, k) for a, b in zip(own, cut)], pa.float64()),
+                pa.array([containment(a, b, k) for a, b in zip(own, following)], pa.float64()),
             ],
-            names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+            names=NAMES,
         )
 
     def run(batches):

@@ -212,6 +212,16 @@ def test_edited_texts(spark):
         got = compare_with_next(documents(spark), parts=parts).collect()
         assert sorted((tuple(r)[:5] for r in got), key=repr) == sorted(want, key=repr)
         assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    plain = []  # by whole sets, where a sketch holds them all
+    for n, (i, text) in enumerate(rows):
+        after = rows[(n + 1) % len(rows)][1]
+        half = len(text) // 2
+        own, cut, following = (word_set(t, 5) for t in (text, text[: len(text) - half] + after[:half], after))
+        share = lambda a, b: len(a & b) / len(a) if a else 1.0
+        if max(map(len, (own, cut, following))) < 128:
+            plain.append((i, len(text), len(own), *(round(x, 9) for x in (jaccard(own, cut), jaccard(own, following), share(own, cut), share(own, following)))))
+    told = [(r.doc_id, r.n_chars, r.n_shingles_est, *(round(x, 9) for x in (r.near_edited, r.near_next, r.in_edited, r.in_next))) for r in got]
+    assert len(plain) >= 12 and not Counter(plain) - Counter(told)
     assert compare_with_next(documents(spark, [])).count() == 0
     only = compare_with_next(documents(spark, odd_rows()[3:4])).first()
     assert only.near_next == 1.0
