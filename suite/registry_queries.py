@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from pathfold.session import scratch_path
 from pathfold.sources import archive
 from pathfold.sources.files import row_group_facts
 from pathfold.streaming import live
+from pathfold.streaming.uploads import promotions, status_changes
 
 from .base import activities, flagged, points, q, r, rounded, stamp, table, with_activities, with_points
 
@@ -351,6 +354,63 @@ def _(spark, d):
     return reg.upload_transitions(spark.sql(STORY.replace("//", "DIV")))
 
 
+def streamed(rows: DataFrame, at: str, run) -> DataFrame:
+    """What a stream tells of rows that come in three deliveries, up to 50 minutes late, each in a run of its own.
+
+    Runs go on from the checkpoint of the run before, and a last row without values lets the
+    watermark pass the others.
+    """
+    spark, folder = rows.sparkSession, scratch_path(rows.sparkSession, "deliveries")
+    second = F.unix_seconds(at)
+    arrival = second + F.pmod(F.xxhash64(at), F.lit(3000))
+    span = rows.agg(F.min(second).alias("a"), F.max(second).alias("b")).first()
+    width = ((span.b or 0) - (span.a or 0)) // 3 + 1
+    dealt = rows.withColumn("nth", F.least(F.lit(2), F.floor((arrival - (span.a or 0)) / width)))
+    clock = [None] * len(rows.columns)
+    clock[rows.columns.index(at)] = datetime.fromtimestamp((span.b or 0) + 86_400, timezone.utc)
+    for n in range(3):
+        part = dealt.where(F.col("nth") == n).drop("nth")
+        (part if n < 2 else part.unionByName(spark.createDataFrame([tuple(clock)], rows.schema))).write.mode("append").parquet(f"{folder}/in")
+        told = run(spark.readStream.schema(rows.schema).parquet(f"{folder}/in")).writeStream.format("parquet")
+        told.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+DAY = 86_400  # a stream's clock starts with 1970, so numbered events begin a day later
+LIVE_STORY = """SELECT event_id // 11 AS upload_id, event_id AS changed_at, CASE (event_id * 7 + user_id) % 11 WHEN 0 THEN 'uploading' WHEN 1 THEN 'pending' WHEN 2 THEN 'submitting' WHEN 3 THEN 'queued'
+    WHEN 4 THEN 'downloading' WHEN 5 THEN 'compiling' WHEN 6 THEN 'publishing' WHEN 7 THEN 'ready' WHEN 8 THEN 'lost' WHEN 9 THEN 'queued' END AS status FROM events"""
+
+
+@register(
+    "upload_status_stream",
+    f"""WITH s AS ({LIVE_STORY}), p AS (SELECT *, lag(status) OVER (PARTITION BY upload_id ORDER BY changed_at) AS previous FROM s)
+      SELECT upload_id, changed_at, previous, status, coalesce(coalesce(list_position({STATES}, status), 0) > coalesce(list_position({STATES}, previous), 0) AND coalesce(previous NOT IN ('ready', 'failed'), true), false) AS allowed
+      FROM p WHERE previous IS DISTINCT FROM status""",
+)
+def _(spark, d):
+    """Changes of state told by a stream with state and timers; about eleven changes an upload."""
+    table(spark, d, "events").createOrReplaceTempView("events")
+    story = spark.sql(LIVE_STORY.replace("//", "DIV")).withColumn("changed_at", F.timestamp_seconds(F.col("changed_at") + DAY))
+    return streamed(story, "changed_at", status_changes).withColumn("changed_at", F.unix_seconds("changed_at") - DAY)
+
+
+ARRIVALS = """SELECT user_id AS subject, event_id AS came, CASE WHEN event_id % 3 < 2 THEN event_id END AS upload_id,
+    CASE WHEN event_id % 3 = 2 THEN event_id END AS dataset_id FROM events"""
+
+
+@register(
+    "upload_promotion_stream",
+    f"""WITH a AS ({ARRIVALS}), u AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY came) AS n FROM a WHERE upload_id IS NOT NULL),
+      s AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY came) AS n FROM a WHERE dataset_id IS NOT NULL)
+      SELECT u.subject, u.upload_id, s.dataset_id, greatest(u.came, s.came) AS promoted_at FROM u JOIN s ON u.subject = s.subject AND u.n = s.n""",
+)
+def _(spark, d):
+    """The oldest waiting upload of a user takes each dataset, told by a stream."""
+    table(spark, d, "events").createOrReplaceTempView("events")
+    rows = spark.sql(ARRIVALS).select("subject", F.timestamp_seconds(F.col("came") + DAY).alias("at"), "upload_id", "dataset_id")
+    return streamed(rows, "at", promotions).withColumn("promoted_at", F.unix_seconds("promoted_at") - DAY)
+
+
 @register(
     "rejection_json",
     "SELECT event_id, 'f' || user_id || '.gpx' AS source_path, CASE WHEN event_id % 3 <> 0 THEN CAST(event_id AS VARCHAR) END AS source_activity_id, 'parse' AS stage, event_type AS reason_code, props AS message FROM events",

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pathfold.operators import registry as reg
 from pathfold.streaming import live
 from pathfold.streaming.progress import ProgressListener, observed
+from pathfold.streaming.uploads import promotions, status_changes
 
 T0 = datetime(2025, 1, 1)
 
@@ -83,3 +84,50 @@ def test_promotion_and_views(spark):
     assert none.where("promoted").count() == 0
     ok = spark.createDataFrame([("a.ZIP", 5), ("a.zip", 0), ("b.tar", 5)], "f string, n long")
     assert [r[0] for r in ok.select(reg.valid_upload("f", "n")).collect()] == [True, False, False]
+
+
+def delivered(spark, parts, folder, run):
+    """Rows told by a stream that is started anew, from its checkpoint, for each delivery of rows."""
+    for n, part in enumerate(parts):
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(part.schema).parquet(f"{folder}/in")
+        query = run(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+        query.start(f"{folder}/out").awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+def test_status_changes_stream_equals_batch(spark, tmp_path):
+    """Out of order within the delay, equal times, repeated rows, states passed twice, unknown and null ones."""
+    def at(m):
+        return T0 + timedelta(minutes=m)
+
+    schema = "upload_id long, changed_at timestamp, status string"
+    first = [(1, at(20), "queued"), (1, at(0), "uploading"), (2, at(5), "ready"), (1, at(20), "queued"), (3, at(7), None), (2, at(9), "failed")]
+    second = [(1, at(12), "pending"), (1, at(70), "ready"), (1, at(75), "queued"), (3, at(71), "lost"), (3, at(71), "compiling"), (4, at(72), "failed")]
+    third = [(3, at(130), "queued"), (4, at(140), "failed"), (2, at(135), "ready")]
+    clock = [(None, at(1000), None)]
+    parts = [spark.createDataFrame(rows, schema) for rows in (first, second, third + clock)]
+    got = delivered(spark, parts, f"{tmp_path}/s", lambda s: status_changes(s, "1 hour"))
+    want = reg.upload_transitions(spark.createDataFrame(first + second + third, schema))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert {r.allowed for r in got.collect()} == {True, False}
+
+
+def test_rows_behind_the_watermark_change_nothing(spark, tmp_path):
+    schema = "upload_id long, changed_at timestamp, status string"
+    story = [[(1, T0, "uploading"), (None, T0 + timedelta(days=1), None)], [(1, T0 - timedelta(minutes=5), "failed"), (None, T0 + timedelta(days=2), None)]]
+    got = delivered(spark, [spark.createDataFrame(rows, schema) for rows in story], f"{tmp_path}/s", status_changes)
+    assert [(r.previous, r.status, r.allowed) for r in got.collect()] == [(None, "uploading", True)]
+
+
+def test_promotions_take_the_oldest_waiting(spark, tmp_path):
+    schema = "subject string, at timestamp, upload_id long, dataset_id long"
+
+    def at(m):
+        return T0 + timedelta(minutes=m)
+
+    first = [("a", at(9), 2, None), ("a", at(3), 1, None), ("b", at(4), None, 70), ("a", at(30), None, 71)]
+    second = [("a", at(100), None, 72), ("a", at(101), None, 73), ("b", at(99), 5, None), ("a", at(160), 9, None), (None, at(900), None, None)]
+    parts = [spark.createDataFrame(rows, schema) for rows in (first, second)]
+    got = {tuple(r) for r in delivered(spark, parts, f"{tmp_path}/s", promotions).collect()}
+    assert got == {("a", 1, 71, at(30)), ("a", 2, 72, at(100)), ("b", 5, 70, at(99)), ("a", 9, 73, at(160))}
