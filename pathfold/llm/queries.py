@@ -162,14 +162,22 @@ views AS (
         '<|im_start|>' || CASE WHEN c.role = s.participant THEN 'assistant' WHEN c.role = 'system' THEN 'system'
             WHEN c.role IS NULL THEN 'user' ELSE 'user name=' || c.role END || chr(10) AS head
     FROM speakers s JOIN conversations c ON s.conv_id IS NOT DISTINCT FROM c.conv_id),
+numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, participant, part ORDER BY turn NULLS LAST, role NULLS FIRST, body) AS nth
+    FROM views),
 placed AS (
-    SELECT *, row_number() OVER told AS nth,
-        coalesce(sum(length(head) + length(body) + 11) OVER (told ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
-    FROM views WINDOW told AS (PARTITION BY conv_id, participant, part ORDER BY turn NULLS LAST, role NULLS FIRST, body))
-SELECT conv_id, participant, part, CAST(0 AS INTEGER) AS slice, CAST(count(*) AS INTEGER) AS n_turns,
-    string_agg(head || body || '<|im_end|>' || chr(10), '' ORDER BY nth) AS text,
-    coalesce(string_agg((pos + length(head)) || '-' || (pos + length(head) + length(body) + 10), ',' ORDER BY nth)
-        FILTER (role = participant), '') AS masks
-FROM placed GROUP BY ALL
+    SELECT *, CAST((nth - 1) // 4096 AS INTEGER) AS slice,
+        coalesce(sum(length(head) + length(body) + 11) OVER (PARTITION BY conv_id, participant, part, (nth - 1) // 4096
+            ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+    FROM numbered),
+rendered AS (
+    SELECT conv_id, participant, part, slice, CAST(count(*) AS INTEGER) AS n_turns,
+        string_agg(head || body || '<|im_end|>' || chr(10), '' ORDER BY nth) AS text,
+        coalesce(string_agg((pos + length(head)) || '-' || (pos + length(head) + length(body) + 10), ',' ORDER BY nth)
+            FILTER (role = participant), '') AS masks
+    FROM placed GROUP BY ALL)
+SELECT *, CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id, participant ORDER BY part, slice
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+FROM rendered
 """,
 }

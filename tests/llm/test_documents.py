@@ -372,3 +372,26 @@ def test_chat_slices_follow_the_order_of_the_rows(spark):
     spoken = [r.text[m.start : m.end] for r in mine for m in r.masks]
     assert spoken == [x + "<|im_end|>" for _, r, x in told if r == "b"]
     assert [(r.part, r.slice, r.n_turns) for *_, r in got if r.conv_id == 2] == [(0, 0, 1)]
+
+
+def test_chat_of_many_parts_agrees_with_its_sql(spark, tmp_path):
+    """Dialogues of 600 turns and of 5000 rows a turn: the SQL has the same parts, slices and offsets."""
+    import duckdb
+    from pathfold.llm.queries import ORACLES, op4_chat_rotation
+
+    turns = [(1, t, "abc"[t % 3], f"é{t * 7919 % 601}") for t in range(600)]
+    turns += [(2, t, ("a", None, "system", "bob")[i % 4], "same" if i % 3 else f"{i * 31 % 977}") for t in (0, 256) for i in range(5000)]
+    turns += [(None, 3, "a", None), (None, 900, "b", "x"), (None, None, "a", "late"), (4, 1, "system", "alone")]
+    folder = str(tmp_path / "conversations.parquet")
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5).write.parquet(folder)
+    got = [tuple(r) for r in op4_chat_rotation(spark, str(tmp_path)).select("conv_id", "participant", "part", "slice", "offset", "n_turns", "text", "masks").collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/*.parquet'")
+    want = con.execute(f'SELECT conv_id, participant, part, slice, "offset", n_turns, text, masks FROM ({ORACLES["op4_chat_rotation"]})').fetchall()
+    assert len(got) == 3 * 3 + 2 * 4 + 2 * 3
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    whole = {}  # the offsets place every slice, and its masks, in the dialogue's text
+    for c, who, part, cut, offset, _, text, _ in sorted(got, key=lambda r: (repr(r[0]), *r[1:4])):
+        assert len(whole.get((c, who), "")) == offset
+        whole[c, who] = whole.get((c, who), "") + text
+    assert whole[1, "b"] == render([x[2:] for x in turns[:600]], "b", ("system",))[0]
