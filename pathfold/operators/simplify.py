@@ -92,10 +92,17 @@ def significance_deg(geometry) -> Column:
     return _significance(F.transform(g, lambda p: p[0]), F.transform(g, lambda p: p[1]))
 
 
-def keep_above(geometry: Column, sig: Column, threshold) -> Column:
-    """Vertices whose significance exceeds the threshold."""
+def keep_above(geometry: Column, sig: Column, threshold: Column) -> Column:
+    """Vertices whose significance exceeds the threshold.
+
+    The threshold is bound once a line; inside the filter it would be computed for every vertex.
+    """
     pairs = F.zip_with(geometry, sig, lambda p, s: F.struct(p.alias("p"), s.alias("s")))
-    return F.transform(F.filter(pairs, lambda z: z["s"] > threshold), lambda z: z["p"])
+
+    def kept(least: Column) -> Column:
+        return F.transform(F.filter(pairs, lambda z: z["s"] > least), lambda z: z["p"])
+
+    return F.get(F.transform(F.array(threshold), kept), F.lit(0))
 
 
 def at_tolerance(geometry: Column, sig_m: Column, tolerance_m: float | None) -> Column:
