@@ -98,11 +98,12 @@ def keep_above(geometry: Column, sig: Column, threshold: Column) -> Column:
     The threshold is bound once a line; inside the filter it would be computed for every vertex.
     """
     pairs = F.zip_with(geometry, sig, lambda p, s: F.struct(p.alias("p"), s.alias("s")))
+    line = F.array(F.struct(pairs.alias("pairs"), threshold.alias("least")))
 
-    def kept(least: Column) -> Column:
-        return F.transform(F.filter(pairs, lambda z: z["s"] > least), lambda z: z["p"])
+    def kept(z: Column) -> Column:
+        return F.transform(F.filter(z["pairs"], lambda v: v["s"] > z["least"]), lambda v: v["p"])
 
-    return F.get(F.transform(F.array(threshold), kept), F.lit(0))
+    return F.get(F.transform(line, kept), F.lit(0))
 
 
 def at_tolerance(geometry: Column, sig_m: Column, tolerance_m: float | None) -> Column:
