@@ -11,8 +11,8 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import plain_path
 from ..plans.paths import qualified
-from .archive import plain_path
 
 VERTEX = ("vertex_count", "clean_vertex_count")
 FACTS = (

@@ -54,11 +54,11 @@ def write_texts(texts: DataFrame, folder: str) -> None:
     target = qualified(texts.sparkSession, folder)
 
     def run(batches):
+        fs, base = open_uri(target)
+        fs.create_dir(base)
         for batch in batches:
             for name, text in zip(batch["file_name"], batch["text"]):
-                fs, path = open_uri(f"{target}/{name}")
-                fs.create_dir(path.rsplit("/", 1)[0])
-                with fs.open_output_stream(path) as out:
+                with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
                     out.write(text.encode())
             yield pd.DataFrame({"n": [len(batch)]})
 
@@ -88,7 +88,9 @@ def written(spark: SparkSession, d: str) -> tuple[str, str]:
     key = (spark.sparkContext.applicationId, d)
     if key not in MADE:
         root = scratch_path(spark, "grown")
-        texts = track_texts(spark, d).persist()
+        # Few bytes, but a file a row, so the planner's sizes do not decide the number of tasks.
+        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        texts = track_texts(spark, d).repartition(tasks, "file_name").persist()
         adapter = ArchiveAdapter(f"{root}/archive")
         write_table(texts, adapter.root)
         write_texts(texts.where("NOT late"), f"{adapter.root}/activities")

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 import subprocess
@@ -11,6 +12,7 @@ from pathfold.plans import builds, increments, paths, writers
 from pathfold.plans.compile import ArchiveAdapter, CompileOptions, compile_dataset, rebuild_derived, validate_dataset
 from pathfold.plans.dataset_session import DatasetSession
 from pathfold.sources import dataset as ds
+from pathfold.sources.archive import list_activity_files
 
 from .conftest import WALK, gpx_text
 
@@ -169,3 +171,31 @@ def test_a_failed_attempt_leaves_no_visible_rows(tmp_path):
     names = listed.read_text().split()
     assert len(names) == 8 and {f"family=run/{f.name}" for f in written} >= set(names)
     assert len({n.split("-")[3] for n in names}) == 1  # one attempt's files
+
+
+def test_named_files_are_read_by_few_tasks(spark, archive):
+    """A table of names, not a list of paths: no listing job with a task a path, and other files stay closed."""
+    folder = archive / "activities"
+    names = tuple(f"many-{i:02}.GPX" for i in range(60))
+    for name in names:
+        (folder / name).write_text(gpx_text(WALK))
+    (folder / "damaged.tcx.gz").write_bytes(b"not packed")
+    (folder / ".hidden.gpx").write_text("")
+    rows = "".join(f'{n},"Jun 09, 2024, 07:10:00 AM",Many,Hike,300,0.9,271,268,0.8,24,activities/{n}\n' for n in names)
+    with open(archive / "activities.csv", "a") as table:
+        table.write(rows)
+    adapter = ArchiveAdapter(str(archive), only=(*names, "502.tcx.gz"))
+    spark.sparkContext.setJobGroup("named", "named files")
+    try:
+        records, _ = adapter.records(spark)
+        points = adapter.points(spark, records).groupBy("activity_id").count().collect()
+        sums = {r.file_name: r.source_checksum for r in records.collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.activity_id: r["count"] for r in points} == {n: 6 for n in names} | {"502.tcx.gz": 3}
+    assert sums == {n: hashlib.sha256((folder / n).read_bytes()).hexdigest() for n in (*names, "502.tcx.gz")}
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("named") for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages if s) < len(names)
+    listed = {r.file_name for r in list_activity_files(spark, str(folder)).collect()}
+    assert listed == {*names, "501.gpx", "502.tcx.gz", "damaged.tcx.gz"}
