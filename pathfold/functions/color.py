@@ -76,7 +76,7 @@ def hex_to_rgba(c: Column) -> Column:
 
 
 def _interpolate(position: Column, stops) -> Column:
-    """Linear interpolation of ``position`` in [0, len(stops) - 1]."""
+    """Linear interpolation of ``position`` in [0, len(stops) - 1]; null a whole stop beyond the last one."""
     last = len(stops) - 1
     lower = F.floor(position).cast("int")
     upper = F.least(F.lit(last), lower + 1)
@@ -87,7 +87,7 @@ def _interpolate(position: Column, stops) -> Column:
         a, b = F.get(values, lower), F.get(values, upper)
         return F.floor(a + (b - a) * ratio + 0.5).cast("int")
 
-    return F.when(position.isNotNull(), F.array(*[channel(k) for k in range(4)]))
+    return F.when(lower <= last, F.array(*[channel(k) for k in range(4)]))
 
 
 def heat_color(weight, maximum, palette: str = "sunset", temperature: float = 1.7) -> Column:

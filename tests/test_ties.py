@@ -14,6 +14,13 @@ from suite.registry_queries import QUERIES as REGISTRY
 SQUARE = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
 
 
+def test_heat_color_beyond_the_scale(spark):
+    rows = spark.createDataFrame([(1.0,), (500.0,), (1000.0,), (None,)], "value double")
+    got = [r.c for r in rows.select(color.heat_color("value", 500.0, "ice", 0.1).alias("c")).collect()]
+    assert got[0] is not None and got[1] == list(color.PRESETS["ice"][-1])
+    assert got[2] is None and got[3] is None  # no colour, not one of null channels
+
+
 def test_archive_listing_of_any_size(spark, tmp_path):
     rows = spark.range(100_001).selectExpr("id AS event_id", "id AS user_id", "'view' AS event_type")
     rows.write.parquet(f"{tmp_path}/events.parquet")
