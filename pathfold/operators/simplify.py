@@ -51,11 +51,13 @@ def batch_significance(x: np.ndarray, y: np.ndarray, ends: np.ndarray) -> np.nda
         px, py = x[at] - x[a][piece], y[at] - y[a][piece]
         along = (px * dx[piece] + py * dy[piece]) / np.where(length2 > 0, length2, 1.0)[piece]
         t = np.where((length2 > 0)[piece], np.clip(along, 0.0, 1.0), 0.0)
-        d2 = (px - t * dx[piece]) ** 2 + (py - t * dy[piece]) ** 2
-        most = np.maximum.reduceat(d2, begins)
-        hits = np.flatnonzero(d2 == most[piece])
+        # As ``point_segment_distance``, operation by operation, so that equal distances are equal in both.
+        off_x, off_y = x[at] - (x[a][piece] + dx[piece] * t), y[at] - (y[a][piece] + dy[piece] * t)
+        d = np.sqrt(off_x * off_x + off_y * off_y)
+        most = np.maximum.reduceat(d, begins)
+        hits = np.flatnonzero(d == most[piece])
         far = at[hits[np.unique(piece[hits], return_index=True)[1]]]
-        reach = np.minimum(cap, np.sqrt(most))
+        reach = np.minimum(cap, most)
         split = reach > 0
         sig[far[split]] = reach[split]
         a, b = (

@@ -36,6 +36,34 @@ def test_inside_decides_points_on_a_side_as_the_sql_does(spark):
     assert any(want) and not all(want) and got == want
 
 
+def plain(points, a, b, cap, out):
+    best = None
+    (ax, ay), (bx, by) = points[a], points[b]
+    for k in range(a + 1, b):
+        x, y = points[k]
+        l2 = (bx - ax) * (bx - ax) + (by - ay) * (by - ay)
+        t = max(0.0, min(1.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / l2)) if l2 else 0.0
+        dx, dy = x - (ax + t * (bx - ax)), y - (ay + t * (by - ay))
+        d = math.sqrt(dx * dx + dy * dy)
+        if best is None or d > best[0]:
+            best = (d, k)
+    if best and min(cap, best[0]) > 0:
+        out[best[1]] = min(cap, best[0])
+        plain(points, a, best[1], out[best[1]], out)
+        plain(points, best[1], b, out[best[1]], out)
+
+
+def test_significance_to_the_last_bit():
+    draw = random.Random(3)
+    for _ in range(60):
+        n = draw.randrange(3, 40)
+        points = [(-104.4 + draw.randrange(97) * 0.00005, 39.9 + draw.randrange(89) * 0.00005) for _ in range(n)]
+        want = [math.inf] + [0.0] * (n - 2) + [math.inf]
+        plain(points, 0, n - 1, math.inf, want)
+        x, y = np.array(points).T
+        assert sm.batch_significance(x, y, np.array([0, n])).tolist() == want
+
+
 def test_heat_color_beyond_the_scale(spark):
     rows = spark.createDataFrame([(1.0,), (500.0,), (1000.0,), (None,)], "value double")
     got = [r.c for r in rows.select(color.heat_color("value", 500.0, "ice", 0.1).alias("c")).collect()]
