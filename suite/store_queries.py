@@ -80,17 +80,37 @@ def write_table(texts: DataFrame, root: str) -> None:
     ).write.option("header", True).option("escape", '"').csv(f"{root}/activities.csv")
 
 
+ARCHIVES: dict[tuple[str, str], str] = {}
 MADE: dict[tuple[str, str], tuple[str, str]] = {}
 
 
+def dealt_texts(spark: SparkSession, d: str) -> DataFrame:
+    # Few bytes, but a file a row, so the planner's sizes do not decide the number of tasks.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return track_texts(spark, d).repartition(tasks, "file_name").persist()
+
+
+def archived(spark: SparkSession, d: str) -> str:
+    """The whole archive of these tables, made once a session; that of the store, where one was made."""
+    key = (spark.sparkContext.applicationId, d)
+    if key in MADE:
+        return MADE[key][0]
+    if key not in ARCHIVES:
+        root = f"{scratch_path(spark, 'archived')}/archive"
+        texts = dealt_texts(spark, d)
+        write_table(texts, root)
+        write_texts(texts, f"{root}/activities")
+        texts.unpersist()
+        ARCHIVES[key] = root
+    return ARCHIVES[key]
+
+
 def written(spark: SparkSession, d: str) -> tuple[str, str]:
     """(archive, store) of these tables, made once a session: a base of the even weeks, then the rest appended."""
     key = (spark.sparkContext.applicationId, d)
     if key not in MADE:
         root = scratch_path(spark, "grown")
-        # Few bytes, but a file a row, so the planner's sizes do not decide the number of tasks.
-        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        texts = track_texts(spark, d).repartition(tasks, "file_name").persist()
+        texts = dealt_texts(spark, d)
         adapter = ArchiveAdapter(f"{root}/archive")
         write_table(texts, adapter.root)
         write_texts(texts.where("NOT late"), f"{adapter.root}/activities")
@@ -170,14 +190,14 @@ def _(spark, d):
 )
 def _(spark, d):
     """The archive's table, read by headings."""
-    rows = archive.read_activity_csv(spark, f"{written(spark, d)[0]}/activities.csv")
+    rows = archive.read_activity_csv(spark, f"{archived(spark, d)}/activities.csv")
     return rows.select("source_activity_id", "name", "sport_type", "distance_csv")
 
 
 @register("archive_files", f"{FILES} SELECT id || '.gpx' AS file_name, true AS sized, true AS summed FROM files")
 def _(spark, d):
     """The files that lie in the archive, their sizes and checksums those of the texts."""
-    folder = f"{written(spark, d)[0]}/activities"
+    folder = f"{archived(spark, d)}/activities"
     found = archive.list_activity_files(spark, folder).join(archive.file_sha256(spark, folder), "file_name")
     told = track_texts(spark, d).select("file_name", F.octet_length("text").alias("size"), F.sha2("text", 256).alias("sum"))
     return found.join(told, "file_name").select("file_name", (F.col("byte_size") == F.col("size")).alias("sized"), (F.col("source_checksum") == F.col("sum")).alias("summed"))

@@ -199,3 +199,20 @@ def test_named_files_are_read_by_few_tasks(spark, archive):
     assert stages and max(s.numTasks for s in stages if s) < len(names)
     listed = {r.file_name for r in list_activity_files(spark, str(folder)).collect()}
     assert listed == {*names, "501.gpx", "502.tcx.gz", "damaged.tcx.gz"}
+
+
+def test_archive_queries_need_no_store(spark, monkeypatch):
+    """Listing an archive and reading its table compile nothing; the whole archive is there."""
+    from suite import store_queries
+
+    def refuse(*args, **options):
+        raise AssertionError("a store is compiled")
+
+    monkeypatch.setattr(store_queries, "MADE", {})
+    monkeypatch.setattr(store_queries, "ARCHIVES", {})
+    monkeypatch.setattr(increments, "start_store", refuse)
+    found = store_queries.QUERIES["archive_files"](spark, "/root/testdata/sf0.001").collect()
+    names = store_queries.track_texts(spark, "/root/testdata/sf0.001").select("file_name").collect()
+    assert sorted(r.file_name for r in found) == sorted(r.file_name for r in names)
+    assert all(r.sized and r.summed for r in found)
+    assert store_queries.QUERIES["archive_rows"](spark, "/root/testdata/sf0.001").count() > len(found)
