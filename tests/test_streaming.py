@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pathfold.operators import registry as reg
 from pathfold.streaming import live
 from pathfold.streaming.progress import ProgressListener, observed
-from pathfold.streaming.uploads import promotions, status_changes
+from pathfold.streaming.uploads import CHANGES, _change, promotions, status_changes, told_in_order
 
 T0 = datetime(2025, 1, 1)
 
@@ -131,3 +131,27 @@ def test_promotions_take_the_oldest_waiting(spark, tmp_path):
     parts = [spark.createDataFrame(rows, schema) for rows in (first, second)]
     got = {tuple(r) for r in delivered(spark, parts, f"{tmp_path}/s", promotions).collect()}
     assert got == {("a", 1, 71, at(30)), ("a", 2, 72, at(100)), ("b", 5, 70, at(99)), ("a", 9, 73, at(160))}
+
+
+def test_uploads_share_a_state(spark, tmp_path):
+    """State is kept for groups of uploads, not for each; every upload has its own memory in it."""
+    schema = "upload_id string, changed_at timestamp, status string"
+    rows = [(f"u{n}", T0 + timedelta(seconds=n % 7 + 60 * i), s) for n in range(300) for i, s in enumerate(("queued", "ready", "lost"))]
+    clock = [(None, T0 + timedelta(days=1), None)]
+    parts = [spark.createDataFrame(part, schema) for part in (rows[::2], rows[1::2] + clock)]
+    states = []
+
+    def run(stream):
+        kind = CHANGES.format("string")
+        return told_in_order(stream, "upload_id", "changed_at", ["status"], _change, kind, "1 hour", groups=8)
+
+    for part in parts:
+        part.write.mode("append").parquet(f"{tmp_path}/in")
+        told = run(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")).writeStream.format("parquet")
+        query = told.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out")
+        query.awaitTermination()
+        states.append(max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]))
+    assert 0 < max(states) <= 8
+    got = spark.read.parquet(f"{tmp_path}/out")
+    want = reg.upload_transitions(spark.createDataFrame(rows, schema))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
