@@ -25,6 +25,7 @@ from .tracks import CHUNK_POINTS
 
 BISECTION_STEPS = 20
 SIG = T.ArrayType(T.DoubleType())
+RUN_VERTICES = 1 << 17
 
 
 def batch_significance(x: np.ndarray, y: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -70,14 +71,28 @@ def batch_significance(x: np.ndarray, y: np.ndarray, ends: np.ndarray) -> np.nda
     return sig
 
 
+def vertex_runs(ends: np.ndarray, vertices: int) -> list[tuple[int, int]]:
+    """Ranges of lines of at most that many vertices together, or of one longer line."""
+    runs, start = [], 0
+    while start < len(ends) - 1:
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + vertices, side="right")) - 1)
+        runs.append((start, stop))
+        start = stop
+    return runs
+
+
 @F.arrow_udf(SIG)
 def _significance(xs: pa.Array, ys: pa.Array) -> pa.Array:
     ends = xs.offsets.to_numpy()
     begin, stop = ends[0], ends[-1]
     x = xs.values.to_numpy(zero_copy_only=False)[begin:stop]
     y = ys.values.to_numpy(zero_copy_only=False)[ys.offsets[0].as_py() : ys.offsets[-1].as_py()]
-    sig = batch_significance(x, y, ends - begin)
-    return pa.ListArray.from_arrays(pa.array(ends - begin), pa.array(sig))
+    ends = ends - begin
+    sig = np.empty(len(x))
+    for a, b in vertex_runs(ends, RUN_VERTICES):  # a round takes a dozen arrays as long as its lines
+        u, v = ends[a], ends[b]
+        sig[u:v] = batch_significance(x[u:v], y[u:v], ends[a : b + 1] - u)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(sig))
 
 
 def significance_m(geometry) -> Column:
@@ -155,12 +170,14 @@ def simplify_m(geometry, tolerance_m: float | None) -> Column:
 
 def simplify_to_target(rows: DataFrame, geometry: str, target: int, name: str) -> DataFrame:
     """Add the line of at most ``target`` vertices of rows that hold whole lines."""
+    return simplify_to_targets(rows, geometry, {name: target})
+
+
+def simplify_to_targets(rows: DataFrame, geometry: str, targets: dict[str, int]) -> DataFrame:
+    """``simplify_to_target`` for several columns and their targets; a line is measured once."""
     line = F.col(geometry)
-    return (
-        rows.withColumn("_sig", significance_deg(line))
-        .withColumn(name, at_target(line, F.col("_sig"), line_extent(line), target))
-        .drop("_sig")
-    )
+    lines = {name: at_target(line, F.col("_sig"), line_extent(line), target) for name, target in targets.items()}
+    return rows.withColumn("_sig", significance_deg(line)).withColumns(lines).drop("_sig")
 
 
 PIECE_POINTS = CHUNK_POINTS

@@ -90,12 +90,9 @@ def _(spark, d):
     kinds = F.explode(F.when(clean, F.array(F.lit(" raw"), F.lit(" clean"))).otherwise(F.array(F.lit(" raw"))))
     told = flagged(spark, d).withColumn("at", at).select(line.alias("line"), "at", kinds.alias("kind"))
     lines = told.groupBy(F.concat("line", "kind").alias("line")).agg(F.transform(F.sort_array(F.collect_list("at")), lambda z: z["p"]).alias("geometry"))
-    out = None
-    for target in LINE_TARGETS:
-        cut = sm.simplify_to_target(lines, "geometry", target, "left")
-        cut = cut.select("line", F.lit(target).alias("target"), F.size("left").cast("long").alias("vertices"))
-        out = cut if out is None else out.unionByName(cut)
-    return out
+    cut = sm.simplify_to_targets(lines, "geometry", {f"to_{target}": target for target in LINE_TARGETS})
+    left = [F.struct(F.lit(target).alias("target"), F.size(f"to_{target}").cast("long").alias("vertices")) for target in LINE_TARGETS]
+    return cut.select("line", F.explode(F.array(*left)).alias("n")).select("line", "n.*")
 
 
 LONGEST = "(SELECT max({'n': n, 'id': activity_id}).id FROM (SELECT activity_id, count(*) AS n FROM pts WHERE lat BETWEEN 39.8 AND 40.0 GROUP BY 1))"

@@ -328,3 +328,29 @@ def test_cover_cells_hold_few_polygons(spark):
     assert cells.groupBy("level", "x", "y").count().agg(F.max("count")).first()[0] <= 4
     out = spatial.polygon_join(edges, polygons)
     assert out.where("polygon_id = 'wide'").count() == 2000 and out.where("polygon_id <> 'wide'").count() > 400
+
+
+def test_lines_are_measured_in_bounded_runs(spark, monkeypatch):
+    """A batch of lines is measured a run of vertices at a time, for all targets at once."""
+    import numpy as np
+    import pyarrow as pa
+
+    from pathfold.operators import simplify as sm
+
+    rng, sizes = np.random.default_rng(5), [3, 0, 9, 1, 2, 4, 30, 5]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    xs, ys = (pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rng.random(ends[-1]))) for _ in "xy")
+    whole = sm._significance.func(xs, ys).to_pylist()
+    measure, seen = sm.batch_significance, []
+    monkeypatch.setattr(sm, "RUN_VERTICES", 10, raising=False)
+    monkeypatch.setattr(sm, "batch_significance", lambda x, y, e: seen.append((len(x), len(e) - 1)) or measure(x, y, e))
+    assert sm._significance.func(xs, ys).to_pylist() == whole
+    assert len(seen) > 3 and all(n <= 10 or lines == 1 for n, lines in seen)
+    assert sum(n for n, _ in seen) == ends[-1] and sum(n for _, n in seen) == len(sizes)
+
+    rows = [(n, [[x, y] for x, y in rng.random((size, 2)).tolist()]) for n, size in enumerate(sizes)]
+    lines = spark.createDataFrame(rows, "n long, line array<array<double>>")
+    both = sm.simplify_to_targets(lines, "line", {"a": 3, "b": 6})
+    for name, target in (("a", 3), ("b", 6)):
+        one = sm.simplify_to_target(lines, "line", target, name).select("n", name)
+        assert sorted(one.collect()) == sorted(both.select("n", name).collect())
