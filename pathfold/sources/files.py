@@ -82,8 +82,21 @@ def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield out
 
 
-def row_group_facts(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    """One row per row group of every Parquet file that counts under ``root/kind``."""
+def dealt(names: DataFrame, key: str) -> DataFrame:
+    """Rows over a fixed number of tasks, whatever their bytes: a listing is tiny, but each file is work.
+
+    Dealt by a hash of the key, as distinct keys are already partitioned by the key itself: Spark would
+    drop the same partitioning again, and then join the small partitions to one task.
+    """
+    spark = names.sparkSession
+    tasks = max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
+    return names.repartition(tasks, F.xxhash64(key))
+
+
+def _uris(spark: SparkSession, root: str, kind: str) -> DataFrame:
+    """(uri) of every Parquet file that counts under ``root/kind``, dealt to tasks."""
     from .dataset import listed_files  # reads what this module describes
 
     listed = listed_files(spark, root, kind)
@@ -97,14 +110,29 @@ def row_group_facts(spark: SparkSession, root: str, kind: str) -> DataFrame:
             .load(f"{root}/{kind}")
             .select(plain_path("path").alias("uri"))
         )
-    # The listing is tiny but each file is work, so the number of tasks is fixed here.
-    tasks = max(
-        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    )
-    facts = listed.select("uri").repartition(tasks, "uri").mapInPandas(_facts, FACTS)
+    return dealt(listed.select("uri"), "uri")
+
+
+def _relative(files: DataFrame, kind: str) -> DataFrame:
+    """``uri`` as ``path``, which begins with the kind."""
     marker = f"/{kind}/"
     inside = F.expr(f"substring(uri, length(uri) - length(substring_index(uri, '{marker}', -1)) + 1)")
-    return facts.withColumn("path", F.concat(F.lit(f"{kind}/"), inside)).drop("uri")
+    return files.withColumn("path", F.concat(F.lit(f"{kind}/"), inside)).drop("uri")
+
+
+def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch.assign(sha256=[_digest(*open_uri(uri))[0] for uri in batch["uri"]])
+
+
+def file_sums(spark: SparkSession, root: str, kind: str) -> DataFrame:
+    """(path, sha256) of every Parquet file that counts under ``root/kind``."""
+    return _relative(_uris(spark, root, kind).mapInPandas(_sums, "uri string, sha256 string"), kind)
+
+
+def row_group_facts(spark: SparkSession, root: str, kind: str) -> DataFrame:
+    """One row per row group of every Parquet file that counts under ``root/kind``."""
+    return _relative(_uris(spark, root, kind).mapInPandas(_facts, FACTS), kind)
 
 
 def copy_files(paths: DataFrame, source: str, target: str) -> None:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.paths import qualified
-from .files import open_uri
+from .files import dealt, open_uri
 
 LISTED_ROWS = 10_000
 TEXT_BYTES = 16 << 20  # of texts handed on at a time, or one larger text
@@ -51,9 +51,7 @@ def listed(spark: SparkSession, uri: str) -> DataFrame:
 
 def _dealt(names: DataFrame) -> DataFrame:
     """Names over a fixed number of tasks: they are few bytes, but each is a file to open."""
-    spark = names.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return names.select("file_name").distinct().repartition(tasks, "file_name")
+    return dealt(names.select("file_name").distinct(), "file_name")
 
 
 def checksums(names: DataFrame, uri: str) -> DataFrame:

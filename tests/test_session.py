@@ -69,3 +69,20 @@ def test_session_over_a_compiled_dataset(spark, archive, tmp_path):
     trials = compare_layouts(spark, level.drop("geometry", "geometry_clean"), f"{tmp_path}/trial", sizes=(128,), repeats=1)
     assert [t["ordered"] for t in trials] == [True, False] and all(t["minimum_ms"] > 0 for t in trials)
     assert level.where(F.size("geometry") != F.col("vertex_count")).count() == 0
+
+
+@pytest.mark.parametrize("tasks", [12, 9])
+def test_files_are_dealt_to_all_tasks(spark, tmp_path, tasks):
+    """Names that are distinct already are not joined to one task for their few bytes."""
+    from pathfold.sources import folders
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    try:
+        for n in range(60):
+            (tmp_path / f"{n}.gpx").write_text(f"<gpx>{n}</gpx>")
+        names = spark.range(60).select(F.concat(F.col("id").cast("string"), F.lit(".gpx")).alias("file_name"))
+        read = folders.texts(names, f"file:{tmp_path}").withColumn("task", F.spark_partition_id())
+        assert read.select("task").distinct().count() > tasks // 2 and read.count() == 60
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
