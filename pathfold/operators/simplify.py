@@ -114,11 +114,10 @@ def keep_above(geometry: Column, sig: Column, threshold: Column) -> Column:
 
     The threshold is bound once a line; inside the filter it would be computed for every vertex.
     """
-    pairs = F.zip_with(geometry, sig, lambda p, s: F.struct(p.alias("p"), s.alias("s")))
-    line = F.array(F.struct(pairs.alias("pairs"), threshold.alias("least")))
+    line = F.array(F.struct(sig.alias("sig"), threshold.alias("least")))
 
     def kept(z: Column) -> Column:
-        return F.transform(F.filter(z["pairs"], lambda v: v["s"] > z["least"]), lambda v: v["p"])
+        return F.filter(geometry, lambda p, i: F.get(z["sig"], i) > z["least"])
 
     return F.get(F.transform(line, kept), F.lit(0))
 

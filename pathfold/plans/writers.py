@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import LOD_TOLERANCES_M
 from ..operators.layout import FILE_BYTES, GROUP_BYTES, render_row_bytes, str_layout
+from ..operators.ranks import global_rank
 from ..operators.simplify import (
     LINES,
     at_target,
@@ -20,7 +21,7 @@ from ..operators.simplify import (
     with_long_significance,
     with_significance,
 )
-from ..operators.tracks import CHUNK_POINTS
+from ..operators.tracks import CHUNK_POINTS, with_lines
 from ..schema import (
     BOUNDS,
     CANONICAL,
@@ -38,6 +39,7 @@ from ..sources import geo_parquet
 from ..sources.dataset import FILES, read_manifest, scan_canonical, version_of  # noqa: F401
 from ..sources.files import row_group_facts
 from ..sources.geo_parquet import geo_footer
+from ..session import cut_lineage
 from .paths import delete, exists, qualified, write_text
 
 METADATA_GROUP_ROWS = 4096
@@ -89,7 +91,8 @@ def write_canonical(
     """Shards by family in (spatial_order, activity_id) order, with exact row-group sizes.
 
     The coarse lines are added after the range shuffle, whose sampling pass would otherwise
-    simplify everything twice; those of longer tracks take joins and are added before it.
+    simplify everything twice; those of longer tracks take joins and are added before it. So are
+    the lines themselves, of rows that come with ``track_points`` alone.
     """
     if shard_rows < 1:
         raise ValueError("target shard rows must be positive")
@@ -100,10 +103,11 @@ def write_canonical(
     if "geometry_lod0" in rows.columns:
         placed = rows.repartitionByRange(*order)
     else:
+        lined = (lambda r: r) if "geometry" in rows.columns else with_lines
         single, wide = split_long(rows)
-        placed = coarse_lines(single.repartitionByRange(*order)).select(*columns)
+        placed = coarse_lines(lined(single.repartitionByRange(*order))).select(*columns)
         if wide is not None:
-            long = long_coarse_lines(wide, chunk_points).select(*columns)
+            long = long_coarse_lines(lined(wide), chunk_points).select(*columns)
             placed = placed.unionByName(long).repartitionByRange(*order)
     ordered = placed.select(*columns).sortWithinPartitions(*order)
     if progress is not None:  # after the range shuffle, which samples its input
@@ -146,7 +150,8 @@ def locators(spark: SparkSession, root: str, row_group_rows: int = 128) -> DataF
 
 def write_metadata(spark: SparkSession, root: str, row_group_rows: int = 128, source: str | None = None) -> None:
     """Light index read back from the shards (of ``source``, if given), so every row carries a true locator."""
-    rows = locators(spark, source or root, row_group_rows)
+    # Pinned, since the shards would be opened again for the count, the sampling pass and the rows.
+    rows = cut_lineage(locators(spark, source or root, row_group_rows))
     counted = rows.agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("activity_id").alias("ids")
     ).first()
@@ -188,43 +193,50 @@ def carry_over(levels: DataFrame) -> DataFrame:
 
 
 LINE_NAMES = ("geometry", "geometry_clean")
+SIG_NAMES = ("r_sig_m", "c_sig_m")
+RENDER_HEADS = ["activity_id", *BOUNDS, *CLEAN_BOUNDS, "spatial_order", "part"]
+LEVELS = range(len(LOD_TOLERANCES_M))
 
 
-def render_levels(
-    canonical: DataFrame, chunk_points: int = CHUNK_POINTS, several: bool | None = None
-) -> DataFrame:
-    """One row per (activity, part, level) with both simplified lines and their sizes.
+def leveled(measured: DataFrame, *places: str) -> DataFrame:
+    """A row for each level of rows with lines and their significance in metres.
 
-    The parts of a track are one route: a part's line starts where the one before ended.
+    ``places`` are array columns of a value for each level, which goes with its row.
     """
-    keep = ["activity_id", *BOUNDS, *CLEAN_BOUNDS, "spatial_order", "part", "geometry", "geometry_clean"]
-    single, wide = split_long(canonical.select(*keep), several)
-    raw, clean = F.col("geometry"), F.col("geometry_clean")
     levels = F.array(
         *[
             F.struct(
                 F.lit(lod).alias("lod"),
-                level_geometry(raw, F.col("r_sig_m"), lod).alias("geometry"),
-                level_geometry(clean, F.col("c_sig_m"), lod).alias("geometry_clean"),
+                *[level_geometry(F.col(n), F.col(s), lod).alias(n) for n, s in zip(LINE_NAMES, SIG_NAMES, strict=True)],
+                *[F.get(p, F.lit(lod)).alias(p) for p in places],
             )
-            for lod in range(len(LOD_TOLERANCES_M))
+            for lod in LEVELS
         ]
     )
-    heads = [c for c in keep if c not in LINE_NAMES]
+    rows = measured.select(*RENDER_HEADS, F.explode(levels).alias("l")).select(*RENDER_HEADS, "l.*")
+    return rows.withColumns(
+        {
+            "vertex_count": F.size("geometry").cast("long"),
+            "clean_vertex_count": F.size("geometry_clean").cast("long"),
+        }
+    )
 
-    def leveled(measured: DataFrame) -> DataFrame:
-        rows = measured.select(*heads, F.explode(levels).alias("l")).select(*heads, "l.*")
-        return rows.withColumns(
-            {
-                "vertex_count": F.size("geometry").cast("long"),
-                "clean_vertex_count": F.size("geometry_clean").cast("long"),
-            }
-        )
 
-    out = leveled(with_significance(single))
-    if wide is not None:
-        out = out.unionByName(carry_over(leveled(with_long_significance(wide, chunk_points))))
-    return out.select(*RENDER.fieldNames(), "lod")
+def long_levels(wide: DataFrame, chunk_points: int = CHUNK_POINTS) -> DataFrame:
+    """The levels of tracks of several parts: a part's line starts where the one before ended."""
+    return carry_over(leveled(with_long_significance(wide, chunk_points))).select(*RENDER.fieldNames(), "lod")
+
+
+def render_levels(
+    canonical: DataFrame, chunk_points: int = CHUNK_POINTS, several: bool | None = None
+) -> DataFrame:
+    """One row per (activity, part, level) with both simplified lines and their sizes.
+
+    The parts of a track are one route: a part's line starts where the one before ended.
+    """
+    single, wide = split_long(canonical.select(*RENDER_HEADS, *LINE_NAMES), several)
+    out = leveled(with_significance(single)).select(*RENDER.fieldNames(), "lod")
+    return out if wide is None else out.unionByName(long_levels(wide, chunk_points))
 
 
 def write_render_pyramid(
@@ -237,32 +249,69 @@ def write_render_pyramid(
 ) -> None:
     """Eight levels in sort-tile-recursive order.
 
-    The levels are written once unordered, the layout is decided on their narrow columns, and
-    the final files follow it; the heavy columns are simplified a single time.
+    Lines are measured once and stored with their significance, which gives the sizes of all levels. The
+    layout is decided on those, and a line becomes its eight levels on the way to the final files;
+    only those of tracks of several parts are stored as levels.
     """
     staged = f"{root.rstrip('/')}-levels"
     try:
-        levels = render_levels(scan_canonical(spark, source or root), chunk_points)
-        levels.write.mode("overwrite").option("compression", "zstd").parquet(staged)
-        _write_levels(spark.read.parquet(staged), root, group_bytes, file_bytes)
+        canonical = scan_canonical(spark, source or root).select(*RENDER_HEADS, *LINE_NAMES)
+        single, wide = split_long(canonical)
+        measured = with_significance(single).select(*RENDER_HEADS, *LINE_NAMES, *SIG_NAMES)
+        measured.withColumn("sizes", level_sizes()).write.option("compression", "zstd").parquet(f"{staged}/lines")
+        long = None
+        if wide is not None:
+            long_levels(wide, chunk_points).write.option("compression", "zstd").parquet(f"{staged}/long")
+            long = spark.read.parquet(f"{staged}/long")
+        _write_levels(spark.read.parquet(f"{staged}/lines"), long, root, group_bytes, file_bytes)
     finally:
         delete(spark, staged)
 
 
-def _write_levels(levels: DataFrame, root: str, group_bytes: int, file_bytes: int) -> None:
-    sized = levels.select(
-        "activity_id", "part", "lod", *BOUNDS, render_row_bytes().alias("bytes")
+def level_sizes() -> Column:
+    """Vertices of both lines at each level, from the significance alone."""
+
+    def kept(line: str, sig: str, lod: int) -> Column:
+        tolerance = LOD_TOLERANCES_M[lod]
+        count = F.size(F.filter(sig, lambda s: s > tolerance)) if tolerance else F.size(line)
+        return count.cast("long")
+
+    names = ("vertex_count", "clean_vertex_count")
+    return F.array(
+        *[
+            F.struct(F.lit(lod).alias("lod"), *[kept(n, s, lod).alias(c) for n, s, c in zip(LINE_NAMES, SIG_NAMES, names, strict=True)])
+            for lod in LEVELS
+        ]
     )
+
+
+def _write_levels(lines: DataFrame, long: DataFrame | None, root: str, group_bytes: int, file_bytes: int) -> None:
+    key, group = ["activity_id", "part"], ["lod", "stripe", "group_no"]
+    sized = lines.select(*key, *BOUNDS, F.explode("sizes").alias("s")).select(*key, *BOUNDS, "s.*")
+    if long is not None:
+        sized = sized.unionByName(long.select(*sized.columns))
+    sized = sized.select(*key, "lod", *BOUNDS, render_row_bytes().alias("bytes"))
     total = sized.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    tasks = max(len(LOD_TOLERANCES_M), -(-int(total) // file_bytes))
-    placed = str_layout(sized, group_bytes).select(
-        "activity_id", "part", "lod", "stripe", "group_no"
+    placed = cut_lineage(str_layout(sized, group_bytes).select(*key, *group))
+    # Tasks take runs of groups, of about as many bytes each, so that no pass over the lines samples them.
+    groups = global_rank(placed.select(*group).distinct(), group, "at")
+    n = groups.count()
+    cores = lines.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(n, max(len(LEVELS), cores, -(-int(total) // file_bytes))))
+    placed = placed.join(groups, group).withColumn("task", F.floor(F.col("at") * tasks / F.lit(n)).cast("int"))
+    places = placed.groupBy(*key).agg(
+        F.sort_array(F.collect_list(F.struct("lod", "stripe", "group_no", "task"))).alias("place")  # one a level
     )
+    columns = [*RENDER.fieldNames(), "lod", "place"]
+    rows = leveled(lines.join(places, key), "place").select(*columns)
+    if long is not None:
+        place = F.struct("lod", "stripe", "group_no", "task").alias("place")
+        rows = rows.unionByName(long.join(placed.select(*key, "lod", place), [*key, "lod"]).select(*columns))
     ordered = (
-        levels.join(placed, ["activity_id", "part", "lod"])
-        .repartitionByRange(tasks, "lod", "stripe", "group_no")
-        .sortWithinPartitions("lod", "stripe", "group_no", "activity_id", "part")
-        .select(*RENDER.fieldNames(), "lod", "stripe", "group_no")
+        rows.select(*RENDER.fieldNames(), "lod", "place.stripe", "place.group_no", "place.task")
+        .repartitionById(tasks, "task")
+        .sortWithinPartitions(*group, *key)
+        .drop("task")
     )
     write_geo(
         ordered,
