@@ -13,18 +13,18 @@ from __future__ import annotations
 
 import hashlib
 import json
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import scalar as sc
-from ..sources import archive
 from ..sources.dataset import KINDS, part_folders, read_manifest, scan_metadata, scan_rejections, version_of
 from ..sources.files import plain_path, remove_files
 from ..streaming.live import watch_archives
 from .builds import build_root, check_build_id, point, versioned_manifest
-from .compile import ArchiveAdapter, CompileOptions, compile_dataset
+from .compile import ArchiveAdapter, CompileOptions, compile_dataset, gathered
 from .paths import delete, exists, qualified, write_text
 from .writers import manifest_files
 
@@ -42,13 +42,18 @@ def current_parts(manifest: dict) -> list[dict]:
     return manifest.get("parts") or [{"build": manifest["build"]["id"], "kinds": list(KINDS)}]
 
 
-def new_files(spark: SparkSession, adapter: ArchiveAdapter, store: str) -> DataFrame:
-    """file_name of matched archive files that the active version has neither stored nor rejected."""
-    rows = archive.read_activity_csv(spark, f"{adapter.root}/activities.csv")
-    matched, _ = archive.match_files(rows, archive.list_activity_files(spark, f"{adapter.root}/activities"))
+def new_records(spark: SparkSession, adapter: ArchiveAdapter, store: str) -> tuple[DataFrame, DataFrame]:
+    """(records, rejections) of an archive's matching, the records less those of files that the active
+    version has stored or rejected."""
+    matched, rejections = adapter.match(spark)
     stored = scan_metadata(spark, store).select(sc.basename("source_filename").alias("file_name"))
     refused = scan_rejections(spark, store).where("stage = 'parse'").select(F.col("source_path").alias("file_name"))
-    return matched.select("file_name").distinct().join(stored.unionByName(refused), "file_name", "left_anti")
+    return matched.join(stored.unionByName(refused), "file_name", "left_anti"), rejections
+
+
+def new_files(spark: SparkSession, adapter: ArchiveAdapter, store: str) -> DataFrame:
+    """file_name of matched archive files that the active version has neither stored nor rejected."""
+    return new_records(spark, adapter, store)[0].select("file_name").distinct()
 
 
 def _merged(spark: SparkSession, store: str, before: dict, delta: dict, parts: list[dict]) -> dict:
@@ -84,34 +89,53 @@ def append(
 ) -> list[str]:
     """Compile what is new in an archive, ``max_files`` a build, and publish each; the new build ids.
 
-    A file that changes after it was stored stays as it was. Archive rows and files are matched anew with each
-    build, so a rejection for a missing file goes when the file has come.
+    A file that changes after it was stored stays as it was. The archive is listed and matched once for all
+    builds of what is found, then again until nothing is new, so a rejection for a missing file goes when
+    the file has come.
     """
     store = store.rstrip("/")
     made = []
     while True:
-        found = new_files(spark, adapter, store).orderBy("file_name").limit(max_files).collect()
-        names = tuple(r.file_name for r in found)  # at most max_files
-        if not names:
-            return made
-        before = read_manifest(spark, store)
-        digest = hashlib.sha256("\n".join([before["build"]["id"], *names]).encode()).hexdigest()
-        build_id = check_build_id(f"delta-{digest[:16]}")
-        folder = build_root(store, build_id)
-        delete(spark, folder)  # of a run that ended before it pointed here
-        only = ArchiveAdapter(adapter.root, adapter.decoded, names)
-        delta = compile_dataset(spark, only, folder, CompileOptions(**{**vars(options), "allow_empty": True}))
-        kinds = list(KINDS) if delta["activity_count"] else ["rejections"]
-        parts = [*current_parts(before), {"build": build_id, "kinds": kinds}]
-        if delta["activity_count"]:
-            own = spark.read.parquet(f"{folder}/metadata").select("activity_id")
-            again = scan_metadata(spark, store).select("activity_id").join(own, "activity_id", "left_semi").take(3)
-            if again:
-                raise ValueError(f"stored before under another file: {[r.activity_id for r in again]}")
-        merged = _merged(spark, store, before, delta, parts)
-        write_text(spark, f"{folder}/dataset.json", json.dumps(merged, indent=2) + "\n")
-        point(spark, store, versioned_manifest(merged, build_id))
-        made.append(build_id)
+        records, rejections = (gathered(rows).persist() for rows in new_records(spark, adapter, store))
+        lot = ArchiveAdapter(adapter.root, adapter.decoded, matched=(records, rejections))
+        waiting = records.select("file_name").distinct()
+        try:
+            names = _next_files(waiting, None, max_files)
+            if not names:
+                return made
+            while names:
+                made.append(_append_build(spark, replace(lot, only=names), store, options))
+                names = _next_files(waiting, names[-1], max_files) if len(names) == max_files else ()
+        finally:
+            records.unpersist()
+            rejections.unpersist()
+
+
+def _next_files(waiting: DataFrame, last: str | None, max_files: int) -> tuple[str, ...]:
+    """The first names after ``last``, at most ``max_files``."""
+    rest = waiting if last is None else waiting.where(F.col("file_name") > last)
+    return tuple(r.file_name for r in rest.orderBy("file_name").limit(max_files).collect())
+
+
+def _append_build(spark: SparkSession, only: ArchiveAdapter, store: str, options: CompileOptions) -> str:
+    """Compile the named files of an archive and publish the version with them."""
+    before = read_manifest(spark, store)
+    digest = hashlib.sha256("\n".join([before["build"]["id"], *only.only]).encode()).hexdigest()
+    build_id = check_build_id(f"delta-{digest[:16]}")
+    folder = build_root(store, build_id)
+    delete(spark, folder)  # of a run that ended before it pointed here
+    delta = compile_dataset(spark, only, folder, CompileOptions(**{**vars(options), "allow_empty": True}))
+    kinds = list(KINDS) if delta["activity_count"] else ["rejections"]
+    parts = [*current_parts(before), {"build": build_id, "kinds": kinds}]
+    if delta["activity_count"]:
+        own = spark.read.parquet(f"{folder}/metadata").select("activity_id")
+        again = scan_metadata(spark, store).select("activity_id").join(own, "activity_id", "left_semi").take(3)
+        if again:
+            raise ValueError(f"stored before under another file: {[r.activity_id for r in again]}")
+    merged = _merged(spark, store, before, delta, parts)
+    write_text(spark, f"{folder}/dataset.json", json.dumps(merged, indent=2) + "\n")
+    point(spark, store, versioned_manifest(merged, build_id))
+    return build_id
 
 
 def watch(

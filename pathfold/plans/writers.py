@@ -340,10 +340,7 @@ def build_manifest(
     Both tables grow with the data and stay tables at any size; ``dataset.json`` names the file
     table under ``files``.
     """
-    facts = None
-    for kind in kinds:  # those the build has files of its own of
-        rows = row_group_facts(spark, root, kind).withColumn("kind", F.lit(kind))
-        facts = rows if facts is None else facts.unionByName(rows)
+    facts = row_group_facts(spark, root, *kinds)  # those the build has files of its own of
     lod = F.when(F.col("kind") == "render", F.regexp_extract("path", r"/lod=(\d+)/", 1).cast("int"))
     facts.withColumn("lod", lod).write.mode("errorifexists").option("compression", "zstd").parquet(
         f"{root}/manifest"

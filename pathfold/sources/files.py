@@ -16,7 +16,7 @@ from ..plans.paths import qualified
 
 VERTEX = ("vertex_count", "clean_vertex_count")
 FACTS = (
-    "uri string, byte_size long, sha256 string, geo boolean, row_group int, row_count long, "
+    "kind string, path string, byte_size long, sha256 string, geo boolean, row_group int, row_count long, "
     "uncompressed_bytes long, xmin double, ymin double, xmax double, ymax double, "
     + ", ".join(f"{v}_{s} long" for v in VERTEX for s in ("sum", "min", "max"))
 )
@@ -44,7 +44,7 @@ def _digest(fs, path: str) -> tuple[str, int]:
 def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Checksum and per-row-group facts; only bounds and count columns are decoded."""
     for batch in batches:
-        for uri in batch["uri"]:
+        for kind, name, uri in zip(batch["kind"], batch["path"], batch["uri"]):
             fs, path = open_uri(uri)
             sha, size = _digest(fs, path)
             rows = []
@@ -57,7 +57,8 @@ def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     meta = parquet.metadata.row_group(number)
                     t = parquet.read_row_group(number, columns=wanted).to_pandas()
                     row = {
-                        "uri": uri,
+                        "kind": kind,
+                        "path": name,
                         "byte_size": size,
                         "sha256": sha,
                         "geo": described,
@@ -95,44 +96,47 @@ def dealt(names: DataFrame, key: str) -> DataFrame:
     return names.repartition(tasks, F.xxhash64(key))
 
 
-def _uris(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    """(uri) of every Parquet file that counts under ``root/kind``, dealt to tasks."""
-    from .dataset import listed_files  # reads what this module describes
-
-    listed = listed_files(spark, root, kind)
-    if listed is not None:
-        listed = listed.select(F.concat(F.lit(f"{qualified(spark, root)}/"), "path").alias("uri")).distinct()
-    else:
-        listed = (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", "*.parquet")
-            .load(f"{root}/{kind}")
-            .select(plain_path("path").alias("uri"))
-        )
-    return dealt(listed.select("uri"), "uri")
+def _uris(spark: SparkSession, root: str, kinds: tuple[str, ...]) -> DataFrame:
+    """(kind, path, uri) of every Parquet file that counts under ``root`` of these kinds, dealt to tasks together.
 
+    ``path`` begins with the kind.
+    """
+    from .dataset import listed_files  # reads what this module describes
 
-def _relative(files: DataFrame, kind: str) -> DataFrame:
-    """``uri`` as ``path``, which begins with the kind."""
-    marker = f"/{kind}/"
-    inside = F.expr(f"substring(uri, length(uri) - length(substring_index(uri, '{marker}', -1)) + 1)")
-    return files.withColumn("path", F.concat(F.lit(f"{kind}/"), inside)).drop("uri")
+    out = None
+    for kind in kinds:
+        listed = listed_files(spark, root, kind)
+        if listed is not None:
+            listed = listed.select(F.concat(F.lit(f"{qualified(spark, root)}/"), "path").alias("uri")).distinct()
+        else:
+            listed = (
+                spark.read.format("binaryFile")
+                .option("recursiveFileLookup", "true")
+                .option("pathGlobFilter", "*.parquet")
+                .load(f"{root}/{kind}")
+                .select(plain_path("path").alias("uri"))
+            )
+        marker = f"/{kind}/"
+        inside = F.expr(f"substring(uri, length(uri) - length(substring_index(uri, '{marker}', -1)) + 1)")
+        listed = listed.select(F.lit(kind).alias("kind"), F.concat(F.lit(f"{kind}/"), inside).alias("path"), "uri")
+        out = listed if out is None else out.unionByName(listed)
+    return dealt(out, "uri")
 
 
 def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield batch.assign(sha256=[_digest(*open_uri(uri))[0] for uri in batch["uri"]])
+        sums = [_digest(*open_uri(uri))[0] for uri in batch["uri"]]
+        yield pd.DataFrame({"path": batch["path"], "sha256": sums})
 
 
-def file_sums(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    """(path, sha256) of every Parquet file that counts under ``root/kind``."""
-    return _relative(_uris(spark, root, kind).mapInPandas(_sums, "uri string, sha256 string"), kind)
+def file_sums(spark: SparkSession, root: str, *kinds: str) -> DataFrame:
+    """(path, sha256) of every Parquet file that counts under ``root`` of these kinds."""
+    return _uris(spark, root, kinds).mapInPandas(_sums, "path string, sha256 string")
 
 
-def row_group_facts(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    """One row per row group of every Parquet file that counts under ``root/kind``."""
-    return _relative(_uris(spark, root, kind).mapInPandas(_facts, FACTS), kind)
+def row_group_facts(spark: SparkSession, root: str, *kinds: str) -> DataFrame:
+    """One row per row group of every Parquet file that counts under ``root`` of these kinds."""
+    return _uris(spark, root, kinds).mapInPandas(_facts, FACTS)
 
 
 def copy_files(paths: DataFrame, source: str, target: str) -> None:

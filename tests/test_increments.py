@@ -216,3 +216,46 @@ def test_archive_queries_need_no_store(spark, monkeypatch):
     assert sorted(r.file_name for r in found) == sorted(r.file_name for r in names)
     assert all(r.sized and r.summed for r in found)
     assert store_queries.QUERIES["archive_rows"](spark, "/root/testdata/sf0.001").count() > len(found)
+
+
+def test_an_append_of_several_builds_lists_the_archive_once(spark, archive, tmp_path, monkeypatch):
+    """One listing for all builds of an append, one that finds nothing new; the rows are those of a full compile."""
+    from pathfold.sources import archive as source
+
+    store, adapter = f"{tmp_path}/store", ArchiveAdapter(str(archive))
+    increments.start_store(spark, adapter, store)
+    for number in (601, 602, 603):
+        grow(archive, number, [(y, x + number / 100, e, t) for y, x, e, t in WALK])
+    (archive / "activities" / "604.gpx").write_text(gpx_text(LATER))  # no row names it
+    listings, real = [], source.list_activity_files
+
+    def counted(*args):
+        listings.append(args)
+        return real(*args)
+
+    monkeypatch.setattr(source, "list_activity_files", counted)
+    made = increments.append(spark, adapter, store, max_files=1)
+    assert len(made) == 3 and len(listings) == 2
+    monkeypatch.undo()
+    whole = f"{tmp_path}/whole"
+    full = compile_dataset(spark, adapter, whole)
+    version = ds.read_manifest(spark, store)
+    for name in ("activity_count", "rejection_count", "bbox", "source_counts"):
+        assert version[name] == full[name], name
+    for read in (ds.scan_metadata, ds.scan_canonical, ds.scan_rejections, ds.scan_render):
+        assert facts(read(spark, store)) == facts(read(spark, whole)), read
+
+
+def test_files_of_a_compile_are_read_in_one_round_of_tasks(spark, archive, tmp_path):
+    """Both readers share a pass over the files, and the kinds of a build one over theirs."""
+    from pathfold.sources.files import _uris, dealt
+
+    records, _ = ArchiveAdapter(str(archive)).records(spark)
+    points = ArchiveAdapter(str(archive)).points(spark, records)
+    tasks = dealt(records.select("file_name"), "file_name").rdd.getNumPartitions()
+    assert points.rdd.getNumPartitions() == tasks
+    assert {r.activity_id for r in points.select("activity_id").distinct().collect()} == {"501.gpx", "502.tcx.gz"}
+    compile_dataset(spark, ArchiveAdapter(str(archive)), f"{tmp_path}/out")
+    kinds = ("activities", "metadata", "render")
+    uris = _uris(spark, f"{tmp_path}/out", kinds)
+    assert uris.rdd.getNumPartitions() == tasks and {r.kind for r in uris.collect()} == set(kinds)
