@@ -15,8 +15,14 @@ that so has many empty parts registers whole parts as well. Nothing is dropped:
 links is in one block.
 
 *Blocks of any size.* A block of more than ``TILE_ROWS`` rows or ``TILE_GRAMS`` n-grams is dealt
-into shares, and each pair of shares is a tile of its own. A tile returns a spanning forest of its
-links, not all of them.
+into shares, and each pair of shares is a tile of its own, multiplied ``PRODUCT_ROWS`` rows at a time. A
+product returns a spanning forest of its links, not all of them.
+
+*Signatures.* Nearly all are of one set only. They are first told apart by 44 of their bits, packed, so that
+those which occur again leave their bits in a filter, and only signatures that meet it are moved with their sets.
+
+*Copies.* One row of each set, told by a filter of fixed size, stands for all of its copies, so that
+what is moved follows the number of sets, not of rows.
 """
 
 from __future__ import annotations
@@ -28,17 +34,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathfold.llm.batches import Texts, blocks, distinct_in_docs, expand, mix, unused
+from pathfold.llm.batches import Texts, blocks, distinct_in_docs, expand, mix, small_batches, unused
 from pathfold.llm.graph import components
-from pathfold.session import cut_lineage, stored
+from pathfold.session import cut_lineage, release, stored
 
 BUCKETS = 1 << 18
 SLICES = 64
 CROWDED = 4.0  # times the mean of the buckets
-TILE_ROWS = 512
+TILE_ROWS = 2048
+PRODUCT_ROWS = 512
 TILE_GRAMS = 1 << 21
 COLUMNS = 2048
 FILTER_BITS = 1 << 24
+HEAD_BITS = 1 << 27
+HELD = 1 << 22  # signatures that are packed at a time
+PACKS = 1 << 12
 SHARED = 3
 FEW = 16
 U = np.uint64
@@ -235,16 +245,24 @@ def link_classes(docs: DataFrame, n: int = 5, t: float = 0.8) -> DataFrame:
     sets = cut_lineage(given.mapInArrow(read, "doc_id long, text_key long, size int, node long, slice int, counts binary"))
     crowded = crowded_buckets(sets.filter("slice IS NOT NULL").select("slice", "counts"))
     rows = sets.filter("slice IS NULL").select("doc_id", "text_key", "size", "node")
+    nodes = cut_lineage(
+        rows.filter("size > 0").groupBy("node").agg(
+            F.min("doc_id").alias("least"), F.first("size").alias("size"), F.min(row_key()).alias("row")
+        )
+    )
+    standing = bit_filter(nodes, "row")
 
-    def make_signatures():
+    def registered():
+        """A function for the signatures of a block of texts, and the nodes they are of."""
         seen: set[int] = set()
 
-        def compute(texts):
+        def compute(texts, keys):
             grams, doc, first = gram_sets(texts, n)
             nodes = set_ids(grams, doc, len(texts)).view(np.int64)
-            fresh = np.zeros(len(texts), bool)  # copies within a task register once
+            fresh = np.zeros(len(texts), bool)  # one row of a set registers, copies within a task once
+            stands = in_filter(standing, keys.to_numpy().view(np.uint64))
             for i, x in enumerate(nodes.tolist()):
-                if x not in seen:
+                if stands[i] and x not in seen:
                     seen.add(x)
                     fresh[i] = True
             use = fresh[doc]
@@ -252,17 +270,43 @@ def link_classes(docs: DataFrame, n: int = 5, t: float = 0.8) -> DataFrame:
             edges = np.zeros(len(sizes) + 1, np.int64)
             np.cumsum(sizes, out=edges[1:])
             sigs, owner = signatures(grams[use], doc[use], edges, t, crowded)
-            return {"sig": pa.array(sigs.view(np.int64)), "node": pa.array(nodes[owner])} if len(sigs) else None
+            return sigs, nodes[owner]
 
         return compute
 
-    marks = expand(docs, make_signatures, "sig long, node long", ["text"])
+    def pack(batches):
+        compute, held = registered(), []
+        for batch in batches:
+            for a, b in blocks(batch.column(0)):
+                held.append(compute(*batch.slice(a, b - a).columns)[0] >> U(20))
+                if sum(map(len, held)) >= HELD:
+                    yield packs(np.concatenate(held))
+                    held = []
+        if held:
+            yield packs(np.concatenate(held))
+
+    texts = docs.select("text", row_key(F.xxhash64("text")).alias("row"))
+    small_batches(texts)
+    repeated = texts.mapInArrow(pack, "pack int, heads binary").groupBy("pack").applyInArrow(heads_again, "head long")
+    again = bit_filter(repeated, "head", HEAD_BITS)
+    release(docs.sparkSession)
+
+    def make_signatures():
+        compute = registered()
+
+        def met(texts, keys):
+            sigs, nodes = compute(texts, keys)
+            use = in_filter(again, sigs >> U(20))
+            return {"sig": pa.array(sigs[use].view(np.int64)), "node": pa.array(nodes[use])} if use.any() else None
+
+        return met
+
+    marks = expand(texts, make_signatures, "sig long, node long", ["text", "row"])
     blocks_of = cut_lineage(components(candidate_edges(marks)))
-    nodes = cut_lineage(
-        rows.filter("size > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"))
-    )
-    links = cut_lineage(block_links(docs, nodes, blocks_of, n, t))
-    rooted = nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    release(docs.sparkSession)
+    links = cut_lineage(block_links(docs, nodes, blocks_of, n, t, standing))
+    release(docs.sparkSession)
+    rooted = nodes.select("node", "least", "size").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(smallest, "root").select("node", "component_id", "root")
     out = rows.join(named, "node", "left")
@@ -305,6 +349,7 @@ def candidate_edges(marks: DataFrame) -> DataFrame:
     met = met.withColumn("head", F.first("node").over(inside)).withColumn(
         "before", F.collect_list("node").over(inside.rowsBetween(1 - FEW, -1))
     )
+    met = cut_lineage(met.select("n", "node", "head", "before"))  # few of the signatures, sorted once
     tied = met.filter(F.col("n") > FEW).select(F.col("node").alias("a"), F.col("head").alias("b"))
     pairs = met.filter(F.col("n") <= FEW).select(F.col("node").alias("a"), F.explode("before").alias("b"))
     counted = pairs.filter("a <> b").groupBy("a", "b").count().filter(F.col("count") >= SHARED).select("a", "b")
@@ -326,26 +371,82 @@ def crowded_buckets(counts: DataFrame) -> np.ndarray:
     return np.packbits(total > np.maximum(CROWDED * total.mean(), 8), bitorder="little")
 
 
-def node_filter(nodes: DataFrame) -> np.ndarray:
-    """A bit array of fixed size with the bits of all nodes set."""
-    place = F.pmod(F.col("node"), F.lit(FILTER_BITS))
-    words = nodes.groupBy(F.floor(place / 64).cast("int").alias("word")).agg(
+def packs(heads: np.ndarray) -> pa.RecordBatch:
+    """44-bit heads in ``PACKS`` packs of their upper bits: the differences of the lower ones, byte by byte."""
+    heads = np.sort(heads)
+    edges = np.searchsorted(heads, np.arange(PACKS + 1).astype(U) << U(32))
+    rows = []
+    for i in np.flatnonzero(np.diff(edges)).tolist():
+        low = heads[edges[i] : edges[i + 1]].astype(np.uint32)
+        steps = np.diff(low, prepend=np.uint32(0)).astype("<u4")
+        rows.append((i, steps.view(np.uint8).reshape(-1, 4).T.tobytes()))  # the upper bytes are zeros and pack well
+    columns = [pa.array([i for i, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["pack", "heads"])
+
+
+def heads_again(table: pa.Table) -> pa.Table:
+    """The heads of a pack that occur more than once."""
+    low = [np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel() for x in table["heads"].to_pylist()]
+    low = np.sort(np.concatenate([np.cumsum(x, dtype=np.uint32) for x in low]))
+    twice = np.unique(low[1:][low[1:] == low[:-1]]).astype(np.int64)
+    return pa.table([pa.array(twice + (table["pack"][0].as_py() << 32))], names=["head"])
+
+
+def row_key(text_key="text_key"):
+    """A hash of (doc_id, text)."""
+    return F.xxhash64(F.col("doc_id").cast("long"), text_key)
+
+
+def bit_filter(rows: DataFrame, column: str, size: int = FILTER_BITS) -> np.ndarray:
+    """A bit array of fixed size with the bits of all values of a column set."""
+    place = F.pmod(F.col(column), F.lit(size))
+    words = rows.groupBy(F.floor(place / 64).cast("int").alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("bits")
     )
-    found = words.toArrow()  # at most FILTER_BITS / 64 rows
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    found = words.toArrow()  # at most size / 64 rows
+    out = np.zeros(size // 64, np.uint64)
     out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return out
 
 
-def block_links(docs: DataFrame, nodes: DataFrame, blocks_of: DataFrame, n: int, t: float) -> DataFrame:
+def in_filter(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether the bits of unsigned values are set: of all that the filter was made of, and a few others."""
+    at = (values % U(len(bits) * 64)).astype(np.int64)
+    return ((bits[at >> 6] >> (at & 63).astype(np.uint64)) & U(1)).astype(bool)
+
+
+def tile_links(sets: list[np.ndarray], t: float, side: np.ndarray | None) -> list[tuple[int, int]]:
+    """``product_links`` of a tile, ``PRODUCT_ROWS`` rows at a time."""
+    if len(sets) <= PRODUCT_ROWS:
+        return product_links(sets, t, side) if len(sets) > 1 else []
+
+    def runs(at: np.ndarray) -> list[np.ndarray]:
+        return [at[i : i + PRODUCT_ROWS] for i in range(0, len(at), PRODUCT_ROWS)]
+
+    if side is None:
+        cut = runs(np.arange(len(sets)))
+        pairs = [(a, cut[j]) for i, a in enumerate(cut) for j in range(i, len(cut))]
+    else:
+        pairs = [(a, b) for a in runs(np.flatnonzero(side == 0)) for b in runs(np.flatnonzero(side == 1))]
+    out = []
+    for a, b in pairs:
+        both = a if a is b else np.concatenate([a, b])
+        across = None if a is b else (np.arange(len(both)) >= len(a)).astype(np.int8)
+        if len(both) > 1:
+            out += [(both[i], both[j]) for i, j in product_links([sets[k] for k in both], t, across)]
+    return out
+
+
+def block_links(
+    docs: DataFrame, nodes: DataFrame, blocks_of: DataFrame, n: int, t: float, standing: np.ndarray
+) -> DataFrame:
     """(a, b): linked sets, enough of them to connect all that links connect.
 
     The sets are made anew from the texts; a filter of fixed size keeps most of those that no
     block needs from being moved, the join on the node leaves out the others.
     """
     members = cut_lineage(nodes.select("node", "size").join(blocks_of, "node"))
-    bits = node_filter(members)
+    bits = bit_filter(members, "node")
     widths = members.groupBy("root").agg(
         F.greatest(F.ceil(F.count("*") / TILE_ROWS), F.ceil(F.sum("size") / TILE_GRAMS)).cast("int").alias("shares")
     )
@@ -358,11 +459,10 @@ def block_links(docs: DataFrame, nodes: DataFrame, blocks_of: DataFrame, n: int,
     def make():
         seen: set[int] = set()
 
-        def compute(texts):
+        def compute(texts, keys):
             grams, doc, first = gram_sets(texts, n)
             found = set_ids(grams, doc, len(texts))
-            at = (found % U(FILTER_BITS)).astype(np.int64)
-            use = (np.diff(first) > 0) & ((bits[at >> 6] >> (at & 63).astype(np.uint64)) & U(1)).astype(bool)
+            use = (np.diff(first) > 0) & in_filter(bits, found) & in_filter(standing, keys.to_numpy().view(np.uint64))
             out_nodes, out = [], []
             for i in np.flatnonzero(use).tolist():
                 x = int(found[i])
@@ -376,14 +476,15 @@ def block_links(docs: DataFrame, nodes: DataFrame, blocks_of: DataFrame, n: int,
 
         return compute
 
-    sets = expand(docs, make, "node long, grams binary", ["text"]).dropDuplicates(["node"])
+    texts = docs.select("text", row_key(F.xxhash64("text")).alias("row"))
+    sets = expand(texts, make, "node long, grams binary", ["text", "row"]).dropDuplicates(["node"])
     tiles = dealt.join(sets, "node")
 
     def multiply(table: pa.Table) -> pa.Table:
         own = [np.frombuffer(x, np.uint64) for x in table["grams"].to_pylist()]
         x, y = table["x"][0].as_py(), table["y"][0].as_py()
         side = None if x == y else (table["share"].to_numpy() == y).astype(np.int8)
-        links = product_links(own, t, side) if len(own) > 1 else []
+        links = tile_links(own, t, side)
         nodes = table["node"].to_numpy()
         i = np.array([p for p, _ in links], np.int64)
         j = np.array([q for _, q in links], np.int64)

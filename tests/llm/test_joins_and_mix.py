@@ -226,3 +226,65 @@ def test_mix_deals_the_copies_of_a_document_to_its_rows(spark):
     (plan,) = plan_documents(docs).filter("doc_id = 7").collect()
     assert sum(c * n for c, n in hot.items()) == plan.copies
     assert sum(r["count"] for r in found) == len(rows) and all(r.copies <= 3 for r in found)
+
+
+def test_lone_sets_and_copies_move_no_signatures(spark, monkeypatch):
+    """Signatures travel for sets that may link, and once for all copies of a text, whatever tasks these lie in."""
+    from pathfold.llm import ngram_join
+
+    rng = random.Random(17)
+    rows = [(i, fresh(rng, 120)) for i in range(150)]
+    twin = rows[3][1].split()
+    twin[60] = "other"
+    rows += [(500, " ".join(twin))] + [(600 + i, rows[7][1]) for i in range(40)]
+    docs = documents(spark, [(i, t, None, None, 0, "", "", "") for i, t in rows]).repartition(8)
+    seen, real = [], ngram_join.candidate_edges
+    monkeypatch.setattr(ngram_join, "candidate_edges", lambda marks: seen.append(marks.count()) or real(marks))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in link_classes(docs, 5, 0.8).collect()}
+    assert got == linked(rows, 5, 80) and got[500][1] == 3 and got[620][1] == 7
+    assert 0 < seen[0] < 150  # of some 150 sets with 30 signatures or more each
+
+
+def test_packs_tell_what_occurs_again():
+    from collections import Counter
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from pathfold.llm.ngram_join import heads_again, packs
+
+    rng = np.random.default_rng(5)
+    heads = rng.integers(0, 1 << 44, 5000, dtype=np.uint64)
+    ends = np.array([0, 0, (1 << 44) - 1, (1 << 44) - 1, 1 << 32, (1 << 32) - 1, (1 << 32) - 1], np.uint64)
+    heads = np.concatenate([heads, heads[:70], heads[:5], ends])
+    rng.shuffle(heads)
+    table = pa.concat_tables([pa.Table.from_batches([packs(x)]) for x in np.array_split(heads, 3)])
+    got = [h for p in set(table["pack"].to_pylist()) for h in heads_again(table.filter(pc.equal(table["pack"], p)))["head"].to_pylist()]
+    assert sorted(got) == sorted(k for k, n in Counter(heads.tolist()).items() if n > 1)
+
+
+def test_tiles_are_multiplied_in_runs(monkeypatch):
+    from pathfold.llm import ngram_join
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 60, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(60) > 0.1], rng.integers(0, 1 << 60, int(rng.integers(0, 6)), dtype=np.uint64)])) for _ in range(40)]
+    want = product_links(sets, 0.8)
+    side = (np.arange(40) % 3 == 0).astype(np.int8)
+    across = product_links(sets, 0.8, side)
+    monkeypatch.setattr(ngram_join, "PRODUCT_ROWS", 7)
+
+    def forest(links):
+        parent = list(range(40))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for i, j in links:
+            parent[max(find(i), find(j))] = min(find(i), find(j))
+        return [find(i) for i in range(40)]
+
+    assert forest(ngram_join.tile_links(sets, 0.8, None)) == forest(want)
+    assert forest(ngram_join.tile_links(sets, 0.8, side)) == forest(across)

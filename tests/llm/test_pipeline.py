@@ -68,3 +68,11 @@ def test_stages_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_run_leaves_one_stage_table(spark, tmp_path, monkeypatch):
+    """What only earlier stages read is deleted."""
+    made = []
+    monkeypatch.setattr(corpus_pipeline, "scratch_path", lambda spark, label: made.append(f"{tmp_path}/{label}-{len(made)}") or made[-1])
+    assert corpus_pipeline.run(spark, D).count() > 0
+    assert len(made) == 4 and [os.path.exists(p) for p in made] == [False, False, False, True]
